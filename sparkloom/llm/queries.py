@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from .line_dedup import OP9_SQL, op9_line_dedup
+from .mixing import op6_source_mixing
 from .packing import op7_best_fit_packing
+from .quality import op1_quality_rules
 from .tokens import op5_token_counts
 
 QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
     "op5_token_counts": op5_token_counts,
+    "op6_source_mixing": op6_source_mixing,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op9_line_dedup": op9_line_dedup,
 }
 
 #: Only where SQL can express the operator.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op9_line_dedup": OP9_SQL}
