@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .jaccard import OP8_SQL, op8_ngram_jaccard_join
 from .line_dedup import OP9_SQL, op9_line_dedup
 from .mixing import op6_source_mixing
 from .packing import op7_best_fit_packing
@@ -13,8 +14,9 @@ QUERIES = {
     "op5_token_counts": op5_token_counts,
     "op6_source_mixing": op6_source_mixing,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_line_dedup": op9_line_dedup,
 }
 
 #: Only where SQL can express the operator.
-ORACLES: dict[str, str] = {"op9_line_dedup": OP9_SQL}
+ORACLES: dict[str, str] = {"op8_ngram_jaccard_join": OP8_SQL, "op9_line_dedup": OP9_SQL}
