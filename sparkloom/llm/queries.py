@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
+from .ann import op10_multi_index_hashing
+from .html import op3_html_extraction
 from .jaccard import OP8_SQL, op8_ngram_jaccard_join
 from .line_dedup import OP9_SQL, op9_line_dedup
 from .mixing import op6_source_mixing
 from .packing import op7_best_fit_packing
 from .quality import op1_quality_rules
 from .tokens import op5_token_counts
+from .toxicity import op4_toxicity
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op3_html_extraction": op3_html_extraction,
+    "op4_toxicity": op4_toxicity,
     "op5_token_counts": op5_token_counts,
     "op6_source_mixing": op6_source_mixing,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_line_dedup": op9_line_dedup,
+    "op10_multi_index_hashing": op10_multi_index_hashing,
 }
 
 #: Only where SQL can express the operator.
