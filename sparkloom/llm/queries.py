@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .ann import op10_multi_index_hashing
+from .chat import op2_chat_formatting
 from .html import op3_html_extraction
 from .jaccard import OP8_SQL, op8_ngram_jaccard_join
 from .line_dedup import OP9_SQL, op9_line_dedup
@@ -14,6 +15,7 @@ from .toxicity import op4_toxicity
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_chat_formatting": op2_chat_formatting,
     "op3_html_extraction": op3_html_extraction,
     "op4_toxicity": op4_toxicity,
     "op5_token_counts": op5_token_counts,
