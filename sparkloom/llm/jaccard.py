@@ -10,8 +10,8 @@ pairs whose sizes are too far apart; summed counts below the bound that sizes an
 rest of the n-grams leave are dropped too. What remains is checked on whole texts.
 
 Columns longer than ``long_column`` nodes do not emit their pairs. A first pass links
-each node to one candidate only (in a long column, to its first node); after connected
-components, only pairs whose ends are still apart are looked at, so a group of copies
+each node to a few candidates only (in a long column, to the node with most frequent
+n-grams among those of its size); after connected components, only pairs whose ends are still apart are looked at, so a group of copies
 costs about one check per copy, and no link between different components is lost.
 """
 
@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import NO_ID, stored, table
@@ -96,40 +97,45 @@ def _features(docs: DataFrame, n: int, percent: int, whole: bool) -> DataFrame:
     return docs.select("_id", "text").mapInArrow(run, "_id long, node long, n long, low array<long>")
 
 
+_ENTRY = ["s", "node", "n", "k", "q", "h", "f"]
+_ENTRY_TYPE = ", ".join(f"{x} long" for x in _ENTRY)
+
+
 def _index(rows: DataFrame, percent: int) -> DataFrame:
-    """Columns to multiply: s, node, n, k (n-grams of the node that are in the index).
+    """Entries of the columns to multiply: s, node, n, k (n-grams of the node in the index),
+    q (those of them that are not frequent), h (its frequent n-grams) and f (1 if s is frequent).
 
-    Without n-grams that few nodes hold, the whole set is needed: k is 0 there.
+    Rows are node, n, low and hot (those of low that are frequent). The index of a node
+    is the beginning of its set, frequent ones last. Where low has too few others to
+    tell, the one entry that comes has k = 0: the whole set is needed.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             nodes, sizes = b.column(0).to_numpy(), b.column(1).to_numpy()
-            s, at, used = [], [], []
+            s, at, used, rare, many, flag = [], [], [], [], [], []
             for i, (low, hot) in enumerate(zip(b.column(2), b.column(3))):
                 a = low.values.to_numpy()
-                if hot.is_valid and len(hot):
-                    cold = a[~np.isin(a, hot.values.to_numpy())]
-                else:
-                    cold = a
-                k = int(prefix_len(sizes[i], percent))
-                if len(cold) >= k:
-                    a = cold[:k]
-                elif len(a) == sizes[i]:  # the whole set is here: frequent ones fill up
-                    a = np.concatenate([cold, a[~np.isin(a, cold)]])[:k]
-                else:
-                    a, k = a[:1], 0
-                s.append(a)
-                at.append(np.full(len(a), i))
-                used.append(np.full(len(a), k))
+                is_hot = np.isin(a, hot.values.to_numpy()) if hot.is_valid and len(hot) else np.zeros(len(a), dtype=bool)
+                k, cold = int(prefix_len(sizes[i], percent)), int((~is_hot).sum())
+                h = int(sizes[i])
+                if len(a) == sizes[i]:
+                    h -= cold
+                elif cold < k:
+                    k = 0
+                pick = np.argsort(is_hot, kind="stable")[: max(1, k)]
+                s.append(a[pick])
+                flag.append(is_hot[pick].astype(np.int64))
+                at.append(np.full(len(pick), i))
+                used.append(np.full(len(pick), k))
+                rare.append(np.full(len(pick), int((~is_hot[pick]).sum())))
+                many.append(np.full(len(pick), h))
             if s:
                 i = np.concatenate(at)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(s)), pa.array(nodes[i]), pa.array(sizes[i]), pa.array(np.concatenate(used).astype(np.int64))],
-                    names=["s", "node", "n", "k"],
-                )
+                cols = [np.concatenate(s), nodes[i], sizes[i], *(np.concatenate(x).astype(np.int64) for x in (used, rare, many, flag))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=_ENTRY)
 
-    return rows.mapInArrow(run, "s long, node long, n long, k long")
+    return rows.select("node", "n", "low", "hot").mapInArrow(run, _ENTRY_TYPE)
 
 
 class _Pairs:
@@ -165,7 +171,7 @@ _PAIR = ["a", "b", "na", "nb", "ka", "kb", "c"]
 _PAIR_TYPE = ", ".join(f"{x} long" for x in _PAIR)
 
 
-def _near(s, n, label, percent: int, reach: int):
+def _near(s, n, percent: int, reach: int):
     """Index pairs (i, j) of one column whose sizes are near enough; sorted by (s, n)."""
     idx = np.arange(len(s))
     for d in range(1, reach):
@@ -175,9 +181,7 @@ def _near(s, n, label, percent: int, reach: int):
         idx = idx[(s[idx] == s[idx + d]) & (100 * n[idx] >= percent * n[idx + d])]
         if not len(idx):
             return
-        i = idx if label is None else idx[label[idx] != label[idx + d]]
-        if len(i):
-            yield i, i + d
+        yield idx, idx + d
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
@@ -197,50 +201,97 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
         yield rest
 
 
+def _reachable(na, nb, ha, hb, f, percent: int):
+    """Whether a pair that meets in a frequent column can be at the threshold.
+
+    Nodes with entries in frequent columns have all their other n-grams in the index, so
+    a pair that shares one of those meets there; any other shares frequent ones only.
+    """
+    return (f == 0) | (np.minimum(ha, hb) >= required(na, nb, percent))
+
+
+def _pivots(n: np.ndarray, h: np.ndarray, node: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (entry, pivot) of one column sorted by size: the entry with most frequent
+    n-grams of each size class, for the entries of its class and of its two neighbours."""
+    step = np.log(100 / percent) / 2
+    classes = np.floor(np.log(n) / step).astype(int)
+    order = np.lexsort((node, -h, classes))
+    first = np.r_[True, np.diff(classes[order]) != 0]
+    pivot = dict(zip(classes[order][first].tolist(), order[first].tolist()))
+    for d in (0, -1, 1):
+        p = np.array([pivot.get(c + d, -1) for c in classes.tolist()])
+        i = np.nonzero((p >= 0) & (p != np.arange(len(n))))[0]
+        if len(i):
+            yield i, p[i]
+
+
 def _multiply(index: DataFrame, percent: int, long_column: int) -> DataFrame:
-    """Pairs of short columns with counts; of long columns (c = 0) the pair of each node
-    with the first one, and (a, b = -1) the entry itself, with s in c."""
+    """Pairs with counts of short columns and of those that are not frequent (which few nodes
+    hold, so they are short but for chance). Of long frequent ones: pairs of nodes with
+    pivots, with counts below 0, and the entries themselves (b = -1, nb = h, kb = f, c = s)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs = _Pairs()
-        for s, node, n, k in _runs(batches):
+        pairs, stars = _Pairs(), _Pairs()
+
+        def both(to: _Pairs, i, j, node, n, k, one: int) -> Iterator[pa.RecordBatch]:
+            lo, hi = np.where(node[i] < node[j], i, j), np.where(node[i] < node[j], j, i)
+            ok = node[lo] != node[hi]
+            lo, hi = lo[ok], hi[ok]
+            yield from to.add(node[lo], node[hi], n[lo], n[hi], k[lo], k[hi], np.full(len(lo), one, dtype=np.int64))
+
+        for s, node, n, k, q, h, f in _runs(batches):
             first = np.nonzero(np.r_[True, s[1:] != s[:-1]])[0]
             length = np.diff(np.r_[first, len(s)])
-            short = np.repeat((length > 1) & (length <= long_column), length)
-            long = np.repeat(length > long_column, length)
-            ss, sn, sz, sk = s[short], node[short], n[short], k[short]
-            for i, j in _near(ss, sz, None, percent, long_column):
-                lo, hi = np.where(sn[i] < sn[j], i, j), np.where(sn[i] < sn[j], j, i)
-                ok = sn[lo] != sn[hi]
-                lo, hi = lo[ok], hi[ok]
-                yield from pairs.add(sn[lo], sn[hi], sz[lo], sz[hi], sk[lo], sk[hi], np.ones(len(lo), dtype=np.int64))
-            if long.any():
-                head = np.repeat(first, length)[long]
-                ls, ln, lz, lk = s[long], node[long], n[long], k[long]
-                none = np.full(len(ls), -1, dtype=np.int64)
-                cols = [ln, none, lz, none, lk, none, ls]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=_PAIR)
-                # The first of those near in size: columns are sorted by size.
-                ok = (ln != node[head]) & (100 * n[head] >= percent * lz)
-                hn, hz, hk = node[head][ok], n[head][ok], k[head][ok]
-                ln, lz, lk = ln[ok], lz[ok], lk[ok]
-                flip = ln < hn
-                pick = lambda x, y: np.where(flip, x, y)
-                yield from pairs.add(pick(ln, hn), pick(hn, ln), pick(lz, hz), pick(hz, lz), pick(lk, hk), pick(hk, lk), np.zeros(len(ln), dtype=np.int64))
+            far = (length > long_column) & (f[first] == 1)
+            short = np.repeat((length > 1) & ~far, length)
+            ss, sn, sz, sq = s[short], node[short], n[short], q[short]
+            for i, j in _near(ss, sz, percent, int(length[~far].max(initial=1))):
+                yield from both(pairs, i, j, sn, sz, sq, 1)
+            for x, m in zip(first[far], length[far]):
+                cs, cn, cz, ck, ch, cf = (c[x : x + m] for c in (s, node, n, k, h, f))
+                none = np.full(m, -1, dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (cn, none, cz, ch, ck, cf, cs)], names=_PAIR)
+                for i, j in _pivots(cz, ch, cn, percent):
+                    ok = _reachable(cz[i], cz[j], ch[i], ch[j], cf[i], percent) & (100 * np.minimum(cz[i], cz[j]) >= percent * np.maximum(cz[i], cz[j]))
+                    yield from both(stars, i[ok], j[ok], cn, cz, ck, -1)
         yield from pairs.out()
+        yield from stars.out()
 
     return index.repartition("s").sortWithinPartitions("s", "n", "node").mapInArrow(run, _PAIR_TYPE)
 
 
+def _apart(n: np.ndarray, label: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of one column, sorted by size, with near sizes and different labels.
+
+    Pairs inside the most frequent label are never looked at, so a column that one group
+    of copies fills costs its other entries times the column.
+    """
+    names, at, count = np.unique(label, return_inverse=True, return_counts=True)
+    main = int(count.argmax())
+    others = np.nonzero(at != main)[0]
+    first = np.searchsorted(n, -(-percent * n[others] // 100), side="left")
+    last = np.searchsorted(n, 100 * n[others] // percent, side="right")
+    for i, lo, hi in zip(others, first, last):
+        j = np.arange(lo, hi)
+        j = j[(at[lo:hi] != at[i]) & ((at[lo:hi] == main) | (j > i))]
+        if len(j):
+            yield np.full(len(j), i), j
+
+
 def _multiply_apart(entries: DataFrame, percent: int) -> DataFrame:
     """Counts of pairs of long columns whose ends have different labels."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = _Pairs()
-        for s, node, n, k, label in _runs(batches):
-            for i, j in _near(s, n, label, percent, len(s)):
-                lo, hi = np.where(node[i] < node[j], i, j), np.where(node[i] < node[j], j, i)
-                yield from pairs.add(node[lo], node[hi], n[lo], n[hi], k[lo], k[hi], np.ones(len(lo), dtype=np.int64))
+        for s, *cols in _runs(batches):  # s, node, n, k, h, f, label
+            ends = np.r_[np.nonzero(np.r_[True, s[1:] != s[:-1]])[0], len(s)]
+            for x, y in zip(ends[:-1], ends[1:]):
+                node, n, k, h, f, label = (c[x:y] for c in cols)
+                for i, j in _apart(n, label, percent):
+                    ok = _reachable(n[i], n[j], h[i], h[j], f[i], percent)
+                    i, j = i[ok], j[ok]
+                    lo, hi = np.where(node[i] < node[j], i, j), np.where(node[i] < node[j], j, i)
+                    yield from pairs.add(node[lo], node[hi], n[lo], n[hi], k[lo], k[hi], np.ones(len(lo), dtype=np.int64))
         yield from pairs.out()
 
     return entries.repartition("s").sortWithinPartitions("s", "n", "node").mapInArrow(run, _PAIR_TYPE)
@@ -334,26 +385,52 @@ def jaccard_components(
     # Of each set's documents one stands for all; the others leave.
     others = full.select("_id", "node").join(names.filter("copies > 1").withColumnRenamed("_id", "least"), "node").filter("_id > least").select("_id", "node")
     reps = full.join(_sized(others), ["_id", "node"], "left_anti").select("node", "n", "low")
-    hot = reps.select(F.explode("low").alias("s")).groupBy("s").count().filter(F.col("count") > long_column).select("s")
-    hot = stored(hot, "frequent")
-    hot_of = reps.select("node", F.explode("low").alias("s")).join(_sized(hot), "s").groupBy("node").agg(F.collect_set("s").alias("hot"))
-    index = stored(_index(reps.join(_sized(stored(hot_of, "frequent_of")), "node", "left").select("node", "n", "low", "hot"), percent), "index")
+    # Frequent n-grams: by the least hashes of all sets; and, for nodes of which those tell
+    # too little, by their whole sets. The order of n-grams only needs to be one and the
+    # same for all nodes, so what is counted bears on the work, not on the result.
+    count = lambda rows: rows.select(F.explode("low").alias("s")).groupBy("s").count().filter(F.col("count") > long_column).select("s")
+
+    def with_hot(rows: DataFrame, hot: DataFrame) -> DataFrame:
+        of = rows.select("node", F.explode("low").alias("s")).join(_sized(hot), "s").groupBy("node").agg(F.collect_set("s").alias("hot"))
+        return rows.join(_sized(stored(of, "frequent_of")), "node", "left").select("node", "n", "low", "hot")
+
     names_id = names.select("node", "_id")
-    deep = stored(index.filter("k = 0").select("node").distinct().join(names_id, "node").select("_id", "node"), "deep")
-    wide = _features(named.join(_sized(deep.select("_id").distinct()), "_id", "left_semi"), n, percent, True).join(_sized(deep), ["_id", "node"], "left_semi")
-    wide = wide.dropDuplicates(["node"]).select(F.explode("low").alias("s"), "node", "n", F.col("n").alias("k"))
-    product = stored(_multiply(index.filter("k > 0").unionByName(wide), percent, long_column), "product")
+
+    def whole(index: DataFrame) -> DataFrame:
+        deep = stored(index.filter("k = 0").select("node").join(names_id, "node").select("_id", "node"), "deep")
+        rows = named.join(_sized(deep.select("_id").distinct()), "_id", "left_semi")
+        rows = _features(rows, n, percent, True).join(_sized(deep), ["_id", "node"], "left_semi")
+        return stored(rows.dropDuplicates(["node"]).select("node", "n", "low"), "whole")
+
+    hot = stored(count(reps), "frequent")
+    index = stored(_index(with_hot(reps, hot), percent), "index")
+    wide = whole(index)
+    more = stored(count(wide).join(_sized(hot), "s", "left_anti"), "frequent")
+    if not more.isEmpty():
+        hot = hot.unionByName(more)
+        index = stored(_index(with_hot(reps, hot), percent), "index")
+        wide = whole(index)
+    index = index.filter("k > 0").unionByName(_index(with_hot(wide, hot), percent))
+    product = stored(_multiply(index, percent, long_column), "product")
 
     def bounded(pairs: DataFrame) -> DataFrame:
-        c = pairs.groupBy(*_PAIR[:-1]).agg(F.sum("c").alias("c"))
+        """Pairs whose counts can still reach the threshold. What is not counted lies behind
+        the first ka and kb n-grams of the two: those that are not frequent in what short
+        columns counted, the whole index in what all columns did."""
+        c = pairs.groupBy("a", "b", "na", "nb").agg(F.max("ka").alias("ka"), F.max("kb").alias("kb"), F.sum("c").alias("c"))
         need = F.floor((percent * (F.col("na") + F.col("nb")) + 99 + percent) / (100 + percent))
         return c.filter(F.col("c") + F.greatest(F.col("na") - F.col("ka"), F.col("nb") - F.col("kb")) >= need)
 
     counted = product.filter("b >= 0")
     short = stored(bounded(counted.filter("c > 0")).select("a", "b"), "candidates")
-    stars = counted.filter("c = 0").select("a", "b").distinct()
-    one = short.unionByName(stars).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = stored(_verified(stored(one, "first"), named, names_id, n, percent), "links")
+    # First one candidate of short columns for each node, and the pivots it meets most often.
+    w = W.partitionBy("b").orderBy("c", "a")
+    stars = counted.filter("c < 0").groupBy("a", "b").agg(F.sum("c").alias("c"))
+    stars = stars.select("a", "b", "c").unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b"), "c"))
+    stars = stars.withColumn("r", F.row_number().over(w)).filter("r <= 3").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    one = short.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").unionByName(stars).distinct()
+    one = stored(one, "first")
+    links = stored(_verified(one, named, names_id, n, percent), "links")
     labels = stored(components(links), "labels")
 
     def apart(pairs: DataFrame) -> DataFrame:
@@ -362,10 +439,10 @@ def jaccard_components(
             pairs = pairs.join(label, x, "left").withColumn(f"_{x}", F.coalesce(f"_{x}", x))
         return pairs.filter("_a <> _b").drop("_a", "_b")
 
-    entries = product.filter("b = -1").select(F.col("c").alias("s"), F.col("a").alias("node"), F.col("na").alias("n"), F.col("ka").alias("k"))
+    entries = product.filter("b = -1").select(F.col("c").alias("s"), F.col("a").alias("node"), F.col("na").alias("n"), F.col("ka").alias("k"), F.col("nb").alias("h"), F.col("kb").alias("f"))
     entries = entries.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = entries.groupBy("s").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("s")
-    entries = entries.join(mixed, "s", "left_semi").select("s", "node", "n", "k", "label")
+    entries = entries.join(mixed, "s", "left_semi").select("s", "node", "n", "k", "h", "f", "label")
     long = stored(_multiply_apart(entries, percent), "long")
     ends = long.select("a", "b").distinct()
     total = long.unionByName(counted.filter("c > 0").join(ends, ["a", "b"], "left_semi"))
