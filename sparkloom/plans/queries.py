@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import vectors
 from ..operators import citations as C
+from ..operators import extract as X
 from ..operators import graph as G
 from ..operators import memory as M
+from ..operators import resolve as V
 from ..operators import retrieval as R
 from ..schemas import KNOWN_EXTENSIONS, SUPPORTED_EXTENSIONS
 from ..sources import tables as S
@@ -515,3 +517,23 @@ def retrieve_context(spark, d):
     e = D.entities(spark, d)
     v = S.read(spark, d, "embeddings").select(F.concat(F.lit("c"), F.col("vec_id").cast("string")).alias("id"), "embedding")
     return R.retrieve(e.join(v, "id", "left").withColumn("source", F.concat("type", F.lit(" "), "name")), _all_edges(spark, d), ASKED, 5)
+
+
+def _sources(spark, d):
+    """A source file per nation: a helper, and a class for each supplier that calls it."""
+    s = S.read(spark, d, "supplier").withColumn("k", F.col("s_suppkey").cast("string"))
+    body = F.concat(F.lit("\nclass S"), "k", F.lit(":\n    def run(self):\n        return helper(self)\n"))
+    per = s.groupBy("s_nationkey").agg(F.array_sort(F.collect_list(body)).alias("x"))
+    text = F.concat(F.lit("def helper(x):\n    return x\n"), F.array_join("x", ""))
+    return per.select(F.lit("r").alias("repo_id"), F.concat(F.lit("python/n"), F.col("s_nationkey").cast("string"), F.lit(".py")).alias("file_path"), text.alias("content"))
+
+
+@query("""SELECT 'python/n' || s_nationkey || '.py' AS file_path, unnest(['module', 'function', 'class', 'method']) AS type, unnest([1, 1, count(*), count(*)])::BIGINT AS n FROM supplier GROUP BY s_nationkey""")
+def extract_python(spark, d):
+    return X.entities(X.python_facts(_sources(spark, d))).groupBy("file_path", "type").agg(F.count("*").alias("n"))
+
+
+@query("SELECT 'py.n' || s_nationkey || '.S' || s_suppkey || '.run' AS source_id, 'py.n' || s_nationkey || '.helper' AS target_id, 'CALLS' AS type FROM supplier")
+def resolve_edges(spark, d):
+    facts = S.cut(X.python_facts(_sources(spark, d)))
+    return V.resolve(facts, S.cut(X.entities(facts))).select("source_id", "target_id", "type")
