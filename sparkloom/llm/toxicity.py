@@ -3,9 +3,9 @@
 Features of a text are its distinct lower-case words and the beginnings of three to
 seven letters of words that have more, so that inflected and joined forms of a word
 learned count too. Which features matter is found by grouped counts over labelled
-rows in Spark. For every labelled text that names a group, a counterfactual twin with
-the group exchanged is made, and the training loss penalises the difference of the two
-scores, so that a mention as such carries no weight.
+rows in Spark. For every labelled text that names a group, two counterfactual twins are
+made, one with the group exchanged for another and one with it left out, and the training
+loss penalises the differences of their scores, so that a mention as such carries no weight.
 """
 
 from __future__ import annotations
@@ -50,6 +50,11 @@ def swapped(found: set[str], terms: Sequence[Sequence[str]]) -> set[str] | None:
     return {to.get(w, w) for w in found}
 
 
+def bare(found: set[str], terms: Sequence[Sequence[str]]) -> set[str]:
+    """The words without group terms."""
+    return found - {t for s in terms for t in s}
+
+
 def _features(text: pd.Series) -> pd.Series:
     return pd.Series([sorted({f for w in text_words(t) for f in word_features(w)}) for t in text])
 
@@ -114,8 +119,8 @@ def fit(
 
     At most ``max_rows`` rows, the first in the order of a hash of doc_id, are used: that
     bounds what reaches the driver, with ``max_features`` and the features per row.
-    Proximal gradient on the logistic loss, the squared difference of logits of a text and
-    its twin (weight ``counterfactual``), l2 and l1. Without rows of both labels the score is
+    Proximal gradient on the logistic loss, the squared differences of logits of a text and
+    its twins (weight ``counterfactual``), l2 and l1. Without rows of both labels the score is
     the share of toxic rows (0.5 of none).
     """
     sample = labelled.filter("label is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).cache()
@@ -124,17 +129,18 @@ def fit(
     index = {f: i for i, f in enumerate(dict.fromkeys([*names, *(f for t in groups for f in word_features(t))]))}
 
     def rows(texts: pd.Series) -> pd.DataFrame:
-        own, twin = [], []
+        own, twin, none = [], [], []
         for t in texts:
             found = text_words(t)
             other = swapped(found, terms)
             ids = lambda ws: sorted({index[f] for w in ws for f in word_features(w) if f in index})
             own.append(ids(found))
             twin.append(None if other is None else ids(other))
-        return pd.DataFrame({"own": own, "twin": twin})
+            none.append(None if other is None else ids(bare(found, terms)))
+        return pd.DataFrame({"own": own, "twin": twin, "bare": none})
 
     rows.__annotations__ = {"texts": pd.Series, "return": pd.DataFrame}
-    got = sample.select("label", F.pandas_udf(rows, "own array<int>, twin array<int>")("text").alias("x")).select("label", "x.own", "x.twin").collect()
+    got = sample.select("label", F.pandas_udf(rows, "own array<int>, twin array<int>, bare array<int>")("text").alias("x")).select("label", "x.own", "x.twin", "x.bare").collect()
     sample.unpersist()
     if not got:
         return Classifier({}, 0.0)
@@ -144,7 +150,7 @@ def fit(
     if 0 < y.sum() < len(y):
         at = np.concatenate([np.full(len(r["own"]), i) for i, r in enumerate(got)]).astype(int)
         col = np.concatenate([np.array(r["own"], dtype=int) for r in got])
-        pairs = [(set(r["own"]), set(r["twin"])) for r in got if r["twin"] is not None]
+        pairs = [(set(r["own"]), set(r[x])) for r in got if r["twin"] is not None for x in ("twin", "bare")]
         signed = [(k, j, s) for k, (p, q) in enumerate(pairs) for s, x in ((1.0, p - q), (-1.0, q - p)) for j in x]
         pk, pj, ps = (np.array(c) for c in zip(*signed)) if signed else (np.empty(0, int), np.empty(0, int), np.empty(0))
         pk, pj = pk.astype(int), pj.astype(int)
@@ -153,7 +159,9 @@ def fit(
         cost = np.where(y > 0, 0.5 / y.sum(), 0.5 / (n - y.sum()))
         b = 0.0
         v, d = w.copy(), b
-        bound = 0.25 * max(1.0, float(np.bincount(at, weights=np.ones(len(at)), minlength=n).max(initial=1))) + counterfactual * 8
+        # A bound on the curvature: of the logistic loss by features per row, of the penalty by features that differ.
+        most = lambda rows, size: float(np.bincount(rows, minlength=size).max(initial=1))
+        bound = 0.25 * (most(at, n) + 1) + 2 * counterfactual * most(pk, m) + l2
         t = 1.0
         for _ in range(steps):
             z = d + np.bincount(at, weights=v[col], minlength=n)
