@@ -8,8 +8,8 @@ Copies of a document are not distinct documents: were they counted one by one, e
 group of copies would turn its own text into boilerplate and be rejected as a whole.
 So documents are counted by a fingerprint, the least hash of their five-word windows,
 which near copies mostly share, and a line's count is the effective number of
-fingerprints, (sum n)^2 / sum n^2: about the number of documents for lines that
-unrelated documents share, and near one for lines of copies.
+fingerprints, the exponential of their entropy: near the number of documents for lines
+that unrelated documents share, and near one for lines of copies.
 """
 
 from __future__ import annotations
@@ -113,7 +113,8 @@ def quality_rules(
     lines = lines.select(*keys, "_q_print", F.col("_q_line.h").alias("_q_h"), F.col("_q_line.w").alias("_q_w"))
     per_print = lines.groupBy("_q_host", "_q_h", "_q_print").agg(F.count("*").alias("n"))
     n = F.col("n").cast("double")
-    held = per_print.groupBy("_q_host", "_q_h").agg((F.sum(n) * F.sum(n) / F.sum(n * n)).alias("_q_docs"))
+    effective = F.sum(n) / F.exp(F.sum(n * F.log(n)) / F.sum(n))
+    held = per_print.groupBy("_q_host", "_q_h").agg(effective.alias("_q_docs"))
     held = held.filter(F.col("_q_docs") > min_docs)
     hosts = base.groupBy("_q_host").agg((F.count("*") * F.lit(float(max_doc_share))).alias("_q_limit"))
     frequent = held.join(hosts, "_q_host").filter(F.col("_q_docs") > F.col("_q_limit")).select("_q_host", "_q_h")
