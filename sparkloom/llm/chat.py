@@ -74,7 +74,7 @@ class Model:
         for word in {o.split("|")[0] for o in shown}:
             n = np.array([sum(emissions.get((b, o), 0) for o in shown if o.split("|")[0] == word) for b in ROLES]) + smooth
             self.marks[word] = np.log(n / total) - 3
-        self.other = np.log(smooth / total)
+        self.other = np.full(k, -10.0)  # what was never seen tells nothing
 
     def emit(self, shown: str) -> np.ndarray:
         got = self.shown.get(shown)
