@@ -67,7 +67,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = F.when(F.col("_d_gone").isNull(), F.col(text_col)).otherwise(
         F.array_join(F.transform(left, lambda i: F.get("_d_lines", i)), "\n")
     )
-    keep = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    keep = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
     return out.withColumns({
         text_col: text,
         "n_lines": F.size("_d_full").cast("long"),

@@ -187,7 +187,7 @@ def mix(
     both = both.withColumn("_m_more", F.when((F.col("_m_bucket") < F.col("_m_edge")) | last, 1).otherwise(0))
     times = F.least(F.lit(max_repeats), F.col("_m_whole") + F.col("_m_more"))
     times = F.when(F.col("_m_size") == 0, F.lit(1)).otherwise(times).cast("int")
-    keep = [c for c in docs.columns if c not in made]
+    keep = [c for c in docs.columns if c.lower() not in made]
     return both.select(
         *keep, F.col("_m_size").alias("size"), F.col("_m_source").alias("source_size"), F.col("_m_target").alias("target"),
         (times * F.col("_m_size")).cast("long").alias("taken"), times.alias("repeats"),

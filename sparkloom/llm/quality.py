@@ -105,7 +105,7 @@ def quality_rules(
     # Each distinct normalised line of a document once, with its words.
     part = lambda x: F.struct(F.xxhash64(_norm(x)).alias("h"), F.size(words(x)).alias("w"))
     base = base.withColumn("_q_parts", F.array_distinct(F.transform("_q_lines", part)))
-    keep = [c for c in docs.columns if c not in _MADE and (with_text or clean or c != text_col)]
+    keep = [c for c in docs.columns if c.lower() not in _MADE and (with_text or clean or c != text_col)]
     keys = ["_q_id", "_q_th", "_q_host"]
     # The words and windows of a text are worked out once; what follows reads these few columns.
     base = stored(base.select(*keep, *keys, *_BASE, "_q_print", "_q_parts"), "quality")
