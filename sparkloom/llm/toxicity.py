@@ -123,7 +123,9 @@ def fit(
     its twins (weight ``counterfactual``), l2 and l1. Without rows of both labels the score is
     the share of toxic rows (0.5 of none).
     """
-    sample = labelled.filter("label is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).cache()
+    sample = labelled.filter("label is not null").select("doc_id", "text", "label").cache()
+    if sample.count() > max_rows:  # the limit gathers the rows in one task, which their number bounds
+        sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).cache()
     names = select_features(sample, min_rows, min_z, max_features)
     groups = sorted({t for s in terms for t in s})
     index = {f: i for i, f in enumerate(dict.fromkeys([*names, *(f for t in groups for f in word_features(t))]))}
