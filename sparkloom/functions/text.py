@@ -11,6 +11,13 @@ from pyspark.sql import functions as F
 from ..schemas import EDGE_RANK
 
 
+# How citations, their placeholders and leaked labels are written.
+CITATION = r"\[([^\[\]\s:`]+\.[a-zA-Z0-9]+):(\d+)(?:-(\d+))?\]"
+QUOTED_CITATION = r"\[`([^\[\]\s:`]+\.[a-zA-Z0-9]+:\d+(?:-\d+)?)`\]"
+PLACEHOLDER = r"(?i)\[([^\[\]\s:`]+\.[a-zA-Z0-9]+):(?:start|end)(?:-(?:\d+|start|end))?\]"
+LEAKED_LABEL = r"\*{0,2}Paragraph\s+\d+(?:[–—-]\d+)?\s*[–—-]\s*\*{0,2}"
+
+
 def canonical_source(source: Column) -> Column:
     """Trim, lower, cut trailing slashes and .git, https for the known hosts, single slashes after the scheme."""
     s = F.regexp_replace(F.lower(F.trim(source)), "/+$", "")
@@ -75,16 +82,16 @@ def edge_rank(kind: Column) -> Column:
 
 
 def normalise_citations(answer: Column) -> Column:
-    return F.regexp_replace(answer, r"\[`([^\[\]\s:`]+\.[a-zA-Z0-9]+:\d+(?:-\d+)?)`\]", "[$1]")
+    return F.regexp_replace(answer, QUOTED_CITATION, "[$1]")
 
 
 def sanitize_citations(answer: Column) -> Column:
     """Without citations whose line numbers are placeholders."""
-    return F.regexp_replace(answer, r"(?i)\[([^\[\]\s:`]+\.[a-zA-Z0-9]+):(?:start|end)(?:-(?:\d+|start|end))?\]", "")
+    return F.regexp_replace(answer, PLACEHOLDER, "")
 
 
 def strip_leaked_labels(answer: Column) -> Column:
-    return F.regexp_replace(answer, r"\*{0,2}Paragraph\s+\d+(?:[–—-]\d+)?\s*[–—-]\s*\*{0,2}", "")
+    return F.regexp_replace(answer, LEAKED_LABEL, "")
 
 
 def progress_encode(message: Column, pct: Column) -> Column:

@@ -6,9 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import basename, last_dotted, normalise_citations
-
-CITATION = r"\[([^\[\]\s:`]+\.[a-zA-Z0-9]+):(\d+)(?:-(\d+))?\]"
+from ..functions.text import CITATION, basename, last_dotted, normalise_citations
 
 
 def parse(answers: DataFrame) -> DataFrame:
