@@ -4,13 +4,13 @@ A transcript is a sequence of parts (texts in order). The hidden state of a line
 speaker's role; a line shows its speaker marker, if any, whether it begins a paragraph,
 whether it asks, and its length. Start, transition and emission probabilities are
 counted over labelled parts in Spark; Viterbi recovers the roles of unlabelled ones, and
-runs of one role are rendered as canonical turns.
+runs of one role are rendered as canonical turns, part by part.
 
 Viterbi is a product of matrices over (max, +), so it splits anywhere: each part has a
 matrix of the best score for every role before it and at its end, worked out where the
-part lies. Conversations of more than ``PARTS`` parts are cut into spans whose products
-are worked out apart, so no task ever holds more of one conversation than a span, or one
-matrix per span.
+part lies. Conversations are cut into spans of ``PARTS`` part numbers whose products are
+worked out apart, and these into spans again, so no task holds more of one conversation
+than the matrices of a span.
 """
 
 from __future__ import annotations
@@ -146,58 +146,60 @@ def train(labelled: DataFrame) -> Model:
     return Model({(r["role"], r["o"]): r["count"] for r in emitted}, {(r["was"], r["role"], r["p"]): r["count"] for r in moved})
 
 
-def recover_roles(parts: DataFrame, model: Model) -> DataFrame:
-    """``parts`` (conv, part, text) with turns: array of (role, text, lines) in order.
+def _ends(rows: DataFrame, conv: str, at: str) -> DataFrame:
+    """``rows`` (conv, _k, at, _t, m) as (conv, _k, at, _t, before, after): the roles around each matrix.
 
-    Rows equal in all three are one part; parts that share a number come in the order of
-    a hash of the text. Null and empty texts have no turns; a null conv is one
-    conversation and a null part comes first; an empty table stays empty. Other columns
-    are left out, so their names cannot clash.
+    Where a conversation has several spans, the products of the spans go through the same
+    step first, so no task holds more than the matrices of one span at any level.
     """
-    shared = parts.sparkSession.sparkContext.broadcast(model)
-    df = parts.select("conv", "part", "text").withColumn("_t", F.xxhash64(F.coalesce("text", F.lit("\x00null")))).dropDuplicates(["conv", "part", "_t"])
-
-    def matrix(text: pd.Series) -> pd.Series:
-        return pd.Series([shared.value.matrix(lines_of(t)).ravel() for t in text])
-
-    matrix.__annotations__ = {"text": pd.Series, "return": pd.Series}
-    slim = df.withColumn("m", F.pandas_udf(matrix, "array<double>")("text")).withColumn("span", F.floor(F.coalesce("part", F.lit(0)) / PARTS))
-    slim = stored(slim.select("conv", "part", "_t", "span", "m"), "matrices")
-    kind = dict(slim.dtypes)
-    keys = f"conv {kind['conv']}, part {kind['part']}, _t long, before int, after int"
+    rows = stored(rows.withColumn("span", F.floor(F.coalesce("at", F.lit(0)) / PARTS)), "matrices")
+    keys = f"conv {conv}, _k long, at {at}, _t long, before int, after int"
 
     def inner(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["part", "_t"], na_position="first")
+        g = g.sort_values(["at", "_t"], na_position="first")
         known = "before" in g
         before = int(g["before"].iloc[0]) if known else _START
         ends = _states(_square(g["m"]), before, int(g["after"].iloc[0]) if known else None)
-        return pd.DataFrame({"conv": g["conv"], "part": g["part"], "_t": g["_t"], "before": [before, *ends[:-1]], "after": ends})
+        return pd.DataFrame({"conv": g["conv"], "_k": g["_k"], "at": g["at"], "_t": g["_t"], "before": [before, *ends[:-1]], "after": ends})
 
     def product(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["part", "_t"], na_position="first")
+        g = g.sort_values(["at", "_t"], na_position="first")
         mats = _square(g["m"])
         m = mats[0]
         for x in mats[1:]:
             m = _times(m, x)
-        return pd.DataFrame({"conv": g["conv"][:1], "span": g["span"][:1], "m": [m.ravel()]})
-
-    def around(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("span")
-        ends = _states(_square(g["m"]), _START, None)
-        return pd.DataFrame({"conv": g["conv"], "span": g["span"], "before": [_START, *ends[:-1]], "after": ends})
-
-    spans = slim.groupBy("conv").agg(F.min("span").alias("a"), F.max("span").alias("b"))
-    many = stored(spans.filter("a < b").select("conv"), "long")
-    if many.isEmpty():
-        found = slim.groupBy("conv").applyInPandas(inner, keys)
-    else:
-        same = F.col("x.conv").eqNullSafe(F.col("y.conv"))
-        short = slim.alias("x").join(many.alias("y"), same, "left_anti").groupBy("conv").applyInPandas(inner, keys)
-        long = slim.alias("x").join(many.alias("y"), same, "left_semi")
-        tops = long.groupBy("conv", "span").applyInPandas(product, f"conv {kind['conv']}, span long, m array<double>")
-        known = tops.groupBy("conv").applyInPandas(around, f"conv {kind['conv']}, span long, before int, after int")
-        long = long.alias("x").join(known.alias("y"), same & (F.col("x.span") == F.col("y.span"))).select("x.*", "y.before", "y.after")
-        found = short.unionByName(long.groupBy("conv", "span").applyInPandas(inner, keys))
+        return pd.DataFrame({"conv": g["conv"][:1], "_k": g["_k"][:1], "at": g["span"][:1], "_t": [0], "m": [m.ravel()]})
+
+    spans = rows.groupBy("conv", "_k").agg(F.min("span").alias("a"), F.max("span").alias("b"))
+    if spans.filter("a < b").isEmpty():
+        return rows.groupBy("conv", "_k").applyInPandas(inner, keys)
+    tops = rows.groupBy("conv", "_k", "span").applyInPandas(product, f"conv {conv}, _k long, at long, _t long, m array<double>")
+    known = _ends(tops, conv, "long")
+    same = F.col("x.conv").eqNullSafe(F.col("y.conv")) & (F.col("x._k") == F.col("y._k")) & (F.col("x.span") == F.col("y.at"))
+    within = rows.alias("x").join(known.alias("y"), same).select("x.*", "y.before", "y.after")
+    return within.groupBy("conv", "_k", "span").applyInPandas(inner, keys)
+
+
+def recover_roles(parts: DataFrame, model: Model) -> DataFrame:
+    """``parts`` (conv, part, text) with follows, the role before the part (null at the start
+    of a conversation), and turns: array of (role, text, lines) in order.
+
+    Rows equal in all three are one part; parts that share a number come in the order of
+    a hash of the text. Null and empty texts have no turns; a part without conv is a
+    conversation of its own, and a null part comes first; an empty table stays empty.
+    Other columns are left out, so their names cannot clash.
+    """
+    shared = parts.sparkSession.sparkContext.broadcast(model)
+    df = parts.select("conv", "part", "text").withColumn("_t", F.xxhash64(F.coalesce("text", F.lit("\x00null")))).dropDuplicates(["conv", "part", "_t"])
+    df = df.withColumn("_k", F.when(F.col("conv").isNull(), F.xxhash64("part", "_t")).otherwise(F.lit(0)))
+
+    def matrix(text: pd.Series) -> pd.Series:
+        return pd.Series([shared.value.matrix(lines_of(t)).ravel() for t in text])
+
+    matrix.__annotations__ = {"text": pd.Series, "return": pd.Series}
+    kind = dict(df.dtypes)
+    slim = df.select("conv", "_k", F.col("part").alias("at"), "_t", F.pandas_udf(matrix, "array<double>")("text").alias("m"))
+    found = _ends(slim, kind["conv"], kind["part"])
 
     def turns(text: pd.Series, before: pd.Series, after: pd.Series) -> pd.Series:
         out = []
@@ -214,27 +216,30 @@ def recover_roles(parts: DataFrame, model: Model) -> DataFrame:
         return pd.Series(out)
 
     turns.__annotations__ = {"text": pd.Series, "before": pd.Series, "after": pd.Series, "return": pd.Series}
-    on = F.col("x.conv").eqNullSafe(F.col("y.conv")) & F.col("x.part").eqNullSafe(F.col("y.part")) & (F.col("x._t") == F.col("y._t"))
-    both = df.alias("x").join(found.alias("y"), on).select("x.conv", "x.part", "x._t", "x.text", "y.before", "y.after")
+    on = F.col("x.conv").eqNullSafe(F.col("y.conv")) & (F.col("x._k") == F.col("y._k")) & F.col("x.part").eqNullSafe(F.col("y.at")) & (F.col("x._t") == F.col("y._t"))
+    both = df.alias("x").join(found.alias("y"), on).select("x.conv", "x.part", "x.text", "y.before", "y.after")
     made = F.pandas_udf(turns, "array<struct<role:string,text:string,lines:int>>")("text", "before", "after")
-    return both.select("conv", "part", "text", made.alias("turns"))
-
-
-def render(parsed: DataFrame) -> DataFrame:
-    """One row per conversation: n_turns, n_lines and chat, its turns as ``<|role|>`` and the
-    text after it. Neighbouring turns of one role are one turn."""
-    one = F.array_sort(F.collect_list(F.struct("part", F.xxhash64(F.coalesce("text", F.lit("\x00null"))).alias("t"), "turns")))
-    df = parsed.groupBy("conv").agg(one.alias("_p"))
-    flat = F.flatten(F.transform("_p", lambda x: x["turns"]))
-    df = df.withColumn("_f", flat)
-    begins = F.transform("_f", lambda x, i: (i == 0) | (F.get("_f", i - 1)["role"] != x["role"]))
-    df = df.withColumn("_b", begins)
-    said = F.transform("_f", lambda x, i: F.concat(
-        F.when(F.get("_b", i), F.concat(F.when(i > 0, "\n").otherwise(""), F.lit("<|"), x["role"], F.lit("|>\n"))).otherwise(F.lit("\n")), x["text"],
+    follows = F.get(F.array(*map(F.lit, ROLES)), F.col("before"))
+    return both.select("conv", "part", "text", follows.alias("follows"), made.alias("turns"))
+
+
+def render(parsed: DataFrame, *others: str) -> DataFrame:
+    """One row per part: n_turns that begin in it, n_lines, and chat, its piece of the
+    conversation's canonical form.
+
+    The pieces of a conversation in order, put together without anything between them,
+    are its turns as ``<|role|>`` and the text after it; neighbouring turns of one role
+    are one turn, across parts too. What came before is in ``follows``, so no row moves
+    and no conversation has to fit one row. ``others`` are columns to keep.
+    """
+    begins = lambda x, i: (i > 0) | F.col("follows").isNull() | (F.col("follows") != x["role"])
+    said = F.transform("turns", lambda x, i: F.concat(
+        F.when((i > 0) | F.col("follows").isNotNull(), "\n").otherwise(""),
+        F.when(begins(x, i), F.concat(F.lit("<|"), x["role"], F.lit("|>\n"))).otherwise(""), x["text"],
     ))
-    return df.select(
-        "conv", F.size(F.filter("_b", lambda b: b)).cast("long").alias("n_turns"),
-        F.aggregate("_f", F.lit(0).cast("long"), lambda a, x: a + x["lines"]).alias("n_lines"), F.array_join(said, "").alias("chat"),
+    return parsed.select(
+        "conv", "part", F.size(F.filter("turns", begins)).cast("long").alias("n_turns"),
+        F.aggregate("turns", F.lit(0).cast("long"), lambda a, x: a + x["lines"]).alias("n_lines"), F.array_join(said, "").alias("chat"), *others,
     )
 
 
@@ -255,12 +260,14 @@ def transcripts(conversations: DataFrame) -> DataFrame:
 
 
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per conversation: turns, lines, lines whose recovered role is the true one, and the rendered chat."""
+    """Per part of a conversation: whether its role was held out from training (conv_id a
+    multiple of five), turns begun, lines, lines whose recovered role is the true one, and
+    its piece of the chat."""
     parts = transcripts(table(spark, sf_dir, "conversations"))
-    model = train(parts)
-    parsed = stored(recover_roles(parts, model), "parsed")
+    held_out = F.coalesce(F.pmod(F.col("conv"), F.lit(5)) == 0, F.lit(False))
+    parsed = recover_roles(parts, train(parts.filter(~held_out)))
     truth = parts.groupBy("conv", "part").agg(F.max("role").alias("role"))
-    lines = parsed.select("conv", "part", F.explode("turns").alias("t")).join(truth, ["conv", "part"])
-    right = lines.groupBy("conv").agg(F.sum(F.when(F.col("t.role") == F.col("role"), F.col("t.lines")).otherwise(0)).alias("n_right"))
-    out = render(parsed).join(right, "conv", "left")
-    return out.select(F.col("conv").alias("conv_id"), "n_turns", "n_lines", F.coalesce("n_right", F.lit(0)).cast("long").alias("n_right"), "chat")
+    same = F.col("p.conv").eqNullSafe(F.col("r.conv")) & F.col("p.part").eqNullSafe(F.col("r.part"))
+    right = F.aggregate("p.turns", F.lit(0).cast("long"), lambda a, x: a + F.when(x["role"] == F.col("r.role"), x["lines"]).otherwise(0))
+    pieces = render(parsed.alias("p").join(truth.alias("r"), same, "left").select("p.*", right.alias("n_right")), "n_right")
+    return pieces.select(F.col("conv").alias("conv_id"), F.col("part").alias("turn"), held_out.alias("held_out"), "n_turns", "n_lines", "n_right", "chat")

@@ -148,9 +148,16 @@ def test_chat_edges(spark):
     model = chat.Model({("user", "user|0|0"): 500, ("assistant", "ai|0|0"): 500, ("assistant", "|0|0"): 90}, {("", "user", 1): 300, ("user", "assistant", 1): 300, ("assistant", "user", 1): 300, ("assistant", "assistant", 0): 90})
     rows = [(1, 0, "User: hi\n\nAI: yes\nmore\nUser: ok"), (1, 1, None), (None, 0, "User: alone"), (2, 0, ""), (1, 0, "User: hi\n\nAI: yes\nmore\nUser: ok")]
     parsed = chat.recover_roles(spark.createDataFrame(rows, "conv long, part long, text string"), model)
-    by = {r["conv"]: r for r in chat.render(parsed).collect()}
-    assert by[1]["chat"] == "<|user|>\nhi\n<|assistant|>\nyes\nmore\n<|user|>\nok" and by[1]["n_turns"] == 3 and by[1]["n_lines"] == 4
-    assert by[None]["chat"] == "<|user|>\nalone" and by[2]["n_turns"] == 0
+    by = {(r["conv"], r["part"]): r for r in chat.render(parsed).collect()}
+    assert len(by) == 4
+    assert by[1, 0]["chat"] == "<|user|>\nhi\n<|assistant|>\nyes\nmore\n<|user|>\nok" and by[1, 0]["n_turns"] == 3 and by[1, 0]["n_lines"] == 4
+    assert by[None, 0]["chat"] == "<|user|>\nalone" and by[2, 0]["n_turns"] == 0 and by[1, 1]["chat"] == ""
+    more = [(1, 0, "User: hi"), (1, 1, ""), (1, 2, "User: there\n\nAI: yes"), (1, 3, "AI: more"), (None, 0, "User: a"), (None, 1, "User: b")]
+    same = {(r, r, 1): 300 for r in ("user", "assistant")} | {("", "user", 1): 300, ("user", "assistant", 1): 300, ("assistant", "user", 1): 300}
+    model = chat.Model({("user", "user|0|0"): 500, ("assistant", "ai|0|0"): 500}, same)
+    pieces = chat.render(chat.recover_roles(spark.createDataFrame(more, "conv long, part long, text string"), model)).orderBy("conv", "part").collect()
+    assert "".join(r["chat"] for r in pieces[2:]) == "<|user|>\nhi\nthere\n<|assistant|>\nyes\nmore"
+    assert [r["n_turns"] for r in pieces] == [1, 1, 1, 0, 1, 0]  # parts without a conversation stand alone
     assert chat.render(chat.recover_roles(spark.createDataFrame([], "conv long, part long, text string"), model)).collect() == []
 
 
