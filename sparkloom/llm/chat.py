@@ -16,6 +16,7 @@ than the matrices of a span.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import stored, table
 
 ROLES = ("assistant", "system", "user")
-PARTS = 4096
+PARTS = 1024
 _START = len(ROLES)
 _MARK = re.compile(
     r"^\s*(?:[>*#_\[(<|]+\s*)*(user|human|customer|client|q|question|me|you|assistant|ai|bot|model|agent|support|a|answer|gpt|system|sys|instruction|instructions)"
@@ -126,8 +127,22 @@ def _states(mats: list[np.ndarray], before: int, after: int | None) -> list[int]
     return out[::-1]
 
 
-def _square(rows: pd.Series) -> list[np.ndarray]:
-    return [np.asarray(m, dtype=float).reshape(_START + 1, _START + 1) for m in rows]
+def _square(flat: np.ndarray) -> np.ndarray:
+    return np.asarray(flat, dtype=float).reshape(-1, _START + 1, _START + 1)
+
+
+def _product(flat: pd.Series) -> pd.Series:
+    """Of each row's matrices."""
+    return pd.Series([reduce(_times, _square(m)).ravel() for m in flat])
+
+
+def _around(flat: pd.Series, before: pd.Series, after: pd.Series) -> pd.Series:
+    """Roles at the ends of each row's matrices; without ``after``, the best last role."""
+    return pd.Series([_states(list(_square(m)), int(b), None if pd.isna(a) else int(a)) for m, b, a in zip(flat, before, after)])
+
+
+_product.__annotations__ = {"flat": pd.Series, "return": pd.Series}
+_around.__annotations__ = {"flat": pd.Series, "before": pd.Series, "after": pd.Series, "return": pd.Series}
 
 
 def train(labelled: DataFrame) -> Model:
@@ -146,38 +161,27 @@ def train(labelled: DataFrame) -> Model:
     return Model({(r["role"], r["o"]): r["count"] for r in emitted}, {(r["was"], r["role"], r["p"]): r["count"] for r in moved})
 
 
-def _ends(rows: DataFrame, conv: str, at: str) -> DataFrame:
+def _ends(rows: DataFrame) -> DataFrame:
     """``rows`` (conv, _k, at, _t, m) as (conv, _k, at, _t, before, after): the roles around each matrix.
 
     Where a conversation has several spans, the products of the spans go through the same
-    step first, so no task holds more than the matrices of one span at any level.
+    step first, so no row holds more than the matrices of one span at any level.
     """
-    rows = stored(rows.withColumn("span", F.floor(F.coalesce("at", F.lit(0)) / PARTS)), "matrices")
-    keys = f"conv {conv}, _k long, at {at}, _t long, before int, after int"
-
-    def inner(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["at", "_t"], na_position="first")
-        known = "before" in g
-        before = int(g["before"].iloc[0]) if known else _START
-        ends = _states(_square(g["m"]), before, int(g["after"].iloc[0]) if known else None)
-        return pd.DataFrame({"conv": g["conv"], "_k": g["_k"], "at": g["at"], "_t": g["_t"], "before": [before, *ends[:-1]], "after": ends})
-
-    def product(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["at", "_t"], na_position="first")
-        mats = _square(g["m"])
-        m = mats[0]
-        for x in mats[1:]:
-            m = _times(m, x)
-        return pd.DataFrame({"conv": g["conv"][:1], "_k": g["_k"][:1], "at": g["span"][:1], "_t": [0], "m": [m.ravel()]})
-
-    spans = rows.groupBy("conv", "_k").agg(F.min("span").alias("a"), F.max("span").alias("b"))
-    if spans.filter("a < b").isEmpty():
-        return rows.groupBy("conv", "_k").applyInPandas(inner, keys)
-    tops = rows.groupBy("conv", "_k", "span").applyInPandas(product, f"conv {conv}, _k long, at long, _t long, m array<double>")
-    known = _ends(tops, conv, "long")
-    same = F.col("x.conv").eqNullSafe(F.col("y.conv")) & (F.col("x._k") == F.col("y._k")) & (F.col("x.span") == F.col("y.at"))
-    within = rows.alias("x").join(known.alias("y"), same).select("x.*", "y.before", "y.after")
-    return within.groupBy("conv", "_k", "span").applyInPandas(inner, keys)
+    span = F.floor(F.coalesce("at", F.lit(0)) / PARTS).alias("span")
+    each = F.array_sort(F.collect_list(F.struct("at", "_t", "m"))).alias("p")
+    spans = rows.groupBy("conv", "_k", span).agg(each)
+    spans = stored(spans.select("conv", "_k", "span", "p.at", "p._t", F.flatten("p.m").alias("m")), "spans")
+    counts = spans.groupBy("conv", "_k").agg(F.min("span").alias("a"), F.max("span").alias("b"))
+    if counts.filter("a < b").isEmpty():
+        known = spans.withColumn("before", F.lit(_START)).withColumn("after", F.lit(None).cast("int"))
+    else:
+        tops = spans.select("conv", "_k", F.col("span").alias("at"), F.lit(0).cast("long").alias("_t"), F.pandas_udf(_product, "array<double>")("m").alias("m"))
+        same = F.col("x.conv").eqNullSafe(F.col("y.conv")) & (F.col("x._k") == F.col("y._k")) & (F.col("x.span") == F.col("y.at"))
+        known = spans.alias("x").join(_ends(tops).alias("y"), same).select("x.*", "y.before", "y.after")
+    after = F.pandas_udf(_around, "array<int>")("m", "before", "after")
+    zipped = known.select("conv", "_k", "at", "_t", "before", after.alias("after"))
+    before = F.concat(F.array("before"), F.slice("after", 1, F.size("after") - 1)).alias("before")
+    return zipped.select("conv", "_k", F.explode(F.arrays_zip("at", "_t", before, "after")).alias("e")).select("conv", "_k", "e.*")
 
 
 def recover_roles(parts: DataFrame, model: Model) -> DataFrame:
@@ -197,9 +201,8 @@ def recover_roles(parts: DataFrame, model: Model) -> DataFrame:
         return pd.Series([shared.value.matrix(lines_of(t)).ravel() for t in text])
 
     matrix.__annotations__ = {"text": pd.Series, "return": pd.Series}
-    kind = dict(df.dtypes)
     slim = df.select("conv", "_k", F.col("part").alias("at"), "_t", F.pandas_udf(matrix, "array<double>")("text").alias("m"))
-    found = _ends(slim, kind["conv"], kind["part"])
+    found = _ends(slim)
 
     def turns(text: pd.Series, before: pd.Series, after: pd.Series) -> pd.Series:
         out = []
