@@ -125,6 +125,15 @@ def test_toxicity_and_counterfactuals(spark):
     assert toxicity.score(df.limit(0), none).collect() == []
 
 
+def plain_viterbi(model, texts):
+    """Role of every line of a conversation, in one piece and in plain Python."""
+    best, k = {chat._START: (0.0, [])}, len(chat.ROLES)
+    for shown, p, _ in [x for t in texts for x in chat.lines_of(t)]:
+        e = model.emit(shown)
+        best = {b: max(((v + model.move[p][a][b] + e[b], path + [chat.ROLES[b]]) for a, (v, path) in best.items()), key=lambda x: x[0]) for b in range(k)}
+    return max(best.values(), key=lambda x: x[0])[1]
+
+
 def test_chat_splits_anywhere(spark, monkeypatch):
     rng = random.Random(4)
     rows = []
@@ -139,6 +148,12 @@ def test_chat_splits_anywhere(spark, monkeypatch):
     whole = key(chat.recover_roles(parts, model))
     monkeypatch.setattr(chat, "PARTS", 3)
     assert key(chat.recover_roles(parts, model)) == whole
+    said, lines = collections.defaultdict(list), collections.defaultdict(list)
+    for r in sorted(parts.collect(), key=lambda r: (r["conv"], r["part"])):
+        said[r["conv"]].append(r["text"])
+    for r in sorted(chat.recover_roles(parts, model).collect(), key=lambda r: (r["conv"], r["part"])):
+        lines[r["conv"]] += [t["role"] for t in r["turns"] for _ in range(t["lines"])]
+    assert all(lines[c] == plain_viterbi(model, texts) for c, texts in said.items())
     truth = {(c, p): r for c, p, r, _ in rows}
     right = [t["role"] == truth[(r["conv"], r["part"])] for r in chat.recover_roles(parts, model).collect() for t in r["turns"]]
     assert sum(right) >= 0.9 * len(right)
