@@ -6,10 +6,12 @@ them are rejected.
 
 Copies of a document are not distinct documents: were they counted one by one, every
 group of copies would turn its own text into boilerplate and be rejected as a whole.
-So documents are counted by a fingerprint, the least hash of their five-word windows,
-which near copies mostly share, and a line's count is the effective number of
-fingerprints, the exponential of their entropy: near the number of documents for lines
-that unrelated documents share, and near one for lines of copies.
+So each class of copies counts once, told by a signature that leaves out what many
+documents hold. Each line has a sketch, the least hashes of its windows. A line is
+shared if its sketch meets hashes that more than ``min_docs`` documents hold, as lines
+of boilerplate, of large groups of copies and edited ones of both do. The signature is
+the least hash of the lines that are not shared; a document with next to no such words
+takes the least of its rarest shared hashes, which copies of one group agree on.
 """
 
 from __future__ import annotations
@@ -19,6 +21,9 @@ from pyspark.sql import functions as F
 
 from .common import NO_ID, NOT_WS, WS, stored, table, words
 
+#: Hashes of a line's sketch, and the words outside of shared lines that make a document's own signature.
+SKETCH = 8
+OWN_WORDS = 8
 SYMBOLS = r"[^#*$%&|<>]+"
 
 
@@ -56,7 +61,6 @@ def base_counts(docs: DataFrame, text_col: str) -> DataFrame:
         "n_symbols": F.length(F.regexp_replace(text, SYMBOLS, "")).cast("long"),
         "n_dup_lines": (F.size("_q_lines") - F.size(F.array_distinct("_q_lines"))).cast("long"),
         "n_repeat_words": F.coalesce(covered, F.lit(0)).cast("long"),
-        "_q_print": F.coalesce(F.array_min("_q_win"), F.xxhash64(F.array_join("_q_words", " "))),
     })
 
 
@@ -64,6 +68,43 @@ def _norm(line: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(line, f"{WS}+", " ")))
 
 
+def _sketch(hashes: Column) -> Column:
+    """The least hashes of a line's windows: of five words, or of three in lines under twenty; of all words below three."""
+    n = F.when(F.size(hashes) >= 20, 5).otherwise(3)
+    window = lambda i: F.when(n == 5, F.xxhash64(*[F.get(hashes, i + k) for k in range(5)])).otherwise(F.xxhash64(*[F.get(hashes, i + k) for k in range(3)]))
+    found = F.when(F.size(hashes) >= 3, F.transform(F.sequence(F.lit(0), F.size(hashes) - n), window)).otherwise(F.array(F.xxhash64(hashes)))
+    return F.slice(F.sort_array(F.array_distinct(found)), 1, SKETCH)
+
+
+def _signatures(base: DataFrame, held: DataFrame, min_docs: int) -> DataFrame:
+    """_q_d and _q_print of each document that holds one of the lines ``held`` (_q_host, _q_h, _q_n, _q_s)."""
+    lines = base.select("_q_d", "_q_host", F.posexplode("_q_parts").alias("_q_i", "_q_p"))
+    lines = lines.select("_q_d", "_q_host", "_q_i", F.col("_q_p.h").alias("_q_h"), F.col("_q_p.w").alias("_q_w"), F.col("_q_p.s").alias("_q_s"))
+    of_held = stored(lines.select("_q_d", "_q_host", "_q_h").join(held.select("_q_host", "_q_h"), ["_q_host", "_q_h"]).distinct(), "quality_held")
+    docs = of_held.select("_q_d").distinct()
+    # Shuffled at every size, as it must be at large ones.
+    own = lines.join(docs.hint("merge"), "_q_d", "left_semi").join(held.select("_q_host", "_q_h"), ["_q_host", "_q_h"], "left_anti")
+    own = stored(own.select("_q_d", "_q_host", "_q_i", "_q_w", "_q_s"), "quality_rest")
+    hashes = own.select("_q_host", F.explode("_q_s").alias("_q_v"), F.lit(1).cast("long").alias("n"))
+    hashes = hashes.unionByName(held.select("_q_host", F.explode("_q_s").alias("_q_v"), F.col("_q_n").alias("n")))
+    # Counts by powers of four, so that copies with edits at different places agree on which are rarest.
+    level = F.floor(F.log2(F.col("n")) / 2).cast("int").alias("_q_level")
+    shared = hashes.groupBy("_q_host", "_q_v").agg(F.sum("n").alias("n")).filter(F.col("n") > min_docs).select("_q_host", "_q_v", level)
+    shared = stored(shared, "quality_shared")
+    rare = F.struct(F.col("_q_level").alias("l"), F.col("_q_v").alias("v"))
+    met = own.select("_q_d", "_q_host", "_q_i", F.explode("_q_s").alias("_q_v")).join(shared, ["_q_host", "_q_v"])
+    met = met.groupBy("_q_d", "_q_i").agg(F.count("*").alias("n"), F.min(rare).alias("rare"))
+    own = own.select("_q_d", "_q_i", "_q_w", F.size("_q_s").alias("size"), F.array_min("_q_s").alias("v")).join(met, ["_q_d", "_q_i"], "left")
+    # Three words may well meet by chance, so one such hash is not enough.
+    free = F.coalesce(F.col("n"), F.lit(0)) < F.when(F.col("_q_w") >= 20, 1).otherwise(F.least(F.lit(2), F.col("size")))
+    own = own.select("_q_d", F.when(free, F.col("_q_w")).alias("w"), F.when(free, F.col("v")).alias("v"), "rare")
+    rarest = held.select("_q_host", "_q_h", F.explode("_q_s").alias("_q_v")).join(shared, ["_q_host", "_q_v"]).groupBy("_q_host", "_q_h").agg(F.min(rare).alias("rare"))
+    none = F.lit(None).cast("long")
+    every = own.unionByName(of_held.join(rarest, ["_q_host", "_q_h"]).select("_q_d", none.cast("int").alias("w"), none.alias("v"), "rare"))
+    out = every.groupBy("_q_d").agg(F.sum("w").alias("w"), F.min("v").alias("v"), F.min("rare").alias("rare"))
+    return of_held.join(out.select("_q_d", F.when(F.col("w") >= OWN_WORDS, F.col("v")).otherwise(F.col("rare.v")).alias("_q_print")), "_q_d")
+
+
 def quality_rules(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -81,7 +122,7 @@ def quality_rules(
     base_failed, n_frequent_words and kept; with ``clean``, also clean_text, the text
     without its frequent lines; without ``with_text``, the text itself is left out.
 
-    A line is frequent in a host if more distinct documents hold it than ``min_docs``
+    A line is frequent in a host if more classes of copies hold it than ``min_docs``
     and than ``max_doc_share`` of the host's rows. A document is rejected if it has
     fewer than ``min_words`` words, if over ``max_repeat`` percent of its words lie in
     repeated windows, or if over ``max_removed`` of the words of its distinct lines, or
@@ -102,24 +143,30 @@ def quality_rules(
         "base_failed",
         (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words")),
     )
-    # Each distinct normalised line of a document once, with its words.
-    part = lambda x: F.struct(F.xxhash64(_norm(x)).alias("h"), F.size(words(x)).alias("w"))
-    base = base.withColumn("_q_parts", F.array_distinct(F.transform("_q_lines", part)))
+    # Each distinct normalised line of a document once, with its words and its sketch.
+    hashed = F.transform(F.transform("_q_lines", _norm), lambda x: F.struct(F.xxhash64(x).alias("h"), F.transform(words(x), lambda w: F.xxhash64(w)).alias("x")))
+    part = lambda p: F.struct(p["h"].alias("h"), F.size(p["x"]).alias("w"), _sketch(p["x"]).alias("s"))
+    base = base.withColumn("_q_parts", F.array_distinct(F.transform(hashed, part)))
+    base = base.withColumn("_q_d", F.xxhash64("_q_id", "_q_th", "_q_host"))
     keep = [c for c in docs.columns if c.lower() not in _MADE and (with_text or clean or c != text_col)]
     keys = ["_q_id", "_q_th", "_q_host"]
     # The words and windows of a text are worked out once; what follows reads these few columns.
-    base = stored(base.select(*keep, *keys, *_BASE, "_q_print", "_q_parts"), "quality")
-    lines = base.select(*keys, "_q_print", F.explode("_q_parts").alias("_q_line"))
-    lines = lines.select(*keys, "_q_print", F.col("_q_line.h").alias("_q_h"), F.col("_q_line.w").alias("_q_w"))
-    per_print = lines.groupBy("_q_host", "_q_h", "_q_print").agg(F.count("*").alias("n"))
-    n = F.col("n").cast("double")
-    effective = F.sum(n) / F.exp(F.sum(n * F.log(n)) / F.sum(n))
-    held = per_print.groupBy("_q_host", "_q_h").agg(effective.alias("_q_docs"))
-    held = held.filter(F.col("_q_docs") > min_docs)
+    base = stored(base.select(*keep, *keys, *_BASE, "_q_d", "_q_parts"), "quality")
+    lines = base.select(*keys, F.explode("_q_parts").alias("_q_line"))
+    lines = lines.select(*keys, F.col("_q_line.h").alias("_q_h"), F.col("_q_line.w").alias("_q_w"), F.col("_q_line.s").alias("_q_s"))
     hosts = base.groupBy("_q_host").agg((F.count("*") * F.lit(float(max_doc_share))).alias("_q_limit"))
-    frequent = held.join(hosts, "_q_host").filter(F.col("_q_docs") > F.col("_q_limit")).select("_q_host", "_q_h")
+    # Only lines that enough rows hold can be frequent; of these, classes of copies are counted.
+    held = lines.groupBy("_q_host", "_q_h").agg(F.count("*").alias("_q_n")).filter(F.col("_q_n") > min_docs)
+    held = held.join(hosts, "_q_host").filter(F.col("_q_n") > F.col("_q_limit")).drop("_q_limit")
+    held = stored(held, "quality_lines")
+    # The sketch is the line's, so that of any one row does.
+    sketches = lines.select("_q_host", "_q_h", "_q_s").join(held, ["_q_host", "_q_h"]).groupBy("_q_host", "_q_h", "_q_n").agg(F.min("_q_s").alias("_q_s"))
+    classes = _signatures(base, stored(sketches, "quality_lines"), min_docs).select("_q_host", "_q_h", "_q_print").distinct()
+    counted = classes.groupBy("_q_host", "_q_h").agg(F.count("*").alias("_q_docs")).filter(F.col("_q_docs") > min_docs)
+    frequent = counted.join(hosts, "_q_host").filter(F.col("_q_docs") > F.col("_q_limit")).select("_q_host", "_q_h")
+    frequent = stored(frequent, "quality_frequent")  # a shuffle of its own then, so that hot lines can be split
     # Only rows of frequent lines come out; Spark broadcasts them if they are few.
-    lost = lines.join(frequent, ["_q_host", "_q_h"])
+    lost = lines.drop("_q_s").join(frequent, ["_q_host", "_q_h"])
     per_doc = lost.select("_q_id", "_q_th", "_q_host", "_q_h", "_q_w").distinct().groupBy("_q_id", "_q_th", "_q_host").agg(
         F.sum("_q_w").alias("n_frequent_words"), *([F.collect_set("_q_h").alias("_q_gone")] if clean else [])
     )

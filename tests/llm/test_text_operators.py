@@ -56,6 +56,25 @@ def test_quality_frequent_lines(spark):
     assert quality.quality_rules(df.limit(0)).collect() == []
 
 
+def test_quality_counts_classes_of_copies(spark):
+    rng = random.Random(6)
+    bars = _texts(4, rng, 25)
+    rows = [(i, "\n".join([*bars[:2], _texts(1, rng, 10)[0], *bars[2:]]), "a") for i in range(1000)]  # 90 % shared
+    line = "a line of the site that copies and other documents hold"
+    copy = "\n".join([*_texts(2, rng), line])
+    rows += [(2000 + i, copy, "b") for i in range(3000)] + [(6000 + i, t + "\n" + line, "b") for i, t in enumerate(_texts(100, rng))]
+    near = [x.split() for x in _texts(6, rng, 30)]
+    for i in range(1500):
+        lines = [list(x) for x in near]
+        for k in range(6):
+            lines[rng.randrange(6)][rng.randrange(30)] = f"edit{i}_{k}"
+        rows.append((8000 + i, "\n".join(map(" ".join, lines)), "c"))
+    by = {r["doc_id"]: r for r in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string"), clean=True).collect()}
+    assert not any(by[i]["kept"] or by[i]["n_frequent_words"] < 100 for i in range(1000))
+    assert all(by[i]["kept"] and by[i]["n_frequent_words"] == 11 and line not in by[i]["clean_text"] for i in [*range(2000, 5000), *range(6000, 6100)])
+    assert all(by[8000 + i]["kept"] and by[8000 + i]["n_frequent_words"] == 0 for i in range(1500))
+
+
 def brute_dedup(rows):
     seen, out = set(), []
     for i, t in sorted(set(rows)):
