@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import n_words, stored, table
-from sparkloom.llm.jaccard import jaccard_components
+from sparkloom.llm.common import n_words, row_id, stored, table
+from sparkloom.llm.jaccard import labelled_rows
 from sparkloom.llm.line_dedup import line_dedup
 from sparkloom.llm.mixing import mix
 from sparkloom.llm.packing import pack
@@ -38,10 +38,16 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component, the document with the least id stays; so do documents without words."""
-    found = jaccard_components(docs).filter("component_id is null or doc_id > component_id")
-    gone = found.filter("doc_id is not null").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of each component, one row stays: the least by id, then by hash of the text. So do documents without words."""
+    found = stored(labelled_rows(docs, "doc_id", "text", 5, 80).filter("n > 0").select("label", "_id", "_th"), "components")
+    rows = found.groupBy("label", "_id", "_th").count()
+    least = rows.groupBy("label").agg(F.min(F.struct("_id", "_th")).alias("_least"))
+    rows = stored(rows.join(least, "label").select("_id", "_th", (F.struct("_id", "_th") == F.col("_least")).alias("_stays"), "count"), "stays")
+    keyed = docs.select("*", *row_id())
+    # Rows that are repeated whole are the only ones that meet.
+    once = keyed.join(rows.filter("not _stays or count > 1").select("_id", "_th"), ["_id", "_th"], "left_anti")
+    again = keyed.join(rows.filter("_stays and count > 1").select("_id", "_th"), ["_id", "_th"], "left_semi")
+    return once.unionByName(again.dropDuplicates(["_id", "_th"])).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import NO_ID, stored, table
+from .common import NO_ID, row_id, stored, table
 
 #: Broadcast sides have at most this many rows of two or three longs; beyond, they are shuffled.
 BROADCAST_ROWS = 400_000
@@ -80,21 +80,21 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
 
 
 def _features(docs: DataFrame, n: int, percent: int, whole: bool) -> DataFrame:
-    """_id, node, n and low: the least hashes of the set, all of them with ``whole``."""
+    """_id, _th, node, n and low: the least hashes of the set, all of them with ``whole``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, len(batch), 512):
                 b = batch.slice(lo, 512)
-                sets = [shingles(t, n) for t in b.column(1).to_pylist()]
+                sets = [shingles(t, n) for t in b.column(2).to_pylist()]
                 size = np.array([len(s) for s in sets], dtype=np.int64)
                 take = size if whole else np.minimum(size, prefix_len(size, percent) * 3 // 2 + 8)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), pa.array([node_of(s) for s in sets], pa.int64()), pa.array(size), _lists([s[:k] for s, k in zip(sets, take)])],
-                    names=["_id", "node", "n", "low"],
+                    [b.column(0), b.column(1), pa.array([node_of(s) for s in sets], pa.int64()), pa.array(size), _lists([s[:k] for s, k in zip(sets, take)])],
+                    names=["_id", "_th", "node", "n", "low"],
                 )
 
-    return docs.select("_id", "text").mapInArrow(run, "_id long, node long, n long, low array<long>")
+    return docs.select("_id", "_th", "text").mapInArrow(run, "_id long, _th long, node long, n long, low array<long>")
 
 
 _ENTRY = ["s", "node", "n", "k", "q", "h", "f"]
@@ -377,8 +377,16 @@ def jaccard_components(
     document each, and take the least id of their own component. Other columns are not
     read, so their names cannot clash; an empty table gives no rows.
     """
-    named = docs.select(F.col(id_col).alias("_given"), F.col(text_col).alias("text"))
-    named = named.withColumn("_id", F.coalesce(F.col("_given").cast("long"), F.lit(NO_ID)))
+    found = labelled_rows(docs, id_col, text_col, n, percent, long_column)
+    null = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
+    return found.select(null("_id").alias(id_col), F.col("n").alias("n_shingles"), null("component").alias("component_id"))
+
+
+def labelled_rows(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, long_column: int = 32) -> DataFrame:
+    """What jaccard_components gives, as _id and _th of common.row_id, n, component and
+    label; unlike component, label differs between components that have their least id
+    in common. It is null for empty sets."""
+    named = docs.select(*row_id(id_col, text_col), F.col(text_col).alias("text"))
     feats = stored(_features(named, n, percent, False), "features")
     full = feats.filter("n > 0")
     names = stored(full.groupBy("node").agg(F.min("_id").alias("_id"), F.count("*").alias("copies")), "nodes")
@@ -454,11 +462,9 @@ def jaccard_components(
 
     comp = names.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = comp.groupBy("label").agg(F.min("_id").alias("component"))
-    of = comp.join(least, "label").select("node", "component")
-    out = feats.select("_id", "node", "n").join(of, "node", "left")
-    out = out.withColumn("component", F.coalesce("component", "_id"))
-    null = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    return out.select(null("_id").alias(id_col), F.col("n").alias("n_shingles"), null("component").alias("component_id"))
+    of = comp.join(least, "label").select("node", "label", "component")
+    out = feats.select("_id", "_th", "node", "n").join(of, "node", "left")
+    return out.select("_id", "_th", "n", F.coalesce("component", "_id").alias("component"), "label")
 
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -175,3 +175,20 @@ def test_pipeline_stages(spark):
     assert abs(words - 20 * 60) <= 3 * 60
     out = corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()
     assert len(out) == docs.count() and {r["doc_id"] for r in out} <= set(range(20))
+
+
+def test_pipeline_keeps_one_row_of_each_component(spark):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    text = lambda n: " ".join(rng.choice("abcdefgh") + str(rng.randint(0, 3000)) for _ in range(n))
+    long, other, null, twice = text(200), text(50), text(50), text(50)
+    edited = long.split()
+    for k in (20, 60, 100, 140):
+        edited[k] = f"edit{k}"  # 176 of 216 windows of five words in common, 181 of 213 of four
+    rows = [(1, long), (2, " ".join(edited)), (3, other), (3, other), (3, text(50)), (None, null), (None, null), (None, null + " end"), (None, text(50))]
+    rows += [(7, twice), (7, twice), (8, twice), (9, ""), (10, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    assert sorted(str(r["doc_id"]) for r in got) == sorted(["1", "3", "3", "None", "None", "7", "9", "10"])
+    assert len({r["text"] for r in got}) == 8
