@@ -3,8 +3,10 @@
 The text of a page is cut into blocks, each with its root-to-leaf tag path. For every
 path, the length of its text and its punctuation are added up over the page and divided
 by the number of its blocks. Both ratios are smoothed along the page, fused by product
-and thresholded; the container of the paths above the threshold is the content, and all
-its blocks are the text but those in parts that are never content (menus, adverts, forms).
+and thresholded; the containers of the paths above the threshold are the content. The text
+is their blocks above the threshold, and of the others those that are not mostly links;
+parts that are never content (menus, adverts, forms) go, and an id that names such a part
+only lowers the score.
 """
 
 from __future__ import annotations
@@ -61,29 +63,38 @@ _SCOPE = frozenset("html body table td th caption button object template".split(
 _INLINE_ENDS = frozenset("a b big code em font i s small strike strong tt u span".split())
 
 
-def _never(tag: str, attrs: str, inside: bool) -> bool:
+#: Share of the score that is left where an id hints at such a part.
+HINTED = 0.4
+
+
+def _weight(tag: str, attrs: str, inside: bool) -> float:
+    """1, or less where the attributes hint at what is not content; 0 if it never is."""
     if tag in _NEVER or tag == "header" and not inside:
-        return True
+        return 0.0
+    weight = 1.0
     if not attrs or tag in ("html", "body", "article", "main"):
-        return False
+        return weight
     for m in _ATTR.finditer(attrs):
         name = (m[1] or m[5] or "").lower()
         value = m[2] or m[3] or m[4] or ""
         if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+            return 0.0
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
+            return 0.0
         if name in ("class", "id", "role") and (_HINT.search(value) or not inside and _HEADER.search(value)):
-            return True
-    return False
+            if name != "id":
+                return 0.0
+            if tag not in ("h1", "h2", "h3", "h4", "h5", "h6"):  # ids of headings are words of their texts
+                weight = HINTED
+    return weight
 
 
-def blocks(html: str) -> list[tuple[tuple[str, ...], str, bool, int]]:
-    """(path, text, whether it can be content, characters in links) of each block, in page order."""
-    out: list[tuple[tuple[str, ...], str, bool, int]] = []
-    stack: list[tuple[str, bool, int]] = []  # tag, whether content is possible in it, id
+def blocks(html: str) -> list[tuple[tuple[str, ...], str, float, int]]:
+    """(path, text, weight or 0 if it cannot be content, characters in links) of each block, in page order."""
+    out: list[tuple[tuple[str, ...], str, float, int]] = []
+    stack: list[tuple[str, float, int]] = []  # tag, weight of what is in it, id
     text: list[str] = []
-    state = {"links": 0, "path": (), "ok": True}
+    state = {"links": 0, "path": (), "ok": 1.0}
     made = 0
 
     def flush() -> None:
@@ -99,7 +110,7 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, bool, int]]:
         if not text or not "".join(text).strip():
             last = max((i for i, x in enumerate(stack) if x[0] in _BLOCK), default=-1)
             state["path"] = tuple(f"{t}" if t not in ("div", "section", "article", "main") else f"{t}#{k}" for t, _, k in stack[: last + 1])
-            state["ok"] = stack[last][1] if last >= 0 else True
+            state["ok"] = stack[last][1] if last >= 0 else 1.0
         if stack and not stack[-1][1] and state["ok"]:
             return  # a button or the like inside a block
         s = unescape(s)
@@ -113,7 +124,7 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, bool, int]]:
             # Formatting elements left open go on after the block.
             again = [x for x in stack[upto + 1 :] if x[0] in _INLINE_ENDS and x[0] != "a"]
             del stack[upto:]
-            stack.extend((t, stack[-1][1] if stack else True, k) for t, _, k in again[:8])
+            stack.extend((t, stack[-1][1] if stack else 1.0, k) for t, _, k in again[:8])
         else:
             del stack[upto:]
 
@@ -168,7 +179,7 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, bool, int]]:
                         break
             flush()
         made += 1
-        ok = (stack[-1][1] if stack else True) and not _never(tag, attrs, inside)
+        ok = min(stack[-1][1] if stack else 1.0, _weight(tag, attrs, inside))
         if tag in _RAW:
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(html, at)
             at = end.end() if end else len(html)
@@ -189,7 +200,7 @@ def _smooth(x: list[float]) -> list[float]:
     return [sum(w[k + 2] * x[i + k] for k in range(-2, 3) if 0 <= i + k < n) / sum(w[k + 2] for k in range(-2, 3) if 0 <= i + k < n) for i in range(n)]
 
 
-def main_blocks(found: list[tuple[tuple[str, ...], str, bool, int]], threshold: float) -> list[str]:
+def main_blocks(found: list[tuple[tuple[str, ...], str, float, int]], threshold: float) -> list[str]:
     """Texts of the content blocks."""
     ok = [b for b in found if b[2]]
     if not ok:
@@ -204,7 +215,7 @@ def main_blocks(found: list[tuple[tuple[str, ...], str, bool, int]], threshold:
         count[path] += 1
     long = _smooth([math.log1p(chars[b[0]] / count[b[0]]) for b in ok])
     marked = _smooth([math.log1p(marks[b[0]] / count[b[0]]) for b in ok])
-    fused = [a * (0.2 + b) * (1 - min(1.0, links[x[0]] / max(1.0, chars[x[0]]))) for a, b, x in zip(long, marked, ok)]
+    fused = [x[2] * a * (0.2 + b) * (1 - min(1.0, links[x[0]] / max(1.0, chars[x[0]]))) for a, b, x in zip(long, marked, ok)]
     limit = threshold * max(fused)
     best: dict[tuple[str, ...], float] = defaultdict(float)
     for f, b in zip(fused, ok):
@@ -217,13 +228,15 @@ def main_blocks(found: list[tuple[tuple[str, ...], str, bool, int]], threshold:
             weight[path[: cut + 1]] += chars[path]
     if not weight:
         return [b[1] for b in ok]
+    stays = lambda b: best[b[0]] >= limit or b[2] == 1 and b[3] * 2 < len(b[1])
     if inside:
-        root = next(b[0][: i + 1] for b in ok for i, t in enumerate(b[0]) if t.startswith(("article#", "main#")))
-        roots = [b[0][: i + 1] for b in ok for i, t in enumerate(b[0]) if t.startswith(("article#", "main#"))]
-        held = {r: sum(v for p, v in weight.items() if p[: len(r)] == r) for r in set(roots)}
-        root = max(held, key=lambda r: (held[r], -len(r)))
-        keep = [b for b in ok if b[0][: len(root)] == root]
-        return [b[1] for b in keep]
+        # All outermost elements that hold a fair share of what is above the threshold.
+        first = {p: p[: next(i for i, t in enumerate(p) if t.startswith(("article#", "main#"))) + 1] for p in best}
+        held: dict[tuple[str, ...], float] = defaultdict(float)
+        for p in best:
+            held[first[p]] += chars[p] if best[p] >= limit else 0.0
+        most = max(held.values())
+        return [b[1] for b in ok if held[first[b[0]]] >= 0.1 * most and stays(b)]
     top = max(weight, key=lambda p: weight[p])
     kept = [p for p in weight if weight[p] >= 0.1 * weight[top]]
     root = kept[0]
@@ -232,7 +245,7 @@ def main_blocks(found: list[tuple[tuple[str, ...], str, bool, int]], threshold:
         while n < min(len(root), len(p)) and root[n] == p[n]:
             n += 1
         root = root[:n]
-    return [b[1] for b in ok if b[0][: len(root)] == root and (best[b[0]] >= limit or b[3] * 2 < len(b[1]))]
+    return [b[1] for b in ok if b[0][: len(root)] == root and stays(b)]
 
 
 def main_text(html: str | None, threshold: float = 0.25) -> str:

@@ -121,6 +121,18 @@ def test_html(spark):
     assert html.extract_main_text(spark.createDataFrame([], "page_id long, html string")).collect() == []
 
 
+LONG = "A sentence of the text, with marks, that goes on for a while; it has more to say, surely, and says so. "
+
+
+def test_html_scores_decide_inside_articles():
+    p = f"<p>{LONG * 3}</p>"
+    bar = "<div class='xq1'><ul><li><a href='/a'>Post it</a></li><li><a href='/b'>Send it</a></li></ul></div>"
+    page = f"<body><article><h2 id='search'>Search</h2>{p}{p}{bar}<section id='social'>{p}</section></article><article>{p}</article></body>"
+    got = html.main_text(page)
+    assert "Post it" not in got and "Send it" not in got
+    assert got.startswith("Search") and got.count(LONG.strip()) == 12
+
+
 def test_toxicity_and_counterfactuals(spark):
     rng = random.Random(2)
     rows = []
