@@ -52,6 +52,8 @@ _HINT = re.compile(
     r"|newsletter|subscribe|subscription|signup|login|popup|modal|overlay|skip|hidden|search|tags|outbrain|taboola)(?=$|[\s_-])",
     re.I,
 )
+#: Classes of an article that tell what it has or is about, not what it is.
+_ABOUT = re.compile(r"(?:has|with|no|without|category|tag|type|status|format)-", re.I)
 _HEADER = re.compile(r"(?:^|[\s_-])(?:header|site-header|page-header|top-?bar)(?=$|[\s_-])", re.I)
 #: Which open elements the start of one ends, up to the nearest of the second set.
 _ENDS = {
@@ -72,11 +74,13 @@ def _weight(tag: str, attrs: str, inside: bool) -> float:
     if tag in _NEVER or tag == "header" and not inside:
         return 0.0
     weight = 1.0
-    if not attrs or tag in ("html", "body", "article", "main"):
+    if not attrs or tag in ("html", "body"):
         return weight
     for m in _ATTR.finditer(attrs):
         name = (m[1] or m[5] or "").lower()
         value = m[2] or m[3] or m[4] or ""
+        if name == "class" and tag in ("article", "main"):
+            value = " ".join(x for x in value.split() if not _ABOUT.match(x))
         if name == "hidden" or name == "aria-hidden" and value == "true":
             return 0.0
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
@@ -205,8 +209,7 @@ def main_blocks(found: list[tuple[tuple[str, ...], str, float, int]], threshold:
     ok = [b for b in found if b[2]]
     if not ok:
         return []
-    inside = [b for b in ok if any(t.startswith(("article#", "main#")) for t in b[0])]
-    ok = inside or ok
+    place = lambda p: next((i for i, t in enumerate(p) if t.startswith(("article#", "main#"))), None)
     chars, marks, count, links = (defaultdict(float) for _ in range(4))
     for path, text, _, link in ok:
         chars[path] += len(text)
@@ -229,14 +232,16 @@ def main_blocks(found: list[tuple[tuple[str, ...], str, float, int]], threshold:
     if not weight:
         return [b[1] for b in ok]
     stays = lambda b: best[b[0]] >= limit or b[2] == 1 and b[3] * 2 < len(b[1])
-    if inside:
-        # All outermost elements that hold a fair share of what is above the threshold.
-        first = {p: p[: next(i for i, t in enumerate(p) if t.startswith(("article#", "main#"))) + 1] for p in best}
-        held: dict[tuple[str, ...], float] = defaultdict(float)
-        for p in best:
-            held[first[p]] += chars[p] if best[p] >= limit else 0.0
+    # Such elements are the content if they hold most of what is above the threshold: all
+    # outermost ones with a fair share of it.
+    first = {p: p[: i + 1] for p in best if (i := place(p)) is not None}
+    held: dict[tuple[str, ...], float] = defaultdict(float)
+    for p in best:
+        held[first.get(p, ())] += chars[p] if best[p] >= limit else 0.0
+    apart = held.pop((), 0.0)
+    if sum(held.values()) > apart:
         most = max(held.values())
-        return [b[1] for b in ok if held[first[b[0]]] >= 0.1 * most and stays(b)]
+        return [b[1] for b in ok if b[0] in first and held[first[b[0]]] >= 0.1 * most and stays(b)]
     top = max(weight, key=lambda p: weight[p])
     kept = [p for p in weight if weight[p] >= 0.1 * weight[top]]
     root = kept[0]

@@ -133,6 +133,17 @@ def test_html_scores_decide_inside_articles():
     assert got.startswith("Search") and got.count(LONG.strip()) == 12
 
 
+def test_html_articles_that_are_not_the_content():
+    p, teaser = f"<p>{LONG * 3}</p>", "<p>Nice post, thanks. I liked it, truly!</p>"
+    for attrs in ("class='comment'", "class='related'", "class='sponsored'", "hidden", "style='display:none'", "class='xq1'"):
+        got = html.main_text(f"<body><div>{p}{p}{p}</div><article {attrs}>{teaser}</article></body>")
+        assert got.count(LONG.strip()) == 9
+        assert "Nice" not in got
+        if attrs != "class='xq1'":
+            assert "Nice" not in html.main_text(f"<body><article>{p}{p}<article {attrs}>{teaser}</article></article></body>")
+    assert LONG.strip() in html.main_text(f"<body><article class='post has-comments category-social'>{p}</article></body>")
+
+
 def test_toxicity_and_counterfactuals(spark):
     rng = random.Random(2)
     rows = []
