@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import json
 import os
+import re
 import tempfile
 import uuid
 from functools import lru_cache
@@ -107,7 +109,38 @@ def tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path)
+    tok = Tokenizer.from_file(path)
+    tok.no_truncation()
+    tok.no_padding()
+    return tok
+
+
+# The rules of the two kinds of vocabulary that have fast ways, as their files state them.
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+_WORDS = [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False},
+]
+_LOWER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+
+
+@lru_cache(maxsize=8)
+def rules(path: str) -> str:
+    """``bytes`` or ``words`` if the vocabulary's normaliser and pre-tokens are of that kind, else ``other``."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, before, split = spec["model"], spec.get("normalizer"), spec.get("pre_tokenizer") or {}
+    cut = lambda x: {k: v for k, v in x.items() if k != "trim_offsets"}
+    plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges"))
+    # A special token must not look like a word, or a word could be one.
+    marks = all(t["special"] and not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]) and re.fullmatch(r"<\|\w+\|>", t["content"]) for t in spec.get("added_tokens") or [])
+    if not (plain and marks):
+        return "other"
+    if before is None and cut(split) == _BYTES and not model.get("end_of_word_suffix"):
+        return "bytes"
+    if (before or {}).get("normalizers") == _LOWER and [cut(x) for x in split.get("pretokenizers", [])] == _WORDS and model.get("end_of_word_suffix"):
+        return "words"
+    return "other"
 
 
 @lru_cache(maxsize=1)

@@ -26,7 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordCache, stored, table
+from .common import WordCache, rules, stored, table, tokenizer
 
 #: Buckets by which ranks within a length are counted; bounds the rows of one window.
 RANK_BUCKETS = 4096
@@ -38,9 +38,13 @@ _ids: dict[str, WordCache] = {}
 def encode(path: str, text: str) -> bytes:
     """Ids of a text as little-endian unsigned 32-bit integers.
 
-    The vocabulary drops white space and no pre-token crosses it, so the ids of a text
-    are those of its words; words repeat, so their ids are kept in a bounded cache.
+    Where the vocabulary drops white space and no pre-token crosses it, the ids of a text
+    are those of its words; words repeat, so their ids are kept in a bounded cache. With
+    other rules, the whole text is encoded at once.
     """
+    if rules(path) != "words":
+        ids = tokenizer(path).encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
     if path not in _ids:
         _ids[path] = WordCache(path, True, lambda ids: struct.pack(f"<{len(ids)}I", *ids), operator.add)
     return b"".join(map(_ids[path].__getitem__, text.replace("\n", " ").split(" ")))
@@ -218,7 +222,9 @@ def pack(
 ) -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    Null texts are empty: one piece that holds the end id alone. Repeated rows are
+    ``vocabulary`` is a tokenizer file that every executor has. Null texts are empty: one
+    piece that holds the end id alone. Very long texts are encoded whole and cut into
+    pieces; a task holds the ids of one text at a time. Repeated rows are
     packed one by one; other columns are not read, so their names cannot clash; an
     empty table gives no rows. Ties (pieces of equal length) take places in the order
     of a hash of id, start and crc; equal pieces are interchangeable.

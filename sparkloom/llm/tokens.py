@@ -21,20 +21,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordCache, table, tokenizer
+from .common import WordCache, rules, table, tokenizer
 
 #: White space other than these two is rare; such texts take the plain path, so that
 #: no difference between regex libraries on what white space is can matter.
 _ODD = re.compile(r"[^\S \n]")
 _UNIT = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
+#: Where chunks may be spliced; white space in every library's eyes.
+_STABLE = re.compile(r"(?<=\S)[ \n]")
 
 
 _counts: dict[str, WordCache] = {}
 
 
 def count_units(path: str, text: str) -> int:
-    """Tokens of ``text``, unit by unit."""
-    if _ODD.search(text):
+    """Tokens of ``text``, unit by unit; at once if the vocabulary has other rules than the byte-level ones."""
+    if rules(path) != "bytes" or _ODD.search(text):
         return len(tokenizer(path).encode(text, add_special_tokens=False))
     if path not in _counts:
         _counts[path] = WordCache(path, False, len, operator.add)
@@ -42,49 +44,54 @@ def count_units(path: str, text: str) -> int:
 
 
 def _boundaries(path: str, text: str, start: int, end: int) -> list[int]:
-    """Where the tokens of ``text[start:end]`` begin, and its end, in the text's offsets."""
+    """Where the tokens of ``text[start:end]`` begin, in the text's offsets."""
     e = tokenizer(path).encode(text[start:end], add_special_tokens=False)
     return [start + a for a, _ in e.offsets]
 
 
+def _chunk_end(text: str, at: int, overlap_chars: int) -> int:
+    """The least end from ``at`` on that leaves a stable place in the chunk's last ``overlap_chars``; the text's end without one."""
+    if at >= len(text):
+        return len(text)
+    place = _STABLE.search(text, max(1, at - overlap_chars))
+    return max(at, place.start() + 1) if place else len(text)
+
+
 def splice(path: str, text: str, chunk_chars: int, overlap_chars: int) -> int:
-    """Tokens of ``text`` from overlapping chunks; equal to those of the whole text."""
+    """Tokens of ``text`` from overlapping chunks; equal to those of the whole text.
+
+    Chunks reach to a stable place, however far it is; where two chunks do not agree on
+    one, the overlap doubles, and then the chunk itself. So every character is encoded
+    a bounded number of times, even if none of a million is white space.
+    """
     n, total, begin = len(text), 0, 0
-    here = None
-    end = min(n, chunk_chars)
-    while True:
-        if here is None:
-            here = _boundaries(path, text, begin, end)
-        if end >= n:
-            return total + sum(1 for p in here if p >= begin)
-        overlap = overlap_chars
+    end = _chunk_end(text, chunk_chars, overlap_chars)
+    here = _boundaries(path, text, 0, end)
+    while end < n:
+        last, overlap = _chunk_end(text, end + chunk_chars, overlap_chars), max(1, overlap_chars)
         while True:
             start = max(begin + 1, end - overlap)
-            last = min(n, end + chunk_chars)
             there = _boundaries(path, text, start, last)
-            both = set(here) & set(there)
             # Stable: no pre-token runs from another character into the white space
             # after it, whatever stands to the left of both chunks.
-            cuts = [p for p in both if start < p < end and text[p].isspace() and not text[p - 1].isspace()]
+            cuts = [p for p in set(here) & set(there) if start < p < end and text[p] in " \n" and not text[p - 1].isspace()]
             if cuts:
                 cut = max(cuts)
                 total += sum(1 for p in here if begin <= p < cut)
                 begin, here, end = cut, [p for p in there if p >= cut], last
                 break
-            if start == begin + 1:  # no stable place so far: this chunk itself grows
-                end = min(n, end + chunk_chars)
+            if start == begin + 1:
+                end = _chunk_end(text, begin + 2 * (end - begin), overlap_chars)
                 here = _boundaries(path, text, begin, end)
-                if end >= n:
-                    return total + len(here)
-                overlap = overlap_chars
-            else:
-                overlap *= 2
+                break
+            overlap *= 2
+    return total + sum(1 for p in here if p >= begin)
 
 
 def count_tokens(path: str, text: str | None, huge_chars: int, chunk_chars: int, overlap_chars: int) -> int:
     if not text:
         return 0
-    if len(text) > huge_chars:
+    if len(text) > huge_chars and rules(path) == "bytes":
         return splice(path, text, chunk_chars, overlap_chars)
     return count_units(path, text)
 
@@ -99,8 +106,10 @@ def token_counts(
 ) -> DataFrame:
     """``docs`` with ``n_bytes`` (UTF-8) and ``n_tokens``.
 
-    ``vocabulary`` is a file that every executor has. Null and empty texts have 0 of
-    both; other columns stay as they are (columns that already have these names are
+    ``vocabulary`` is a tokenizer file that every executor has. Units and splices are for
+    byte-level vocabularies without a normaliser; with other rules, whole texts are encoded
+    at once. Null and empty texts have 0 of both; very long ones take time and memory in
+    proportion to their length; other columns stay as they are (columns that already have these names are
     replaced); repeated rows are counted one by one; an empty table stays empty.
     """
     def run(batches: Iterable[pd.Series]) -> Iterator[pd.Series]:

@@ -1,6 +1,7 @@
 """Token counts, packing, mixing, nearest neighbours and the pipeline."""
 
 import random
+import time
 import zlib
 
 import numpy as np
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.llm import ann, mixing, packing, tokens
-from sparkloom.llm.common import tokenizer
+from sparkloom.llm.common import rules, tokenizer
 
 BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 BITS = ["a", "b ", " ", "\n", "  ", "\x1c", " ", "é", "É", "ß", "Σ", "日", "1", "!", "'s", "<|endoftext|>", "\t", ".", "word", "Word", ",", "é", "İ", "###", "&&"]
@@ -30,6 +31,23 @@ def test_counts_and_splices_equal_the_library():
         assert tokens.splice(BYTES, x, 32, 4) == len(tok.encode(x, add_special_tokens=False))
 
 
+def test_splices_are_linear_without_white_space():
+    tok = tokenizer(BYTES)
+    for x in ("aZ3+/" * 40_000, " " * 100_000, "ab\x1c!" * 20_000, "日本語の文" * 8_000 + " " + "x" * 90_000):
+        began = time.time()
+        n = len(tok.encode(x, add_special_tokens=False))
+        plain, began = time.time() - began, time.time()
+        assert tokens.count_tokens(BYTES, x, 50_000, 16_384, 256) == n
+        assert time.time() - began < 6 * plain + 0.5
+
+
+def test_other_vocabularies_take_the_plain_way():
+    for x in ("Hello World, the Quick brown fox.", "straße Élan naïve", "a" * 300 + " b " * 200):
+        assert tokens.count_tokens(WORDS, x, 100, 32, 4) == len(tokenizer(WORDS).encode(x, add_special_tokens=False))
+        assert np.frombuffer(packing.encode(BYTES, x), "<u4").tolist() == tokenizer(BYTES).encode(x, add_special_tokens=False).ids
+    assert (rules(BYTES), rules(WORDS)) == ("bytes", "words")
+
+
 def test_token_counts(spark):
     rows = [(1, None, 7), (2, "", 7), (3, "déjà vu", 7), (3, "déjà vu", 7), (None, "x " * 40_000, 7)]
     got = tokens.token_counts(spark.createDataFrame(rows, "doc_id long, text string, n_bytes int"), BYTES, huge_chars=1000).collect()
