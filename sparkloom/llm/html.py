@@ -3,17 +3,18 @@
 The text of a page is cut into blocks, each with its root-to-leaf tag path. For every
 path, the length of its text and its punctuation are added up over the page and divided
 by the number of its blocks. Both ratios are smoothed along the page, fused by product
-and thresholded; the containers of the paths above the threshold are the content. The text
-is their blocks above the threshold, and of the others those that are not mostly links;
-parts that are never content (menus, adverts, forms) go, and an id that names such a part
-only lowers the score.
+and thresholded; the containers of the paths above the threshold that hold a fair share of
+their text are the content. The text is their blocks above the threshold, and of the others
+those that are not mostly links, and what is above the threshold between such containers;
+parts that are never content (menus, adverts, forms) go before, and an id that names such a
+part only lowers the score.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from html import unescape
 
@@ -23,13 +24,12 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
-    re.S,
+_MARKUP = re.compile(r"<(?:!--|!\[CDATA\[|[!?]|/?[a-zA-Z])")
+_TAG = re.compile(
+    r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
+    r"|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>"
 )
-_ATTR = re.compile(r"([^\s=\"'/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|([^\s=\"'/]+)")
+_ATTR = re.compile(r"([^\s=\"'/]++)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++))|([^\s=\"'/]++)")
 _SPACE = re.compile(r"\s+")
 _PUNCT = re.compile(r"[.,;:!?…。，、！？；：]")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -93,108 +93,200 @@ def _weight(tag: str, attrs: str, inside: bool) -> float:
     return weight
 
 
-def blocks(html: str) -> list[tuple[tuple[str, ...], str, float, int]]:
-    """(path, text, weight or 0 if it cannot be content, characters in links) of each block, in page order."""
-    out: list[tuple[tuple[str, ...], str, float, int]] = []
-    stack: list[tuple[str, float, int]] = []  # tag, weight of what is in it, id
+class Paths:
+    """Tag paths as a tree: a path is the number of its last node, 0 the empty one; a child's number is above its parent's."""
+
+    def __init__(self):
+        self.parent, self.label, self.depth = [0], [""], [0]
+        #: Of each path: the nearest container, the outermost article or main (0 without), and the first two elements.
+        self.box, self.first, self.top = [0], [0], [0]
+        self._at: dict[tuple[int, str], int] = {}
+
+    def child(self, node: int, tag: str, number: int) -> int:
+        """``tag`` below ``node``; containers are told apart by their number, other elements of one tag are one path."""
+        holds = tag in ("div", "section", "article", "main")
+        label = f"{tag}#{number}" if holds else tag
+        found = self._at.get((node, label))
+        if found is None:
+            found = self._at[node, label] = len(self.parent)
+            self.parent.append(node)
+            self.label.append(label)
+            self.depth.append(self.depth[node] + 1)
+            self.box.append(found if holds else self.box[node])
+            self.first.append(self.first[node] or (found if tag in ("article", "main") else 0))
+            self.top.append(found if self.depth[found] <= 2 else self.top[node])
+        return found
+
+    def common(self, nodes: list[int]) -> int:
+        """The longest path that all ``nodes`` begin with."""
+        n = [0] * len(self.parent)
+        for x in nodes:
+            n[x] += 1
+        for x in range(len(n) - 1, 0, -1):
+            n[self.parent[x]] += n[x]
+        return max((x for x in range(len(n)) if n[x] == len(nodes)), key=self.depth.__getitem__)
+
+    def along(self, nodes: list[int]) -> list[bool]:
+        """Whether each path begins with one of ``nodes`` or is the beginning of one."""
+        out = [False] * len(self.parent)
+        for x in nodes:
+            out[x] = True
+        for x in range(len(out) - 1, 0, -1):
+            out[self.parent[x]] |= out[x]
+        held = set(nodes)
+        under = [0 in held] * len(out)
+        for x in range(1, len(out)):
+            under[x] = x in held or under[self.parent[x]]
+        return [a or b for a, b in zip(out, under)]
+
+    def below(self, root: int) -> list[bool]:
+        """Whether each path begins with ``root``."""
+        out = [root == 0]
+        for x in range(1, len(self.parent)):
+            out.append(x == root or out[self.parent[x]])
+        return out
+
+
+class _Open:
+    """The open elements, with the places of each tag, so that no step looks through all of them."""
+
+    def __init__(self, paths: Paths):
+        self.paths, self.all, self.blocks, self.made = paths, [], [], 0
+        self.at: dict[str, list[int]] = defaultdict(list)
+
+    def last(self, tags) -> int:
+        return max((self.at[t][-1] for t in tags if self.at[t]), default=-1)
+
+    def weight(self) -> float:
+        return self.all[-1][1] if self.all else 1.0
+
+    def push(self, tag: str, ok: float) -> None:
+        self.made += 1
+        self.at[tag].append(len(self.all))
+        if tag in _BLOCK:
+            self.blocks.append(len(self.all))
+        self.all.append([tag, ok, self.paths.child(self.all[-1][2] if self.all else 0, tag, self.made), True])
+
+    def cut(self, upto: int) -> None:
+        """Close all from place ``upto`` on."""
+        while len(self.all) > upto or self.all and not self.all[-1][3]:
+            tag, _, _, live = self.all.pop()
+            if live:
+                self.at[tag].pop()
+                if tag in _BLOCK:
+                    self.blocks.pop()
+
+    def drop(self, place: int) -> None:
+        """Close one formatting element below others."""
+        self.all[place][3] = False
+        self.at[self.all[place][0]].pop()
+
+
+def blocks(html: str) -> tuple[list[tuple[int, str, float, int]], Paths]:
+    """(path, text, weight or 0 if it cannot be content, characters in links) of each block, in page order, and the paths.
+
+    One pass; time and memory are in proportion to the page, whatever its depth and
+    however many tags are left open.
+    """
+    out: list[tuple[int, str, float, int]] = []
+    paths = Paths()
+    stack = _Open(paths)
     text: list[str] = []
-    state = {"links": 0, "path": (), "ok": 1.0}
-    made = 0
+    said, path, ok, links = False, 0, 1.0, 0
 
     def flush() -> None:
+        nonlocal said, links
         joined = _SPACE.sub(" ", "".join(text)).strip()
         if joined:
-            out.append((state["path"], joined, state["ok"], state["links"]))
+            out.append((path, joined, ok, links))
         text.clear()
-        state["links"] = 0
+        said, links = False, 0
 
     def say(s: str) -> None:
+        nonlocal said, path, ok, links
         if not s:
             return
-        if not text or not "".join(text).strip():
-            last = max((i for i, x in enumerate(stack) if x[0] in _BLOCK), default=-1)
-            state["path"] = tuple(f"{t}" if t not in ("div", "section", "article", "main") else f"{t}#{k}" for t, _, k in stack[: last + 1])
-            state["ok"] = stack[last][1] if last >= 0 else 1.0
-        if stack and not stack[-1][1] and state["ok"]:
+        if not said:
+            path, ok = (stack.all[stack.blocks[-1]][2], stack.all[stack.blocks[-1]][1]) if stack.blocks else (0, 1.0)
+        if ok and not stack.weight():
             return  # a button or the like inside a block
         s = unescape(s)
         text.append(s)
-        if any(t == "a" for t, _, _ in stack):
-            state["links"] += len(s)
+        said = said or not s.isspace()
+        if stack.at["a"]:
+            links += len(s)
 
     def close(upto: int) -> None:
-        if any(t in _BLOCK for t, _, _ in stack[upto:]):
+        if stack.blocks and stack.blocks[-1] >= upto:
             flush()
             # Formatting elements left open go on after the block.
-            again = [x for x in stack[upto + 1 :] if x[0] in _INLINE_ENDS and x[0] != "a"]
-            del stack[upto:]
-            stack.extend((t, stack[-1][1] if stack else 1.0, k) for t, _, k in again[:8])
+            again = [x[0] for x in stack.all[upto + 1 :] if x[3] and x[0] in _INLINE_ENDS and x[0] != "a"]
+            stack.cut(upto)
+            for tag in again[:8]:
+                stack.push(tag, stack.weight())
         else:
-            del stack[upto:]
+            stack.cut(upto)
 
-    at = 0
+    at, last = 0, html.rfind(">")
     while True:
-        m = _TOKEN.search(html, at)
+        m = _MARKUP.search(html, at)
+        while m and m.start() > last and m[0] not in ("<!--", "<![CDATA[", "<!", "<?"):
+            m = _MARKUP.search(html, m.end())  # no tag ends after this place
+        t = None
+        if m and m[0][-1].isalpha():
+            t = _TAG.match(html, m.start())
         say(html[at : m.start()] if m else html[at:])
         if not m:
             break
-        at = m.end()
-        tag = m[2] or m[5]
-        if not tag:
-            if m[0].startswith("<![CDATA["):
-                say(m[0][9:].removesuffix("]]>"))
+        if not t:
+            end = "-->" if m[0] == "<!--" else "]]>" if m[0] == "<![CDATA[" else ">"
+            stop = html.find(end, m.end())
+            if m[0] == "<![CDATA[":
+                say(html[m.end() : stop if stop >= 0 else len(html)])
+            at = stop + len(end) if stop >= 0 else len(html)
             continue
-        tag, attrs = tag.lower(), (m[3] if m[2] else m[6]) or ""
-        if m[1] or m[4]:
+        at = t.end()
+        tag, attrs = (t[2] or t[5]).lower(), (t[3] if t[2] else t[6]) or ""
+        if t[1] or t[4]:
             if tag == "br":
                 text.append(" ")
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    if tag in _BLOCK or not any(t in _BLOCK for t, _, _ in stack[i + 1 :]):
-                        close(i)
-                    else:
-                        del stack[i]  # </b> across blocks ends the formatting alone
-                    break
-                if stack[i][0] in ("td", "th", "table") and tag not in ("table", "tr", "td", "th", "tbody", "body", "html"):
-                    break
+            place = stack.last((tag,))
+            held = tag not in ("table", "tr", "td", "th", "tbody", "body", "html") and stack.last(("td", "th", "table")) > place
+            if place >= 0 and not held:
+                if tag in _BLOCK or not (stack.blocks and stack.blocks[-1] > place):
+                    close(place)
+                else:
+                    stack.drop(place)  # </b> across blocks ends the formatting alone
             continue
         if tag == "br" or tag == "wbr":
             text.append(" " if tag == "br" else "")
             continue
-        inside = any(t in ("article", "main") for t, _, _ in stack)
         if tag in _VOID:
             if tag == "hr":
                 flush()
             continue
+        inside = stack.last(("article", "main")) >= 0
         if tag in _BLOCK:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "p":
-                    close(i)
-                    break
-                if stack[i][0] in _SCOPE:
-                    break
+            place = stack.last(("p",))
+            if place > stack.last(_SCOPE):
+                close(place)
             if tag in _ENDS:
                 ends, scope = _ENDS[tag]
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in ends:
-                        close(i)
-                        break
-                    if stack[i][0] in scope:
-                        break
+                place = stack.last(ends)
+                if place > stack.last(scope):
+                    close(place)
             flush()
-        made += 1
-        ok = min(stack[-1][1] if stack else 1.0, _weight(tag, attrs, inside))
+        weight = min(stack.weight(), _weight(tag, attrs, inside))
         if tag in _RAW:
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(html, at)
-            at = end.end() if end else len(html)
-            if tag == "title":
-                continue
+            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(html, at)
+            stop = html.find(">", end.end()) if end else -1
+            at = stop + 1 if stop >= 0 else len(html)
             continue
         if attrs.endswith("/") and tag in ("path", "use", "circle", "rect"):
             continue
-        stack.append((tag, ok, made))
+        stack.push(tag, weight)
     flush()
-    return out
+    return out, paths
 
 
 def _smooth(x: list[float]) -> list[float]:
@@ -204,12 +296,11 @@ def _smooth(x: list[float]) -> list[float]:
     return [sum(w[k + 2] * x[i + k] for k in range(-2, 3) if 0 <= i + k < n) / sum(w[k + 2] for k in range(-2, 3) if 0 <= i + k < n) for i in range(n)]
 
 
-def main_blocks(found: list[tuple[tuple[str, ...], str, float, int]], threshold: float) -> list[str]:
+def main_blocks(found: list[tuple[int, str, float, int]], paths: Paths, threshold: float) -> list[str]:
     """Texts of the content blocks."""
     ok = [b for b in found if b[2]]
     if not ok:
         return []
-    place = lambda p: next((i for i, t in enumerate(p) if t.startswith(("article#", "main#"))), None)
     chars, marks, count, links = (defaultdict(float) for _ in range(4))
     for path, text, _, link in ok:
         chars[path] += len(text)
@@ -220,42 +311,43 @@ def main_blocks(found: list[tuple[tuple[str, ...], str, float, int]], threshold:
     marked = _smooth([math.log1p(marks[b[0]] / count[b[0]]) for b in ok])
     fused = [x[2] * a * (0.2 + b) * (1 - min(1.0, links[x[0]] / max(1.0, chars[x[0]]))) for a, b, x in zip(long, marked, ok)]
     limit = threshold * max(fused)
-    best: dict[tuple[str, ...], float] = defaultdict(float)
+    best: dict[int, float] = defaultdict(float)
     for f, b in zip(fused, ok):
         best[b[0]] = max(best[b[0]], f)
+    part = lambda p: paths.box[p] or paths.top[p]
     # The container: the parts of the paths above the threshold that hold most text.
-    weight: dict[tuple[str, ...], float] = defaultdict(float)
+    weight: dict[int, float] = defaultdict(float)
     for path, f in best.items():
         if f >= limit:
-            cut = max((i for i, t in enumerate(path) if t.startswith(("article#", "main#", "section#", "div#"))), default=min(1, len(path) - 1))
-            weight[path[: cut + 1]] += chars[path]
+            weight[part(path)] += chars[path]
     if not weight:
         return [b[1] for b in ok]
-    stays = lambda b: best[b[0]] >= limit or b[2] == 1 and b[3] * 2 < len(b[1])
+    # Parts with a fair share of the text above the threshold (a tenth of the best one's, or
+    # three tenths if it is one block), and what holds them or lies in them, keep all that
+    # is not mostly links; other blocks stay between such parts, if above the threshold.
+    size = Counter(part(b[0]) for b in ok)
+    most = max(weight.values())
+    fair = [p for p, w in weight.items() if w >= (0.1 if size[p] > 1 else 0.3) * most]
+    along = paths.along(fair)
+    company = [along[part(b[0])] for b in ok]
+    first, last = company.index(True), len(company) - company[::-1].index(True)
+    stays = [best[b[0]] >= limit and (c or first < i < last) or c and b[2] == 1 and b[3] * 2 < len(b[1]) for i, (b, c) in enumerate(zip(ok, company))]
     # Such elements are the content if they hold most of what is above the threshold: all
     # outermost ones with a fair share of it.
-    first = {p: p[: i + 1] for p in best if (i := place(p)) is not None}
-    held: dict[tuple[str, ...], float] = defaultdict(float)
+    held: dict[int, float] = defaultdict(float)
     for p in best:
-        held[first.get(p, ())] += chars[p] if best[p] >= limit else 0.0
-    apart = held.pop((), 0.0)
+        held[paths.first[p]] += chars[p] if best[p] >= limit else 0.0
+    apart = held.pop(0, 0.0)
     if sum(held.values()) > apart:
         most = max(held.values())
-        return [b[1] for b in ok if b[0] in first and held[first[b[0]]] >= 0.1 * most and stays(b)]
-    top = max(weight, key=lambda p: weight[p])
-    kept = [p for p in weight if weight[p] >= 0.1 * weight[top]]
-    root = kept[0]
-    for p in kept[1:]:
-        n = 0
-        while n < min(len(root), len(p)) and root[n] == p[n]:
-            n += 1
-        root = root[:n]
-    return [b[1] for b in ok if b[0][: len(root)] == root and stays(b)]
+        return [b[1] for b, s in zip(ok, stays) if s and paths.first[b[0]] and held[paths.first[b[0]]] >= 0.1 * most]
+    inside = paths.below(paths.common(fair))
+    return [b[1] for b, s in zip(ok, stays) if s and inside[b[0]]]
 
 
 def main_text(html: str | None, threshold: float = 0.25) -> str:
     """Content blocks joined by two line feeds."""
-    return "\n\n".join(main_blocks(blocks(html), threshold)) if html else ""
+    return "\n\n".join(main_blocks(*blocks(html), threshold)) if html else ""
 
 
 def extract_main_text(pages: DataFrame, html_col: str = "html", out_col: str = "text", threshold: float = 0.25) -> DataFrame:
@@ -263,7 +355,8 @@ def extract_main_text(pages: DataFrame, html_col: str = "html", out_col: str = "
 
     A page is worked on by itself in one task, so no row moves. Null and empty pages,
     and pages without content, give the empty text; character references are decoded
-    and white space inside a block is one space; texts of any length are taken whole;
+    and white space inside a block is one space; pages of any length and depth are taken
+    whole, in time and memory in proportion to them;
     repeated rows give equal results; an empty table stays empty.
     """
 

@@ -1,8 +1,10 @@
 """Quality rules, line dedup, HTML, toxicity and chat: edge cases and brute force."""
 
 import collections
+import math
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -144,6 +146,95 @@ def test_html_articles_that_are_not_the_content():
     assert LONG.strip() in html.main_text(f"<body><article class='post has-comments category-social'>{p}</article></body>")
 
 
+def test_html_is_linear():
+    n = 100_000
+    pages = ("<a " * n, "<div>" * n, "<div>text, here. " * n, "<b><div>x" * n + "</b>" * n, "<p><b>" * n + "</p>" * n, '<a "' * n + ">", "<script></script " * n, "<span>a" * n)
+    for page in pages:
+        began = time.time()
+        html.main_text(page)
+        assert time.time() - began < 30
+
+
+def naive_tree(rng, depth=0):
+    """A random well-formed part of a page: (tag, children or text)."""
+    tag = rng.choice(["div", "section", "article", "ul"]) if depth < 3 else "p"
+    if depth == 3 or rng.random() < 0.3:
+        return rng.choice(["p", "h2", "li"]), " ".join(rng.choice(["word", "more,", "end.", "x"]) for _ in range(rng.choice([1, 2, 30])))
+    return tag, [naive_tree(rng, depth + 1) for _ in range(rng.randint(1, 4))]
+
+
+def naive_main(tree, threshold):
+    """The method on a tree, by whole paths and plain loops."""
+    found, number = [], iter(range(10**6))
+
+    def walk(node, path):
+        tag, inner = node
+        path = path + ((f"{tag}#{next(number)}" if tag in ("div", "section", "article") else tag),)
+        if isinstance(inner, str):
+            found.append((path, inner))
+        else:
+            for x in inner:
+                walk(x, path)
+
+    walk(("body", tree), ())
+    ratio = lambda p, f: (lambda xs: sum(map(f, xs)) / len(xs))([t for q, t in found if q == p])
+    marks = lambda t: sum(c in ".," for c in t)
+    smooth = html._smooth
+    long = smooth([math.log1p(ratio(p, len)) for p, _ in found])
+    mark = smooth([math.log1p(ratio(p, marks)) for p, _ in found])
+    score = [a * (0.2 + b) for a, b in zip(long, mark)]
+    limit = threshold * max(score)
+    best = {p: max(s for s, (q, _) in zip(score, found) if q == p) for p, _ in found}
+    total = {p: sum(len(t) for q, t in found if q == p) for p in best}
+    part = lambda p: p[: max((i for i, x in enumerate(p) if "#" in x), default=min(1, len(p) - 1)) + 1]
+    weight = collections.Counter()
+    for p in best:
+        if best[p] >= limit:
+            weight[part(p)] += total[p]
+    size = collections.Counter(part(p) for p, _ in found)
+    fair = [p for p, w in weight.items() if w >= (0.1 if size[p] > 1 else 0.3) * max(weight.values())]
+    goes_with = lambda p: any(p[: len(f)] == f or f[: len(p)] == p for f in fair)
+    company = [i for i, (p, _) in enumerate(found) if goes_with(part(p))]
+    stays = [i in company or best[p] >= limit and company[0] < i < company[-1] for i, (p, _) in enumerate(found)]
+    root = lambda p: next((p[: i + 1] for i, x in enumerate(p) if x.startswith("article#")), None)
+    held = collections.Counter()
+    for p in best:
+        held[root(p)] += total[p] if best[p] >= limit else 0
+    apart = held.pop(None, 0)
+    if sum(held.values()) > apart:
+        keep = [root(p) is not None and held[root(p)] >= 0.1 * max(held.values()) for p, _ in found]
+    else:
+        common = 0
+        while all(len(p) > common and p[common] == fair[0][common] for p in fair):
+            common += 1
+        keep = [p[:common] == fair[0][:common] for p, _ in found]
+    return [t for (_, t), a, b in zip(found, stays, keep) if a and b]
+
+
+def written(node):
+    tag, inner = node
+    return f"<{tag}>{inner if isinstance(inner, str) else ''.join(map(written, inner))}</{tag}>"
+
+
+def test_html_equals_plain_path_ratios():
+    rng, differ = random.Random(9), 0
+    for _ in range(400):
+        tree = [naive_tree(rng) for _ in range(rng.randint(1, 5))]
+        page = "<body>" + "".join(map(written, tree)) + "</body>"
+        for threshold in (0.1, 0.25, 0.6):
+            want = "\n\n".join(naive_main(tree, threshold))
+            assert html.main_text(page, threshold) == want
+            differ += want != "\n\n".join(naive_main(tree, 0.0))
+    assert differ > 100  # the threshold decides
+
+
+def test_html_without_names():
+    p = f"<p>{LONG * 2}</p>"
+    page = f"<body><div>An advert says this. Buy it.</div><div><h1>Head</h1>{p}{p}<div>A short note.</div>{p}</div><div><a href='/x'>one</a> <a href='/y'>two</a></div></body>"
+    got = html.main_text(page)
+    assert "advert" not in got and "one" not in got and got.startswith("Head") and "A short note." in got and got.count(LONG.strip()) == 6
+
+
 def test_toxicity_and_counterfactuals(spark):
     rng = random.Random(2)
     rows = []
