@@ -6,6 +6,8 @@ import random
 import re
 import time
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from sparkloom.llm import chat, html, line_dedup, quality, toxicity
@@ -258,6 +260,39 @@ def test_toxicity_and_counterfactuals(spark):
     assert toxicity.score(df.limit(0), none).collect() == []
 
 
+def test_false_positives_on_neutral_mentions(spark):
+    rng = random.Random(12)
+    rows, tests = [], []
+    for i in range(1200):
+        w = [rng.choice("abcdefghij") + "word" + str(rng.randint(0, 50)) for _ in range(25)]
+        if i % 6 == 0:
+            w[3] = rng.choice(["nastyling", "vileness", "crudest"]) if i % 4 else "".join(rng.choices("bcdfghklmnprstvw", k=9))  # some are seen once only
+            if i % 60:
+                w[5] = rng.choice(["juden", "inmigrantes", "femmes", "muslims"])
+        rows.append((i, " ".join(w), int(i % 6 == 0)))
+    for i, g in enumerate(["juden", "inmigrantes", "femmes", "muslims"] * 25):
+        w = [rng.choice("abcdefghij") + "word" + str(rng.randint(0, 50)) for _ in range(25)]
+        tests.append((i, " ".join([*w[:9], g, *w[9:]])))
+    df = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    asked = spark.createDataFrame(tests, "doc_id long, text string")
+    free, held = toxicity.fit(df, counterfactual=0.0), toxicity.fit(df)
+    assert held.n_pairs[0] == 180 and held.n_pairs[1] > 500  # both kinds of twins are there
+    wrong = lambda m: sum(r["score"] >= 0.5 for r in toxicity.score(asked, m).collect())
+    mean = lambda m: toxicity.score(asked, m).agg(F.avg("score")).first()[0]
+    assert wrong(held) <= 2 and wrong(free) >= 50 and mean(held) < 0.6 * mean(free)
+    found = toxicity.score(df, held).filter("label = 1 and doc_id % 4 > 0").select(F.avg((F.col("score") >= 0.5).cast("int"))).first()[0]
+    assert found > 0.99
+
+
+def test_models_do_not_share_caches():
+    import pickle
+
+    words = pd.Series(["one two three"] * 3)
+    for k in range(300):
+        m = pickle.loads(pickle.dumps(toxicity.Classifier({f"={w}": float(k) for w in ("one", "two", "three")[: 1 + k % 3]}, 0.0)))
+        assert (m.scores(words) == 1 / (1 + np.exp(-np.clip(float(k) * (1 + k % 3), -40, 40)))).all()
+
+
 def plain_viterbi(model, texts):
     """Role of every line of a conversation, in one piece and in plain Python."""
     best, k = {chat._START: (0.0, [])}, len(chat.ROLES)
