@@ -9,10 +9,13 @@ Blocks of columns are multiplied in tasks that add up overlap counts of pairs an
 pairs whose sizes are too far apart; summed counts below the bound that sizes and the
 rest of the n-grams leave are dropped too. What remains is checked on whole texts.
 
-Columns longer than ``long_column`` nodes do not emit their pairs. A first pass links
-each node to a few candidates only (in a long column, to the node with most frequent
-n-grams among those of its size); after connected components, only pairs whose ends are still apart are looked at, so a group of copies
-costs about one check per copy, and no link between different components is lost.
+Columns of frequent n-grams longer than ``long_column`` nodes do not emit their pairs. A
+first pass links each node to a few candidates only (in a long column, to the node with
+most frequent n-grams among those of its size); after connected components, nodes whose
+n-grams are frequent ones nearly all and that meet others of another component are
+multiplied block by block with their whole sets. A task holds two blocks of bounded size
+and hands out no more links than it has nodes, so a group of copies costs about one check
+per copy, no group meets in one task, and no link between different components is lost.
 """
 
 from __future__ import annotations
@@ -201,100 +204,118 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
         yield rest
 
 
-def _reachable(na, nb, ha, hb, f, percent: int):
-    """Whether a pair that meets in a frequent column can be at the threshold.
-
-    Nodes with entries in frequent columns have all their other n-grams in the index, so
-    a pair that shares one of those meets there; any other shares frequent ones only.
-    """
-    return (f == 0) | (np.minimum(ha, hb) >= required(na, nb, percent))
-
-
-def _pivots(n: np.ndarray, h: np.ndarray, node: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs (entry, pivot) of one column sorted by size: the entry with most frequent
-    n-grams of each size class, for the entries of its class and of its two neighbours."""
-    step = np.log(100 / percent) / 2
-    classes = np.floor(np.log(n) / step).astype(int)
-    order = np.lexsort((node, -h, classes))
-    first = np.r_[True, np.diff(classes[order]) != 0]
-    pivot = dict(zip(classes[order][first].tolist(), order[first].tolist()))
-    for d in (0, -1, 1):
-        p = np.array([pivot.get(c + d, -1) for c in classes.tolist()])
-        i = np.nonzero((p >= 0) & (p != np.arange(len(n))))[0]
-        if len(i):
-            yield i, p[i]
-
-
-def _multiply(index: DataFrame, percent: int, long_column: int) -> DataFrame:
-    """Pairs with counts of short columns and of those that are not frequent (which few nodes
-    hold, so they are short but for chance). Of long frequent ones: pairs of nodes with
-    pivots, with counts below 0, and the entries themselves (b = -1, nb = h, kb = f, c = s)."""
+def _multiply(index: DataFrame, percent: int) -> DataFrame:
+    """Pairs with counts, of columns that few nodes hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs, stars = _Pairs(), _Pairs()
-
-        def both(to: _Pairs, i, j, node, n, k, one: int) -> Iterator[pa.RecordBatch]:
-            lo, hi = np.where(node[i] < node[j], i, j), np.where(node[i] < node[j], j, i)
-            ok = node[lo] != node[hi]
-            lo, hi = lo[ok], hi[ok]
-            yield from to.add(node[lo], node[hi], n[lo], n[hi], k[lo], k[hi], np.full(len(lo), one, dtype=np.int64))
-
-        for s, node, n, k, q, h, f in _runs(batches):
+        pairs = _Pairs()
+        for s, node, n, q in _runs(batches):
             first = np.nonzero(np.r_[True, s[1:] != s[:-1]])[0]
             length = np.diff(np.r_[first, len(s)])
-            far = (length > long_column) & (f[first] == 1)
-            short = np.repeat((length > 1) & ~far, length)
-            ss, sn, sz, sq = s[short], node[short], n[short], q[short]
-            for i, j in _near(ss, sz, percent, int(length[~far].max(initial=1))):
-                yield from both(pairs, i, j, sn, sz, sq, 1)
-            for x, m in zip(first[far], length[far]):
-                cs, cn, cz, ck, ch, cf = (c[x : x + m] for c in (s, node, n, k, h, f))
-                none = np.full(m, -1, dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (cn, none, cz, ch, ck, cf, cs)], names=_PAIR)
-                for i, j in _pivots(cz, ch, cn, percent):
-                    ok = _reachable(cz[i], cz[j], ch[i], ch[j], cf[i], percent) & (100 * np.minimum(cz[i], cz[j]) >= percent * np.maximum(cz[i], cz[j]))
-                    yield from both(stars, i[ok], j[ok], cn, cz, ck, -1)
+            for i, j in _near(s, n, percent, int(length.max(initial=1))):
+                lo, hi = np.where(node[i] < node[j], i, j), np.where(node[i] < node[j], j, i)
+                ok = node[lo] != node[hi]
+                lo, hi = lo[ok], hi[ok]
+                yield from pairs.add(node[lo], node[hi], n[lo], n[hi], q[lo], q[hi], np.ones(len(lo), dtype=np.int64))
         yield from pairs.out()
-        yield from stars.out()
 
-    return index.repartition("s").sortWithinPartitions("s", "n", "node").mapInArrow(run, _PAIR_TYPE)
-
-
-def _apart(n: np.ndarray, label: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of one column, sorted by size, with near sizes and different labels.
-
-    Pairs inside the most frequent label are never looked at, so a column that one group
-    of copies fills costs its other entries times the column.
+    return index.select("s", "node", "n", "q").repartition("s").sortWithinPartitions("s", "n", "node").mapInArrow(run, _PAIR_TYPE)
+
+
+def _class(n, percent: int):
+    """Number of the size class: sets at the threshold are at most two apart."""
+    return F.floor(F.log(n) / F.lit(np.log(100 / percent) / 2 * (1 + 1e-9))).cast("int")
+
+
+def _stars(long: DataFrame, percent: int) -> DataFrame:
+    """(a, b, c): entries of long columns (s, node, n, h, cls) with the pivots of their size
+    class and its neighbours, and in how many columns they meet. The pivot of a column and
+    class is the node with most frequent n-grams, found by aggregation."""
+    pivot = F.max_by(F.struct("node", "n", "h"), F.struct(F.col("h"), -F.col("node"))).alias("p")
+    pivots = stored(long.groupBy("s", "cls").agg(pivot), "pivots")
+    each = long.select("s", "node", "n", "h", F.explode(F.array(F.col("cls") - 1, "cls", F.col("cls") + 1)).alias("cls"))
+    met = each.join(_sized(pivots), ["s", "cls"]).filter("node <> p.node")
+    a, b = F.col("n"), F.col("p.n")
+    least = F.floor((percent * (a + b) + 99 + percent) / (100 + percent))
+    met = met.filter((F.least("h", "p.h") >= least) & (100 * F.least(a, b) >= percent * F.greatest(a, b)))
+    return met.groupBy(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).agg(F.count("*").alias("c"))
+
+
+def _joined(sets: list[np.ndarray], size: np.ndarray, label: np.ndarray, role: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
+    """Linked pairs (i, j) of two blocks (role 0 and 1) that join labels not joined before: a forest, so fewer than there are sets.
+    A role of 2 is in both blocks."""
+    left, right = np.nonzero(role != 1)[0], np.nonzero(role != 0)[0]
+    if not len(left) or not len(right):
+        return
+    flat = np.concatenate([sets[j] for j in right])
+    of = np.repeat(np.arange(len(right)), size[right])
+    order = np.argsort(flat, kind="stable")
+    flat, of = flat[order], of[order]
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while up.get(x, x) != x:
+            up[x] = up.get(up[x], up[x])
+            x = up[x]
+        return x
+
+    for i in left:
+        lo, hi = np.searchsorted(flat, sets[i], "left"), np.searchsorted(flat, sets[i], "right")
+        n = hi - lo
+        at = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+        both = np.bincount(of[at], minlength=len(right))
+        for j in right[np.nonzero((100 * both >= percent * (size[i] + size[right] - both)) & (label[right] != label[i]))[0]]:
+            x, y = root(int(label[i])), root(int(label[j]))
+            if x != y:
+                up[max(x, y)] = min(x, y)
+                yield int(i), int(j)
+
+
+def _multiply_apart(nodes: DataFrame, sets: DataFrame, percent: int, most: int = 150_000) -> DataFrame:
+    """Links (a, b) between nodes (family, node, n, label) of one family and different labels, by their whole sets (node, low).
+
+    Nodes are dealt to blocks by size class and hash, apart for the family's most
+    frequent label, whose blocks do not meet; a block has about ``most`` n-grams.
     """
-    names, at, count = np.unique(label, return_inverse=True, return_counts=True)
-    main = int(count.argmax())
-    others = np.nonzero(at != main)[0]
-    first = np.searchsorted(n, -(-percent * n[others] // 100), side="left")
-    last = np.searchsorted(n, 100 * n[others] // percent, side="right")
-    for i, lo, hi in zip(others, first, last):
-        j = np.arange(lo, hi)
-        j = j[(at[lo:hi] != at[i]) & ((at[lo:hi] == main) | (j > i))]
-        if len(j):
-            yield np.full(len(j), i), j
+    nodes = nodes.withColumn("cls", _class(F.col("n"), percent))
+    main = nodes.groupBy("family", "label").count().groupBy("family").agg(F.max_by("label", F.struct("count", -F.col("label"))).alias("main"))
+    nodes = nodes.join(_sized(stored(main, "main")), "family").withColumn("rest", (F.col("label") != F.col("main")).cast("int"))
+    nodes = stored(nodes.select("family", "node", "label", "cls", "rest", "n"), "nodes_apart")
+    part = ["family", "rest", "cls"]
+    parts = nodes.groupBy(*part).agg(F.ceil(F.sum("n") / most).cast("int").alias("m"))
+    parts = stored(parts, "parts")
+    x = parts.filter("rest = 1").select("family", F.col("cls").alias("cls_x"), F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("at_x"))
+    y = parts.select("family", F.col("rest").alias("rest_y"), F.col("cls").alias("cls_y"), F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("at_y"))
+    near = F.abs(F.col("cls_x") - F.col("cls_y")) <= 2
+    once = (F.col("rest_y") == 0) | (F.struct("cls_x", "at_x") <= F.struct("cls_y", "at_y"))
+    tasks = x.join(y, "family").filter(near & once).withColumn("task", F.xxhash64("family", "cls_x", "at_x", "rest_y", "cls_y", "at_y"))
+    same = (F.col("rest_y") == 1) & (F.col("cls_x") == F.col("cls_y")) & (F.col("at_x") == F.col("at_y"))
+    first = tasks.select("task", "family", F.lit(1).alias("rest"), F.col("cls_x").alias("cls"), F.col("at_x").alias("at"), F.when(same, 2).otherwise(0).alias("role"))
+    second = tasks.filter(~same).select("task", "family", F.col("rest_y").alias("rest"), F.col("cls_y").alias("cls"), F.col("at_y").alias("at"), F.lit(1).alias("role"))
+    dealt = nodes.join(_sized(parts), part).withColumn("at", F.pmod(F.xxhash64("node"), F.col("m")).cast("int"))
+    dealt = dealt.join(_sized(stored(first.unionByName(second), "tasks")), [*part, "at"]).select("task", "role", "node", "label")
+    rows = dealt.join(sets.select("node", "low"), "node").select("task", "role", "node", "label", "low")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
 
-def _multiply_apart(entries: DataFrame, percent: int) -> DataFrame:
-    """Counts of pairs of long columns whose ends have different labels."""
+        def out() -> Iterator[pa.RecordBatch]:
+            role, node, label = (np.array([r[k] for r in held]) for k in (1, 2, 3))
+            found = [sorted((int(node[i]), int(node[j]))) for i, j in _joined([r[4] for r in held], np.array([len(r[4]) for r in held]), label, role, percent)]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs = _Pairs()
-        for s, *cols in _runs(batches):  # s, node, n, k, h, f, label
-            ends = np.r_[np.nonzero(np.r_[True, s[1:] != s[:-1]])[0], len(s)]
-            for x, y in zip(ends[:-1], ends[1:]):
-                node, n, k, h, f, label = (c[x:y] for c in cols)
-                for i, j in _apart(n, label, percent):
-                    ok = _reachable(n[i], n[j], h[i], h[j], f[i], percent)
-                    i, j = i[ok], j[ok]
-                    lo, hi = np.where(node[i] < node[j], i, j), np.where(node[i] < node[j], j, i)
-                    yield from pairs.add(node[lo], node[hi], n[lo], n[hi], k[lo], k[hi], np.ones(len(lo), dtype=np.int64))
-        yield from pairs.out()
+        for b in batches:
+            task, role, node, label = (b.column(i).to_numpy() for i in range(4))
+            for i, low in enumerate(b.column(4)):
+                if held and held[0][0] != task[i]:
+                    yield from out()
+                    held.clear()
+                held.append((task[i], role[i], node[i], label[i], low.values.to_numpy().astype(np.int64)))
+        if held:
+            yield from out()
 
-    return entries.repartition("s").sortWithinPartitions("s", "n", "node").mapInArrow(run, _PAIR_TYPE)
+    return rows.repartition("task").sortWithinPartitions("task", "node").mapInArrow(run, "a long, b long")
 
 
 def _sized(small: DataFrame) -> DataFrame:
@@ -385,7 +406,10 @@ def jaccard_components(
 def labelled_rows(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, long_column: int = 32) -> DataFrame:
     """What jaccard_components gives, as _id and _th of common.row_id, n, component and
     label; unlike component, label differs between components that have their least id
-    in common. It is null for empty sets."""
+    in common. It is null for empty sets.
+
+    Very long texts are hashed whole; a task holds the sets of a bounded number of rows
+    (512, or two blocks of about 150 000 n-grams and one text more)."""
     named = docs.select(*row_id(id_col, text_col), F.col(text_col).alias("text"))
     feats = stored(_features(named, n, percent, False), "features")
     full = feats.filter("n > 0")
@@ -404,22 +428,30 @@ def labelled_rows(docs: DataFrame, id_col: str, text_col: str, n: int, percent:
 
     names_id = names.select("node", "_id")
 
-    def whole(index: DataFrame) -> DataFrame:
-        deep = stored(index.filter("k = 0").select("node").join(names_id, "node").select("_id", "node"), "deep")
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        """Whole sets of ``nodes``."""
+        deep = stored(nodes.join(names_id, "node").select("_id", "node"), "deep")
         rows = named.join(_sized(deep.select("_id").distinct()), "_id", "left_semi")
         rows = _features(rows, n, percent, True).join(_sized(deep), ["_id", "node"], "left_semi")
         return stored(rows.dropDuplicates(["node"]).select("node", "n", "low"), "whole")
 
     hot = stored(count(reps), "frequent")
     index = stored(_index(with_hot(reps, hot), percent), "index")
-    wide = whole(index)
+    wide = sets_of(index.filter("k = 0").select("node"))
     more = stored(count(wide).join(_sized(hot), "s", "left_anti"), "frequent")
     if not more.isEmpty():
         hot = hot.unionByName(more)
         index = stored(_index(with_hot(reps, hot), percent), "index")
-        wide = whole(index)
-    index = index.filter("k > 0").unionByName(_index(with_hot(wide, hot), percent))
-    product = stored(_multiply(index, percent, long_column), "product")
+        wide = sets_of(index.filter("k = 0").select("node"))
+    index = stored(index.filter("k > 0").unionByName(_index(with_hot(wide, hot), percent)), "index")
+    # Frequent columns that many nodes hold, and the others, which few do.
+    columns = index.filter("f = 1").groupBy("s").count().filter(F.col("count") > long_column).select("s")
+    columns = _sized(stored(columns, "columns"))
+    frequent = index.filter("f = 1")
+    long = frequent.join(columns, "s", "left_semi").select("s", "node", "n", "h", _class(F.col("n"), percent).alias("cls"))
+    long = stored(long, "long")
+    few = index.filter("f = 0").unionByName(frequent.join(columns, "s", "left_anti"))
+    counted = stored(_multiply(few, percent), "product")
 
     def bounded(pairs: DataFrame) -> DataFrame:
         """Pairs whose counts can still reach the threshold. What is not counted lies behind
@@ -429,12 +461,11 @@ def labelled_rows(docs: DataFrame, id_col: str, text_col: str, n: int, percent:
         need = F.floor((percent * (F.col("na") + F.col("nb")) + 99 + percent) / (100 + percent))
         return c.filter(F.col("c") + F.greatest(F.col("na") - F.col("ka"), F.col("nb") - F.col("kb")) >= need)
 
-    counted = product.filter("b >= 0")
-    short = stored(bounded(counted.filter("c > 0")).select("a", "b"), "candidates")
+    short = stored(bounded(counted).select("a", "b"), "candidates")
     # First one candidate of short columns for each node, and the pivots it meets most often.
     w = W.partitionBy("b").orderBy("c", "a")
-    stars = counted.filter("c < 0").groupBy("a", "b").agg(F.sum("c").alias("c"))
-    stars = stars.select("a", "b", "c").unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b"), "c"))
+    stars = stored(_stars(long, percent).select("a", "b", (-F.col("c")).alias("c")), "stars")
+    stars = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b"), "c"))
     stars = stars.withColumn("r", F.row_number().over(w)).filter("r <= 3").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     one = short.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").unionByName(stars).distinct()
     one = stored(one, "first")
@@ -447,16 +478,18 @@ def labelled_rows(docs: DataFrame, id_col: str, text_col: str, n: int, percent:
             pairs = pairs.join(label, x, "left").withColumn(f"_{x}", F.coalesce(f"_{x}", x))
         return pairs.filter("_a <> _b").drop("_a", "_b")
 
-    entries = product.filter("b = -1").select(F.col("c").alias("s"), F.col("a").alias("node"), F.col("na").alias("n"), F.col("ka").alias("k"), F.col("nb").alias("h"), F.col("kb").alias("f"))
+    # Nodes that meet in long columns only can be at the threshold if frequent n-grams are
+    # nearly all they have: any others are in the index, so a pair that shares one met there.
+    entries = long.filter(100 * F.col("h") >= percent * F.col("n")).select("s", "node", "n")
     entries = entries.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = entries.groupBy("s").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("s")
-    entries = entries.join(mixed, "s", "left_semi").select("s", "node", "n", "k", "h", "f", "label")
-    long = stored(_multiply_apart(entries, percent), "long")
-    ends = long.select("a", "b").distinct()
-    total = long.unionByName(counted.filter("c > 0").join(ends, ["a", "b"], "left_semi"))
-    rest = apart(short).unionByName(bounded(total).select("a", "b")).distinct()
-    rest = stored(rest.join(one, ["a", "b"], "left_anti"), "second")
-    more = stored(_verified(rest, named, names_id, n, percent), "links")
+    mixed = entries.groupBy("s").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("node").alias("least")).filter("lo < hi").select("s", "least")
+    entries = stored(entries.join(_sized(stored(mixed, "mixed")), "s").select("node", "n", "label", "least").distinct(), "mixed_entries")
+    more = stored(_verified(stored(apart(short).join(one, ["a", "b"], "left_anti"), "second"), named, names_id, n, percent), "links")
+    if not entries.isEmpty():
+        family = components(entries.select("node", "least"), "node", "least").withColumnRenamed("label", "family")
+        nodes = entries.select("node", "n", "label").distinct().join(family, "node", "left").withColumn("family", F.coalesce("family", "node"))
+        nodes = stored(nodes, "families")
+        more = more.unionByName(stored(_multiply_apart(nodes, sets_of(nodes.select("node")), percent), "links"))
     if not more.isEmpty():
         labels = stored(components(links.unionByName(more)), "labels")
 

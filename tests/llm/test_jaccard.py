@@ -3,8 +3,10 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
+from sparkloom.llm import jaccard
 from sparkloom.llm.jaccard import components, jaccard_components
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -71,6 +73,33 @@ def test_equals_brute_force(spark, seed, long_column):
     assert sorted(tuple(r) for r in got) == brute(rows)
 
 
+def test_small_blocks_equal_brute_force(spark, monkeypatch):
+    rows = corpus(4, groups=3, size=25)
+    made = []
+
+    def small(nodes, sets, percent, apart=jaccard._multiply_apart):
+        made.append(nodes.count())
+        return apart(nodes, sets, percent, most=500)
+
+    monkeypatch.setattr(jaccard, "_multiply_apart", small)
+    got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), long_column=2).collect()
+    assert sorted(tuple(r) for r in got) == brute(rows) and made
+
+
+def test_joined_hands_out_a_forest():
+    rng = random.Random(2)
+    sets = [np.array(sorted(rng.sample(range(24), rng.randint(16, 22)))) for _ in range(60)]
+    label, role = np.arange(60), np.array([0, 1, 2] * 20)
+    links = list(jaccard._joined(sets, np.array([len(s) for s in sets]), label, role, 70))
+    want = {(i, j) for i in range(60) for j in range(60) if role[i] != 1 and role[j] != 0 and i != j and 100 * len(set(sets[i]) & set(sets[j])) >= 70 * len(set(sets[i]) | set(sets[j]))}
+    assert set(links) <= want and len(links) < 60
+    for pairs in (want, links):
+        up = list(range(60))
+        for i, j in pairs:
+            up = [min(up[i], up[j]) if x in (up[i], up[j]) else x for x in up]
+        assert pairs is want and (whole := up) or up == whole
+
+
 def test_nulls_short_texts_and_repeats(spark):
     rows = [(3, None), (4, ""), (5, " \n"), (6, "a b"), (7, "A\tb"), (8, "a b c"), (6, "a b"), (9, "x y z w"), (None, "x y z w")]
     got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
