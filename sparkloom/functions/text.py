@@ -137,3 +137,23 @@ def ingest_error_kind(message: Column) -> Column:
 def task_type(context: Column, prompt: Column, explicit: Column) -> Column:
     n = F.greatest(F.lit(1), F.floor((F.length(context) + F.length(prompt)) / 4))
     return F.when(explicit.isin("reasoning", "standard", "fast"), explicit).when(n < 500, "fast").otherwise("standard")
+
+
+def dots(identifier: Column) -> Column:
+    return F.length(identifier) - F.length(F.replace(identifier, F.lit("."), F.lit("")))
+
+
+def source_kind(source: Column) -> Column:
+    """How a source is read: cloned from a URL, walked if it is a path; blank sources raise an error."""
+    blank = F.coalesce(F.trim(source), F.lit("")) == ""
+    return F.when(blank, F.raise_error(F.lit("a source is a URL or a path"))).when(is_url(source), "clone").otherwise("path")
+
+
+def seconds_to_midnight(ts: Column) -> Column:
+    """Seconds until the day ends in UTC, 1 at least."""
+    next_day = F.timestamp_add("DAY", F.lit(1), F.date_trunc("day", ts))
+    return F.greatest(F.lit(1), F.unix_seconds(next_day.cast("timestamp")) - F.unix_seconds(ts.cast("timestamp"))).cast("long")
+
+
+def iso(ts: Column) -> Column:
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")

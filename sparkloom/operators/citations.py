@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -28,20 +28,45 @@ def parse(answers: DataFrame) -> DataFrame:
     )
 
 
+#: Lines of a bin; citations and entities of a file meet in the bins that both touch.
+BIN_LINES = 64
+
+
+def _bins(start: str, end: str) -> Column:
+    return F.explode(F.sequence(F.floor(F.col(start) / BIN_LINES), F.floor(F.greatest(start, end) / BIN_LINES))).alias("_bin")
+
+
 def overlapping(citations: DataFrame, entities: DataFrame) -> DataFrame:
-    """Each citation with the smallest entity of its file that its lines overlap; ties to the lesser id."""
-    e = entities.select(F.col("file_path"), F.col("id").alias("entity_id"), F.col("start_line").alias("_s"), F.col("end_line").alias("_e"))
-    both = citations.join(e, "file_path").filter("start_line <= _e and _s <= end_line")
-    w = W.partitionBy("answer_id", "raw").orderBy(F.col("_e") - F.col("_s"), "entity_id")
-    return both.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r", "_s", "_e")
+    """Each citation with the smallest entity of its file that its lines overlap; ties to the lesser id.
+
+    An equi-join on bins of lines, so a hot file is many small groups.
+    """
+    e = entities.select("file_path", F.col("id").alias("entity_id"), F.col("start_line").alias("_s"), F.col("end_line").alias("_e"), _bins("start_line", "end_line"))
+    c = citations.select("answer_id", "raw", "file_path", "start_line", "end_line", _bins("start_line", "end_line"))
+    both = c.join(e, ["file_path", "_bin"]).filter("start_line <= _e and _s <= end_line")
+    best = both.groupBy("answer_id", "raw").agg(F.min(F.struct((F.col("_e") - F.col("_s")).alias("size"), "entity_id")).alias("_m"))
+    return citations.join(best.select("answer_id", "raw", F.col("_m.entity_id").alias("entity_id")), ["answer_id", "raw"])
 
 
 def nearest(citations: DataFrame, entities: DataFrame) -> DataFrame:
-    """Each citation with the entity of its file whose first or last line is nearest to its first line."""
-    e = entities.select("file_path", F.col("id").alias("entity_id"), F.col("start_line").alias("_s"), F.col("end_line").alias("_e"))
-    d = F.least(F.abs(F.col("_s") - F.col("start_line")), F.abs(F.col("_e") - F.col("start_line")))
-    both = citations.join(e, "file_path").withColumn("distance", d)
-    return both.groupBy(*citations.columns).agg(F.min_by("entity_id", F.struct("distance", "entity_id")).alias("entity_id"), F.min("distance").alias("distance"))
+    """Each citation with the entity of its file whose first or last line is nearest to its first line; ties to the lesser id.
+
+    The neighbours on either side, by two ordered passes over the lines of a file: no
+    citation meets all entities of its file.
+    """
+    line = entities.select("file_path", F.col("id").alias("entity_id"), F.explode(F.array("start_line", "end_line")).alias("line"))
+    line = line.groupBy("file_path", F.col("line").cast("long").alias("line")).agg(F.min("entity_id").alias("entity_id"))
+    none = F.lit(None)
+    asked = citations.select("file_path", F.col("start_line").cast("long").alias("line"), none.cast(dict(line.dtypes)["entity_id"]).alias("entity_id"), "answer_id", "raw")
+    points = line.withColumns({"answer_id": none.cast(dict(citations.dtypes)["answer_id"]), "raw": none.cast("string")})
+    here = F.when(F.col("entity_id").isNotNull(), F.struct("line", "entity_id"))
+    order = W.partitionBy("file_path").orderBy("line")
+    before = F.last(here, True).over(order.rangeBetween(W.unboundedPreceding, 0))
+    after = F.first(here, True).over(order.rangeBetween(0, W.unboundedFollowing))
+    met = asked.unionByName(points).withColumns({"_b": before, "_a": after}).filter("raw is not null")
+    near = lambda x: F.when(F.col(x).isNotNull(), F.struct(F.abs(F.col(f"{x}.line") - F.col("line")).alias("d"), F.col(f"{x}.entity_id").alias("id")))
+    met = met.select("answer_id", "raw", F.least(near("_b"), near("_a")).alias("_m")).filter("_m is not null")
+    return citations.join(met.select("answer_id", "raw", F.col("_m.id").alias("entity_id"), F.col("_m.d").alias("distance")), ["answer_id", "raw"])
 
 
 def match_files(cited: DataFrame, files: DataFrame) -> DataFrame:

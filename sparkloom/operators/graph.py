@@ -8,26 +8,42 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import basename, edge_rank
+from ..functions.text import basename, edge_rank, last_dotted
 from ..schemas import ENTRY_FILENAMES, ENTRY_PATTERNS, ENTRY_SCORES
 from ..sources.tables import cut
 
 
-def file_edges(entities: DataFrame, edges: DataFrame) -> DataFrame:
-    """Edges between files: types, dominant type (rank, then name) and distinct connections.
+def file_connections(entities: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row per connection between files: (source_file, target_file, type, source_id, source_name, target_id, target_name, id).
 
-    Intra-file edges and edges with an unknown end are left out. Entities are needed as
-    (id, file_path) only, so neither sources nor vectors reach the joins.
+    Intra-file edges and edges with an unknown end are left out; of edges with equal
+    ends and type the first stays; an entity without a name has the last part of its id.
+    Entities are needed as (id, name, file_path) only, so neither sources nor vectors
+    reach the joins.
     """
-    at = entities.select("id", "file_path")
-    src = at.select(F.col("id").alias("source_id"), F.col("file_path").alias("source_file"))
-    tgt = at.select(F.col("id").alias("target_id"), F.col("file_path").alias("target_file"))
+    name = F.coalesce("name", last_dotted(F.col("id")))
+    at = entities.select("id", name.alias("name"), "file_path")
+    src = at.select(F.col("id").alias("source_id"), F.col("name").alias("source_name"), F.col("file_path").alias("source_file"))
+    tgt = at.select(F.col("id").alias("target_id"), F.col("name").alias("target_name"), F.col("file_path").alias("target_file"))
     rows = edges.join(src, "source_id").join(tgt, "target_id").filter("source_file <> target_file")
-    each = rows.groupBy("source_file", "target_file", "type", "source_id", "target_id").agg(F.min("id").alias("id"))
+    keys = ["source_file", "target_file", "type", "source_id", "source_name", "target_id", "target_name"]
+    return rows.groupBy(*keys).agg(F.min("id").alias("id"))
+
+
+def file_edges(entities: DataFrame, edges: DataFrame, lists: bool = False) -> DataFrame:
+    """Edges between files: types, dominant type (rank, then name) and the number of distinct connections.
+
+    With ``lists``, also ``connection_list``, the connections in the order of edges: a row
+    then grows with the connections of two files, so it is for views of a part of the
+    graph; ``file_connections`` has them as rows.
+    """
+    each = file_connections(entities, edges)
+    of = ["id", "source_id", "source_name", "target_id", "target_name", "type"]
     return each.groupBy("source_file", "target_file").agg(
         F.array_join(F.array_sort(F.collect_set("type")), ",").alias("types"),
         F.min_by("type", F.struct(-edge_rank(F.col("type")), F.col("type"))).alias("dominant"),
         F.count("*").alias("connections"),
+        *([F.array_sort(F.collect_list(F.struct(*of))).alias("connection_list")] if lists else []),
     )
 
 
@@ -55,7 +71,7 @@ def bfs(roots: DataFrame, edges: DataFrame, depth: int, types: Sequence[str] | N
 
     All roots advance together, a join and an anti-join a level, so the number of jobs
     is that of levels. Of several ways of one depth, the one of the least edge id counts.
-    ``seen`` (root, id) is not entered. Lineage is cut at every level.
+    ``seen`` (root, id) is not entered. Lineage is cut at every level but the last.
     """
     use = edges.filter(F.col("type").isin(*types)) if types else edges
     use = use.filter("target_id is not null").select("id", "source_id", "target_id").withColumnRenamed("id", "edge_id")
@@ -68,9 +84,11 @@ def bfs(roots: DataFrame, edges: DataFrame, depth: int, types: Sequence[str] | N
     for d in range(1, depth + 1):
         step = frontier.select("root", F.col("id").alias("source_id")).join(use, "source_id")
         step = step.groupBy("root", F.col("target_id").alias("id")).agg(F.min_by("source_id", "edge_id").alias("via"))
-        frontier = cut(step.join(visited, ["root", "id"], "left_anti").select("root", "id", F.lit(d).alias("depth"), "via"))
-        if frontier.isEmpty():
-            break
+        frontier = step.join(visited, ["root", "id"], "left_anti").select("root", "id", F.lit(d).alias("depth"), "via")
+        if d < depth:
+            frontier = cut(frontier)
+            if frontier.isEmpty():
+                break
         found = found.unionByName(frontier)
         visited = visited.unionByName(frontier.select("root", "id"))
     return found
@@ -131,18 +149,17 @@ def expand(core: DataFrame, entities: DataFrame, edges: DataFrame) -> DataFrame:
     traversal as visited, so that nothing is entered twice. Parent: kept when at least
     two core entities share it and the containing edge exists.
     """
-    roots = core.select("id")
-    seen = roots.select(F.col("id").alias("root"), "id")
+    roots = cut(core.select("id"))
     has = edges.filter("type = 'CONTAINS'").select(F.col("source_id").alias("parent_id"), F.col("target_id").alias("id"))
     up = roots.join(entities.select("id", "parent_id"), "id").filter("parent_id is not null").join(roots.select(F.col("id").alias("parent_id")), "parent_id", "left_anti")
     up = up.withColumn("_n", F.count("*").over(W.partitionBy("parent_id"))).filter("_n >= 2").join(has, ["parent_id", "id"], "left_semi")
     out = cut(up.select(F.col("id").alias("root"), F.col("parent_id").alias("id"), F.lit("parent").alias("role"), F.lit(1).alias("depth"), F.col("id").alias("via")))
 
     def add(rows: DataFrame, role: str) -> None:
-        nonlocal out, seen
-        seen = seen.unionByName(out.select("root", "id")).distinct()
+        nonlocal out
+        seen = roots.select(F.col("id").alias("root"), "id").unionByName(out.select("root", "id"))
         rows = rows.filter("depth > 0").join(seen, ["root", "id"], "left_anti")
-        out = cut(out.unionByName(rows.select("root", "id", F.lit(role).alias("role"), "depth", "via")))
+        out = out.unionByName(cut(rows.select("root", "id", F.lit(role).alias("role"), "depth", "via")))
 
     add(bfs(roots, edges, 3, ["CALLS", "INSTANTIATES"], out.select("root", "id")), "callee")
     calls = edges.filter("type = 'CALLS'").select(F.col("source_id").alias("id"), F.col("target_id").alias("root"))
@@ -162,6 +179,14 @@ def audit(expanded: DataFrame, edges: DataFrame) -> DataFrame:
     return expanded.join(pairs, (F.col("via") == F.col("a")) & (F.col("id") == F.col("b")), "left_anti")
 
 
+def ancestor_edges(entities: DataFrame, edges: DataFrame, hops: int = 3) -> DataFrame:
+    """(id, hop, edge_id, type, source_id): edges that end at one of the ``hops`` nearest parents of an entity, or at itself (hop 0)."""
+    own = entities.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("hop"))
+    chain = own.unionByName(ancestors(entities, hops))
+    into = edges.select(F.col("id").alias("edge_id"), "type", "source_id", F.col("target_id").alias("ancestor"))
+    return chain.join(into, "ancestor").select("id", "hop", "edge_id", "type", "source_id")
+
+
 def ancestors(entities: DataFrame, hops: int = 3) -> DataFrame:
     """(id, ancestor, hop) up to ``hops`` parents."""
     up = entities.select("id", "parent_id")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import seconds_to_midnight
+
 
 def latest(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter("_r = 1").drop("_r")
@@ -85,9 +87,14 @@ def job_states(events: DataFrame, key: str) -> DataFrame:
 
 def sliding_count(events: DataFrame, key: str, ts: str, seconds: int = 60) -> DataFrame:
     """Earlier events of the key in the last ``seconds``; the lower bound is not part of it, nor is the row itself."""
-    us = F.unix_micros(F.col(ts).cast("timestamp"))
-    w = W.partitionBy(key).orderBy("_us").rangeBetween(-seconds * 1_000_000 + 1, -1)
-    return events.withColumn("_us", us).withColumn("recent", F.count("*").over(w)).drop("_us")
+    # Each event is seen in its own span of ``seconds`` and in the next, so a window holds
+    # two spans of one key, however many events the key has.
+    span = seconds * 1_000_000
+    df = events.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp")))
+    df = df.withColumn("_own", F.explode(F.array(F.lit(True), F.lit(False))))
+    df = df.withColumn("_span", F.floor(F.col("_us") / span) + F.when(F.col("_own"), 0).otherwise(1))
+    w = W.partitionBy(key, "_span").orderBy("_us").rangeBetween(-span + 1, -1)
+    return df.withColumn("recent", F.count("*").over(w)).filter("_own").drop("_us", "_own", "_span")
 
 
 def daily_count(events: DataFrame, key: str, ts: str, tie: str) -> DataFrame:
@@ -95,6 +102,35 @@ def daily_count(events: DataFrame, key: str, ts: str, tie: str) -> DataFrame:
     return events.withColumn("today", F.count("*").over(w))
 
 
+def exhausted(events: DataFrame, key: str, ts: str, failed: Column) -> DataFrame:
+    """``events`` with ``exhausted``: whether the key has failed for its quota earlier on the same UTC day, until which ends nothing more is sent to it."""
+    day = F.to_date(ts)
+    first = events.filter(failed).groupBy(key, day.alias("_day")).agg(F.min(ts).alias("_failed"))
+    df = events.withColumn("_day", day).join(first, [key, "_day"], "left")
+    return df.withColumn("exhausted", F.coalesce(F.col(ts) > F.col("_failed"), F.lit(False))).drop("_day", "_failed")
+
+
+def quota_status(events: DataFrame, models: DataFrame, key: str, ts: str, now: Column) -> DataFrame:
+    """Per model: requests of the last 60 seconds and of the day, and the seconds for which either is held; 0 and null without any."""
+    at, t = F.unix_micros(now.cast("timestamp")), F.unix_micros(F.col(ts).cast("timestamp"))
+    recent = (t > at - 60_000_000) & (t <= at)
+    today = (F.to_date(ts) == F.to_date(now)) & (t <= at)
+    counts = events.groupBy(key).agg(F.count_if(recent).alias("rpm_last_60s"), F.count_if(today).alias("rpd_today"), F.max(F.when(t <= at, t)).alias("_last"))
+    df = models.select(key).join(counts, key, "left").na.fill(0, ["rpm_last_60s", "rpd_today"])
+    kept = 70 - F.floor((at - F.col("_last")) / 1_000_000)
+    return df.select(key, "rpm_last_60s", "rpd_today", F.when(kept > 0, kept).alias("rpm_ttl"), F.when(F.col("rpd_today") > 0, seconds_to_midnight(now)).alias("rpd_ttl"))
+
+
+def fail_open(requests: DataFrame, state: DataFrame, key: str) -> DataFrame:
+    """Requests with ``available`` out of what the store says (key, available); True where it says nothing."""
+    return requests.join(state.select(key, F.col("available").alias("_ok")), key, "left").withColumn("available", F.coalesce("_ok", F.lit(True))).drop("_ok")
+
+
+def retry_due(now: Column, failed_at: Column, seconds: int = 30) -> Column:
+    """Whether a store that failed is asked again."""
+    return failed_at.isNull() | (F.unix_micros(now.cast("timestamp")) - F.unix_micros(failed_at.cast("timestamp")) >= seconds * 1_000_000)
+
+
 def available(recent: Column, today: Column, rpm: int, rpd: int, share: float = 0.9) -> Column:
     """Below the share of both limits; a limit of 0 is none."""
     ok = F.lit(True)

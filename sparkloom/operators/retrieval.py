@@ -4,17 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import vectors
 from ..functions.text import token_estimate
+from ..sources.tables import cut
 from . import graph
 
 # Priorities of roles in the context; deeper callees than two are left out.
 PRIORITY = {"core": 1, "callee1": 2, "child": 2, "caller": 3, "callee2": 4, "parent": 5, "base": 6}
 TOKEN_BUDGET = 6000
+#: Characters that every snippet has besides its own values.
+LEAST_SNIPPET = 48
 
 
 def search(rows: DataFrame, query: Sequence[float], k: int, where: Column | None = None, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
@@ -63,14 +68,19 @@ def snippet(df: DataFrame) -> DataFrame:
     return df.withColumn("snippet", F.concat(head, doc, F.lit("Source Code:\n"), F.coalesce("source", F.lit("")), F.lit("\n\n")))
 
 
-def retrieve(entities: DataFrame, edges: DataFrame, query: Sequence[float], k: int = 10, budget: int = TOKEN_BUDGET) -> DataFrame:
-    """Search, expand and assemble: the entities of the context in order, with role priority and characters so far."""
-    core = ranked(search(entities, query, k).select("id", "score"), [F.desc("score"), F.col("id")])
+def retrieve(entities: DataFrame, edges: DataFrame, query: Sequence[float], k: int = 10, budget: int = TOKEN_BUDGET, base: int = 0) -> DataFrame:
+    """Search, expand and assemble: the entities of the context in order, with role priority and
+    characters so far, of which ``base`` are those of the header and the traces."""
+    core = cut(ranked(search(entities, query, k).select("id", "score"), [F.desc("score"), F.col("id")]))
     slim = entities.drop("embedding")
     expanded = graph.expand(core, slim, edges)
-    items = context_items(core, expanded).join(slim, "id")
-    items = items.withColumn("chars", F.length("source") + 80).withColumn("g", F.lit(1))
-    return within_budget(items, ["g"], ["priority", "seq", "id"], "chars", 0, budget).select("id", "priority", "seq", "used")
+    slim = slim if "docstring" in slim.columns else slim.withColumn("docstring", F.lit(None).cast("string"))
+    items = snippet(context_items(core, expanded).join(slim, "id")).select("id", "priority", "seq", F.length("snippet").alias("chars"))
+    # No snippet is shorter than its fixed text, so more items than these cannot fit: the
+    # window runs over a bounded number of rows, whatever the expansion holds.
+    fit = 4 * (budget + 1) // LEAST_SNIPPET + 1
+    items = items.orderBy("priority", "seq", "id").limit(fit).withColumn("g", F.lit(1))
+    return within_budget(items, ["g"], ["priority", "seq", "id"], "chars", base, budget).select("id", "priority", "seq", "used")
 
 
 def synthetic_score(base: Column, rank: Column) -> Column:
@@ -81,26 +91,82 @@ def unseen(results: DataFrame, seen: DataFrame) -> DataFrame:
     return results.join(seen.select("id"), "id", "left_anti")
 
 
-def token_batches(texts: DataFrame, group: list[str], order: list[str], text_col: str, max_tokens: int = 50_000) -> DataFrame:
-    """Greedy batches in order: a text that does not fit starts the next batch; a longer one is alone.
+def greedy_batches(rows: DataFrame, group: list[str], order: list[str], size: str, most: int) -> DataFrame:
+    """``rows`` (group, order, size) with ``batch``: greedy batches in order, of at most ``most``, a larger one alone.
 
-    The reset depends on the running total, so each group is folded in order; rows carry
-    sizes only, not texts.
+    Where a batch ends depends on all before it, yet no group is folded in one piece.
+    Rows are cut into ranges of the order; for each range, a table says what every fill
+    that may enter it becomes (fills that end alike are one interval, so it has at most
+    as many rows as the range); the tables of a group are walked once for the fill that
+    enters each range; then all ranges are folded at the same time. Sizes are whole
+    numbers from 1 on; of a group only the tables meet in one task.
     """
-    slim = texts.select(*group, *order, token_estimate(F.col(text_col), 1).alias("tokens"))
-
-    def fold(g):
+    parts, columns = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.columns
+    ranged = cut(rows.repartitionByRange(parts, *group, *order).withColumn("_part", F.spark_partition_id()))
+    types = dict(rows.dtypes)
+    keys = ", ".join(f"{g} {types[g]}" for g in group)
+
+    def table(g: pd.DataFrame) -> pd.DataFrame:
+        t = g.sort_values(order)[size].to_numpy()
+        n = len(t)
+        total = np.concatenate([[0], np.cumsum(t)])
+        # The batch that starts at i ends before nxt[i]; a larger one is alone.
+        nxt = np.maximum(np.searchsorted(total, total[:-1] + most, side="right") - 1, np.arange(n) + 1)
+        end, count = np.empty(n + 1, dtype=np.int64), np.zeros(n + 1, dtype=np.int64)
+        for i in range(n - 1, -1, -1):
+            j = nxt[i]
+            end[i], count[i] = (min(total[n] - total[i], most), 1) if j == n else (end[j], count[j] + 1)
+        # An entering fill f starts its first batch at the first row that does not fit.
+        first = np.arange(n)
+        lo = np.maximum(0, most - total[1 : n + 1] + 1)  # from this fill on, row i does not fit
+        lo[0] = min(lo[0], most)
+        rows_ = [(int(f), int(end[i]), int(count[i])) for f, i in zip(lo, first)]
+        seen, out = most + 1, []
+        for f, e, c in rows_:  # descending fills
+            if f < seen:
+                out.append((f, min(seen, most + 1) - 1, e, c, 0))
+                seen = f
+        if seen > 0:  # all rows fit
+            out.append((0, seen - 1, 0, 0, int(total[n])))
+        made = pd.DataFrame(out, columns=["lo", "hi", "fill", "n", "plus"])
+        merged = made.groupby(["fill", "n", "plus"], as_index=False).agg(lo=("lo", "min"), hi=("hi", "max"))
+        return merged.assign(_part=g["_part"].iloc[0], **{k: g[k].iloc[0] for k in group})[[*group, "_part", "lo", "hi", "fill", "n", "plus"]]
+
+    def walk(g: pd.DataFrame) -> pd.DataFrame:
+        fill, batch, out = 0, 0, []
+        for part, one in g.groupby("_part", sort=True):
+            out.append((part, fill, batch))
+            r = one[(one["lo"] <= fill) & (fill <= one["hi"])].iloc[0]
+            if fill == 0:  # nothing is open, so the first row starts a batch that is counted already
+                r = one[(one["lo"] <= most) & (most <= one["hi"])].iloc[0]
+                fill, batch = int(r["fill"]), batch + int(r["n"]) - 1
+            elif r["n"]:
+                fill, batch = int(r["fill"]), batch + int(r["n"])
+            else:
+                fill = min(fill + int(r["plus"]), most)
+        made = pd.DataFrame(out, columns=["_part", "_fill", "_batch"])
+        return made.assign(**{k: g[k].iloc[0] for k in group})[[*group, "_part", "_fill", "_batch"]]
+
+    def fold(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(order)
-        batch, used, out = 0, 0, []
-        for t in g["tokens"]:
-            if used and used + t > max_tokens:
+        used, batch, out = int(g["_fill"].iloc[0]), int(g["_batch"].iloc[0]), []
+        for t in g[size]:
+            if used and used + t > most:
                 batch, used = batch + 1, 0
             used += t
             out.append(batch)
-        return g.assign(batch=out)
+        return g.assign(batch=out)[[*columns, "batch"]]
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in slim.schema.fields) + ", batch long"
-    return slim.groupBy(*group).applyInPandas(fold, schema)
+    tables = ranged.groupBy(*group, "_part").applyInPandas(table, f"{keys}, _part int, lo long, hi long, fill long, n long, plus long")
+    entry = tables.groupBy(*group).applyInPandas(walk, f"{keys}, _part int, _fill long, _batch long")
+    schema = ", ".join(f"{k} {v}" for k, v in types.items()) + ", batch long"
+    return ranged.join(entry, [*group, "_part"]).groupBy(*group, "_part").applyInPandas(fold, schema)
+
+
+def token_batches(texts: DataFrame, group: list[str], order: list[str], text_col: str, max_tokens: int = 50_000) -> DataFrame:
+    """Greedy batches in order: a text that does not fit starts the next batch; a longer one is alone. Rows carry sizes, not texts."""
+    slim = texts.select(*group, *order, token_estimate(F.col(text_col), 1).alias("tokens"))
+    return greedy_batches(slim, group, order, "tokens", max_tokens)
 
 
 def file_batches(files: DataFrame, repo_col: str, path_col: str, text_col: str, context: int, reserve: int, output: int = 800, share: float = 0.3) -> DataFrame:
@@ -109,22 +175,8 @@ def file_batches(files: DataFrame, repo_col: str, path_col: str, text_col: str,
     df = files.select(repo_col, path_col, token_estimate(F.col(text_col), 1).alias("tokens"))
     kind = F.when(F.col("tokens") > budget, "chunked").when(F.col("tokens") < share * budget, "packed").otherwise("single")
     df = df.withColumn("kind", kind)
-    small = df.filter("kind = 'packed'").withColumn("_p", F.lit("p"))
-
-    def fold(g):
-        g = g.sort_values(path_col)
-        batch, used, out = 0, 0, []
-        for t in g["tokens"]:
-            if used and used + t > budget:
-                batch, used = batch + 1, 0
-            used += t
-            out.append(batch)
-        return g.assign(batch=out)[[repo_col, path_col, "tokens", "kind", "batch"]]
-
-    kinds = dict(df.dtypes)
-    packed = small.groupBy(repo_col).applyInPandas(fold, f"{repo_col} {kinds[repo_col]}, {path_col} {kinds[path_col]}, tokens long, kind string, batch long")
-    rest = df.filter("kind <> 'packed'").withColumn("batch", F.lit(None).cast("long"))
-    return packed.unionByName(rest)
+    packed = greedy_batches(df.filter("kind = 'packed'"), [repo_col], [path_col], "tokens", budget)
+    return packed.unionByName(df.filter("kind <> 'packed'").withColumn("batch", F.lit(None).cast("long")))
 
 
 def line_chunks(text: Column, size: int) -> Column:

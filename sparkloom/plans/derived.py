@@ -31,11 +31,13 @@ KINDS = {"error": "CALLS", "click": "IMPORTS", "purchase": "INHERITS", "signup":
 
 
 def edges(spark: SparkSession, d: str) -> DataFrame:
-    e = read(spark, d, "events").filter("event_id % 5 = 0")
+    """An edge of every event, from its user to one of all customers."""
+    e = read(spark, d, "events")
+    n = max(1, read(spark, d, "customer").count())  # from the files' footers
     kind = F.lit("CONTAINS")
     for k, v in KINDS.items():
         kind = F.when(F.col("event_type") == k, v).otherwise(kind)
-    to = (F.col("user_id") * 7 + F.floor(F.col("event_id") / 5)) % 151
+    to = (F.col("user_id") * 7 + F.col("event_id")) % n
     e = e.select(F.col("event_id").alias("id"), F.concat(F.lit("c"), F.col("user_id").cast("string")).alias("source_id"), F.concat(F.lit("c"), to.cast("string")).alias("target_id"), kind.alias("type"))
     return e.filter("source_id <> target_id")
 
@@ -56,18 +58,33 @@ def answers(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").select(F.col("doc_id").alias("answer_id"), text.alias("answer"))
 
 
+def claims(spark: SparkSession, d: str) -> DataFrame:
+    """Answers that say of a symbol that it calls what a citation points at: the event's user, nobody, the target itself or another user."""
+    c = read(spark, d, "customer").select(F.col("c_custkey").alias("k"), "c_nationkey")
+    e = edges(spark, d).select("id", "source_id", F.substring("target_id", 2, 20).cast("long").alias("k")).join(c, "k")
+    a = F.col("k") % 360 + 1
+    who = F.when(F.col("id") % 4 == 1, "it").when(F.col("id") % 4 == 2, F.concat(F.lit("c"), F.col("k").cast("string")))
+    who = who.when(F.col("id") % 4 == 3, F.concat(F.col("source_id"), F.lit("1"))).otherwise(F.col("source_id"))
+    text = F.concat(who, F.lit(" calls [src/n"), F.col("c_nationkey").cast("string"), F.lit(".py:"), a.cast("string"), F.lit("-"), (a + F.col("k") % 30).cast("string"), F.lit("]."))
+    return e.select(F.col("id").alias("answer_id"), text.alias("answer"))
+
+
 SQL = {
     "entities": """entities AS (
   SELECT 'n' || n_nationkey AS id, 'module' AS type, n_name AS name, NULL::VARCHAR AS parent_id, 'src/n' || n_nationkey || '.py' AS file_path, 1::BIGINT AS start_line, 400::BIGINT AS end_line FROM nation
   UNION ALL SELECT 's' || s_suppkey, 'class', s_name, 'n' || s_nationkey, 'src/n' || s_nationkey || '.py', s_suppkey % 200 + 1, s_suppkey % 200 + 41 FROM supplier
   UNION ALL SELECT 'c' || c_custkey, 'method', c_name, 'n' || c_nationkey, 'src/n' || c_nationkey || '.py', c_custkey % 360 + 1, c_custkey % 360 + 1 + c_custkey % 30 FROM customer)""",
     "edges": """edges AS (
-  SELECT * FROM (SELECT event_id AS id, 'c' || user_id AS source_id, 'c' || ((user_id * 7 + event_id // 5) % 151) AS target_id,
+  SELECT * FROM (SELECT event_id AS id, 'c' || user_id AS source_id, 'c' || ((user_id * 7 + event_id) % greatest(1, (SELECT count(*) FROM customer))) AS target_id,
     CASE event_type WHEN 'error' THEN 'CALLS' WHEN 'click' THEN 'IMPORTS' WHEN 'purchase' THEN 'INHERITS' WHEN 'signup' THEN 'INSTANTIATES' WHEN 'view' THEN 'IMPLEMENTS' ELSE 'CONTAINS' END AS type
-  FROM events WHERE event_id % 5 = 0) WHERE source_id <> target_id)""",
+  FROM events) WHERE source_id <> target_id)""",
     "answers": """answers AS (
   SELECT doc_id AS answer_id, 'see [src/n' || (doc_id % 31) || '.py:' || (n_chars % 50 + 1) || '-' || (n_chars % 50 + 1 + doc_id % 7) || '] and [`src/n' || (doc_id % 31) || '.py:' || (n_chars % 50 + 101) || '-' || (n_chars % 50 + 121)
     || '`] or [src/x.py:start-end] then [src/n' || (doc_id % 31) || '.py:' || (n_chars % 50 + 1) || '-' || (n_chars % 50 + 1 + doc_id % 7) || '].' AS answer FROM documents)""",
+    "claims": """claims AS (
+  SELECT e.id AS answer_id, CASE e.id % 4 WHEN 1 THEN 'it' WHEN 2 THEN 'c' || k WHEN 3 THEN source_id || '1' ELSE source_id END AS symbol, 'src/n' || c_nationkey || '.py' AS file_path, k % 360 + 1 AS start_line, k % 360 + 1 + k % 30 AS end_line
+  FROM (SELECT *, substr(target_id, 2)::BIGINT AS k FROM edges) e JOIN customer ON c_custkey = k)""",
+    "links": "links AS (SELECT id, source_id, target_id, type FROM edges UNION ALL SELECT NULL, parent_id, id, 'CONTAINS' FROM entities WHERE parent_id IS NOT NULL)",
     "cites": r"""cites AS (
   SELECT answer_id, raw, pos, regexp_extract(raw, '\[([^\[\]\s:`]+):', 1) AS file_path, regexp_extract(raw, ':(\d+)', 1)::BIGINT AS start_line, regexp_extract(raw, '-(\d+)\]', 1)::BIGINT AS end_line
   FROM (SELECT answer_id, raw, instr(n, raw) AS pos FROM (

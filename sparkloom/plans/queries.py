@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -14,25 +11,15 @@ from ..operators import citations as C
 from ..operators import extract as X
 from ..operators import graph as G
 from ..operators import memory as M
+from ..operators import overview as O
 from ..operators import resolve as V
 from ..operators import retrieval as R
 from ..schemas import KNOWN_EXTENSIONS, SUPPORTED_EXTENSIONS
 from ..sources import tables as S
+from . import accounts, texts  # noqa: F401  they register their queries
 from . import derived as D
 from .derived import with_
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
+from .registry import ORACLES, QUERIES, query  # noqa: F401
 
 
 #: A fixed query vector: what is asked is a parameter of the search, not of the data.
@@ -97,11 +84,29 @@ def file_graph_edges(spark, d):
     return G.file_edges(D.entities(spark, d), D.edges(spark, d))
 
 
-@query(with_("entities edges", """SELECT m.id, 3::INTEGER AS score FROM entities m
-  WHERE m.type = 'method' AND EXISTS (SELECT 1 FROM edges e WHERE e.type = 'CALLS' AND e.source_id = m.id) AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.type = 'CALLS' AND e.target_id = m.id)"""))
+@query(with_("entities edges", """SELECT s.file_path AS source_file, t.file_path AS target_file, e.type, e.source_id, s.name AS source_name, e.target_id, t.name AS target_name, min(e.id) AS id
+  FROM edges e JOIN entities s ON s.id = e.source_id JOIN entities t ON t.id = e.target_id WHERE s.file_path <> t.file_path GROUP BY ALL"""))
+def file_graph_connections(spark, d):
+    return G.file_connections(D.entities(spark, d), D.edges(spark, d))
+
+
+@query(with_("entities edges", _FILE_EDGES + """, y AS (SELECT s.file_path AS source_file, t.file_path AS target_file, e.type, s.name AS a, t.name AS b, min(e.id) AS id FROM edges e JOIN entities s ON s.id = e.source_id JOIN entities t ON t.id = e.target_id
+  WHERE s.file_path <> t.file_path GROUP BY e.type, e.source_id, e.target_id, s.file_path, t.file_path, s.name, t.name) SELECT source_file, target_file, string_agg(a || ' ' || type || ' ' || b, chr(10) ORDER BY id) AS listed FROM y GROUP BY ALL"""))
+def file_graph_lists(spark, d):
+    each = G.file_edges(D.entities(spark, d), D.edges(spark, d), lists=True)
+    line = F.transform("connection_list", lambda c: F.concat_ws(" ", c["source_name"], c["type"], c["target_name"]))
+    return each.select("source_file", "target_file", F.array_join(line, "\n").alias("listed"))
+
+
+@query(with_("edges", """+ calls AS (SELECT DISTINCT source_id, target_id FROM edges WHERE type = 'CALLS') SELECT id, score FROM (SELECT 'c' || k AS id, ((CASE k % 5 WHEN 0 THEN 10 ELSE 0 END) + (CASE k % 3 WHEN 0 THEN 5 ELSE 0 END)
+    + (CASE WHEN 'c' || k IN (SELECT source_id FROM calls) AND 'c' || k NOT IN (SELECT target_id FROM calls) THEN 3 ELSE 0 END))::INTEGER AS score FROM (SELECT c_custkey AS k FROM customer)) WHERE score > 0 ORDER BY score DESC, id LIMIT 10"""))
 def entry_points(spark, d):
-    m = D.entities(spark, d).filter("type = 'method'").withColumn("language", F.lit("python")).withColumn("source", F.lit(""))
-    return G.entry_points(m, D.edges(spark, d), None).select("id", F.col("score").cast("int").alias("score"))
+    k = F.col("c_custkey")
+    ts = k % 2 == 1
+    name = F.when(k % 5 == 0, F.when(ts, "index.ts").otherwise("main.py")).otherwise("other.txt")
+    source = F.when(k % 3 == 0, F.when(ts, "app.listen (3000)").otherwise("if __name__ == '__main__':\n    run()")).otherwise("x = 1")
+    m = S.read(spark, d, "customer").select(F.concat(F.lit("c"), k.cast("string")).alias("id"), F.concat(F.lit("src/"), name).alias("file_path"), F.when(ts, "typescript").otherwise("python").alias("language"), source.alias("source"))
+    return G.entry_points(m, D.edges(spark, d)).select("id", F.col("score").cast("int").alias("score"))
 
 
 def _roots(spark, d):
@@ -148,15 +153,46 @@ def _all_edges(spark, d):
     return D.edges(spark, d).unionByName(D.contains(spark, d))
 
 
-@query()
+_CORE = "core AS (SELECT id FROM entities WHERE id = 'n8' OR file_path = 'src/n7.py' AND type = 'method' AND length(id) <= 3)"
+
+
+def _core(spark, d):
+    e = D.entities(spark, d)
+    return e.filter("id = 'n8' or file_path = 'src/n7.py' and type = 'method' and length(id) <= 3").select("id")
+
+
+#: Roles of the core's neighbours; a role does not enter what roles before it hold.
+_EXPAND = """parent AS (SELECT e.id AS root, e.parent_id AS id FROM core JOIN entities e USING (id) WHERE e.parent_id IS NOT NULL AND e.parent_id NOT IN (SELECT id FROM core)
+    AND e.parent_id IN (SELECT p.parent_id FROM core JOIN entities p USING (id) GROUP BY 1 HAVING count(*) >= 2)),
+  r1 AS (SELECT id AS root, id, 0 AS depth FROM core UNION SELECT r.root, e.target_id, r.depth + 1 FROM r1 r JOIN links e ON e.source_id = r.id AND e.type IN ('CALLS', 'INSTANTIATES')
+    WHERE r.depth < 3 AND NOT EXISTS (SELECT 1 FROM parent p WHERE p.root = r.root AND p.id = e.target_id)),
+  callee AS (SELECT root, id, min(depth) AS depth FROM r1 GROUP BY ALL HAVING min(depth) > 0),
+  s2 AS (SELECT id AS root, id FROM core UNION SELECT * FROM parent UNION SELECT root, id FROM callee),
+  caller AS (SELECT DISTINCT e.target_id AS root, e.source_id AS id FROM links e JOIN core ON core.id = e.target_id WHERE e.type = 'CALLS' AND (e.target_id, e.source_id) NOT IN (SELECT (root, id) FROM s2)),
+  s3 AS (SELECT * FROM s2 UNION SELECT * FROM caller),
+  r2 AS (SELECT id AS root, id, 0 AS depth FROM core UNION SELECT r.root, e.target_id, r.depth + 1 FROM r2 r JOIN links e ON e.source_id = r.id AND e.type IN ('INHERITS', 'IMPLEMENTS')
+    WHERE r.depth < 2 AND (r.root = e.target_id OR (r.root, e.target_id) NOT IN (SELECT (root, id) FROM s3))),
+  base AS (SELECT root, id, min(depth) AS depth FROM r2 GROUP BY ALL HAVING min(depth) > 0),
+  s4 AS (SELECT * FROM s3 UNION SELECT root, id FROM base),
+  child AS (SELECT e.source_id AS root, e.target_id AS id FROM links e JOIN core ON core.id = e.source_id JOIN entities m ON m.id = core.id AND m.type = 'module' WHERE e.type = 'CONTAINS'
+    AND core.id NOT IN (SELECT source_id FROM links WHERE type IN ('CALLS', 'IMPORTS') UNION SELECT target_id FROM links WHERE type IN ('CALLS', 'IMPORTS')) AND (e.source_id, e.target_id) NOT IN (SELECT (root, id) FROM s4)),
+  roles AS (SELECT root, id, 'parent' AS role, 1 AS depth FROM parent UNION ALL SELECT root, id, 'callee', depth FROM callee UNION ALL SELECT root, id, 'caller', 1 FROM caller
+    UNION ALL SELECT root, id, 'base', depth FROM base UNION ALL SELECT root, id, 'child', 1 FROM child)"""
+
+
+@query(with_("entities edges links", "+ " + _CORE + ", " + _EXPAND + " SELECT * FROM roles", True))
 def expand_roles(spark, d):
-    return G.expand(_roots(spark, d), D.entities(spark, d), _all_edges(spark, d))
+    return G.expand(_core(spark, d), D.entities(spark, d), _all_edges(spark, d)).select("root", "id", "role", "depth")
 
 
-@query("SELECT 0::BIGINT AS unaccounted")
+@query(with_("entities edges links", "+ " + _CORE + ", " + _EXPAND + """ SELECT role, count(*) AS n, count(*) FILTER (WHERE (root, id) NOT IN (SELECT (source_id, target_id) FROM links UNION SELECT (target_id, source_id) FROM links)) AS apart FROM roles GROUP BY role""", True))
 def expansion_audit(spark, d):
     e = _all_edges(spark, d)
-    return G.audit(G.expand(_roots(spark, d), D.entities(spark, d), e), e).agg(F.count("*").alias("unaccounted"))
+    found = G.expand(_core(spark, d), D.entities(spark, d), e)
+    lost = G.audit(found, e).groupBy("role").agg(F.count("*").alias("lost"))  # rows that no edge accounts for: none
+    pairs = e.select(F.col("source_id").alias("root"), F.col("target_id").alias("id")).unionByName(e.select(F.col("target_id").alias("root"), F.col("source_id").alias("id"))).distinct().withColumn("near", F.lit(1))
+    n = found.join(pairs, ["root", "id"], "left").groupBy("role").agg(F.count("*").alias("n"), F.count_if(F.col("near").isNull()).alias("apart"))
+    return n.join(lost, "role", "left").select("role", (F.col("n") - F.coalesce("lost", F.lit(0))).alias("n"), "apart")
 
 
 @query(with_("edges", "SELECT DISTINCT source_id AS caller, target_id AS callee FROM edges WHERE type = 'CALLS' AND target_id IN ('c1', 'c2', 'c5')"))
@@ -178,9 +214,9 @@ def ancestor_chain(spark, d):
     return G.ancestors(D.entities(spark, d), 3).select("id", "ancestor", "hop")
 
 
-@query(with_("entities edges", "SELECT id, name FROM entities WHERE type = 'method' AND id NOT IN (SELECT target_id FROM edges)"))
+@query(with_("entities edges", "SELECT id, name FROM entities WHERE type = 'method' AND id NOT IN (SELECT target_id FROM edges WHERE type = 'CALLS')"))
 def unseen_anti(spark, d):
-    seen = D.edges(spark, d).select(F.col("target_id").alias("id"))
+    seen = D.edges(spark, d).filter("type = 'CALLS'").select(F.col("target_id").alias("id"))
     return R.unseen(D.entities(spark, d).filter("type = 'method'"), seen).select("id", "name")
 
 
@@ -262,12 +298,32 @@ def fuzzy_file_match(spark, d):
     return C.match_files(cited, D.entities(spark, d).select(F.col("file_path").alias("path")).distinct())
 
 
-@query(with_("entities answers cites", """+ hit AS (""" + _OVERLAP + """)
-  SELECT c.answer_id, count(*) AS total, count(*) FILTER (WHERE h.entity_id IS NULL) AS unsupported, round(count(*) FILTER (WHERE h.entity_id IS NULL) / count(*)::DOUBLE, 6) AS hallucination_rate FROM cites c LEFT JOIN hit h USING (answer_id, raw) GROUP BY c.answer_id"""))
+_KINDS = """hit AS (SELECT answer_id, arg_min(id, lpad((e1 - s1)::VARCHAR, 8, '0') || id) AS entity_id FROM (SELECT c.answer_id, e.id, e.end_line AS e1, e.start_line AS s1 FROM claims c JOIN entities e ON e.file_path = c.file_path AND c.start_line <= e.end_line AND e.start_line <= c.end_line) GROUP BY answer_id),
+  x AS (SELECT c.answer_id, h.entity_id, CASE WHEN c.symbol IN (SELECT id FROM entities) THEN c.symbol END AS symbol FROM claims c LEFT JOIN hit h USING (answer_id)),
+  flags AS (SELECT source_id, target_id, bool_or(type = 'CONTAINS') AS contains, bool_or(type = 'CALLS') AS calls FROM links GROUP BY ALL),
+  kinds AS (SELECT answer_id, CASE WHEN entity_id IS NULL THEN 'unsupported' WHEN symbol IS NULL OR symbol = entity_id OR f.contains THEN 'definition' WHEN f.calls THEN 'call_site' WHEN f.source_id IS NOT NULL THEN 'definition' ELSE 'unsupported' END AS kind
+    FROM x LEFT JOIN flags f ON f.source_id = symbol AND f.target_id = entity_id)"""
+
+
+def _classified(spark, d):
+    e = D.entities(spark, d).withColumn("name", F.col("id"))
+    return C.classify(C.parse(D.claims(spark, d)), e, _all_edges(spark, d))
+
+
+@query(with_("entities edges links claims", "+ " + _KINDS + " SELECT answer_id, kind FROM kinds"))
+def citation_kinds(spark, d):
+    return _classified(spark, d).select("answer_id", "kind")
+
+
+@query(with_("entities edges links claims", "+ " + _KINDS + " SELECT answer_id, count(*) AS total, count(*) FILTER (WHERE kind = 'unsupported') AS unsupported, round(avg((kind = 'unsupported')::INTEGER), 6) AS hallucination_rate, round(1 - avg((kind = 'unsupported')::INTEGER), 6) AS hit_rate FROM kinds GROUP BY answer_id"))
 def citation_report(spark, d):
-    none = spark.createDataFrame([], "symbol string")
-    cl = C.classify(_cites(spark, d), D.entities(spark, d), D.edges(spark, d), none)
-    return C.report(cl).select("answer_id", "total", "unsupported", F.round("hallucination_rate", 6).alias("hallucination_rate"))
+    return C.report(_classified(spark, d)).select("answer_id", "total", "unsupported", F.round("hallucination_rate", 6).alias("hallucination_rate"), F.round("hit_rate", 6).alias("hit_rate"))
+
+
+@query(with_("edges", "SELECT DISTINCT type, unnest(list_distinct([source_id, regexp_extract(source_id, '[^.]*$')])) AS source, target FROM (SELECT type, 'py.m.' || source_id AS source_id, unnest(list_distinct(['py.m.' || target_id, target_id])) AS target FROM edges)"))
+def edge_name_ways(spark, d):
+    e = D.edges(spark, d).select("type", *[F.concat(F.lit("py.m."), c).alias(c) for c in ("source_id", "target_id")])
+    return C.edge_names(e).select("type", "source", "target")
 
 
 @query(with_("answers", r"SELECT answer_id, regexp_replace(regexp_replace(answer, '\[`([^\[\]\s:`]+\.[a-zA-Z0-9]+:\d+(?:-\d+)?)`\]', '[\1]', 'g'), '(?i)\[([^\[\]\s:`]+\.[a-zA-Z0-9]+):(?:start|end)(?:-(?:\d+|start|end))?\]', '', 'g') AS answer FROM answers"))
@@ -282,13 +338,16 @@ def latest_complete(spark, d):
 
 
 @query("""WITH last AS (SELECT o_custkey, o_orderkey, o_orderdate, o_custkey % 25 AS repo_id FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders WHERE o_orderstatus = 'F') WHERE r = 1),
-  repo AS (SELECT o_custkey % 25 AS repo_id, max(o_orderdate) AS indexed_at FROM orders WHERE o_orderkey % 400 = 3 GROUP BY 1)
+  repo AS (SELECT o_custkey % 25 AS repo_id, max(o_orderdate) - INTERVAL 400 DAY AS indexed_at FROM orders GROUP BY 1)
   SELECT o_custkey, o_orderkey FROM last JOIN repo USING (repo_id) WHERE o_orderdate >= indexed_at""")
 def cache_staleness(spark, d):
     o = S.read(spark, d, "orders").withColumn("repo_id", F.col("o_custkey") % 25)
-    repos = o.filter("o_orderkey % 400 = 3").groupBy("repo_id").agg(F.max("o_orderdate").alias("indexed_at"))
     entries = o.select("repo_id", "o_custkey", F.col("o_orderkey").alias("id"), (F.col("o_orderstatus") == "F").alias("complete"), F.col("o_orderdate").alias("created_at"), F.col("o_orderdate").alias("repo_indexed_at"))
-    return M.cache_lookup(entries, repos, ["repo_id", "o_custkey"]).select("o_custkey", F.col("id").alias("o_orderkey"))
+    return M.cache_lookup(entries, _versions(o), ["repo_id", "o_custkey"]).select("o_custkey", F.col("id").alias("o_orderkey"))
+
+
+def _versions(orders):
+    return orders.groupBy("repo_id").agg((F.max("o_orderdate") - F.expr("INTERVAL 400 DAYS")).alias("indexed_at"))
 
 
 @query("SELECT conv_id, coalesce(max(turn), 0) + 1 AS next_turn FROM conversations GROUP BY conv_id")
@@ -496,27 +555,42 @@ def unique_names(spark, d):
     return S.read(spark, d, "part").groupBy("p_brand", "p_size", "p_type").agg(F.count("*").alias("n")).filter("n = 1")
 
 
-@query(with_("edges", "SELECT type, count(*) AS n, count(*) FILTER (WHERE id % 10 = 0) AS matched, round(count(*) FILTER (WHERE id % 10 = 0) / count(*)::DOUBLE, 6) AS rate FROM edges GROUP BY type"))
+@query(with_("edges", """+ v AS (SELECT DISTINCT e.source_id, e.target_id, e.type, x.value FROM edges e JOIN events x ON x.event_id = e.id), e AS (SELECT DISTINCT source_id, target_id, type FROM v WHERE value < 80), a AS (SELECT DISTINCT source_id, target_id, type FROM v WHERE value > 20)
+  SELECT coalesce(e.type, a.type) AS type, count(e.type) AS expected, count(a.type) AS found, count(*) FILTER (WHERE e.type IS NOT NULL AND a.type IS NOT NULL) AS matched, round(count(*) FILTER (WHERE e.type IS NOT NULL AND a.type IS NOT NULL) / nullif(count(e.type), 0)::DOUBLE, 6) AS rate
+  FROM e FULL JOIN a ON e.source_id = a.source_id AND e.target_id = a.target_id AND e.type = a.type GROUP BY 1"""))
 def edge_match_rate(spark, d):
-    hit = F.count_if(F.col("id") % 10 == 0)
-    return D.edges(spark, d).groupBy("type").agg(F.count("*").alias("n"), hit.alias("matched"), F.round(hit / F.count("*"), 6).alias("rate"))
+    v = D.edges(spark, d).join(S.read(spark, d, "events").select(F.col("event_id").alias("id"), "value"), "id")
+    return O.match_rates(v.filter("value < 80"), v.filter("value > 20"), ["source_id", "target_id", "type"], "type")
+
+
+#: One step a row of a source: what the batch holds so far, and its number.
+_GREEDY = """rows AS (SELECT source, doc_id, greatest(1, length(text) // 4) AS tokens, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents {1}),
+  g AS (SELECT source, doc_id, tokens, r, tokens AS used, 0::BIGINT AS batch FROM rows WHERE r = 1 UNION ALL
+    SELECT n.source, n.doc_id, n.tokens, n.r, CASE WHEN g.used + n.tokens > {0} THEN n.tokens ELSE g.used + n.tokens END, g.batch + (g.used + n.tokens > {0})::BIGINT FROM g JOIN rows n ON n.r = g.r + 1 AND n.source IS NOT DISTINCT FROM g.source)"""
 
 
-@query()
+@query("WITH RECURSIVE " + _GREEDY.format(5000, "") + " SELECT source, doc_id, tokens, batch FROM g")
 def token_batches(spark, d):
     return R.token_batches(S.read(spark, d, "documents"), ["source"], ["doc_id"], "text", 5_000)
 
 
-@query()
+@query("WITH RECURSIVE " + _GREEDY.format(2000, "WHERE greatest(1, length(text) // 4) < 600") + """ SELECT source, doc_id, tokens, 'packed' AS kind, batch FROM g UNION ALL
+  SELECT source, doc_id, greatest(1, length(text) // 4), CASE WHEN greatest(1, length(text) // 4) > 2000 THEN 'chunked' ELSE 'single' END, NULL FROM documents WHERE greatest(1, length(text) // 4) >= 600""")
 def file_batches(spark, d):
     return R.file_batches(S.read(spark, d, "documents"), "source", "doc_id", "text", 4_000, 2_000)
 
 
-@query()
+@query(with_("entities edges links", f"""+ scored AS (SELECT 'c' || vec_id AS id, {_COS} AS score FROM embeddings), ranked AS (SELECT s.id, row_number() OVER (ORDER BY s.score DESC, s.id) AS rank FROM scored s JOIN entities USING (id) WHERE s.score IS NOT NULL QUALIFY rank <= 5),
+  core AS (SELECT id FROM ranked), {_EXPAND},
+  items AS (SELECT id, 1 AS priority, rank AS seq FROM ranked UNION ALL SELECT r.id, CASE role WHEN 'callee' THEN CASE depth WHEN 1 THEN 2 WHEN 2 THEN 4 END WHEN 'child' THEN 2 WHEN 'caller' THEN 3 WHEN 'parent' THEN 5 ELSE 6 END, k.rank FROM roles r JOIN ranked k ON k.id = r.root),
+  best AS (SELECT id, min(priority) AS priority, arg_min(seq, priority * 1000 + seq) AS seq FROM items WHERE priority IS NOT NULL GROUP BY id),
+  shown AS (SELECT b.*, length('--- Entity: ' || type || ' ' || name || ' ---' || chr(10) || 'Citation: [' || file_path || ':' || start_line || '-' || end_line || ']' || chr(10) || 'Source Code:' || chr(10) || type || ' ' || name || chr(10) || chr(10)) AS chars FROM best b JOIN entities USING (id)),
+  run AS (SELECT *, 400 + sum(chars) OVER w AS used FROM shown WINDOW w AS (ORDER BY priority, seq, id ROWS UNBOUNDED PRECEDING)), cut AS (SELECT *, max((used // 4 > 1500)::INTEGER) OVER (ORDER BY priority, seq, id ROWS UNBOUNDED PRECEDING) AS over FROM run)
+  SELECT id, priority::INTEGER AS priority, seq::INTEGER AS seq, used::BIGINT AS used FROM cut WHERE over = 0""", True))
 def retrieve_context(spark, d):
     e = D.entities(spark, d)
     v = S.read(spark, d, "embeddings").select(F.concat(F.lit("c"), F.col("vec_id").cast("string")).alias("id"), "embedding")
-    return R.retrieve(e.join(v, "id", "left").withColumn("source", F.concat("type", F.lit(" "), "name")), _all_edges(spark, d), ASKED, 5)
+    return R.retrieve(e.join(v, "id", "left").withColumn("source", F.concat("type", F.lit(" "), "name")), _all_edges(spark, d), ASKED, 5, 1500, 400)
 
 
 def _sources(spark, d):

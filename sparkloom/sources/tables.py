@@ -85,6 +85,27 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("multiLine", True).json(path)
 
 
+def write_lines(lines: DataFrame, path: str, order: str = "n") -> None:
+    """A report of bounded size as one text file, its lines in order."""
+    lines.repartition(1).sortWithinPartitions(order).select("line").write.mode("overwrite").text(path)
+
+
+def log_lines(rows: DataFrame, step: str, fields: list[str]) -> DataFrame:
+    """Structured step lines, ``[step] key=value ...``, which ``parse_log`` reads; null fields are left out."""
+    pairs = F.concat_ws(" ", *[F.concat(F.lit(f"{f}="), F.regexp_replace(F.col(f).cast("string"), r"\s+", "_")) for f in fields])
+    return rows.select(F.concat(F.lit(f"[{step}] "), pairs).alias("value"))
+
+
+def where_any(df: DataFrame, column: str, values) -> DataFrame:
+    """Rows whose column is among ``values``; no filter at all if there are none."""
+    return df.where(F.col(column).isin(*values)) if values else df
+
+
+def entity_source(spark: SparkSession, path: str, repo: str, entity_id: str) -> DataFrame:
+    """At most one row (id, source): a point lookup that prunes partitions and columns."""
+    return scan_repo(spark, path, repo, ["id", "source"]).where(F.col("id") == entity_id)
+
+
 def parse_log(lines: DataFrame) -> DataFrame:
     """Structured step lines ``[step] key=value ...`` as (step, fields)."""
     step = F.regexp_extract("value", r"^\[([^\]]+)\]", 1)

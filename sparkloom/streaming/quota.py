@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -64,9 +65,10 @@ def sliding_log(events: DataFrame, key: str, ts: str, id_col: str, seconds: int
         got = pd.concat(list(batches)).sort_values(["us", id_col])
         rows = []
         for us, i in zip(got["us"], got[id_col]):
-            rows.append((k[0], i, sum(1 for t in times if us - seconds * 1_000_000 < t < us)))
-            times.append(us)
-            times = [t for t in times if t > us - keep * 1_000_000]
+            # Times are in order, so what is recent lies between two places.
+            rows.append((k[0], i, bisect.bisect_left(times, us) - bisect.bisect_right(times, us - seconds * 1_000_000)))
+            bisect.insort(times, us)
+        del times[: bisect.bisect_right(times, times[-1] - keep * 1_000_000)]
         state.update((times,))
         state.setTimeoutTimestamp(max(max(times) // 1000, state.getCurrentWatermarkMs()) + keep * 1000)
         yield pd.DataFrame(rows, columns=[key, id_col, "recent"])
@@ -75,6 +77,31 @@ def sliding_log(events: DataFrame, key: str, ts: str, id_col: str, seconds: int
     return slim.groupBy(key).applyInPandasWithState(run, out, "times array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def exhausted(events: DataFrame, key: str, ts: str, id_col: str, failed: Column, late: str = "2 minutes") -> DataFrame:
+    """(key, id, exhausted): whether a failure for quota came earlier in the same UTC day. The mark is state that a timer clears when the day ends."""
+    day_ms = 86_400_000
+
+    def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        since = state.get[0] if state.exists else None
+        got = pd.concat(list(batches)).sort_values(["us", id_col])
+        rows = []
+        for us, i, bad in zip(got["us"], got[id_col], got["bad"]):
+            same = since is not None and since // (day_ms * 1000) == us // (day_ms * 1000)
+            rows.append((k[0], i, bool(same and since < us)))
+            if bad and not same:
+                since = int(us)
+        if since is not None:
+            state.update((since,))
+            state.setTimeoutTimestamp(max((since // (day_ms * 1000) + 1) * day_ms, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(rows, columns=[key, id_col, "exhausted"])
+
+    slim = _timed(events, ts, late).select(F.col(key), F.col(id_col), F.col(ts), F.unix_micros(ts).alias("us"), failed.alias("bad"))
+    return slim.groupBy(key).applyInPandasWithState(run, f"{key} string, {id_col} long, exhausted boolean", "since long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def rolling_summary(turns: DataFrame, key: str, turn: str, text: str, fold=None, least: int = 4) -> DataFrame:
     """Fold unsummarised turns into a summary whenever ``least`` of them have come; the pointer moves on.
 
