@@ -2,10 +2,10 @@
 
 Codes are the signs of learned rotations (principal directions, then a rotation that
 brings the points close to the corners of a cube) fitted to a bounded sample. A code is
-split into substrings of eight bits, each with an index from value to rows. If two codes
+split into substrings of sixteen bits, each with an index from value to rows. If two codes
 differ in at most r bits, one of m substrings differs in at most r // m, so probing the
 values that near to the query's in every index retrieves every code within r. These are
-then ranked by the cosine of the vectors themselves. The radius is read off the sample:
+then ranked by the cosine of the vectors themselves. Codes are made once for every row. The radius is read off the sample:
 nearest neighbours in a sample are farther than in all rows, so it errs on the wide side.
 """
 
@@ -31,7 +31,7 @@ class Codes:
         """Codes as rows of bytes."""
         u = x / np.linalg.norm(x, axis=1, keepdims=True)
         bits = np.concatenate([(u - self.mean) @ t > 0 for t in self.turns], 1)
-        return np.packbits(bits, axis=1)
+        return np.packbits(np.pad(bits, ((0, 0), (0, -bits.shape[1] % 16))), axis=1)
 
 
 def learn(sample: np.ndarray, rotations: int = 2, steps: int = 30, k: int = 5, recall: float = 0.98, seed: int = 11) -> Codes:
@@ -61,7 +61,22 @@ def learn(sample: np.ndarray, rotations: int = 2, steps: int = 30, k: int = 5, r
     return codes
 
 
-def _search(index: pd.DataFrame, queries: pd.DataFrame, codes: Codes, k: int) -> pd.DataFrame:
+def probe(code: np.ndarray, want: np.ndarray, radius: int) -> Iterator[tuple[slice, np.ndarray]]:
+    """For 64 queries at a time, which rows some index admits: a superset of those within the radius."""
+    words, asked = code.view(np.uint16), want.view(np.uint16)
+    m = words.shape[1]
+    near = radius // m
+    # One index per substring: the values that occur, and each row's place among them.
+    tables = [np.unique(words[:, t], return_inverse=True) for t in range(m)]
+    for lo in range(0, len(want), 64):
+        at = slice(lo, lo + 64)
+        found = np.zeros((len(want[at]), len(code)), dtype=bool)
+        for t, (values, place) in enumerate(tables):
+            found |= (np.bitwise_count(asked[at, t, None] ^ values[None, :]) <= near)[:, place]
+        yield at, found
+
+
+def _search(index: pd.DataFrame, queries: pd.DataFrame, radius: int, k: int) -> pd.DataFrame:
     """The k best rows of one block of the index for each query of one block."""
     none = pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
     if not len(index) or not len(queries):
@@ -69,35 +84,21 @@ def _search(index: pd.DataFrame, queries: pd.DataFrame, codes: Codes, k: int) ->
     index = index.sort_values("vec_id")
     ids, x = index["vec_id"].to_numpy(), np.stack(index["v"].to_list()).astype(np.float64)
     qid, q = queries["vec_id"].to_numpy(), np.stack(queries["v"].to_list()).astype(np.float64)
-    code, want = codes.encode(x), codes.encode(q)
+    code, want = (np.frombuffer(b"".join(d["code"]), dtype=np.uint8).reshape(len(d), -1) for d in (index, queries))
     norm, qnorm = np.sqrt((x * x).sum(1)), np.sqrt((q * q).sum(1))
-    m = code.shape[1]
-    near = codes.radius // m
-    # One index per substring: rows in the order of its value, and where each value begins.
-    order = np.argsort(code, axis=0, kind="stable")
-    begins = [np.searchsorted(code[order[:, t], t], np.arange(257)) for t in range(m)]
-    values = np.arange(256, dtype=np.uint8)
     out = []
-    for lo in range(0, len(qid), 64):
-        w = want[lo : lo + 64]
-        found = np.zeros((len(w), len(ids)), dtype=bool)
-        for t in range(m):
-            probed = np.bitwise_count(w[:, t, None] ^ values[None, :]) <= near
-            for v in np.nonzero(probed.any(0))[0]:
-                rows = order[begins[t][v] : begins[t][v + 1], t]
-                if len(rows):
-                    found[np.ix_(probed[:, v], rows)] = True
-        for i in range(len(w)):
-            rows = np.nonzero(found[i])[0]
-            apart = np.bitwise_count(code[rows] ^ w[i]).sum(1)
-            rows = rows[(apart <= codes.radius) & (ids[rows] != qid[lo + i])]
+    for at, found in probe(code, want, radius):
+        for i, mine in enumerate(found, at.start):
+            rows = np.nonzero(mine)[0]
+            apart = np.bitwise_count(code[rows] ^ want[i]).sum(1)
+            rows = rows[(apart <= radius) & (ids[rows] != qid[i])]
             if len(rows) < k:  # too few within the radius here: the next codes, whatever their distance
-                apart = np.bitwise_count(code ^ w[i]).sum(1)
+                apart = np.bitwise_count(code ^ want[i]).sum(1)
                 rows = np.argsort(apart, kind="stable")[: k + 1 + len(rows)]
-                rows = rows[ids[rows] != qid[lo + i]]
-            score = (x[rows] * q[lo + i]).sum(1) / (norm[rows] * qnorm[lo + i])
+                rows = rows[ids[rows] != qid[i]]
+            score = (x[rows] * q[i]).sum(1) / (norm[rows] * qnorm[i])
             best = np.lexsort((ids[rows], -score))[:k]
-            out.append((np.full(len(best), qid[lo + i]), ids[rows][best], score[best]))
+            out.append((np.full(len(best), qid[i]), ids[rows][best], score[best]))
     if not out:
         return none
     return pd.DataFrame({"query_id": np.concatenate([o[0] for o in out]), "vec_id": np.concatenate([o[1] for o in out]), "score": np.concatenate([o[2] for o in out])})
@@ -108,8 +109,8 @@ def nearest(
     queries: DataFrame,
     k: int = 5,
     sample_rows: int = 8_000,
-    rows_per_block: int = 16_384,
-    queries_per_block: int = 2_048,
+    rows_per_block: int = 8_192,
+    queries_per_block: int = 16_384,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
 ) -> DataFrame:
@@ -122,9 +123,11 @@ def nearest(
     repeat an id are one row, the one with the greater vector. Other columns are not
     read; without vectors or queries there are no rows.
 
-    The index is cut into blocks of rows by a hash of the id, and so are the queries;
-    each pair of blocks is a task, so the work follows queries * rows and no task grows
-    with either.
+    The index is coded once and cut into blocks of rows by a hash of the id, and so are
+    the queries; each pair of blocks is a task, so the work follows queries * rows, no
+    task grows with either, and a row is shuffled once for 16 384 queries. Pigeonhole
+    probing prunes as the radius allows: of nearly uniform vectors it admits most rows,
+    of clustered ones few.
     """
     spark = vectors.sparkSession
     sound = F.size("v") > 0
@@ -142,17 +145,24 @@ def nearest(
     lengths = np.array([len(r["v"]) for r in drawn])
     d = int(np.bincount(lengths).argmax())
     codes = learn(np.array([r["v"] for r in drawn if len(r["v"]) == d]), k=k)
-    index = index.filter(F.size("v") == d)
-    asked = stored(ready(queries).filter(F.size("v") == d), "queries")
+    shared = spark.sparkContext.broadcast(codes)
+
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for b in batches:
+            yield pd.Series([bytes(c) for c in shared.value.encode(np.stack(b.to_list()).astype(np.float64))] if len(b) else [], dtype=object)
+
+    encode.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    coded = lambda df: df.filter(F.size("v") == d).withColumn("code", F.pandas_udf(encode, "binary")("v"))
+    index, asked = stored(coded(index), "index"), stored(coded(ready(queries)), "queries")
     blocks = max(1, -(-index.count() // rows_per_block))
     sets = max(1, -(-asked.count() // queries_per_block))
-    shared = spark.sparkContext.broadcast(codes)
     at = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
     left = index.withColumn("block", at(blocks)).withColumn("set", F.explode(F.sequence(F.lit(0), F.lit(sets - 1))))
     right = asked.withColumn("set", at(sets)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    radius = codes.radius
 
     def search(rows: pd.DataFrame, some: pd.DataFrame) -> pd.DataFrame:
-        return _search(rows, some, shared.value, k)
+        return _search(rows, some, radius, k)
 
     found = left.groupBy("block", "set").cogroup(right.groupBy("block", "set")).applyInPandas(search, shape)
     # Best k of what the blocks found: at most k rows of each block and query.

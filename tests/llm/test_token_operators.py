@@ -173,6 +173,27 @@ def test_nearest(spark):
     assert ann.nearest(few, few.filter("vec_id = 50")).count() == 2
 
 
+def test_probing_admits_all_within_the_radius_and_recall_holds():
+    rng = np.random.default_rng(8)
+    for n, spread in ((2_000, 0.4), (8_000, 0.4), (4_000, 5.0)):
+        centres = rng.standard_normal((40, 64))
+        x = centres[rng.integers(0, 40, n)] + spread * rng.standard_normal((n, 64))
+        codes = ann.learn(x[:2_000])
+        code = codes.encode(x)
+        want = code[::50]
+        admitted = np.concatenate([found for _, found in ann.probe(code, want, codes.radius)])
+        apart = np.bitwise_count(code[None, :, :] ^ want[:, None, :]).sum(2)
+        assert (admitted | (apart > codes.radius)).all()
+        u = x / np.linalg.norm(x, axis=1, keepdims=True)
+        s = u[::50] @ u.T
+        s[np.arange(len(want)), np.arange(0, n, 50)] = -2
+        top = np.argpartition(-s, 5, axis=1)[:, :5]
+        recall = np.take_along_axis(apart <= codes.radius, top, 1).mean()
+        print(f"{n} rows, spread {spread}: radius {codes.radius}, admitted {admitted.mean():.3f}, recall {recall:.3f}")
+        assert recall >= 0.9
+        assert spread > 1 or admitted.mean() < 0.5
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
