@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -16,31 +18,63 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; a temporary one is set only in local runs without it."""
+    """The folder that driver and executors share: what ``spark.checkpoint.dir`` names.
+
+    Only where that is unset and Spark runs in this process, as in tests, a temporary
+    folder is set.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        named = f"file://{tempfile.mkdtemp(prefix='sparkloom-')}"
-        spark.conf.set("spark.checkpoint.dir", named)
+    if named:
+        return named
+    made = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if made.isDefined():
+        return made.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    named = f"file://{tempfile.mkdtemp(prefix='sparkloom-')}"
+    spark.conf.set("spark.checkpoint.dir", named)
     return named
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+#: Tables that ``cut`` has written and nobody has deleted.
+_made: list[tuple[SparkSession, str]] = []
+
+
+def _clear(since: int = 0) -> None:
+    while len(_made) > since:
+        spark, path = _made.pop()
+        try:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # the session is already gone
+            pass
+
+
+atexit.register(_clear)
+
+
+@contextmanager
+def scope() -> Iterator[None]:
+    """Deletes the tables that operators cut inside it when it ends.
+
+    For long sessions: write the results inside the scope. Without one, tables are
+    deleted when the driver's process ends; a driver that is killed leaves them, under
+    names that begin with the operator's, in the shared folder.
+    """
+    since = len(_made)
     try:
-        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    except Exception:  # the session is already gone
-        pass
+        yield
+    finally:
+        _clear(since)
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Cut the lineage with a table in the shared folder: written once, so nothing is worked
-    out twice, and read with column pruning. Deleted when the driver's process ends."""
+    out twice, and read with column pruning. A lost executor costs a read of these files."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
+    _made.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 

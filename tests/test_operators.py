@@ -1,10 +1,12 @@
 """Operators against plain Python on small random rows."""
 
+import os
 import random
 
 from pyspark.sql import functions as F
 
 from sparkloom.operators import accounts, answers, citations, memory, retrieval
+from sparkloom.sources import tables
 from sparkloom.streaming import quota
 
 
@@ -75,3 +77,13 @@ def test_first_object_and_retry(spark):
     assert tuple(due) == (False, True, True)
     left = accounts.violations(spark.createDataFrame([("x",), (None,), ("user",)], "role string"), {"turn_role": accounts.CHECKS["turn_role"]})
     assert [tuple(r) for r in left.collect()] == [("turn_role", 1)]
+
+
+def test_scope_deletes_what_was_cut_inside(spark):
+    kept = tables.cut(spark.range(3))
+    with tables.scope():
+        gone = tables.cut(spark.range(4))
+        assert gone.count() == 4
+    assert kept.count() == 3
+    left = [p for _, p in tables._made]
+    assert any(p in kept.inputFiles()[0] for p in left) and not os.path.exists(gone.inputFiles()[0].removeprefix("file://"))
