@@ -153,7 +153,9 @@ def train(labelled: DataFrame) -> Model:
 
     facts.__annotations__ = {"text": pd.Series, "return": pd.Series}
     rows = labelled.filter(F.col("role").isin(*ROLES)).withColumn("f", F.pandas_udf(facts, "array<struct<o:string,p:int>>")("text")).filter(F.size("f") > 0)
-    order = W.partitionBy("conv", F.floor(F.col("part") / PARTS)).orderBy("part")
+    # Parts without a conversation stand alone, so they do not meet in one window.
+    alone = F.when(F.col("conv").isNull(), F.xxhash64("part", "text"))
+    order = W.partitionBy("conv", alone, F.floor(F.col("part") / PARTS)).orderBy("part")
     rows = rows.select("role", "f", F.coalesce(F.lag("role").over(order), F.lit("")).alias("was"))
     emitted = rows.select("role", F.explode("f.o").alias("o")).groupBy("role", "o").count().collect()
     each = rows.select("role", "was", F.posexplode("f.p").alias("i", "p"))
@@ -190,8 +192,9 @@ def recover_roles(parts: DataFrame, model: Model) -> DataFrame:
 
     Rows equal in all three are one part; parts that share a number come in the order of
     a hash of the text. Null and empty texts have no turns; a part without conv is a
-    conversation of its own, and a null part comes first; an empty table stays empty.
-    Other columns are left out, so their names cannot clash.
+    conversation of its own, and a null part comes first; very long texts are parsed
+    whole, line by line, in the task that holds them; an empty table stays empty. Other
+    columns are left out, so their names cannot clash.
     """
     shared = parts.sparkSession.sparkContext.broadcast(model)
     df = parts.select("conv", "part", "text").withColumn("_t", F.xxhash64(F.coalesce("text", F.lit("\x00null")))).dropDuplicates(["conv", "part", "_t"])

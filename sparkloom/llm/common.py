@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
 import json
 import os
 import re
-import tempfile
-import uuid
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import cut
+
 #: White space that separates words; everything else belongs to a word.
 WS = r"[\x20\x09-\x0D]"
 NOT_WS = r"[^\x20\x09-\x0D]"
@@ -24,46 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    It is what the session's ``spark.checkpoint.dir`` names. Only where that is
-    unset and Spark runs in this process, as in tests, a temporary folder is set.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    sc = spark.sparkContext
-    made = sc._jsc.sc().getCheckpointDir()
-    if made.isDefined():
-        return made.get()
-    if not sc.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="sparkloom-")
-    spark.conf.set("spark.checkpoint.dir", f"file://{folder}")
-    return f"file://{folder}"
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    except Exception:  # the session is already gone
-        pass
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
-    Cuts the lineage: a lost executor costs no more than one read of these files.
-    They are deleted when the driver's process ends.
+    Cuts the lineage: a lost executor costs no more than one read of these files. They
+    are deleted when ``tables.scope`` ends or the driver's process does.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return cut(df, name)
 
 
 def words(text: Column) -> Column:

@@ -30,7 +30,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows equal in id and text are one document here: they stay equal to each other and
     do not repeat one another. Documents with fewer than ``window`` lines have no
     window and stay; a document whose lines all go keeps its row with an empty text;
-    null texts stay null with 0 lines; blank lines stay; an empty table stays empty.
+    null texts stay null with 0 lines; blank lines stay; very long texts are taken whole,
+    and only hashes of their windows are shuffled; an empty table stays empty.
     Columns named n_lines or n_removed are replaced; names that begin with ``_d_`` are
     the operator's own.
     """

@@ -129,7 +129,8 @@ def mix(
 
     The order within a pattern is a hash of ``seed``, id and text, so reruns agree;
     rows equal in both are taken equally often. Documents of size 0 are taken once (they cost nothing). Null sizes are 0;
-    an empty table stays empty; columns of these names are replaced. More than
+    an empty table stays empty; columns of these names are replaced, names that begin
+    with ``_m_`` are the operator's own; of very long texts only the hash is used. More than
     ``max_patterns`` patterns raise an error: they are the one thing that the driver
     holds.
     """

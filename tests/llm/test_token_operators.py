@@ -1,5 +1,6 @@
 """Token counts, packing, mixing, nearest neighbours and the pipeline."""
 
+import itertools
 import random
 import time
 import zlib
@@ -118,6 +119,28 @@ def test_flow_prefers_fresh_words_of_shared_patterns():
     assert sum(f.get(0, 0) for f in flow) == 250 and sum(f.get(1, 0) for f in flow) == 60
 
 
+def test_flow_is_the_least_cost_of_all():
+    rng, repeats = random.Random(7), 2
+    cost = lambda size, f: sum(k * min(size, max(0, f - k * size)) for k in range(repeats))
+    for _ in range(150):
+        patterns = [(frozenset(rng.sample(range(2), rng.randint(1, 2))), rng.randint(1, 2)) for _ in range(rng.randint(1, 3))]
+        quota = [rng.randint(0, 5), rng.randint(0, 5)]
+        arcs = [(p, s) for p, (of, _) in enumerate(patterns) for s in sorted(of)]
+        best = None
+        for take in itertools.product(*[range(repeats * patterns[p][1] + 1) for p, _ in arcs]):
+            by_p, by_s = [0] * len(patterns), [0, 0]
+            for (p, s), f in zip(arcs, take):
+                by_p[p] += f
+                by_s[s] += f
+            if all(f <= repeats * n for f, (_, n) in zip(by_p, patterns)) and all(f <= q for f, q in zip(by_s, quota)):
+                value = (-sum(by_p), sum(cost(n, f) for f, (_, n) in zip(by_p, patterns)))
+                best = value if best is None else min(best, value)
+        flow = mixing.min_cost_flow(patterns, quota, repeats)
+        by_p = [sum(f.values()) for f in flow]
+        assert all(sum(f.get(s, 0) for f in flow) <= quota[s] for s in (0, 1)) and all(set(f) <= of for f, (of, _) in zip(flow, patterns))
+        assert (-sum(by_p), sum(cost(n, f) for f, (_, n) in zip(by_p, patterns))) == best
+
+
 def test_mix(spark):
     rng = random.Random(4)
     rows = [(i, rng.choice(["a", "b", "c", "c", "c", None]), rng.randint(0, 40)) for i in range(3000)]
@@ -216,6 +239,29 @@ def test_pipeline_stages(spark):
     assert len(out) == docs.count() and {r["doc_id"] for r in out} <= set(range(20))
 
 
+def test_pipeline_run(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    text = lambda n: " ".join(rng.choice("abcdefgh") + str(rng.randint(0, 3000)) for _ in range(n))
+    whole = [text(rng.choice([12, 200, 3000])) for _ in range(25)]
+    rows = [(i, t, "en", f"s{i % 4}" if i % 5 else None, len(t)) for i, t in enumerate(whole)]
+    rows += [(i, t, "en", "s1", len(t)) for i, t in enumerate(whole[:3])]  # repeated whole, but for the source
+    rows += [(None, text(80), "en", None, 1), (3, text(90), "en", "s2", 1), (90, None, "en", "s1", None), (91, "", "en", "s1", 0)]
+    shape = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(rows, shape).write.parquet(str(tmp_path / "documents.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    again = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    key = lambda rs: sorted((str(r["doc_id"]), r["piece"], r["length"], r["ids_crc32"]) for r in rs)
+    assert key(out) == key(again) and {r["doc_id"] for r in out} <= {*range(25), None}
+    held = {}
+    for r in out:
+        held[r["sequence_id"]] = held.get(r["sequence_id"], 0) + r["length"]
+    assert held and max(held.values()) <= 2048
+    spark.createDataFrame([], shape).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).collect() == []
+
+
 def test_pipeline_keeps_one_row_of_each_component(spark):
     import corpus_pipeline
 
