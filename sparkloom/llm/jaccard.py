@@ -271,7 +271,7 @@ def _joined(sets: list[np.ndarray], size: np.ndarray, label: np.ndarray, role: n
                 yield int(i), int(j)
 
 
-def _multiply_apart(nodes: DataFrame, sets: DataFrame, percent: int, most: int = 150_000) -> DataFrame:
+def _multiply_apart(nodes: DataFrame, sets: DataFrame, percent: int, most: int = 32_000) -> DataFrame:
     """Links (a, b) between nodes (family, node, n, label) of one family and different labels, by their whole sets (node, low).
 
     Nodes are dealt to blocks by size class and hash, apart for the family's most
@@ -409,7 +409,7 @@ def labelled_rows(docs: DataFrame, id_col: str, text_col: str, n: int, percent:
     in common. It is null for empty sets.
 
     Very long texts are hashed whole; a task holds the sets of a bounded number of rows
-    (512, or two blocks of about 150 000 n-grams and one text more)."""
+    (512, or two blocks of about 32 000 n-grams and one text more)."""
     named = docs.select(*row_id(id_col, text_col), F.col(text_col).alias("text"))
     feats = stored(_features(named, n, percent, False), "features")
     full = feats.filter("n > 0")
