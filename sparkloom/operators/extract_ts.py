@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import module_id
-from .extract import ARROW, FACTS
+from .extract import ARROW, FACTS, python_facts
 
 _HIDE = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`", re.S)
 _DECL = re.compile(
@@ -169,3 +169,17 @@ def typescript_facts(files: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pylist(rows, schema=ARROW)
 
     return df.mapInArrow(run, FACTS)
+
+
+#: Which facts the files of an extension give.
+ADAPTERS = {".py": python_facts, ".ts": typescript_facts, ".tsx": typescript_facts}
+
+
+def facts(files: DataFrame) -> DataFrame:
+    """Facts of all files (repo_id, file_path, content) whose extension has an adapter; others give none."""
+    out = None
+    for adapter in dict.fromkeys(ADAPTERS.values()):
+        mine = [e for e, a in ADAPTERS.items() if a is adapter]
+        found = adapter(files.filter(F.regexp_extract("file_path", r"(\.[^./]*)$", 1).isin(*mine)))
+        out = found if out is None else out.unionByName(found)
+    return out

@@ -18,7 +18,7 @@ def _first(df: DataFrame, keys: list[str], *order) -> DataFrame:
 
 
 def symbols(facts: DataFrame, entities: DataFrame) -> DataFrame:
-    """(repo_id, file_path, local, target_id): what an imported name stands for; null if outside.
+    """(repo_id, file_path, local, target_id): what an imported name stands for; modules outside give no row.
 
     A module is looked up as written, then by suffix, then by its last part; relative
     ones start at the importing file's package. A name that its module does not have

@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..functions import vectors
 from ..operators import citations as C
 from ..operators import extract as X
+from ..operators import extract_ts as XT
 from ..operators import graph as G
 from ..operators import memory as M
 from ..operators import overview as O
@@ -593,21 +594,109 @@ def retrieve_context(spark, d):
     return R.retrieve(e.join(v, "id", "left").withColumn("source", F.concat("type", F.lit(" "), "name")), _all_edges(spark, d), ASKED, 5, 1500, 400)
 
 
+_PYTHON = """\"\"\"Doc.\"\"\"
+from n{m} import base{m} as other, Root{m} as Up
+import os
+LIMIT = 3
+
+def base{n}(x):
+    return x
+
+class Root{n}:
+    def __init__(self):
+        self.v = 1
+"""
+_PYTHON_CLASS = """
+class S{k}(Up):
+    \"\"\"S.\"\"\"
+    def run(self, a):
+        other(a)
+        self.step()
+        item = Root{n}()
+        return item
+    def step(self):
+        return base{n}(1)
+"""
+_TYPESCRIPT = """import {{ Shape{m} as Up, make{m} }} from './m{m}';
+export interface Shape{n} {{
+  area(): number;
+}}
+export class Maker{n} {{
+}}
+export function make{n}(x: number) {{
+  return x;
+}}
+"""
+_TYPESCRIPT_CLASS = """
+/** T. */
+export class T{k} implements Up {{
+  area() {{
+    return make{m}(1);
+  }}
+  twice() {{
+    const t = new Maker{n}();
+    return this.area();
+  }}
+}}
+"""
+
+
+def _written(text: str):
+    """The text with the numbers n, m and k of a row in it."""
+    out = F.lit(text.replace("{{", "{").replace("}}", "}"))
+    for x in "nmk":
+        out = F.replace(out, F.lit("{" + x + "}"), F.col(x).cast("string"))
+    return out
+
+
 def _sources(spark, d):
-    """A source file per nation: a helper, and a class for each supplier that calls it."""
-    s = S.read(spark, d, "supplier").withColumn("k", F.col("s_suppkey").cast("string"))
-    body = F.concat(F.lit("\nclass S"), "k", F.lit(":\n    def run(self):\n        return helper(self)\n"))
-    per = s.groupBy("s_nationkey").agg(F.array_sort(F.collect_list(body)).alias("x"))
-    text = F.concat(F.lit("def helper(x):\n    return x\n"), F.array_join("x", ""))
-    return per.select(F.lit("r").alias("repo_id"), F.concat(F.lit("python/n"), F.col("s_nationkey").cast("string"), F.lit(".py")).alias("file_path"), text.alias("content"))
+    """A Python and a TypeScript file per nation, with a class in either for each supplier; they import the next nation's."""
+    s = S.read(spark, d, "supplier").select(F.col("s_nationkey").alias("n"), F.col("s_suppkey").alias("k"))
+    rows = S.read(spark, d, "nation").select(F.col("n_nationkey").alias("n")).join(s, "n", "left").withColumn("m", (F.col("n") + 1) % 25)
+    rows = rows.withColumn("k", F.coalesce("k", F.lit(-1)))
+    out = None
+    for name, whole, part in (("python/n{n}.py", _PYTHON, _PYTHON_CLASS), ("typescript/m{n}.ts", _TYPESCRIPT, _TYPESCRIPT_CLASS)):
+        body = F.array_sort(F.collect_list(F.when(F.col("k") >= 0, F.struct("k", _written(part).alias("t")))))
+        per = rows.groupBy(_written(name).alias("file_path"), _written(whole).alias("head")).agg(body.alias("x"))
+        per = per.select(F.lit("r").alias("repo_id"), "file_path", F.concat("head", F.array_join(F.transform("x", lambda v: v["t"]), "")).alias("content"))
+        out = per if out is None else out.unionByName(per)
+    return out
+
+
+def _facts(spark, d):
+    facts = S.cut(XT.facts(_sources(spark, d)))
+    return facts, S.cut(X.entities(facts))
+
 
+_PER = "per AS (SELECT n_nationkey AS n, (n_nationkey + 1) % 25 AS m, count(s_suppkey) AS s FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_nationkey)"
 
-@query("""SELECT 'python/n' || s_nationkey || '.py' AS file_path, unnest(['module', 'function', 'class', 'method']) AS type, unnest([1, 1, count(*), count(*)])::BIGINT AS n FROM supplier GROUP BY s_nationkey""")
-def extract_python(spark, d):
-    return X.entities(X.python_facts(_sources(spark, d))).groupBy("file_path", "type").agg(F.count("*").alias("n"))
 
+@query(f"""WITH {_PER} SELECT 'python/n' || n || '.py' AS file_path, unnest(['module', 'function', 'class', 'method', 'variable']) AS type, unnest([1, 1, 1 + s, 1 + 2 * s, 1 + s]) AS n, unnest([1, 0, s, 0, 0]) AS documented FROM per
+  UNION ALL SELECT 'typescript/m' || n || '.ts', unnest(['module', 'function', 'class', 'method', 'interface']), unnest([1, 1, 1 + s, 1 + 2 * s, 1]), unnest([0, 0, s, 0, 0]) FROM per""")
+def extract_entities(spark, d):
+    _, e = _facts(spark, d)
+    return e.groupBy("file_path", "type").agg(F.count("*").alias("n"), F.count_if("has_docstring").alias("documented"))
 
-@query("SELECT 'py.n' || s_nationkey || '.S' || s_suppkey || '.run' AS source_id, 'py.n' || s_nationkey || '.helper' AS target_id, 'CALLS' AS type FROM supplier")
+
+@query(f"WITH {_PER} SELECT 'python/n' || n || '.py' AS file_path, 4 + 4 * s AS n FROM per UNION ALL SELECT 'typescript/m' || n || '.ts', 4 + 3 * s FROM per")
+def extract_contains(spark, d):
+    _, e = _facts(spark, d)
+    return X.contains(e).groupBy("file_path").agg(F.count("*").alias("n"))
+
+
+@query("""WITH s AS (SELECT s_suppkey AS k, s_nationkey AS n, (s_nationkey + 1) % 25 AS m FROM supplier), p AS (SELECT n_nationkey AS n, (n_nationkey + 1) % 25 AS m FROM nation)
+  SELECT 'py.n' || n AS source_id, 'py.n' || m || '.' || unnest(['base', 'Root']) || m AS target_id, 'IMPORTS' AS type FROM p
+  UNION ALL SELECT 'ts.m' || n, 'ts.m' || m || '.' || unnest(['Shape', 'make']) || m, 'IMPORTS' FROM p
+  UNION ALL SELECT 'py.n' || n || '.S' || k, 'py.n' || m || '.Root' || m, 'INHERITS' FROM s UNION ALL SELECT 'ts.m' || n || '.T' || k, 'ts.m' || m || '.Shape' || m, 'IMPLEMENTS' FROM s
+  UNION ALL SELECT 'py.n' || n || '.S' || k || '.run', unnest(['py.n' || m || '.base' || m, 'py.n' || n || '.S' || k || '.step', 'py.n' || n || '.Root' || n || '.__init__']), 'CALLS' FROM s
+  UNION ALL SELECT 'py.n' || n || '.S' || k || '.step', 'py.n' || n || '.base' || n, 'CALLS' FROM s UNION ALL SELECT 'py.n' || n || '.S' || k || '.run', 'py.n' || n || '.Root' || n, 'INSTANTIATES' FROM s
+  UNION ALL SELECT 'ts.m' || n || '.T' || k || '.area', 'ts.m' || m || '.make' || m, 'CALLS' FROM s UNION ALL SELECT 'ts.m' || n || '.T' || k || '.twice', 'ts.m' || n || '.T' || k || '.area', 'CALLS' FROM s
+  UNION ALL SELECT 'ts.m' || n || '.T' || k || '.twice', 'ts.m' || n || '.Maker' || n, 'INSTANTIATES' FROM s""")
 def resolve_edges(spark, d):
-    facts = S.cut(X.python_facts(_sources(spark, d)))
-    return V.resolve(facts, S.cut(X.entities(facts))).select("source_id", "target_id", "type")
+    return V.resolve(*_facts(spark, d)).select("source_id", "target_id", "type")
+
+
+@query("SELECT 'python/n' || n_nationkey || '.py' AS file_path, unnest(['other', 'Up']) AS local, unnest(['py.n' || m || '.base' || m, 'py.n' || m || '.Root' || m]) AS target_id FROM (SELECT n_nationkey, (n_nationkey + 1) % 25 AS m FROM nation)")
+def import_aliases(spark, d):
+    facts, e = _facts(spark, d)
+    return V.symbols(facts, e).filter("file_path like '%.py'").select("file_path", "local", "target_id")
