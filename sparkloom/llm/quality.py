@@ -105,6 +105,57 @@ def _signatures(base: DataFrame, held: DataFrame, min_docs: int) -> DataFrame:
     return of_held.join(out.select("_q_d", F.when(F.col("w") >= OWN_WORDS, F.col("v")).otherwise(F.col("rare.v")).alias("_q_print")), "_q_d")
 
 
+def _prepared(docs: DataFrame, id_col: str, text_col: str, host_col: str, keep: list[str], min_words: int, max_repeat: int) -> DataFrame:
+    """``keep``, the keys of a row, base counts and its distinct normalised lines, each with its words and its sketch; written once."""
+    keyed = docs.withColumns({
+        "_q_id": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)),
+        "_q_th": F.xxhash64(F.coalesce(F.col(text_col), F.lit("\x00null"))),
+        "_q_host": F.coalesce(F.col(host_col).cast("string"), F.lit("\x00null")),
+    })
+    base = base_counts(keyed, text_col)
+    base = base.withColumn(
+        "base_failed",
+        (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words")),
+    )
+    hashed = F.transform(F.transform("_q_lines", _norm), lambda x: F.struct(F.xxhash64(x).alias("h"), F.transform(words(x), lambda w: F.xxhash64(w)).alias("x")))
+    part = lambda p: F.struct(p["h"].alias("h"), F.size(p["x"]).alias("w"), _sketch(p["x"]).alias("s"))
+    base = base.withColumn("_q_parts", F.array_distinct(F.transform(hashed, part)))
+    base = base.withColumn("_q_d", F.xxhash64(*_KEYS))
+    return stored(base.select(*keep, *_KEYS, *_BASE, "_q_d", "_q_parts"), "quality")
+
+
+def _lines(base: DataFrame) -> DataFrame:
+    lines = base.select(*_KEYS, F.explode("_q_parts").alias("_q_line"))
+    return lines.select(*_KEYS, F.col("_q_line.h").alias("_q_h"), F.col("_q_line.w").alias("_q_w"), F.col("_q_line.s").alias("_q_s"))
+
+
+def _counted(base: DataFrame, min_docs: int, max_doc_share: float) -> tuple[DataFrame, DataFrame]:
+    """(hosts, lines): _q_limit of each host, and _q_rows and _q_docs (classes of copies) of each line that more than both limits hold."""
+    lines = _lines(base)
+    hosts = base.groupBy("_q_host").agg((F.count("*") * F.lit(float(max_doc_share))).alias("_q_limit"))
+    # Only lines that enough rows hold can be frequent; of these, classes of copies are counted.
+    held = lines.groupBy("_q_host", "_q_h").agg(F.count("*").alias("_q_n")).filter(F.col("_q_n") > min_docs)
+    held = held.join(hosts, "_q_host").filter(F.col("_q_n") > F.col("_q_limit")).drop("_q_limit")
+    held = stored(held, "quality_lines")
+    # The sketch is the line's, so that of any one row does.
+    sketches = lines.select("_q_host", "_q_h", "_q_s").join(held, ["_q_host", "_q_h"]).groupBy("_q_host", "_q_h", "_q_n").agg(F.min("_q_s").alias("_q_s"))
+    sketches = stored(sketches, "quality_lines")
+    classes = _signatures(base, sketches, min_docs).select("_q_host", "_q_h", "_q_print").distinct()
+    counted = classes.groupBy("_q_host", "_q_h").agg(F.count("*").alias("_q_docs"))
+    return hosts, counted.join(sketches.select("_q_host", "_q_h", F.col("_q_n").alias("_q_rows")), ["_q_host", "_q_h"])
+
+
+def line_frequencies(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = 20, max_doc_share: float = 1e-4
+) -> DataFrame:
+    """host, line (hash of the normalised line), n_rows and n_classes of every line that more than ``min_docs`` rows
+    of a host, and more than ``max_doc_share`` of them, hold: what quality_rules decides by. Null hosts are one host."""
+    base = _prepared(docs, id_col, text_col, host_col, [], 0, 100)
+    _, counted = _counted(base, min_docs, max_doc_share)
+    host = F.when(F.col("_q_host") != "\x00null", F.col("_q_host"))
+    return counted.select(host.alias("host"), F.col("_q_h").alias("line"), F.col("_q_rows").alias("n_rows"), F.col("_q_docs").alias("n_classes"))
+
+
 def quality_rules(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -133,45 +184,19 @@ def quality_rules(
     table stays empty. Columns of ``docs`` with the names above are replaced; names
     that begin with ``_q_`` are the operator's own.
     """
-    keyed = docs.withColumns({
-        "_q_id": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)),
-        "_q_th": F.xxhash64(F.coalesce(F.col(text_col), F.lit("\x00null"))),
-        "_q_host": F.coalesce(F.col(host_col).cast("string"), F.lit("\x00null")),
-    })
-    base = base_counts(keyed, text_col)
-    base = base.withColumn(
-        "base_failed",
-        (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words")),
-    )
-    # Each distinct normalised line of a document once, with its words and its sketch.
-    hashed = F.transform(F.transform("_q_lines", _norm), lambda x: F.struct(F.xxhash64(x).alias("h"), F.transform(words(x), lambda w: F.xxhash64(w)).alias("x")))
-    part = lambda p: F.struct(p["h"].alias("h"), F.size(p["x"]).alias("w"), _sketch(p["x"]).alias("s"))
-    base = base.withColumn("_q_parts", F.array_distinct(F.transform(hashed, part)))
-    base = base.withColumn("_q_d", F.xxhash64("_q_id", "_q_th", "_q_host"))
     keep = [c for c in docs.columns if c.lower() not in _MADE and (with_text or clean or c != text_col)]
-    keys = ["_q_id", "_q_th", "_q_host"]
     # The words and windows of a text are worked out once; what follows reads these few columns.
-    base = stored(base.select(*keep, *keys, *_BASE, "_q_d", "_q_parts"), "quality")
-    lines = base.select(*keys, F.explode("_q_parts").alias("_q_line"))
-    lines = lines.select(*keys, F.col("_q_line.h").alias("_q_h"), F.col("_q_line.w").alias("_q_w"), F.col("_q_line.s").alias("_q_s"))
-    hosts = base.groupBy("_q_host").agg((F.count("*") * F.lit(float(max_doc_share))).alias("_q_limit"))
-    # Only lines that enough rows hold can be frequent; of these, classes of copies are counted.
-    held = lines.groupBy("_q_host", "_q_h").agg(F.count("*").alias("_q_n")).filter(F.col("_q_n") > min_docs)
-    held = held.join(hosts, "_q_host").filter(F.col("_q_n") > F.col("_q_limit")).drop("_q_limit")
-    held = stored(held, "quality_lines")
-    # The sketch is the line's, so that of any one row does.
-    sketches = lines.select("_q_host", "_q_h", "_q_s").join(held, ["_q_host", "_q_h"]).groupBy("_q_host", "_q_h", "_q_n").agg(F.min("_q_s").alias("_q_s"))
-    classes = _signatures(base, stored(sketches, "quality_lines"), min_docs).select("_q_host", "_q_h", "_q_print").distinct()
-    counted = classes.groupBy("_q_host", "_q_h").agg(F.count("*").alias("_q_docs")).filter(F.col("_q_docs") > min_docs)
-    frequent = counted.join(hosts, "_q_host").filter(F.col("_q_docs") > F.col("_q_limit")).select("_q_host", "_q_h")
+    base = _prepared(docs, id_col, text_col, host_col, keep, min_words, max_repeat)
+    hosts, counted = _counted(base, min_docs, max_doc_share)
+    frequent = counted.filter(F.col("_q_docs") > min_docs).join(hosts, "_q_host").filter(F.col("_q_docs") > F.col("_q_limit")).select("_q_host", "_q_h")
     frequent = stored(frequent, "quality_frequent")  # a shuffle of its own then, so that hot lines can be split
     # Only rows of frequent lines come out; Spark broadcasts them if they are few.
-    lost = lines.drop("_q_s").join(frequent, ["_q_host", "_q_h"])
+    lost = _lines(base).drop("_q_s").join(frequent, ["_q_host", "_q_h"])
     per_doc = lost.select("_q_id", "_q_th", "_q_host", "_q_h", "_q_w").distinct().groupBy("_q_id", "_q_th", "_q_host").agg(
         F.sum("_q_w").alias("n_frequent_words"), *([F.collect_set("_q_h").alias("_q_gone")] if clean else [])
     )
     words_of = F.aggregate("_q_parts", F.lit(0).cast("long"), lambda a, s: a + s["w"])
-    body = base.select(*keep, *keys, *_BASE, words_of.alias("_q_all"))
+    body = base.select(*keep, *_KEYS, *_BASE, words_of.alias("_q_all"))
     out = body.join(per_doc, ["_q_id", "_q_th", "_q_host"], "left")
     gone = F.coalesce(F.col("n_frequent_words"), F.lit(0)).cast("long")
     depleted = (gone > F.lit(float(max_removed)) * F.col("_q_all")) | ((gone > 0) & (F.col("_q_all") - gone < min_words))
@@ -185,6 +210,7 @@ def quality_rules(
     return out.select(*keep, *made)
 
 
+_KEYS = ["_q_id", "_q_th", "_q_host"]
 _BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
 _MADE = {*_BASE, "n_frequent_words", "kept", "clean_text"}
 

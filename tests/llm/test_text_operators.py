@@ -4,10 +4,12 @@ import collections
 import math
 import random
 import re
+import struct
 import time
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import functions as F
 
 from sparkloom.llm import chat, html, line_dedup, quality, toxicity
@@ -79,6 +81,94 @@ def test_quality_counts_classes_of_copies(spark):
     assert all(by[8000 + i]["kept"] and by[8000 + i]["n_frequent_words"] == 0 for i in range(1500))
 
 
+def naive_quality(rows, min_docs, share, max_removed=0.7, min_words=10):
+    """{id: (n_frequent_words, kept)} and {(host, line): (rows, classes)} by plain loops; rows differ in id."""
+    sign = lambda n: n - 2**64 if n >= 2**63 else n
+    of_text = lambda t: sign(xxhash.xxh64_intdigest(t.encode(), 42))
+
+    def of_longs(xs):
+        h = 42
+        for x in xs:
+            h = xxhash.xxh64_intdigest(struct.pack("<q", x), h)
+        return sign(h)
+
+    def sketch(x):
+        n = 5 if len(x) >= 20 else 3
+        found = [of_longs(x[i : i + n]) for i in range(len(x) - n + 1)] if len(x) >= 3 else [of_longs(x)]
+        return sorted(set(found))[:8]
+
+    docs, text = {}, {}
+    for i, t, host in rows:
+        lines = {}
+        for raw in (t or "").split("\n"):
+            if _WORD.search(raw):
+                line = re.sub("[\\x20\\x09-\\x0D]+", " ", raw).strip(" ").lower()
+                x = [of_text(w) for w in _WORD.findall(line)]
+                lines[of_text(line)] = (len(x), sketch(x))
+        docs[i], text[i] = (host, lines), t or ""
+    size = collections.Counter(h for h, _ in docs.values())
+    n = collections.Counter((h, line) for h, lines in docs.values() for line in lines)
+    held = {k: c for k, c in n.items() if c > min_docs and c > share * size[k[0]]}
+    touched = [i for i, (h, lines) in docs.items() if any((h, x) in held for x in lines)]
+    seen = collections.Counter()
+    for i in touched:
+        h, lines = docs[i]
+        for x, (_, s) in lines.items():
+            if (h, x) not in held:
+                seen.update((h, v) for v in s)
+    of_line = {(h, x): s for h, lines in docs.values() for x, (_, s) in lines.items()}
+    for (h, x), c in held.items():
+        for v in of_line[h, x]:
+            seen[h, v] += c
+    shared = {k: math.floor(math.log2(c) / 2) for k, c in seen.items() if c > min_docs}
+    classes = collections.defaultdict(set)
+    for i in touched:
+        h, lines = docs[i]
+        own, free, rare = 0, [], []
+        for x, (w, s) in lines.items():
+            met = [(shared[h, v], v) for v in s if (h, v) in shared]
+            rare += met
+            if (h, x) not in held and len(met) < (1 if w >= 20 else min(2, len(s))):
+                own += w
+                free.append(min(s))
+        mark = min(free) if own >= 8 else min(rare)[1]
+        for x in lines:
+            if (h, x) in held:
+                classes[h, x].add(mark)
+    frequent = {k for k, c in classes.items() if len(c) > min_docs and len(c) > share * size[k[0]]}
+    out = {}
+    for i, (h, lines) in docs.items():
+        gone, whole = sum(w for x, (w, _) in lines.items() if (h, x) in frequent), sum(w for w, _ in lines.values())
+        w = _WORD.findall(text[i])
+        win = collections.Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+        covered = {k + j for k in range(len(w) - 4) if win[tuple(w[k : k + 5])] > 1 for j in range(5)}
+        failed = len(w) < min_words or 100 * len(covered) > 20 * len(w)
+        out[i] = (gone, not failed and not (gone > max_removed * whole or gone > 0 and whole - gone < min_words))
+    return out, {k: (held[k], len(c)) for k, c in classes.items()}
+
+
+def test_quality_equals_plain_loops(spark):
+    for seed in (1, 2, 3):
+        rng = random.Random(seed)
+        word = lambda: rng.choice("abcdef") + str(rng.randint(0, 30))
+        bars = [" ".join(word() for _ in range(rng.choice([1, 2, 4, 9, 25]))) for _ in range(12)]
+        groups = [[" ".join(word() for _ in range(rng.choice([5, 12, 30]))) for _ in range(4)] for _ in range(4)]
+        rows = []
+        for i in range(260):
+            lines = [" ".join(word() for _ in range(rng.choice([1, 6, 14, 22]))) for _ in range(rng.randint(0, 3))]
+            if rng.random() < 0.5:
+                lines += [x if rng.random() < 0.9 else x + " " + word() for x in rng.choice(groups)]
+            lines += rng.sample(bars, rng.randint(0, 5))
+            rng.shuffle(lines)
+            rows.append((i, "\n".join(lines) if rng.random() < 0.97 else None, rng.choice(["h", "h", "g"])))
+        df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+        want, counts = naive_quality(rows, 6, 0.02)
+        got = {r["doc_id"]: (r["n_frequent_words"], r["kept"]) for r in quality.quality_rules(df, min_docs=6, max_doc_share=0.02).collect()}
+        assert got == want and any(g > 0 for g, _ in want.values()) and any(not k for g, k in want.values() if g)
+        rates = {(r["host"], r["line"]): (r["n_rows"], r["n_classes"]) for r in quality.line_frequencies(df, min_docs=6, max_doc_share=0.02).collect()}
+        assert rates == counts
+
+
 def brute_dedup(rows):
     seen, out = set(), []
     for i, t in sorted(set(rows)):
