@@ -40,9 +40,10 @@ def shared_dir(spark: SparkSession) -> str:
 _made: list[tuple[SparkSession, str]] = []
 
 
-def _clear(since: int = 0) -> None:
-    while len(_made) > since:
-        spark, path = _made.pop()
+def _clear(since: int = 0, but: frozenset[str] = frozenset()) -> None:
+    gone = [x for x in _made[since:] if x[1] not in but]
+    _made[since:] = [x for x in _made[since:] if x[1] in but]
+    for spark, path in gone:
         try:
             at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
@@ -53,19 +54,25 @@ def _clear(since: int = 0) -> None:
 atexit.register(_clear)
 
 
+def drop(*frames: DataFrame) -> None:
+    """Deletes the tables behind what ``cut`` gave. For operators: once all that reads them is written itself."""
+    paths = {f._cut_at for f in frames}
+    _clear(0, frozenset(path for _, path in _made if path not in paths))
+
+
 @contextmanager
-def scope() -> Iterator[None]:
-    """Deletes the tables that operators cut inside it when it ends.
+def scope() -> Iterator[list[DataFrame]]:
+    """Deletes the tables that operators cut inside it when it ends, but for those put into its list.
 
     For long sessions: write the results inside the scope. Without one, tables are
     deleted when the driver's process ends; a driver that is killed leaves them, under
     names that begin with the operator's, in the shared folder.
     """
-    since = len(_made)
+    since, kept = len(_made), []
     try:
-        yield
+        yield kept
     finally:
-        _clear(since)
+        _clear(since, frozenset(f._cut_at for f in kept))
 
 
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
@@ -75,7 +82,9 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _made.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_at = path
+    return out
 
 
 def keep_first(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -81,9 +81,12 @@ def test_first_object_and_retry(spark):
 
 def test_scope_deletes_what_was_cut_inside(spark):
     kept = tables.cut(spark.range(3))
-    with tables.scope():
+    with tables.scope() as keep:
         gone = tables.cut(spark.range(4))
+        keep.append(tables.cut(spark.range(5)))
         assert gone.count() == 4
-    assert kept.count() == 3
+    assert kept.count() == 3 and keep[0].count() == 5
+    tables.drop(keep[0])
+    assert not os.path.exists(keep[0]._cut_at.removeprefix("file://")) and kept.count() == 3
     left = [p for _, p in tables._made]
     assert any(p in kept.inputFiles()[0] for p in left) and not os.path.exists(gone.inputFiles()[0].removeprefix("file://"))
