@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.tables import drop
 from .common import NO_ID, row_id, stored, table
 
 #: Broadcast sides have at most this many rows of two or three longs; beyond, they are shuffled.
@@ -441,9 +442,11 @@ def labelled_rows(docs: DataFrame, id_col: str, text_col: str, n: int, percent:
     more = stored(count(wide).join(_sized(hot), "s", "left_anti"), "frequent")
     if not more.isEmpty():
         hot = hot.unionByName(more)
+        drop(index, wide)
         index = stored(_index(with_hot(reps, hot), percent), "index")
         wide = sets_of(index.filter("k = 0").select("node"))
-    index = stored(index.filter("k > 0").unionByName(_index(with_hot(wide, hot), percent)), "index")
+    first, index = index, stored(index.filter("k > 0").unionByName(_index(with_hot(wide, hot), percent)), "index")
+    drop(first, wide)
     # Frequent columns that many nodes hold, and the others, which few do.
     columns = index.filter("f = 1").groupBy("s").count().filter(F.col("count") > long_column).select("s")
     columns = _sized(stored(columns, "columns"))
@@ -452,6 +455,7 @@ def labelled_rows(docs: DataFrame, id_col: str, text_col: str, n: int, percent:
     long = stored(long, "long")
     few = index.filter("f = 0").unionByName(frequent.join(columns, "s", "left_anti"))
     counted = stored(_multiply(few, percent), "product")
+    drop(index)
 
     def bounded(pairs: DataFrame) -> DataFrame:
         """Pairs whose counts can still reach the threshold. What is not counted lies behind
@@ -462,6 +466,7 @@ def labelled_rows(docs: DataFrame, id_col: str, text_col: str, n: int, percent:
         return c.filter(F.col("c") + F.greatest(F.col("na") - F.col("ka"), F.col("nb") - F.col("kb")) >= need)
 
     short = stored(bounded(counted).select("a", "b"), "candidates")
+    drop(counted)
     # First one candidate of short columns for each node, and the pivots it meets most often.
     w = W.partitionBy("b").orderBy("c", "a")
     stars = stored(_stars(long, percent).select("a", "b", (-F.col("c")).alias("c")), "stars")
@@ -484,6 +489,7 @@ def labelled_rows(docs: DataFrame, id_col: str, text_col: str, n: int, percent:
     entries = entries.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = entries.groupBy("s").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("node").alias("least")).filter("lo < hi").select("s", "least")
     entries = stored(entries.join(_sized(stored(mixed, "mixed")), "s").select("node", "n", "label", "least").distinct(), "mixed_entries")
+    drop(long)
     more = stored(_verified(stored(apart(short).join(one, ["a", "b"], "left_anti"), "second"), named, names_id, n, percent), "links")
     if not entries.isEmpty():
         family = components(entries.select("node", "least"), "node", "least").withColumnRenamed("label", "family")

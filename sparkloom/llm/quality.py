@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import scope
 from .common import NO_ID, NOT_WS, WS, stored, table, words
 
 #: Hashes of a line's sketch, and the words outside of shared lines that make a document's own signature.
@@ -145,6 +146,13 @@ def _counted(base: DataFrame, min_docs: int, max_doc_share: float) -> tuple[Data
     return hosts, counted.join(sketches.select("_q_host", "_q_h", F.col("_q_n").alias("_q_rows")), ["_q_host", "_q_h"])
 
 
+def _frequent(base: DataFrame, min_docs: int, max_doc_share: float) -> DataFrame:
+    """_q_host and _q_h of the frequent lines, written so that a shuffle of its own can split hot ones."""
+    hosts, counted = _counted(base, min_docs, max_doc_share)
+    over = counted.filter(F.col("_q_docs") > min_docs).join(hosts, "_q_host").filter(F.col("_q_docs") > F.col("_q_limit"))
+    return stored(over.select("_q_host", "_q_h"), "quality_frequent")
+
+
 def line_frequencies(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = 20, max_doc_share: float = 1e-4
 ) -> DataFrame:
@@ -187,9 +195,9 @@ def quality_rules(
     keep = [c for c in docs.columns if c.lower() not in _MADE and (with_text or clean or c != text_col)]
     # The words and windows of a text are worked out once; what follows reads these few columns.
     base = _prepared(docs, id_col, text_col, host_col, keep, min_words, max_repeat)
-    hosts, counted = _counted(base, min_docs, max_doc_share)
-    frequent = counted.filter(F.col("_q_docs") > min_docs).join(hosts, "_q_host").filter(F.col("_q_docs") > F.col("_q_limit")).select("_q_host", "_q_h")
-    frequent = stored(frequent, "quality_frequent")  # a shuffle of its own then, so that hot lines can be split
+    with scope() as kept:
+        frequent = _frequent(base, min_docs, max_doc_share)
+        kept.append(frequent)
     # Only rows of frequent lines come out; Spark broadcasts them if they are few.
     lost = _lines(base).drop("_q_s").join(frequent, ["_q_host", "_q_h"])
     per_doc = lost.select("_q_id", "_q_th", "_q_host", "_q_h", "_q_w").distinct().groupBy("_q_id", "_q_th", "_q_host").agg(
