@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
 Parquet and read again as the next stage's docs. All but the last return the columns
 of documents.
+
+In every stage: null texts are empty, null sources one source, null ids ids of their
+own; whole texts of any length are taken; an empty table gives an empty result. What a
+stage decides does not depend on the order of rows, and reruns agree.
 """
 
 from __future__ import annotations
@@ -26,13 +30,13 @@ def _as_documents(df: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go; those kept lose the lines that are frequent in their source."""
+    """Rejected documents go; those kept lose the lines that are frequent in their source. Rows that repeat get one verdict."""
     out = quality_rules(docs, clean=True).filter("kept").drop("text").withColumnRenamed("clean_text", "text")
     return _as_documents(out, docs)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later occurrences of three-line windows go, and documents that have no line left then."""
+    """Later occurrences of three-line windows go, and documents that have no line left then. The first is that of the least id, then hash of the text; rows that repeat stay equal."""
     out = line_dedup(docs).filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
     return _as_documents(out, docs)
 
@@ -51,13 +55,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them: rows equal in id and text equally often, those without words once."""
     out = mix(docs, F.array("source"), n_words(F.col("text")))
     times = F.explode(F.sequence(F.lit(1), F.col("repeats"))).alias("_time")
     return out.filter("repeats > 0").select(*docs.columns, times).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces in sequences of 2048 tokens; a text without words is one piece of the end id, and rows that repeat are packed one by one."""
     import public_tokenizers
 
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
