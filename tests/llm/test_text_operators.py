@@ -239,7 +239,7 @@ def test_html_articles_that_are_not_the_content():
 
 
 def test_html_is_linear():
-    n = 100_000
+    n = 50_000
     pages = ("<a " * n, "<div>" * n, "<div>text, here. " * n, "<b><div>x" * n + "</b>" * n, "<p><b>" * n + "</p>" * n, '<a "' * n + ">", "<script></script " * n, "<span>a" * n)
     for page in pages:
         began = time.time()
