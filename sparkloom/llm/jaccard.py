@@ -368,6 +368,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     of a round is in proportion to the links left.
     """
     edges = stored(links.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v").distinct(), "edges")
+    n = edges.count()
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -377,9 +378,12 @@ def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        after = stored(small, "edges")
-        if after.count() == edges.count() and after.join(edges, ["u", "v"], "left_anti").isEmpty():
+        after, before = stored(small, "edges"), n
+        n = after.count()
+        if n == before and after.join(edges, ["u", "v"], "left_anti").isEmpty():
+            drop(after)
             break
+        drop(edges)
         edges = after
     else:
         raise RuntimeError("components did not settle")
@@ -478,10 +482,11 @@ def labelled_rows(docs: DataFrame, id_col: str, text_col: str, n: int, percent:
     labels = stored(components(links), "labels")
 
     def apart(pairs: DataFrame) -> DataFrame:
+        """Pairs whose ends have different labels, _a and _b."""
         for x in ("a", "b"):
             label = labels.select(F.col("node").alias(x), F.col("label").alias(f"_{x}"))
             pairs = pairs.join(label, x, "left").withColumn(f"_{x}", F.coalesce(f"_{x}", x))
-        return pairs.filter("_a <> _b").drop("_a", "_b")
+        return pairs.filter("_a <> _b")
 
     # Nodes that meet in long columns only can be at the threshold if frequent n-grams are
     # nearly all they have: any others are in the index, so a pair that shares one met there.
@@ -490,14 +495,17 @@ def labelled_rows(docs: DataFrame, id_col: str, text_col: str, n: int, percent:
     mixed = entries.groupBy("s").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("node").alias("least")).filter("lo < hi").select("s", "least")
     entries = stored(entries.join(_sized(stored(mixed, "mixed")), "s").select("node", "n", "label", "least").distinct(), "mixed_entries")
     drop(long)
-    more = stored(_verified(stored(apart(short).join(one, ["a", "b"], "left_anti"), "second"), named, names_id, n, percent), "links")
+    more = stored(_verified(stored(apart(short).select("a", "b").join(one, ["a", "b"], "left_anti"), "second"), named, names_id, n, percent), "links")
     if not entries.isEmpty():
         family = components(entries.select("node", "least"), "node", "least").withColumnRenamed("label", "family")
         nodes = entries.select("node", "n", "label").distinct().join(family, "node", "left").withColumn("family", F.coalesce("family", "node"))
         nodes = stored(nodes, "families")
         more = more.unionByName(stored(_multiply_apart(nodes, sets_of(nodes.select("node")), percent), "links"))
     if not more.isEmpty():
-        labels = stored(components(links.unionByName(more)), "labels")
+        # Only labels that later links join are looked at again, not all links.
+        top = components(apart(more).select("_a", "_b"), "_a", "_b")
+        below = labels.join(_sized(top.select(F.col("node").alias("label"), F.col("label").alias("_top"))), "label", "left")
+        labels = stored(below.select("node", F.coalesce("_top", "label").alias("label")).unionByName(top), "labels")
 
     comp = names.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = comp.groupBy("label").agg(F.min("_id").alias("component"))
