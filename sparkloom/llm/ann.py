@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import drawn, stored, table
 
 
 class Codes:
@@ -138,13 +138,13 @@ def nearest(
         return df.filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull()).filter(sound).groupBy("vec_id").agg(F.max("v").alias("v"))
 
     index = stored(ready(vectors), "vectors")
-    drawn = index.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("v").collect()
+    sample = drawn(index, "vec_id", sample_rows).select("v").collect()
     shape = "query_id long, vec_id long, score double"
-    if not drawn:
+    if not sample:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    lengths = np.array([len(r["v"]) for r in drawn])
+    lengths = np.array([len(r["v"]) for r in sample])
     d = int(np.bincount(lengths).argmax())
-    codes = learn(np.array([r["v"] for r in drawn if len(r["v"]) == d]), k=k)
+    codes = learn(np.array([r["v"] for r in sample if len(r["v"]) == d]), k=k)
     shared = spark.sparkContext.broadcast(codes)
 
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

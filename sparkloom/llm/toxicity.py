@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import drawn, table
 
 _WORD = re.compile(r"\w+")
 #: Words that name groups, set by set and language by language: one is exchanged for another of its set.
@@ -164,9 +164,8 @@ def fit(
     counts as often as it is there; other columns are not read; whole texts of any length
     are used; an empty table gives a model that scores 0.5.
     """
-    sample = labelled.filter("label is not null").select("doc_id", "text", "label").cache()
-    if sample.count() > max_rows:  # the limit gathers the rows in one task, which their number bounds
-        sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).cache()
+    every = labelled.filter("label is not null").select("doc_id", "text", "label").cache()
+    sample = drawn(every, "doc_id", max_rows).cache()  # the limit gathers the rows in one task, which their number bounds
     names = select_features(sample, min_rows, min_z, max_features)
     taken = {t for s in terms for t in s}
     even = [s for s in (tuple(w for w in s if w not in taken) for s in neutral_sets(sample)) if len(s) > 1] if counterfactual else []
@@ -192,6 +191,7 @@ def fit(
     shape = ", ".join(f"{c} array<int>" for c in _COLUMNS)
     got = sample.select("label", F.pandas_udf(rows, shape)("text").alias("x")).select("label", "x.*").collect()
     sample.unpersist()
+    every.unpersist()
     if not got:
         return Classifier({}, 0.0)
     y = np.array([float(r["label"]) for r in got])
@@ -264,7 +264,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").filter(~held).groupBy("doc_id").agg(F.max("toxic").alias("label"))
     max_rows = 20_000
     # The sample is drawn from the labels, so that the texts join with a bounded table.
-    drawn = labels.filter("label is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    model = fit(docs.join(F.broadcast(drawn), "doc_id"), max_rows=max_rows)
+    some = drawn(labels.filter("label is not null"), "doc_id", max_rows)
+    model = fit(docs.join(F.broadcast(some), "doc_id"), max_rows=max_rows)
     out = score(docs, model)
     return out.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.llm import ann, mixing, packing, tokens
-from sparkloom.llm.common import rules, tokenizer
+from sparkloom.llm.common import drawn, rules, tokenizer
 
 BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 BITS = ["a", "b ", " ", "\n", "  ", "\x1c", " ", "é", "É", "ß", "Σ", "日", "1", "!", "'s", "<|endoftext|>", "\t", ".", "word", "Word", ",", "é", "İ", "###", "&&"]
@@ -169,6 +169,13 @@ def test_mix_overlapping_sources(spark):
     assert abs(sum(r["taken"] for r in out) - 9000) <= 60
 
 
+def test_drawn_is_the_first_by_hash(spark):
+    df = spark.range(60_000).withColumnRenamed("id", "k")
+    want = [r["k"] for r in df.orderBy(F.xxhash64("k"), "k").limit(500).collect()]
+    assert [r["k"] for r in drawn(df, "k", 500).collect()] == want
+    assert drawn(df.limit(3), "k", 500).count() == 3
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(5)
     x = rng.standard_normal((3000, 16))
