@@ -20,6 +20,7 @@ from sparkloom.llm.line_dedup import line_dedup
 from sparkloom.llm.mixing import mix
 from sparkloom.llm.packing import pack
 from sparkloom.llm.quality import quality_rules
+from sparkloom.sources.tables import scope
 
 
 def _as_documents(df: DataFrame, docs: DataFrame) -> DataFrame:
@@ -83,5 +84,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        with scope() as kept:  # what a stage has written besides its result goes with it
+            docs = stored(stage(spark, docs, sf_dir), name)
+            kept.append(docs)
     return STAGES[-1][1](spark, docs, sf_dir)
