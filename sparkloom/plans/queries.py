@@ -15,6 +15,7 @@ from ..operators import memory as M
 from ..operators import overview as O
 from ..operators import resolve as V
 from ..operators import retrieval as R
+from ..operators import vector_index as VI
 from ..schemas import KNOWN_EXTENSIONS, SUPPORTED_EXTENSIONS
 from ..sources import tables as S
 from . import accounts, texts  # noqa: F401  they register their queries
@@ -39,6 +40,30 @@ def vector_topk_filtered(spark, d):
     return R.search(S.read(spark, d, "embeddings"), ASKED, 5, F.col("label").isin(1, 3), "vec_id").select("vec_id", "label", F.round("score", 6).alias("score"))
 
 
+_NEAREST = """SELECT query_id, rank::INTEGER AS rank, id, round(score, 6) AS score FROM (
+  SELECT q.vec_id AS query_id, x.vec_id AS id, s AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(s, 9) DESC, x.vec_id) AS rank
+  FROM embeddings q JOIN embeddings x ON x.vec_id <> q.vec_id, LATERAL (SELECT list_cosine_similarity(q.embedding::DOUBLE[], x.embedding::DOUBLE[]) AS s) WHERE q.vec_id % 20 = 0) WHERE rank <= 10"""
+
+
+def _nearest(spark, d, probes):
+    rows = S.read(spark, d, "embeddings")
+    index = VI.build(rows, S.place(spark, "vector_index"), "vec_id")
+    found = VI.search(spark, index, rows.filter("vec_id % 20 = 0"), 10, probes, "vec_id", others=True)
+    return found.select("query_id", "rank", "id", F.round("score", 6).alias("score"))
+
+
+@query(_NEAREST)
+def vector_index_exact(spark, d):
+    """Many queries in one plan, exactly: cells that cannot hold a nearer row are not read."""
+    return _nearest(spark, d, None)
+
+
+@query()
+def vector_index_probed(spark, d):
+    """The same from the 24 nearest cells of each query: what recall and reads come to is tested."""
+    return _nearest(spark, d, 24)
+
+
 @query(f"SELECT round(max(s) - min(s), 6) AS gap FROM (SELECT {_COS} AS s FROM embeddings ORDER BY s DESC LIMIT 2)")
 def score_gap(spark, d):
     top = R.search(S.read(spark, d, "embeddings"), ASKED, 2, id_col="vec_id")

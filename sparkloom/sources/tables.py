@@ -75,13 +75,19 @@ def scope() -> Iterator[list[DataFrame]]:
         _clear(since, frozenset(f._cut_at for f in kept))
 
 
+def place(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted as what ``cut`` writes is."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
+
+
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Cut the lineage with a table in the shared folder: written once, so nothing is worked
     out twice, and read with column pruning. A lost executor costs a read of these files."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = place(spark, name)
     df.write.parquet(path)
-    _made.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_at = path
     return out
