@@ -693,11 +693,46 @@ def _facts(spark, d):
     return facts, S.cut(X.entities(facts))
 
 
+#: Members of a class, by their kind: each calls as often, and has as many methods, as ``_MEMBER_SQL`` says.
+_MEMBERS = [
+    "  r{p} = /[{'\"]\\//;\n",
+    "  h{p} = async (x: number): Promise<void> => { await this.go(x); };\n",
+    "  @Hook({ at: '}' }) m{p}<T extends { k: T }>(x: T[] = []): Map<string, { v: T }> { return wrap<T>(x / 2 / 3, `a ${x ? `b ${inner()}` : '}'} c`); }\n",
+    "  /** Two. */\n  o{p}(a: string): void;\n  o{p}(a: any) { if (/}/.test(a)) { this.x.put(a); } }\n",
+    "  static get g{p}() { return new Box<number>(1); }\n",
+]
+
+
+def _members(spark, d):
+    """A TypeScript file per supplier, with a member of its class for every part that it has; which one follows from the part."""
+    p = S.read(spark, d, "part")
+    n = max(1, S.read(spark, d, "supplier").count())
+    text = F.lit("")
+    for i, m in enumerate(_MEMBERS):
+        text = F.when(F.col("p_size") % 5 == i, F.replace(F.lit(m), F.lit("{p}"), F.col("p_partkey").cast("string"))).otherwise(text)
+    rows = p.select((F.col("p_partkey") % n).alias("k"), F.struct("p_partkey", text.alias("t")).alias("m"))
+    per = rows.groupBy("k").agg(F.array_join(F.transform(F.array_sort(F.collect_list("m")), lambda m: m["t"]), "").alias("body"))
+    name = lambda a, b: F.concat(F.lit(a), F.col("k").cast("string"), F.lit(b))
+    return per.select(F.lit("r").alias("repo_id"), name("src/s", ".ts").alias("file_path"), F.concat(name("export class S", " extends Base<{ a: '}' }> {\n"), "body", F.lit("}\nexport const last = () => done();\n")).alias("content"))
+
+
+@query("""WITH p AS (SELECT p_partkey % greatest(1, (SELECT count(*) FROM supplier)) AS k, p_partkey, p_size % 5 AS m FROM part)
+  SELECT 'src/s' || k || '.ts' AS file_path, count(*) FILTER (m >= 2) AS methods, count(*) FILTER (m = 3) AS documented, (2 * count(*) FILTER (m = 2) + count(*) FILTER (m = 3) + count(*) FILTER (m = 4) + 1)::BIGINT AS calls,
+    count(*) FILTER (m = 4) AS sites, 1::BIGINT AS bases, (count(*) FILTER (m <> 3) + 3 * count(*) FILTER (m = 3) + 2)::INT AS end_line FROM p GROUP BY k""")
+def extract_members(spark, d):
+    """Facts of sources of odd members: patterns, nested templates, arrow functions, overloads, decorators and generics."""
+    f = XT.facts(_members(spark, d))
+    e = X.entities(f)
+    per = e.groupBy("file_path").agg(F.count_if(F.col("type") == "method").alias("methods"), F.count_if((F.col("type") == "method") & F.col("has_docstring")).alias("documented"), F.max(F.when(F.col("type") == "class", F.col("end_line"))).alias("end_line"))
+    more = f.groupBy("file_path").agg(*[F.count_if(F.col("kind") == k).alias(k + "s") for k in ("call", "site", "base")])
+    return per.join(more, "file_path")
+
+
 _PER = "per AS (SELECT n_nationkey AS n, (n_nationkey + 1) % 25 AS m, count(s_suppkey) AS s FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_nationkey)"
 
 
 @query(f"""WITH {_PER} SELECT 'python/n' || n || '.py' AS file_path, unnest(['module', 'function', 'class', 'method', 'variable']) AS type, unnest([1, 1, 1 + s, 1 + 2 * s, 1 + s]) AS n, unnest([1, 0, s, 0, 0]) AS documented FROM per
-  UNION ALL SELECT 'typescript/m' || n || '.ts', unnest(['module', 'function', 'class', 'method', 'interface']), unnest([1, 1, 1 + s, 1 + 2 * s, 1]), unnest([0, 0, s, 0, 0]) FROM per""")
+  UNION ALL SELECT 'typescript/m' || n || '.ts', unnest(['module', 'function', 'class', 'method', 'interface']), unnest([1, 1, 1 + s, 1 + 2 * s, 1]), unnest([(s > 0)::INT, 0, s, 0, 0]) FROM per""")
 def extract_entities(spark, d):
     _, e = _facts(spark, d)
     return e.groupBy("file_path", "type").agg(F.count("*").alias("n"), F.count_if("has_docstring").alias("documented"))
