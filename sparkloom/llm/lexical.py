@@ -39,7 +39,7 @@ UNIT, ONE, LENGTH, PART = 1_000_000_000, 1000, 8, 90
 #: Queries, and their terms, that are answered at once; both are held by every task.
 MAX_QUERIES, MAX_TERMS = 1024, 500_000
 #: Terms whose hashes a worker keeps.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 100_000
 
 _BLOCK = "block long, doc_id array<long>, n array<long>, at array<int>, slot array<int>, tf array<int>, term array<long>, peak array<long>, df array<int>"
 
@@ -112,10 +112,15 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     block; repeated rows are documents of their own; null ids stay null; an empty table
     gives an index without blocks.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    n = F.regexp_count(text, F.lit(TERM)).cast("long")
-    stats = docs.select(n.alias("n")).filter("n > 0").agg(F.count("*").alias("docs"), F.sum("n").alias("terms")).first()
-    n_docs, n_terms = stats["docs"], stats["terms"] or 0
+    text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = [len(terms_of(t.as_py())) for t in b.column(0)]
+            yield pa.RecordBatch.from_pydict({"docs": [sum(map(bool, n))], "terms": [sum(n)]})
+
+    stats = docs.select(text).mapInArrow(counted, "docs long, terms long").agg(F.sum("docs").alias("docs"), F.sum("terms").alias("terms")).first()
+    n_docs, n_terms = stats["docs"] or 0, stats["terms"] or 0
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, held = TaskContext.get().partitionId() << 32, []
@@ -129,7 +134,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if held:
             yield _row(held, number, n_docs, n_terms)
 
-    rows = docs.select(F.col(id_col).cast("long"), text.cast("binary")).mapInArrow(blocks, _BLOCK)
+    rows = docs.select(F.col(id_col).cast("long"), text).mapInArrow(blocks, _BLOCK)
     return Index(stored(rows, "block_index"), n_docs, n_terms)
 
 
