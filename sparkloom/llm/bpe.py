@@ -14,11 +14,12 @@ and nothing else. Vocabularies with other rules are encoded text by text.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,8 +30,10 @@ _KNOWN = 0x250
 #: Kinds of characters, as the byte-level pattern tells them apart; 0 is never beside a cut.
 _LETTER, _NUMBER, _OTHER, _SPACE, _APOSTROPHE = 1, 2, 3, 4, 5
 #: Entries of a worker's cache of fragments, and the longest fragment kept.
-CACHE_ENTRIES = 400_000
-CACHE_CHARS = 24
+CACHE_ENTRIES = 150_000
+CACHE_CHARS = 16
+#: Rows of a batch that are made and handed on at once.
+ROWS = 256
 #: Code points whose cuts are found at once.
 STRETCH = 1 << 20
 
@@ -143,28 +146,17 @@ def decode(path: str, ids: np.ndarray) -> str:
     return b"".join([tokens[i] if 0 <= i < len(tokens) else b"" for i in ids.tolist()]).decode("utf-8", "replace")
 
 
-def ids_of(text: Column, vocabulary: str) -> Column:
-    """The column of ids (array of int, empty for null and empty texts) of a text column."""
+def _mapped(df: DataFrame, column: str, out: str, kind: T.DataType, made: Callable[[pa.Array], pa.Array]) -> DataFrame:
+    """``df`` with ``out``, made of ``column`` a few rows at a time, so that a worker never holds what a whole batch gives."""
+    kept, own = [c for c in df.columns if c.lower() != out.lower()], fresh(df, "_made")
 
-    @F.arrow_udf(T.ArrayType(T.IntegerType(), False))
-    def run(texts: pa.Array) -> pa.Array:
-        parts = [encode(vocabulary, t) if t else b"" for t in texts.to_pylist()]
-        ends = np.cumsum([0, *(len(p) // 4 for p in parts)], dtype=np.int64)
-        kind = pa.list_(pa.field("element", pa.int32(), nullable=False))
-        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(parts), dtype="<i4")), type=kind)
-
-    return run(text)
-
-
-def text_of(ids: Column, vocabulary: str) -> Column:
-    """The column of texts of a column of ids; null and empty ids give an empty text."""
-
-    @F.arrow_udf(T.StringType())
-    def run(rows: pa.Array) -> pa.Array:
-        flat, ends = np.asarray(rows.values), np.asarray(rows.offsets)
-        return pa.array([decode(vocabulary, flat[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.string())
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, ROWS):
+                part = b.slice(at, ROWS)
+                yield pa.RecordBatch.from_arrays([*part.columns, made(part.column(column))], [*b.schema.names, own])
 
-    return run(F.coalesce(ids, F.array().cast("array<int>")))
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(own, kind)])).select(*kept, F.col(own).alias(out))
 
 
 def bpe_encode(docs: DataFrame, vocabulary: str, text_col: str = "text", out: str = "ids") -> DataFrame:
@@ -176,21 +168,27 @@ def bpe_encode(docs: DataFrame, vocabulary: str, text_col: str = "text", out: st
     repeated rows are encoded one by one; an empty table stays empty. No row moves. A
     column that has the name of ``out`` is replaced, whatever its case.
     """
-    kept = [c for c in docs.columns if c.lower() != out.lower()]
-    own = fresh(docs, "_ids")
-    return docs.withColumn(own, ids_of(F.col(text_col), vocabulary)).select(*kept, F.col(own).alias(out))
+
+    def made(texts: pa.Array) -> pa.Array:
+        parts = [encode(vocabulary, t) if t else b"" for t in texts.to_pylist()]
+        ends = np.cumsum([0, *(len(p) // 4 for p in parts)])
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(parts), dtype="<i4")))
+
+    return _mapped(docs, text_col, out, T.ArrayType(T.IntegerType()), made)
 
 
 def bpe_decode(df: DataFrame, vocabulary: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
     """``df`` with the text of each row's ids in ``out``; special tokens are written out.
 
-    Null and empty ids give an empty text, ids outside the vocabulary nothing, and bytes
-    that form no character U+FFFD. Other columns stay; one that has the name of ``out``
-    is replaced.
+    Null and empty ids give an empty text, null ids among others and ids outside the
+    vocabulary nothing, and bytes that form no character U+FFFD. Other columns stay; one
+    that has the name of ``out`` is replaced.
     """
-    kept = [c for c in df.columns if c.lower() != out.lower()]
-    own = fresh(df, "_text")
-    return df.withColumn(own, text_of(F.col(ids_col), vocabulary)).select(*kept, F.col(own).alias(out))
+
+    def made(rows: pa.Array) -> pa.Array:
+        return pa.array([decode(vocabulary, x.values.fill_null(-1).to_numpy(zero_copy_only=False)) if x.is_valid else "" for x in rows], pa.string())
+
+    return _mapped(df, ids_col, out, T.StringType(), made)
 
 
 def op13_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,7 +196,7 @@ def op13_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = bpe_decode(bpe_encode(docs, path), path)
+    out = bpe_decode(bpe_encode(docs, path).drop("text"), path)
     return out.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
