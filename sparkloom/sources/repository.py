@@ -2,42 +2,32 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import basename
 from ..schemas import KNOWN_EXTENSIONS, SUPPORTED_EXTENSIONS
-
-# Directories that an extraction does not enter.
-SKIP_DIRS = ("node_modules", "venv", "__pycache__", "platform")
+from .datasource import register
 
 
-def walk(spark: SparkSession, path: str, repo_id: str, partitions: int | None = None) -> DataFrame:
-    """(repo_id, file_path, language, content) of the supported files below a local path, by path.
+def walk(spark: SparkSession, path: str, repo_id: str | None = None, depth: int = 2, repos: list[str] | None = None, languages: list[str] | None = None, prefix: str = "") -> DataFrame:
+    """(repo_id, file_path, language, content) of the supported files below a path that executors see.
 
-    Only names are listed on the driver; contents are read by tasks, so the path must be
-    one that executors see. Spark's own file sources pass over names that begin with an
-    underscore, and ``__init__.py`` is needed.
+    Without ``repo_id``, every folder of the path is a repository. Names and contents
+    are found by tasks; the driver lists folders, ``depth`` levels down. ``repos``,
+    ``languages`` and the ``prefix`` of paths prune folders and files.
     """
-    found = []
-    for root, dirs, files in os.walk(path):
-        dirs[:] = sorted(d for d in dirs if not d.startswith(".") and d not in SKIP_DIRS)
-        found += [os.path.join(root, f) for f in files if f.endswith(SUPPORTED_EXTENSIONS)]
-    rows = [(repo_id, os.path.relpath(f, path).replace(os.sep, "/"), f) for f in sorted(found)]
-    names = spark.createDataFrame(rows, "repo_id string, file_path string, at string")
-    names = names.repartition(partitions) if partitions else names
-
-    def load(batches):
-        for b in batches:
-            text = []
-            for p in b["at"]:
-                with open(p, "rb") as f:
-                    text.append(f.read().decode("utf-8", "replace"))
-            yield b.assign(content=text, language=["python" if p.endswith(".py") else "typescript" for p in b["at"]])[["repo_id", "file_path", "language", "content"]]
-
-    return names.mapInPandas(load, "repo_id string, file_path string, language string, content string")
+    register(spark)
+    reader = spark.read.format("repository").option("depth", depth).option("prefix", prefix)
+    reader = reader.option("repos", ",".join(repos or [])).option("languages", ",".join(languages or []))
+    return (reader.option("repo_id", repo_id) if repo_id else reader).load(path)
+
+
+def changes(spark: SparkSession, path: str, repo_id: str | None = None, settle_seconds: float = 1) -> DataFrame:
+    """The same as a stream: files as they are made or changed."""
+    register(spark)
+    reader = spark.readStream.format("repository").option("settle_seconds", settle_seconds)
+    return (reader.option("repo_id", repo_id) if repo_id else reader).load(path)
 
 
 def scan_languages(files: DataFrame, repo_col: str, path_col: str = "path") -> DataFrame:
