@@ -1,4 +1,4 @@
-"""Streaming forms of quotas, facts, summaries and progress."""
+"""Streaming forms of quotas, facts and progress; ``stateful`` and ``sink`` have those with timers and what writes."""
 
 from __future__ import annotations
 
@@ -102,45 +102,8 @@ def exhausted(events: DataFrame, key: str, ts: str, id_col: str, failed: Column,
     return slim.groupBy(key).applyInPandasWithState(run, f"{key} string, {id_col} long, exhausted boolean", "since long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def rolling_summary(turns: DataFrame, key: str, turn: str, text: str, fold=None, least: int = 4) -> DataFrame:
-    """Fold unsummarised turns into a summary whenever ``least`` of them have come; the pointer moves on.
-
-    ``fold`` (summary, texts) -> summary is pluggable; by default texts are joined.
-    """
-    fold = fold or (lambda summary, texts: "\n".join([*([summary] if summary else []), *texts]))
-
-    def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        summary, through, waiting = state.get if state.exists else ("", 0, [])
-        waiting = [tuple(w) for w in waiting]
-        got = pd.concat(list(batches)).sort_values(turn)
-        waiting += [(int(t), x) for t, x in zip(got[turn], got[text]) if t > through]
-        if len(waiting) >= least:
-            summary, through, waiting = fold(summary, [x for _, x in waiting]), max(t for t, _ in waiting), []
-        state.update((summary, through, waiting))
-        yield pd.DataFrame([(k[0], summary, through)], columns=[key, "summary", "through"])
-
-    shape = "summary string, through long, waiting array<struct<turn:long,text:string>>"
-    return turns.select(key, turn, text).groupBy(key).applyInPandasWithState(run, f"{key} long, summary string, through long", shape, "update", GroupStateTimeout.NoTimeout)
-
-
 def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a query over what its source has now and return it as a table."""
+    """Run a query over what its source has now and return it as a table in the driver's memory: for views and tests; ``sink`` writes tables."""
     q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
     q.awaitTermination()
     return stream.sparkSession.table(name)
-
-
-def with_retries(write, tries: int = 6, base: float = 2.0):
-    """A ``foreachBatch`` function that tries again with growing waits."""
-    import time
-
-    def run(batch: DataFrame, epoch: int) -> None:
-        for i in range(tries):
-            try:
-                return write(batch, epoch)
-            except Exception:
-                if i == tries - 1:
-                    raise
-                time.sleep(base * 2**i)
-
-    return run
