@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import canonical_source, repo_id, repo_name
+from .ordered import running
 
 # Predicates that tables keep.
 CHECKS = {
@@ -44,8 +45,7 @@ def cache_entries(found: DataFrame, repos: DataFrame) -> DataFrame:
 
 def ordered_facts(facts: DataFrame, keys: list[str]) -> DataFrame:
     """Facts of each key in the order in which they were made: (keys, ord, category, fact); keys may be users, users and repositories, or either."""
-    per = facts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("created_at", "id", "category", "fact"))).alias("_f"))
-    return per.select(*keys, F.posexplode("_f").alias("ord", "_x")).select(*keys, "ord", "_x.category", "_x.fact")
+    return running(facts, keys, ["created_at", "id"], {}).select(*keys, F.col("pos").cast("int").alias("ord"), "category", "fact")
 
 
 def requested(requests: DataFrame, repos: DataFrame) -> DataFrame:

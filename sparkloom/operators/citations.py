@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import CITATION, basename, last_dotted, normalise_citations
+from .ordered import around
 
 
 def parse(answers: DataFrame) -> DataFrame:
@@ -51,8 +52,8 @@ def overlapping(citations: DataFrame, entities: DataFrame) -> DataFrame:
 def nearest(citations: DataFrame, entities: DataFrame) -> DataFrame:
     """Each citation with the entity of its file whose first or last line is nearest to its first line; ties to the lesser id.
 
-    The neighbours on either side, by two ordered passes over the lines of a file: no
-    citation meets all entities of its file.
+    The neighbours on either side, by ordered passes over ranges of a file's lines: no
+    citation meets all entities of its file, and no task holds a file.
     """
     line = entities.select("file_path", F.col("id").alias("entity_id"), F.explode(F.array("start_line", "end_line")).alias("line"))
     line = line.groupBy("file_path", F.col("line").cast("long").alias("line")).agg(F.min("entity_id").alias("entity_id"))
@@ -60,10 +61,7 @@ def nearest(citations: DataFrame, entities: DataFrame) -> DataFrame:
     asked = citations.select("file_path", F.col("start_line").cast("long").alias("line"), none.cast(dict(line.dtypes)["entity_id"]).alias("entity_id"), "answer_id", "raw")
     points = line.withColumns({"answer_id": none.cast(dict(citations.dtypes)["answer_id"]), "raw": none.cast("string")})
     here = F.when(F.col("entity_id").isNotNull(), F.struct("line", "entity_id"))
-    order = W.partitionBy("file_path").orderBy("line")
-    before = F.last(here, True).over(order.rangeBetween(W.unboundedPreceding, 0))
-    after = F.first(here, True).over(order.rangeBetween(0, W.unboundedFollowing))
-    met = asked.unionByName(points).withColumns({"_b": before, "_a": after}).filter("raw is not null")
+    met = around(asked.unionByName(points), ["file_path"], "line", here).withColumnsRenamed({"before": "_b", "after": "_a"}).filter("raw is not null")
     near = lambda x: F.when(F.col(x).isNotNull(), F.struct(F.abs(F.col(f"{x}.line") - F.col("line")).alias("d"), F.col(f"{x}.entity_id").alias("id")))
     met = met.select("answer_id", "raw", F.least(near("_b"), near("_a")).alias("_m")).filter("_m is not null")
     return citations.join(met.select("answer_id", "raw", F.col("_m.id").alias("entity_id"), F.col("_m.d").alias("distance")), ["answer_id", "raw"])
@@ -77,10 +75,12 @@ def match_files(cited: DataFrame, files: DataFrame) -> DataFrame:
     parts = lambda c: F.split(c, "/")
     tails = lambda c: F.transform(F.sequence(F.lit(1), F.size(parts(c))), lambda i: F.array_join(F.slice(parts(c), i, F.size(parts(c))), "/"))
     c = cited.select("file_path").distinct()
-    exact = c.join(files.select(F.col("path").alias("file_path"), F.col("path")), "file_path").withColumn("tier", F.lit(1))
-    longer = files.select("path", F.explode(tails(F.col("path"))).alias("file_path")).join(c, "file_path").withColumn("tier", F.lit(2))
-    shorter = c.select("file_path", F.explode(tails(F.col("file_path"))).alias("path")).join(files.select("path"), "path").withColumn("tier", F.lit(2))
-    base = c.withColumn("b", basename(F.col("file_path"))).join(files.withColumn("b", basename(F.col("path"))).select("b", "path"), "b").withColumn("tier", F.lit(3))
+    exact = c.join(files.select(F.col("path").alias("file_path"), "path").distinct(), "file_path").withColumn("tier", F.lit(1))
+    # Of all files with one ending, or one name, the least is what counts: one row a key meets the cited ones.
+    least = lambda key: files.select("path", key).groupBy("k").agg(F.min("path").alias("path"))
+    longer = c.join(least(F.explode(tails(F.col("path"))).alias("k")).withColumnRenamed("k", "file_path"), "file_path").withColumn("tier", F.lit(2))
+    shorter = c.select("file_path", F.explode(tails(F.col("file_path"))).alias("path")).join(files.select("path").distinct(), "path").withColumn("tier", F.lit(2))
+    base = c.withColumn("k", basename(F.col("file_path"))).join(least(basename(F.col("path")).alias("k")), "k").withColumn("tier", F.lit(3))
     cols = ["file_path", "path", "tier"]
     every = exact.select(cols).unionByName(longer.select(cols)).unionByName(shorter.select(cols)).unionByName(base.select(cols))
     return every.groupBy("file_path").agg(F.min(F.struct("tier", "path")).alias("m")).select("file_path", "m.path", "m.tier")

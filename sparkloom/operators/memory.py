@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import seconds_to_midnight
+from .ordered import running
 
 
 def latest(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
@@ -98,8 +99,8 @@ def sliding_count(events: DataFrame, key: str, ts: str, seconds: int = 60) -> Da
 
 
 def daily_count(events: DataFrame, key: str, ts: str, tie: str) -> DataFrame:
-    w = W.partitionBy(key, F.to_date(ts)).orderBy(ts, tie).rowsBetween(W.unboundedPreceding, -1)
-    return events.withColumn("today", F.count("*").over(w))
+    """``events`` with ``today``: how many of the key came earlier on the same UTC day, ties by ``tie``. A key and day of any size is many ranges."""
+    return running(events.withColumn("_day", F.to_date(ts)), [key, "_day"], [ts, tie], {}).withColumnRenamed("pos", "today").drop("_day")
 
 
 def exhausted(events: DataFrame, key: str, ts: str, failed: Column) -> DataFrame:

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,6 +12,7 @@ from ..functions import vectors
 from ..functions.text import token_estimate
 from ..sources.tables import cut
 from . import graph
+from .ordered import batches
 
 # Priorities of roles in the context; deeper callees than two are left out.
 PRIORITY = {"core": 1, "callee1": 2, "child": 2, "caller": 3, "callee2": 4, "parent": 5, "base": 6}
@@ -91,92 +90,50 @@ def unseen(results: DataFrame, seen: DataFrame) -> DataFrame:
     return results.join(seen.select("id"), "id", "left_anti")
 
 
-def greedy_batches(rows: DataFrame, group: list[str], order: list[str], size: str, most: int) -> DataFrame:
-    """``rows`` (group, order, size) with ``batch``: greedy batches in order, of at most ``most``, a larger one alone.
-
-    Where a batch ends depends on all before it, yet no group is folded in one piece.
-    Rows are cut into ranges of the order; for each range, a table says what every fill
-    that may enter it becomes (fills that end alike are one interval, so it has at most
-    as many rows as the range); the tables of a group are walked once for the fill that
-    enters each range; then all ranges are folded at the same time. Sizes are whole
-    numbers from 1 on; of a group only the tables meet in one task.
-    """
-    parts, columns = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.columns
-    ranged = cut(rows.repartitionByRange(parts, *group, *order).withColumn("_part", F.spark_partition_id()))
-    types = dict(rows.dtypes)
-    keys = ", ".join(f"{g} {types[g]}" for g in group)
-
-    def table(g: pd.DataFrame) -> pd.DataFrame:
-        t = g.sort_values(order)[size].to_numpy()
-        n = len(t)
-        total = np.concatenate([[0], np.cumsum(t)])
-        # The batch that starts at i ends before nxt[i]; a larger one is alone.
-        nxt = np.maximum(np.searchsorted(total, total[:-1] + most, side="right") - 1, np.arange(n) + 1)
-        end, count = np.empty(n + 1, dtype=np.int64), np.zeros(n + 1, dtype=np.int64)
-        for i in range(n - 1, -1, -1):
-            j = nxt[i]
-            end[i], count[i] = (min(total[n] - total[i], most), 1) if j == n else (end[j], count[j] + 1)
-        # An entering fill f starts its first batch at the first row that does not fit.
-        first = np.arange(n)
-        lo = np.maximum(0, most - total[1 : n + 1] + 1)  # from this fill on, row i does not fit
-        lo[0] = min(lo[0], most)
-        rows_ = [(int(f), int(end[i]), int(count[i])) for f, i in zip(lo, first)]
-        seen, out = most + 1, []
-        for f, e, c in rows_:  # descending fills
-            if f < seen:
-                out.append((f, min(seen, most + 1) - 1, e, c, 0))
-                seen = f
-        if seen > 0:  # all rows fit
-            out.append((0, seen - 1, 0, 0, int(total[n])))
-        made = pd.DataFrame(out, columns=["lo", "hi", "fill", "n", "plus"])
-        merged = made.groupby(["fill", "n", "plus"], as_index=False).agg(lo=("lo", "min"), hi=("hi", "max"))
-        return merged.assign(_part=g["_part"].iloc[0], **{k: g[k].iloc[0] for k in group})[[*group, "_part", "lo", "hi", "fill", "n", "plus"]]
-
-    def walk(g: pd.DataFrame) -> pd.DataFrame:
-        fill, batch, out = 0, 0, []
-        for part, one in g.groupby("_part", sort=True):
-            out.append((part, fill, batch))
-            r = one[(one["lo"] <= fill) & (fill <= one["hi"])].iloc[0]
-            if fill == 0:  # nothing is open, so the first row starts a batch that is counted already
-                r = one[(one["lo"] <= most) & (most <= one["hi"])].iloc[0]
-                fill, batch = int(r["fill"]), batch + int(r["n"]) - 1
-            elif r["n"]:
-                fill, batch = int(r["fill"]), batch + int(r["n"])
-            else:
-                fill = min(fill + int(r["plus"]), most)
-        made = pd.DataFrame(out, columns=["_part", "_fill", "_batch"])
-        return made.assign(**{k: g[k].iloc[0] for k in group})[[*group, "_part", "_fill", "_batch"]]
-
-    def fold(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(order)
-        used, batch, out = int(g["_fill"].iloc[0]), int(g["_batch"].iloc[0]), []
-        for t in g[size]:
-            if used and used + t > most:
-                batch, used = batch + 1, 0
-            used += t
-            out.append(batch)
-        return g.assign(batch=out)[[*columns, "batch"]]
-
-    tables = ranged.groupBy(*group, "_part").applyInPandas(table, f"{keys}, _part int, lo long, hi long, fill long, n long, plus long")
-    entry = tables.groupBy(*group).applyInPandas(walk, f"{keys}, _part int, _fill long, _batch long")
-    schema = ", ".join(f"{k} {v}" for k, v in types.items()) + ", batch long"
-    return ranged.join(entry, [*group, "_part"]).groupBy(*group, "_part").applyInPandas(fold, schema)
-
-
 def token_batches(texts: DataFrame, group: list[str], order: list[str], text_col: str, max_tokens: int = 50_000) -> DataFrame:
     """Greedy batches in order: a text that does not fit starts the next batch; a longer one is alone. Rows carry sizes, not texts."""
     slim = texts.select(*group, *order, token_estimate(F.col(text_col), 1).alias("tokens"))
-    return greedy_batches(slim, group, order, "tokens", max_tokens)
+    return batches(slim, group, order, {"tokens": max_tokens})
+
+
+#: Where Python's splitlines ends a line, kept at its end.
+_LINE_ENDS = r"(?<=\n)|(?<=\r)(?!\n)|(?<=[\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029])"
+
 
+def source_chunks(files: DataFrame, keys: list[str], text_col: str, max_tokens: int) -> DataFrame:
+    """(keys, chunk, total_chunks, first_line, last_line, chars, text): each text in chunks of at most four characters a token, cut at line ends; a longer line is alone.
 
-def file_batches(files: DataFrame, repo_col: str, path_col: str, text_col: str, context: int, reserve: int, output: int = 800, share: float = 0.3) -> DataFrame:
-    """(repo, path, tokens, kind, batch): files over the budget in line chunks, small ones packed, others alone."""
+    Lines are rows and chunks are batches of them, so no text is folded in one piece.
+    """
+    lines = files.select(*keys, F.posexplode(F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), _LINE_ENDS), lambda x: x != "")).alias("line", "t"))
+    lines = lines.withColumn("chars", F.length("t").cast("long"))
+    cut_ = batches(lines, keys, ["line"], {"chars": 4 * max_tokens})
+    per = cut_.groupBy(*keys, "batch").agg(
+        F.min("line").alias("a"), F.max("line").alias("b"), F.sum("chars").alias("chars"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "t"))), lambda x: x["t"]), "").alias("text")
+    )
+    total = F.count("*").over(W.partitionBy(*keys))
+    return per.select(*keys, F.col("batch").alias("chunk"), total.alias("total_chunks"), (F.col("a") + 1).alias("first_line"), (F.col("b") + 1).alias("last_line"), "chars", "text")
+
+
+def file_batches(files: DataFrame, repo_col: str, path_col: str, text_col: str, context: int, reserve: int, per_file: int, output: int = 800, share: float = 0.3) -> DataFrame:
+    """(repo, path, tokens, kind, chunk, total_chunks, batch): what is sent to a model together.
+
+    A file over the budget (context less reserve, 1000 at least) is a row per chunk, each
+    a batch of its own; files under ``share`` of it are packed in the order of paths, up
+    to the budget of tokens and up to ``output`` tokens of answers at ``per_file`` each;
+    any other file is a batch alone. ``batch`` numbers the packed ones of a repository.
+    """
     budget = max(1000, context - reserve)
-    df = files.select(repo_col, path_col, token_estimate(F.col(text_col), 1).alias("tokens"))
-    kind = F.when(F.col("tokens") > budget, "chunked").when(F.col("tokens") < share * budget, "packed").otherwise("single")
-    df = df.withColumn("kind", kind)
-    packed = greedy_batches(df.filter("kind = 'packed'"), [repo_col], [path_col], "tokens", budget)
-    return packed.unionByName(df.filter("kind <> 'packed'").withColumn("batch", F.lit(None).cast("long")))
+    df = files.select(repo_col, path_col, token_estimate(F.col(text_col), 1).alias("tokens"), text_col)
+    big, rest = df.filter(F.col("tokens") > budget), df.filter(F.col("tokens") <= budget).drop(text_col)
+    kind = F.when(F.col("tokens") < share * budget, "packed").otherwise("single")
+    rest = rest.withColumns({"kind": kind, "chunk": F.lit(0).cast("long"), "total_chunks": F.lit(1).cast("long"), "answer": F.lit(per_file).cast("long")})
+    packed = batches(rest.filter("kind = 'packed'"), [repo_col], [path_col], {"tokens": budget, "answer": output})
+    single = rest.filter("kind = 'single'").withColumn("batch", F.lit(None).cast("long"))
+    chunks = source_chunks(big, [repo_col, path_col], text_col, budget)
+    tokens = F.greatest(F.lit(1), F.floor(F.col("chars") / 4)).cast("long").alias("tokens")
+    chunks = chunks.select(repo_col, path_col, tokens, F.lit("chunked").alias("kind"), "chunk", "total_chunks", F.lit(None).cast("long").alias("batch"))
+    return packed.unionByName(single).drop("answer").unionByName(chunks)
 
 
 def line_chunks(text: Column, size: int) -> Column:

@@ -600,10 +600,31 @@ def token_batches(spark, d):
     return R.token_batches(S.read(spark, d, "documents"), ["source"], ["doc_id"], "text", 5_000)
 
 
-@query("WITH RECURSIVE " + _GREEDY.format(2000, "WHERE greatest(1, length(text) // 4) < 600") + """ SELECT source, doc_id, tokens, 'packed' AS kind, batch FROM g UNION ALL
-  SELECT source, doc_id, greatest(1, length(text) // 4), CASE WHEN greatest(1, length(text) // 4) > 2000 THEN 'chunked' ELSE 'single' END, NULL FROM documents WHERE greatest(1, length(text) // 4) >= 600""")
+#: The same under two limits: at most 5 files of 150 tokens of answers each.
+_PACKED = """small AS (SELECT source, doc_id, greatest(1, length(text) // 4) AS tokens, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents WHERE greatest(1, length(text) // 4) < 600),
+  p AS (SELECT source, doc_id, tokens, r, tokens AS used, 150 AS answer, 0::BIGINT AS batch FROM small WHERE r = 1 UNION ALL
+    SELECT n.source, n.doc_id, n.tokens, n.r, CASE WHEN p.used + n.tokens > 2000 OR p.answer + 150 > 800 THEN n.tokens ELSE p.used + n.tokens END, CASE WHEN p.used + n.tokens > 2000 OR p.answer + 150 > 800 THEN 150 ELSE p.answer + 150 END,
+      p.batch + (p.used + n.tokens > 2000 OR p.answer + 150 > 800)::BIGINT FROM p JOIN small n ON n.r = p.r + 1 AND n.source IS NOT DISTINCT FROM p.source)"""
+
+#: Chunks of the files over 2000 tokens: a step a line, of what the chunk holds so far.
+_CHUNKS = """big AS (SELECT source, doc_id, string_split(text, chr(10)) AS l FROM documents WHERE greatest(1, length(text) // 4) > 2000),
+  lines AS (SELECT * FROM (SELECT source, doc_id, i, length(x) + (i < n)::INT AS chars FROM (SELECT source, doc_id, unnest(l) AS x, generate_subscripts(l, 1) AS i, len(l) AS n FROM big)) WHERE chars > 0),
+  c AS (SELECT source, doc_id, i, chars AS used, chars, 0::BIGINT AS chunk FROM lines WHERE i = 1 UNION ALL
+    SELECT n.source, n.doc_id, n.i, CASE WHEN c.used + n.chars > 8000 THEN n.chars ELSE c.used + n.chars END, n.chars, c.chunk + (c.used + n.chars > 8000)::BIGINT FROM c JOIN lines n ON n.i = c.i + 1 AND n.doc_id = c.doc_id),
+  chunks AS (SELECT source, doc_id, chunk, sum(chars)::BIGINT AS chars, min(i)::INT AS first_line, max(i)::INT AS last_line FROM c GROUP BY ALL)"""
+
+
+@query("WITH RECURSIVE " + _PACKED + ", " + _CHUNKS + """ SELECT source, doc_id, tokens, 'packed' AS kind, 0::BIGINT AS chunk, 1::BIGINT AS total_chunks, batch FROM p
+  UNION ALL SELECT source, doc_id, greatest(1, length(text) // 4), 'single', 0, 1, NULL FROM documents WHERE greatest(1, length(text) // 4) BETWEEN 600 AND 2000
+  UNION ALL SELECT source, doc_id, greatest(1, chars // 4), 'chunked', chunk, count(*) OVER (PARTITION BY source, doc_id), NULL FROM chunks""")
 def file_batches(spark, d):
-    return R.file_batches(S.read(spark, d, "documents"), "source", "doc_id", "text", 4_000, 2_000)
+    return R.file_batches(S.read(spark, d, "documents"), "source", "doc_id", "text", 4_000, 2_000, 150)
+
+
+@query("WITH RECURSIVE " + _CHUNKS + " SELECT doc_id, chunk, count(*) OVER (PARTITION BY doc_id) AS total_chunks, first_line, last_line, chars FROM chunks")
+def source_chunks(spark, d):
+    docs = S.read(spark, d, "documents").filter(T.token_estimate(F.col("text"), 1) > 2000)
+    return R.source_chunks(docs, ["doc_id"], "text", 2_000).drop("text")
 
 
 @query(with_("entities edges links", f"""+ scored AS (SELECT 'c' || vec_id AS id, {_COS} AS score FROM embeddings), ranked AS (SELECT s.id, row_number() OVER (ORDER BY s.score DESC, s.id) AS rank FROM scored s JOIN entities USING (id) WHERE s.score IS NOT NULL QUALIFY rank <= 5),

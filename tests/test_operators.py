@@ -3,33 +3,92 @@
 import os
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.operators import accounts, answers, citations, memory, retrieval
+from sparkloom.operators import accounts, answers, citations, memory, ordered, retrieval
 from sparkloom.sources import tables
 from sparkloom.streaming import quota
 
 
-def plain_batches(sizes, most):
-    batch, used, out = 0, 0, []
-    for t in sizes:
-        if used and used + t > most:
-            batch, used = batch + 1, 0
-        used += t
+def plain_batches(rows, mosts):
+    batch, used, out = 0, None, []
+    for sizes in rows:
+        if used and any(u + s > m for u, s, m in zip(used, sizes, mosts)):
+            batch, used = batch + 1, None
+        used = [u + s for u, s in zip(used or [0] * len(mosts), sizes)]
         out.append(batch)
     return out
 
 
-def test_greedy_batches_equal_a_fold(spark):
-    rng = random.Random(3)
-    for most, hi in ((10, 12), (50, 20), (1, 3), (1000, 5)):
-        rows = [("hot" if rng.random() < 0.7 else rng.choice("abc"), i, rng.randint(1, hi)) for i in range(400)]
-        rows += [(None, i, rng.randint(1, hi)) for i in range(5)]
-        got = retrieval.greedy_batches(spark.createDataFrame(rows, "g string, i int, n long"), ["g"], ["i"], "n", most).collect()
-        for g in {r[0] for r in rows} - {None}:
-            mine = sorted((r["i"], r["n"], r["batch"]) for r in got if r["g"] == g)
-            assert [b for _, _, b in mine] == plain_batches([n for _, n, _ in mine], most)
-    assert retrieval.greedy_batches(spark.createDataFrame([], "g string, i int, n long"), ["g"], ["i"], "n", 5).collect() == []
+@pytest.mark.parametrize(("mosts", "hi", "block"), [((10,), 12, 2), ((50, 4), 20, 1), ((1,), 3, 3), ((1000,), 5, 128), ((30, 5, 17), 40, 2), ((100_000, 5), 700, 128)])
+def test_batches_equal_a_fold(spark, monkeypatch, mosts, hi, block):
+    monkeypatch.setattr(ordered, "BLOCK_BATCHES", block)
+    monkeypatch.setattr(ordered.running, "__defaults__", (37,))  # rows of a range
+    rng = random.Random(hi)
+    rows = [("hot" if rng.random() < 0.7 else rng.choice("abc"), i, *(rng.randint(1 if j == 0 else 0, hi if j == 0 else 3) for j in range(len(mosts)))) for i in range(400)]
+    rows += [(None, i, *[1] * len(mosts)) for i in range(9)] + [("one", 0, *[hi * 100] * len(mosts))]
+    names = [f"n{j}" for j in range(len(mosts))]
+    got = ordered.batches(spark.createDataFrame(rows, "g string, i int, " + ", ".join(f"{n} long" for n in names)), ["g"], ["i"], dict(zip(names, mosts))).collect()
+    assert len(got) == len(rows)
+    for g in {r[0] for r in rows}:
+        mine = sorted((r["i"], r["batch"], *[r[n] for n in names]) for r in got if r["g"] == g)
+        assert [m[1] for m in mine] == plain_batches([m[2:] for m in mine], mosts)
+
+
+def test_running_values_over_ranges(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice(["hot", "hot", "a", None]), i, rng.choice([None, 1, 5, -2])) for i in range(300)]
+    df = spark.createDataFrame(rows, "g string, i int, v long")
+    got = {r["i"]: (r["pos"], r["s"]) for r in ordered.running(df, ["g"], ["i"], {"s": F.col("v")}, 23).collect()}
+    near = {r["i"]: (r["before"], r["after"]) for r in ordered.around(df, ["g"], "i", F.col("v"), 23).collect()}
+    for g, i, _ in rows:
+        mine = [(j, v) for h, j, v in rows if h == g]
+        earlier, later = [v for j, v in mine if j <= i], [v for j, v in mine if j >= i]
+        assert got[i] == (len(earlier) - 1, sum(v or 0 for v in earlier))
+        assert near[i] == (next((v for v in reversed(earlier) if v is not None), None), next((v for v in later if v is not None), None))
+    none = df.filter("false")
+    assert ordered.running(none, ["g"], ["i"], {}).collect() == [] and ordered.batches(none, ["g"], ["i"], {"v": 5}).collect() == []
+
+
+def _chunks_of(text, max_chars):
+    out, cur, n = [], [], 0
+    for line in text.splitlines(keepends=True):
+        if n + len(line) > max_chars and cur:
+            out.append("".join(cur))
+            cur, n = [line], len(line)
+        else:
+            cur.append(line)
+            n += len(line)
+    return out + (["".join(cur)] if cur else [])
+
+
+def test_file_batches_equal_plain_python(spark):
+    rng = random.Random(6)
+    line = lambda: "x" * rng.choice([0, 1, 30, 200, 900]) + rng.choice(["\n", "\n", "\r\n", "\r", "\u2028", "\x0c"])
+    files = [(rng.choice("rs"), f"f{i:03}", "".join(line() for _ in range(rng.choice([0, 1, 3, 40, 90])))) for i in range(60)] + [("r", "long", "y" * 9000), ("s", "none", None)]
+    got = retrieval.file_batches(spark.createDataFrame(files, "repo string, path string, t string"), "repo", "path", "t", 3000, 2000, 400).collect()
+    want = []
+    for repo in "rs":
+        packed, small = [], 0
+        for _, path, t in sorted(f for f in files if f[0] == repo):
+            n = max(1, len(t or "") // 4)
+            if n > 1000:
+                parts = _chunks_of(t, 4000)
+                want += [(repo, path, max(1, len(p) // 4), "chunked", i, len(parts), None) for i, p in enumerate(parts)]
+            elif n < 300 and t is not None:
+                packed.append((path, n))
+            elif t is not None:
+                want.append((repo, path, n, "single", 0, 1, None))
+        for (path, n), b in zip(packed, plain_batches([(n, 400) for _, n in packed], (1000, 800))):
+            want.append((repo, path, n, "packed", 0, 1, b))
+    key = lambda r: tuple(map(str, r))
+    columns = ["repo", "path", "tokens", "kind", "chunk", "total_chunks", "batch"]
+    assert sorted((tuple(r[c] for c in columns) for r in got if r["path"] != "none"), key=key) == sorted(want, key=key)
+    text = {(r["repo"], r["path"], r["chunk"]): r["text"] for r in retrieval.source_chunks(spark.createDataFrame(files, "repo string, path string, t string"), ["repo", "path"], "t", 100).collect()}
+    for repo, path, t in files:
+        parts = _chunks_of(t or "", 400)
+        assert [text[repo, path, i] for i in range(len(parts))] == parts and (repo, path, len(parts)) not in text
 
 
 def test_sliding_count_equals_brute_force(spark):
