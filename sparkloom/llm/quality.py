@@ -10,8 +10,9 @@ So each class of copies counts once, told by a signature that leaves out what ma
 documents hold. Each line has a sketch, the least hashes of its windows. A line is
 shared if its sketch meets hashes that more than ``min_docs`` documents hold, as lines
 of boilerplate, of large groups of copies and edited ones of both do. The signature is
-the least hash of the lines that are not shared; a document with next to no such words
-takes the least of its rarest shared hashes, which copies of one group agree on.
+the least hash of the lines that are not shared, however few words they have; only a
+document without any such line takes the least of its rarest shared hashes, which copies
+of one group agree on.
 """
 
 from __future__ import annotations
@@ -22,9 +23,8 @@ from pyspark.sql import functions as F
 from ..sources.tables import scope
 from .common import NO_ID, NOT_WS, WS, stored, table, words
 
-#: Hashes of a line's sketch, and the words outside of shared lines that make a document's own signature.
+#: Hashes of a line's sketch.
 SKETCH = 8
-OWN_WORDS = 8
 SYMBOLS = r"[^#*$%&|<>]+"
 
 
@@ -98,12 +98,12 @@ def _signatures(base: DataFrame, held: DataFrame, min_docs: int) -> DataFrame:
     own = own.select("_q_d", "_q_i", "_q_w", F.size("_q_s").alias("size"), F.array_min("_q_s").alias("v")).join(met, ["_q_d", "_q_i"], "left")
     # Three words may well meet by chance, so one such hash is not enough.
     free = F.coalesce(F.col("n"), F.lit(0)) < F.when(F.col("_q_w") >= 20, 1).otherwise(F.least(F.lit(2), F.col("size")))
-    own = own.select("_q_d", F.when(free, F.col("_q_w")).alias("w"), F.when(free, F.col("v")).alias("v"), "rare")
+    own = own.select("_q_d", F.when(free, F.col("v")).alias("v"), "rare")
     rarest = held.select("_q_host", "_q_h", F.explode("_q_s").alias("_q_v")).join(shared, ["_q_host", "_q_v"]).groupBy("_q_host", "_q_h").agg(F.min(rare).alias("rare"))
     none = F.lit(None).cast("long")
-    every = own.unionByName(of_held.join(rarest, ["_q_host", "_q_h"]).select("_q_d", none.cast("int").alias("w"), none.alias("v"), "rare"))
-    out = every.groupBy("_q_d").agg(F.sum("w").alias("w"), F.min("v").alias("v"), F.min("rare").alias("rare"))
-    return of_held.join(out.select("_q_d", F.when(F.col("w") >= OWN_WORDS, F.col("v")).otherwise(F.col("rare.v")).alias("_q_print")), "_q_d")
+    every = own.unionByName(of_held.join(rarest, ["_q_host", "_q_h"]).select("_q_d", none.alias("v"), "rare"))
+    out = every.groupBy("_q_d").agg(F.min("v").alias("v"), F.min("rare").alias("rare"))
+    return of_held.join(out.select("_q_d", F.coalesce("v", "rare.v").alias("_q_print")), "_q_d")
 
 
 def _prepared(docs: DataFrame, id_col: str, text_col: str, host_col: str, keep: list[str], min_words: int, max_repeat: int) -> DataFrame:
@@ -156,12 +156,17 @@ def _frequent(base: DataFrame, min_docs: int, max_doc_share: float) -> DataFrame
 def line_frequencies(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = 20, max_doc_share: float = 1e-4
 ) -> DataFrame:
-    """host, line (hash of the normalised line), n_rows and n_classes of every line that more than ``min_docs`` rows
-    of a host, and more than ``max_doc_share`` of them, hold: what quality_rules decides by. Null hosts are one host."""
+    """host, line (hash of the normalised line), n_rows, n_docs (distinct texts) and n_classes (of copies) of every line
+    that more than ``min_docs`` rows of a host, and more than ``max_doc_share`` of them, hold: quality_rules decides by the
+    classes. Null hosts are one host."""
     base = _prepared(docs, id_col, text_col, host_col, [], 0, 100)
     _, counted = _counted(base, min_docs, max_doc_share)
+    counted = stored(counted, "quality_counts")
+    # A row of each line and text first, so that no line's texts meet in one task.
+    texts = _lines(base).select("_q_host", "_q_h", "_q_th").join(counted.select("_q_host", "_q_h"), ["_q_host", "_q_h"]).distinct()
+    counted = counted.join(texts.groupBy("_q_host", "_q_h").agg(F.count("*").alias("_q_texts")), ["_q_host", "_q_h"])
     host = F.when(F.col("_q_host") != "\x00null", F.col("_q_host"))
-    return counted.select(host.alias("host"), F.col("_q_h").alias("line"), F.col("_q_rows").alias("n_rows"), F.col("_q_docs").alias("n_classes"))
+    return counted.select(host.alias("host"), F.col("_q_h").alias("line"), F.col("_q_rows").alias("n_rows"), F.col("_q_texts").alias("n_docs"), F.col("_q_docs").alias("n_classes"))
 
 
 def quality_rules(

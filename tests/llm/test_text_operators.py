@@ -10,6 +10,7 @@ import time
 import numpy as np
 import pandas as pd
 import xxhash
+import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.llm import chat, html, line_dedup, quality, toxicity
@@ -124,14 +125,13 @@ def naive_quality(rows, min_docs, share, max_removed=0.7, min_words=10):
     classes = collections.defaultdict(set)
     for i in touched:
         h, lines = docs[i]
-        own, free, rare = 0, [], []
+        free, rare = [], []
         for x, (w, s) in lines.items():
             met = [(shared[h, v], v) for v in s if (h, v) in shared]
             rare += met
             if (h, x) not in held and len(met) < (1 if w >= 20 else min(2, len(s))):
-                own += w
                 free.append(min(s))
-        mark = min(free) if own >= 8 else min(rare)[1]
+        mark = min(free) if free else min(rare)[1]
         for x in lines:
             if (h, x) in held:
                 classes[h, x].add(mark)
@@ -147,6 +147,23 @@ def naive_quality(rows, min_docs, share, max_removed=0.7, min_words=10):
     return out, {k: (held[k], len(c)) for k, c in classes.items()}
 
 
+@pytest.mark.parametrize("own", [1, 2, 7, 40])
+def test_footer_of_distinct_documents(spark, own):
+    """Distinct documents, counted one by one without the rule's signatures, lose a footer that all of them hold, however short they are; copies of one do not."""
+    rng = random.Random(own)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    footer = "all rights are reserved by the owner\nread the terms of this site before use\nwrite to us at the address below"
+    texts = [" ".join(word() for _ in range(own)) + "\n" + footer for _ in range(200)]
+    copied = " ".join(word() for _ in range(40)) + "\n" + " ".join(word() for _ in range(30))
+    rows = [(i, t, "h") for i, t in enumerate(texts)] + [(1000 + i, copied, "h") for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    distinct = {line: len({t for t in {*texts, copied} if line in t.split("\n")}) for line in [*footer.split("\n"), *copied.split("\n")]}
+    counts = sorted((r["n_rows"], r["n_docs"], r["n_classes"]) for r in quality.line_frequencies(df).collect())
+    assert counts == [(100, 1, 1)] * 2 + [(200, 200, 200)] * 3 and sorted(distinct.values()) == [1, 1, 200, 200, 200]
+    got = {r["doc_id"]: (r["kept"], r["clean_text"]) for r in quality.quality_rules(df, clean=True).collect()}
+    assert all(got[i] == (own >= 40, t.split("\n")[0]) for i, t, _ in rows[:200]) and all(got[i] == (True, copied) for i, *_ in rows[200:])
+
+
 def test_quality_equals_plain_loops(spark):
     for seed in (1, 2, 3):
         rng = random.Random(seed)
