@@ -59,6 +59,11 @@ def last_dotted(identifier: Column) -> Column:
     return F.substring_index(identifier, ".", -1)
 
 
+def self_references(source: Column) -> Column:
+    """How often a source refers to attributes of self; two or more bring a method's parent into the context."""
+    return F.regexp_count(F.coalesce(source, F.lit("")), F.lit(r"\bself\.\w+"))
+
+
 def token_estimate(text: Column, least: int = 0) -> Column:
     """Four characters a token, rounded down."""
     return F.greatest(F.lit(least), F.floor(F.length(text) / 4)).cast("long")

@@ -127,11 +127,6 @@ def entity_block(label: Column, indent: str = "") -> Column:
     return F.concat(head, F.when(F.coalesce(F.col("source"), F.lit("")) != "", F.concat(F.lit(f"\n{indent}  Source:\n"), code)).otherwise(""))
 
 
-def self_references(source: Column) -> Column:
-    """How often a source refers to attributes of self; two or more bring the parent into the context."""
-    return F.regexp_count(F.coalesce(source, F.lit("")), F.lit(r"\bself\.\w+"))
-
-
 def sentence_range(files: Column, detailed: bool) -> Column:
     """How many sentences a folder's summary has, by its files."""
     if detailed:

@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import basename, edge_rank, last_dotted
+from ..functions.text import basename, edge_rank, last_dotted, self_references
 from ..schemas import ENTRY_FILENAMES, ENTRY_PATTERNS, ENTRY_SCORES
 from ..sources.tables import cut
 
+# Fixed value: references to self that bring a method's parent in.
+SELF_REFERENCES = 2
+
 
 def file_connections(entities: DataFrame, edges: DataFrame) -> DataFrame:
     """One row per connection between files: (source_file, target_file, type, source_id, source_name, target_id, target_name, id).
@@ -147,12 +150,16 @@ def expand(core: DataFrame, entities: DataFrame, edges: DataFrame) -> DataFrame:
 
     Roles come in this order and share a seen set per core, which is handed to each
     traversal as visited, so that nothing is entered twice. Parent: kept when at least
-    two core entities share it and the containing edge exists.
+    two core entities share it, or when the entity is a method whose source refers to
+    itself twice or more, and the containing edge exists. Without a ``source`` column
+    only the first holds.
     """
     roots = cut(core.select("id"))
     has = edges.filter("type = 'CONTAINS'").select(F.col("source_id").alias("parent_id"), F.col("target_id").alias("id"))
-    up = roots.join(entities.select("id", "parent_id"), "id").filter("parent_id is not null").join(roots.select(F.col("id").alias("parent_id")), "parent_id", "left_anti")
-    up = up.withColumn("_n", F.count("*").over(W.partitionBy("parent_id"))).filter("_n >= 2").join(has, ["parent_id", "id"], "left_semi")
+    refers = (F.col("type") == "method") & (self_references(F.col("source")) >= SELF_REFERENCES) if "source" in entities.columns else F.lit(False)
+    at = entities.select("id", "parent_id", F.coalesce(refers, F.lit(False)).alias("_refers"))
+    up = roots.join(at, "id").filter("parent_id is not null").join(roots.select(F.col("id").alias("parent_id")), "parent_id", "left_anti")
+    up = up.withColumn("_n", F.count("*").over(W.partitionBy("parent_id"))).filter("_n >= 2 or _refers").join(has, ["parent_id", "id"], "left_semi")
     out = cut(up.select(F.col("id").alias("root"), F.col("parent_id").alias("id"), F.lit("parent").alias("role"), F.lit(1).alias("depth"), F.col("id").alias("via")))
 
     def add(rows: DataFrame, role: str) -> None:

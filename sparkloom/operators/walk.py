@@ -1,14 +1,15 @@
-"""Views of the file graph, walks, and reductions from files to folders to repositories."""
+"""Views of the file graph, walks, searches that go on, and plans."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import folder
+from ..sources.tables import cut
 from . import graph, retrieval
 
 
@@ -91,11 +92,33 @@ def highlight(links: DataFrame, start: str, end: str) -> DataFrame:
     return path.unionByName(graph.neighbours(path, links).select(F.col("neighbour").alias("id"))).distinct()
 
 
-def targeted(entities: DataFrame, edges: DataFrame, query: Sequence[float], visited: DataFrame, k: int = 5) -> tuple[DataFrame, DataFrame]:
-    """(new core entities, their expansion): search again, without what was visited."""
+def targeted_query(status: Column, rewrite: Column, missing: Column, goal: Column) -> Column:
+    """What the next search asks for: the rewritten query, else the entity that was missing, else the goal."""
+    some = lambda c: F.nullif(c, F.lit(""))
+    return F.coalesce(F.when(status == "rewrite_search", some(rewrite)), F.when(status == "insufficient", some(missing)), goal)
+
+
+def targeted(entities: DataFrame, edges: DataFrame, query: Sequence[float] | None, visited: DataFrame, k: int = 5, expand: Callable | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(new core entities, their expansion, visited with them): search again, without what was visited.
+
+    Without a query vector (its embedding failed) there is nothing new. Where everything
+    found was visited, nothing is expanded. If the expansion fails, the core entities
+    stand without one. ``expand`` is ``graph.expand`` unless the caller brings another.
+    """
+    schema = graph.expand(visited.limit(0).select("id"), entities.drop("embedding"), edges).schema if expand is None else None
+    empty = visited.sparkSession.createDataFrame([], schema or "root string, id string, role string, depth int, via string")
+    if query is None:
+        return entities.select("id", F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0), empty, visited
     core = retrieval.unseen(retrieval.search(entities, query, k).select("id", "score"), visited)
-    core = retrieval.ranked(core, [F.desc("score"), F.col("id")])
-    return core, graph.expand(core, entities.drop("embedding"), edges)
+    core = cut(retrieval.ranked(core, [F.desc("score"), F.col("id")]), "targeted")
+    seen = visited.select("id").unionByName(core.select("id"))
+    if core.isEmpty():
+        return core, empty, seen
+    try:
+        more = cut((expand or graph.expand)(core, entities.drop("embedding"), edges), "targeted_expansion")
+    except PySparkException:
+        more = empty
+    return core, more, seen
 
 
 def traces(expanded: DataFrame, entities: DataFrame) -> DataFrame:
@@ -114,32 +137,6 @@ def between(text: Column, first: str, second: str) -> Column:
     return F.when(F.instr(text, first) == 0, "").otherwise(F.substring_index(after, second, 1))
 
 
-def reduce_repo(files: DataFrame, summarise: Callable[[Column], Column], cached: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(folders, repository) from (repo_id, file_path, text): files to folders to one text.
-
-    ``summarise`` turns an array of texts, in the order of paths, into a text. A folder
-    in ``cached`` (repo_id, folder, summary) is taken from there and its files are not
-    read again.
-    """
-    df = files.withColumn("folder", folder(F.col("file_path")))
-    if cached is not None:
-        df = df.join(cached.select("repo_id", "folder"), ["repo_id", "folder"], "left_anti")
-    texts = lambda k: F.transform(F.array_sort(F.collect_list(F.struct(k, "text"))), lambda x: x["text"])
-    folders = df.groupBy("repo_id", "folder").agg(texts("file_path").alias("t")).select("repo_id", "folder", summarise(F.col("t")).alias("text"))
-    if cached is not None:
-        folders = folders.unionByName(cached.select("repo_id", "folder", F.col("summary").alias("text")))
-    repo = folders.groupBy("repo_id").agg(texts("folder").alias("t")).select("repo_id", summarise(F.col("t")).alias("text"))
-    return folders, repo
-
-
-def directory_rows(files: DataFrame) -> DataFrame:
-    """(repo_id, depth, path, name): every directory and file once, in the order in which a tree shows them."""
-    parts = F.split("file_path", "/")
-    cut = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i * 0 + 1, i), "/"))
-    rows = files.select("repo_id", F.posexplode(cut).alias("depth", "path")).distinct()
-    return rows.withColumn("name", F.substring_index("path", "/", -1)).orderBy("repo_id", "path")
-
-
 # Intents and strategies of plans.
 INTENTS = ("feature", "dependency_flow", "repository_overview", "repository_detailed", "specific_lookup", "query")
 STRATEGIES = ("semantic_search", "semantic_search_with_graph", "repository_walk")

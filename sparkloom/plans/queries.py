@@ -179,17 +179,28 @@ def _all_edges(spark, d):
     return D.edges(spark, d).unionByName(D.contains(spark, d))
 
 
-_CORE = "core AS (SELECT id FROM entities WHERE id = 'n8' OR file_path = 'src/n7.py' AND type = 'method' AND length(id) <= 3)"
+#: Methods refer to themselves up to three times, by their number.
+_SOURCE = "type || ' ' || name || CASE WHEN type = 'method' THEN repeat(' self.x', (substr(id, 2)::BIGINT % 4)::INT) ELSE '' END"
+
+#: A module without calls, all methods of a file, and one method of every file: some of those bring their parent in by what they refer to.
+_CORE = """core AS (SELECT id FROM entities WHERE id = 'n8' OR file_path = 'src/n7.py' AND type = 'method' UNION SELECT 'c' || min(substr(id, 2)::BIGINT) FROM entities WHERE type = 'method' GROUP BY file_path)"""
+
+
+def _sourced(e):
+    refs = F.expr("repeat(' self.x', int(substr(id, 2) % 4))")
+    return e.withColumn("source", F.concat("type", F.lit(" "), "name", F.when(F.col("type") == "method", refs).otherwise("")))
 
 
 def _core(spark, d):
     e = D.entities(spark, d)
-    return e.filter("id = 'n8' or file_path = 'src/n7.py' and type = 'method' and length(id) <= 3").select("id")
+    methods = e.filter("type = 'method'")
+    least = methods.groupBy("file_path").agg(F.min(F.substring("id", 2, 20).cast("long")).alias("k")).select(F.concat(F.lit("c"), "k").alias("id"))
+    return e.filter("id = 'n8'").select("id").unionByName(methods.filter("file_path = 'src/n7.py'").select("id")).unionByName(least).distinct()
 
 
 #: Roles of the core's neighbours; a role does not enter what roles before it hold.
 _EXPAND = """parent AS (SELECT e.id AS root, e.parent_id AS id FROM core JOIN entities e USING (id) WHERE e.parent_id IS NOT NULL AND e.parent_id NOT IN (SELECT id FROM core)
-    AND e.parent_id IN (SELECT p.parent_id FROM core JOIN entities p USING (id) GROUP BY 1 HAVING count(*) >= 2)),
+    AND (e.type = 'method' AND substr(e.id, 2)::BIGINT % 4 >= 2 OR e.parent_id IN (SELECT p.parent_id FROM core JOIN entities p USING (id) GROUP BY 1 HAVING count(*) >= 2))),
   r1 AS (SELECT id AS root, id, 0 AS depth FROM core UNION SELECT r.root, e.target_id, r.depth + 1 FROM r1 r JOIN links e ON e.source_id = r.id AND e.type IN ('CALLS', 'INSTANTIATES')
     WHERE r.depth < 3 AND NOT EXISTS (SELECT 1 FROM parent p WHERE p.root = r.root AND p.id = e.target_id)),
   callee AS (SELECT root, id, min(depth) AS depth FROM r1 GROUP BY ALL HAVING min(depth) > 0),
@@ -208,13 +219,13 @@ _EXPAND = """parent AS (SELECT e.id AS root, e.parent_id AS id FROM core JOIN en
 
 @query(with_("entities edges links", "+ " + _CORE + ", " + _EXPAND + " SELECT * FROM roles", True))
 def expand_roles(spark, d):
-    return G.expand(_core(spark, d), D.entities(spark, d), _all_edges(spark, d)).select("root", "id", "role", "depth")
+    return G.expand(_core(spark, d), _sourced(D.entities(spark, d)), _all_edges(spark, d)).select("root", "id", "role", "depth")
 
 
 @query(with_("entities edges links", "+ " + _CORE + ", " + _EXPAND + """ SELECT role, count(*) AS n, count(*) FILTER (WHERE (root, id) NOT IN (SELECT (source_id, target_id) FROM links UNION SELECT (target_id, source_id) FROM links)) AS apart FROM roles GROUP BY role""", True))
 def expansion_audit(spark, d):
     e = _all_edges(spark, d)
-    found = G.expand(_core(spark, d), D.entities(spark, d), e)
+    found = G.expand(_core(spark, d), _sourced(D.entities(spark, d)), e)
     lost = G.audit(found, e).groupBy("role").agg(F.count("*").alias("lost"))  # rows that no edge accounts for: none
     pairs = e.select(F.col("source_id").alias("root"), F.col("target_id").alias("id")).unionByName(e.select(F.col("target_id").alias("root"), F.col("source_id").alias("id"))).distinct().withColumn("near", F.lit(1))
     n = found.join(pairs, ["root", "id"], "left").groupBy("role").agg(F.count("*").alias("n"), F.count_if(F.col("near").isNull()).alias("apart"))
@@ -631,13 +642,13 @@ def source_chunks(spark, d):
   core AS (SELECT id FROM ranked), {_EXPAND},
   items AS (SELECT id, 1 AS priority, rank AS seq FROM ranked UNION ALL SELECT r.id, CASE role WHEN 'callee' THEN CASE depth WHEN 1 THEN 2 WHEN 2 THEN 4 END WHEN 'child' THEN 2 WHEN 'caller' THEN 3 WHEN 'parent' THEN 5 ELSE 6 END, k.rank FROM roles r JOIN ranked k ON k.id = r.root),
   best AS (SELECT id, min(priority) AS priority, arg_min(seq, priority * 1000 + seq) AS seq FROM items WHERE priority IS NOT NULL GROUP BY id),
-  shown AS (SELECT b.*, length('--- Entity: ' || type || ' ' || name || ' ---' || chr(10) || 'Citation: [' || file_path || ':' || start_line || '-' || end_line || ']' || chr(10) || 'Source Code:' || chr(10) || type || ' ' || name || chr(10) || chr(10)) AS chars FROM best b JOIN entities USING (id)),
+  shown AS (SELECT b.*, length('--- Entity: ' || type || ' ' || name || ' ---' || chr(10) || 'Citation: [' || file_path || ':' || start_line || '-' || end_line || ']' || chr(10) || 'Source Code:' || chr(10) || {_SOURCE} || chr(10) || chr(10)) AS chars FROM best b JOIN entities USING (id)),
   run AS (SELECT *, 400 + sum(chars) OVER w AS used FROM shown WINDOW w AS (ORDER BY priority, seq, id ROWS UNBOUNDED PRECEDING)), cut AS (SELECT *, max((used // 4 > 1500)::INTEGER) OVER (ORDER BY priority, seq, id ROWS UNBOUNDED PRECEDING) AS over FROM run)
   SELECT id, priority::INTEGER AS priority, seq::INTEGER AS seq, used::BIGINT AS used FROM cut WHERE over = 0""", True))
 def retrieve_context(spark, d):
     e = D.entities(spark, d)
     v = S.read(spark, d, "embeddings").select(F.concat(F.lit("c"), F.col("vec_id").cast("string")).alias("id"), "embedding")
-    return R.retrieve(e.join(v, "id", "left").withColumn("source", F.concat("type", F.lit(" "), "name")), _all_edges(spark, d), ASKED, 5, 1500, 400)
+    return R.retrieve(_sourced(e.join(v, "id", "left")), _all_edges(spark, d), ASKED, 5, 1500, 400)
 
 
 _PYTHON = """\"\"\"Doc.\"\"\"

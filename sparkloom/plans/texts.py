@@ -9,7 +9,8 @@ from ..operators import answers as W
 from ..operators import graph as G
 from ..operators import overview as O
 from ..operators import retrieval as R
-from ..operators import walk
+from ..operators import table_functions as TF
+from ..operators import trees, walk
 from ..sources import tables as S
 from . import derived as D
 from .derived import with_
@@ -61,7 +62,7 @@ def prompt_parts(spark, d):
 @query(with_("entities", """SELECT id, '  [Core]' || chr(10) || '    Type    : ' || type || chr(10) || '    Name    : ' || name || chr(10) || '    Citation: [' || file_path || ':' || start_line || '-' || end_line || ']' || chr(10) || '    Source:' || chr(10) || '      a = 1' || chr(10) || '      self.x = ' || id AS block, 1 AS refs FROM entities"""))
 def entity_blocks(spark, d):
     e = D.entities(spark, d).withColumn("source", F.concat(F.lit("a = 1\nself.x = "), "id", F.lit("\n")))
-    return e.select("id", W.entity_block(F.lit("Core"), "  ").alias("block"), W.self_references(F.col("source")).cast("int").alias("refs"))
+    return e.select("id", W.entity_block(F.lit("Core"), "  ").alias("block"), T.self_references(F.col("source")).cast("int").alias("refs"))
 
 
 @query("SELECT l_orderkey, string_agg(CASE WHEN r > 1 THEN '(continued) ' ELSE '' END || l_returnflag, ' ' ORDER BY r) AS text FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag) AS r FROM lineitem) GROUP BY l_orderkey")
@@ -201,3 +202,47 @@ def plan_parse(spark, d):
     raw = F.when(k == 0, 'so: {"intent": "feature", "retrieval_strategy": "semantic_search", "confidence": 0.9} yes').when(k == 1, "no object").otherwise('{"intent": "repository_walk", "retrieval_strategy": "repository_walk"}')
     p = S.read(spark, d, "part").select("p_partkey", "p_name", raw.alias("raw"))
     return walk.parse_plan(p, "raw", "p_name").select("p_partkey", "intent", "retrieval_strategy", "search_query", "confidence")
+
+
+_PATHS = "paths AS (SELECT doc_id, coalesce(source, '') AS repo, CASE WHEN doc_id % 11 = 0 THEN '' ELSE 'd' || (doc_id % 7) || '/' || CASE WHEN doc_id % 3 = 0 THEN 's' || (doc_id % 2) || '/' ELSE '' END END || 'f' || doc_id || '.py' AS file_path, coalesce(lang, '') || n_chars AS text FROM documents)"
+
+
+def _paths(spark, d):
+    k = F.col("doc_id")
+    inner = F.when(k % 3 == 0, F.concat(F.lit("s"), (k % 2).cast("string"), F.lit("/"))).otherwise("")
+    path = F.concat(F.when(k % 11 == 0, "").otherwise(F.concat(F.lit("d"), (k % 7).cast("string"), F.lit("/"), inner)), F.lit("f"), k.cast("string"), F.lit(".py"))
+    return S.read(spark, d, "documents").select(F.coalesce("source", F.lit("")).alias("repo_id"), path.alias("file_path"), F.concat(F.coalesce("lang", F.lit("")), F.col("n_chars").cast("string")).alias("text"))
+
+
+@query("WITH " + _PATHS + """, parts AS (SELECT DISTINCT repo, string_split(file_path, '/') AS p FROM paths),
+  pre AS (SELECT repo, p[1:i] AS key, max(len(p)) AS n FROM (SELECT repo, p, unnest(range(1, len(p) + 1)) AS i FROM parts) GROUP BY ALL),
+  flags AS (SELECT repo, key, key[-1] AS name, n > len(key) AS open, key[-1] = max(key[-1]) OVER (PARTITION BY repo, key[1:len(key) - 1]) AS last FROM pre),
+  bars AS (SELECT a.repo, a.key, string_agg(CASE WHEN f.last THEN '    ' ELSE '│   ' END, '' ORDER BY len(f.key)) AS bar FROM (SELECT repo, key, unnest(range(1, len(key))) AS i FROM flags) a JOIN flags f ON f.repo = a.repo AND f.key = a.key[1:a.i] GROUP BY ALL),
+  lines AS (SELECT DISTINCT repo, []::VARCHAR[] AS key, '.' AS line FROM paths UNION ALL
+    SELECT f.repo, f.key, coalesce(bar, '') || CASE WHEN last THEN '└── ' ELSE '├── ' END || name || CASE WHEN open THEN '/' ELSE '' END FROM flags f LEFT JOIN bars b ON b.repo = f.repo AND b.key = f.key)
+  SELECT repo AS repo_id, row_number() OVER (PARTITION BY repo ORDER BY key) - 1 AS n, line FROM lines""")
+def directory_tree(spark, d):
+    return trees.directory_tree(_paths(spark, d))
+
+
+@query("WITH " + _PATHS + """, f AS (SELECT repo, CASE WHEN contains(file_path, '/') THEN regexp_extract(file_path, '^(.*)/[^/]*$', 1) ELSE '.' END AS folder, string_agg(text, '+' ORDER BY file_path) AS t FROM paths GROUP BY ALL)
+  SELECT repo AS repo_id, md5(string_agg(t, '|' ORDER BY folder)) AS digest, count(*) AS folders FROM f GROUP BY repo""")
+def repo_summaries(spark, d):
+    """Files to folders to repositories by a tree of at most 8 texts a node; joining is the same however it is nested."""
+    plus, bar = lambda x: F.array_join(x, "+"), lambda x: F.array_join(x, "|")
+    files = _paths(spark, d).withColumn("folder", T.folder(F.col("file_path")))
+    folders = S.cut(trees.reduced(files, ["repo_id", "folder"], "file_path", "text", plus, 8, plus))
+    repos = trees.reduced(folders, ["repo_id"], "folder", "text", bar, 8, bar)
+    return repos.join(folders.groupBy("repo_id").agg(F.count("*").alias("folders")), "repo_id").select("repo_id", F.md5("text").alias("digest"), "folders")
+
+
+@query("""WITH p AS (SELECT doc_id, len(regexp_extract_all(text, '\\n')) + 1 AS n FROM documents)
+  SELECT doc_id, 'function' AS type, 1::BIGINT AS n, 2::INT AS first_line FROM p UNION ALL SELECT doc_id, 'module', 1, 1 FROM p UNION ALL SELECT doc_id, 'class', 1, (n + 4)::INT FROM p UNION ALL SELECT doc_id, 'method', 1, (n + 5)::INT FROM p""")
+def facts_from_sql(spark, d):
+    """Sources around every document's text, read by a table function in SQL: a text in a template hides nothing after it."""
+    TF.register(spark)
+    body = F.regexp_replace(F.regexp_replace("text", r"[`\\]", "'"), r"\$\{", "{")
+    text = F.concat(F.lit("// a text\nfunction f() {\n  return `"), body, F.lit("`;\n}\nclass C {\n  m(): string { return `${f()}`; }\n}\n"))
+    S.read(spark, d, "documents").select("doc_id", text.alias("content")).createOrReplaceTempView("_sources")
+    found = spark.sql("SELECT s.doc_id, f.type, f.line FROM _sources s, LATERAL source_facts('r', concat('d', s.doc_id, '.ts'), s.content) f WHERE f.kind = 'entity'")
+    return found.groupBy("doc_id", "type").agg(F.count("*").alias("n"), F.min("line").alias("first_line"))

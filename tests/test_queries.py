@@ -60,6 +60,17 @@ def test_expand_shares_one_seen_set(spark, edges):
     assert got == {("b", "callee", 1), ("c", "callee", 2), ("x", "caller", 1), ("d", "base", 1), ("e", "base", 2)}
 
 
+def test_a_method_that_refers_to_itself_brings_its_parent(spark):
+    ents = [("K", "class", None, ""), ("a", "method", "K", "return self.x + self.y(1)"), ("b", "method", "L", "self.x; myself.y"), ("L", "class", None, ""), ("f", "function", "M", "self.x self.y"), ("M", "module", None, ""), ("N", "class", None, ""), ("n", "method", "N", None), ("P", "class", None, ""), ("p", "method", "P", "self.a self.b")]
+    e = spark.createDataFrame([(i, t, p, s, "f.py") for i, t, p, s in ents], "id string, type string, parent_id string, source string, file_path string")
+    contains = spark.createDataFrame([(i, p, c, "CONTAINS") for i, (c, _, p, _) in enumerate(ents) if p and p != "P"], "id int, source_id string, target_id string, type string")
+    core = spark.createDataFrame([(i,) for i in "abfnp"], "id string")
+    assert {(r["root"], r["id"]) for r in graph.expand(core, e, contains).filter("role = 'parent'").collect()} == {("a", "K")}
+    assert graph.expand(core, e.drop("source"), contains).filter("role = 'parent'").collect() == []
+    both = spark.createDataFrame([("a",), ("K",)], "id string")  # a parent that is in the core itself
+    assert graph.expand(both, e, contains).filter("role = 'parent'").collect() == []
+
+
 def test_shortest_path(spark, edges):
     r = graph.shortest_path(edges, "x", "e").first()
     assert r["hops"] == 3 and r["path"] == ["x", "a", "d", "e"]

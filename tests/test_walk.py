@@ -29,14 +29,7 @@ def test_views(spark):
     assert top[0]["id"] == "ma" and len(top) == 6
 
 
-def test_reduce_and_parse(spark):
-    files = spark.createDataFrame([("r", "a/x.py", "1"), ("r", "a/y.py", "2"), ("r", "b/z.py", "3"), ("r", "top.py", "4")], "repo_id string, file_path string, text string")
-    join = lambda t: F.concat(F.lit("("), F.array_join(t, "+"), F.lit(")"))
-    folders, repo = walk.reduce_repo(files, join)
-    assert repo.first()["text"] == "((4)+(1+2)+(3))" and folders.count() == 3
-    _, repo = walk.reduce_repo(files, join, spark.createDataFrame([("r", "a", "kept")], "repo_id string, folder string, summary string"))
-    assert repo.first()["text"] == "((4)+kept+(3))"
-    assert [(r["depth"], r["path"]) for r in walk.directory_rows(files).collect()] == [(0, "a"), (1, "a/x.py"), (1, "a/y.py"), (0, "b"), (1, "b/z.py"), (0, "top.py")]
+def test_parse(spark):
     rows = [
         (1, 'x {"intent": "feature", "retrieval_strategy": "repository_walk", "search_query": null, "confidence": 0.9} y'),
         (2, '{"intent": "repository_walk", "retrieval_strategy": "repository_walk", "confidence": 0.1}'), (3, "nothing"),
@@ -52,3 +45,31 @@ def test_reduce_and_parse(spark):
     assert [r[0] for r in t.select(walk.between(F.col("t"), "===A===", "===B===")).collect()] == [" mid ", " tail", ""]
     b = spark.createDataFrame([(1, '```[{"file_path": "a", "summary": "s"}]```')], "k int, t string")
     assert [tuple(r) for r in walk.parse_batch(b, "k", "t").collect()] == [(1, "a", "s")]
+
+
+def test_targeted_search(spark):
+    ents, rel, *_ = _data(spark)
+    vec = {"fa": [1.0, 0.0], "fb": [0.9, 0.1], "fc": [0.0, 1.0]}
+    e = ents.withColumn("embedding", F.create_map(*[x for k, v in vec.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])[F.col("id")])
+    visited = spark.createDataFrame([("fa",)], "id string")
+    core, more, seen = walk.targeted(e, rel, [1.0, 0.0], visited, 2)
+    assert [(r["id"], r["rank"]) for r in core.collect()] == [("fb", 1)] and {(r["root"], r["id"], r["role"]) for r in more.collect()} == {("fb", "fc", "callee"), ("fb", "fa", "caller")}
+    assert {r["id"] for r in seen.collect()} == {"fa", "fb"}
+    core, more, again = walk.targeted(e, rel, [1.0, 0.0], seen, 2)  # all found are visited
+    assert (core.collect(), more.collect()) == ([], []) and {r["id"] for r in again.collect()} == {"fa", "fb"}
+    fails = lambda core, *_: core.select(F.raise_error(F.lit("down")).cast("string").alias("root"), F.lit("x").alias("id"), F.lit("x").alias("role"), F.lit(1).alias("depth"), F.lit("x").alias("via"))
+    core, more, _ = walk.targeted(e, rel, [1.0, 0.0], visited, 2, fails)  # the expansion fails
+    assert [r["id"] for r in core.collect()] == ["fb"] and more.collect() == []
+    core, more, same = walk.targeted(e, rel, None, visited)  # the search fails
+    assert (core.collect(), more.collect(), same.count()) == ([], [], 1)
+    rows = [("rewrite_search", "new", "m"), ("rewrite_search", "", "m"), ("insufficient", "new", "m"), ("insufficient", None, ""), ("done", "new", "m")]
+    asked = spark.createDataFrame(rows, "s string, r string, m string").select(walk.targeted_query(F.col("s"), F.col("r"), F.col("m"), F.lit("goal")))
+    assert [r[0] for r in asked.collect()] == ["new", "goal", "m", "goal", "goal"]
+
+
+def test_traces_and_entities_of_nodes(spark):
+    ents, rel, nodes, _ = _data(spark)
+    found = graph.expand(spark.createDataFrame([("fa", 1)], "id string, rank int"), ents, rel)
+    assert [tuple(r) for r in walk.traces(found, ents).collect()] == [("fa", "  -> fa calls fb [b.py:2]\n    -> fb calls fc [c.py:2]")]
+    got = {r["file_path"]: [x["id"] for x in r["entities"]] for r in walk.with_entities(nodes, ents).collect()}
+    assert got == {f"{f}.py": [f"f{f}"] for f in "abcd"}
