@@ -30,7 +30,8 @@ def graph_view(nodes: DataFrame, links: DataFrame, root: str | None, depth: int
     """(nodes with depth, links): the whole graph at depth 0, or what the root reaches within 1 to 10 hops."""
     files = nodes.withColumnRenamed("file_path", "fid")
     if show_all or root is None:
-        seen = files.withColumn("depth", F.lit(0))
+        # Without a root every entry point is one.
+        seen = files.withColumns({"depth": F.lit(0), "is_root": F.col("is_entry")})
         if not orphans:
             lone = graph.orphans(files.select(F.col("fid").alias("id")), links).select(F.col("id").alias("fid"))
             seen = seen.join(lone, "fid", "left_anti")

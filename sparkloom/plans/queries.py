@@ -18,7 +18,7 @@ from ..operators import retrieval as R
 from ..operators import vector_index as VI
 from ..schemas import KNOWN_EXTENSIONS, SUPPORTED_EXTENSIONS
 from ..sources import tables as S
-from . import accounts, texts  # noqa: F401  they register their queries
+from . import accounts, jobs, texts  # noqa: F401  they register their queries
 from . import derived as D
 from .derived import with_
 from .registry import ORACLES, QUERIES, query  # noqa: F401
