@@ -5,9 +5,12 @@ path, the length of its text and its punctuation are added up over the page and
 by the number of its blocks. Both ratios are smoothed along the page, fused by product
 and thresholded; the containers of the paths above the threshold that hold a fair share of
 their text are the content. The text is their blocks above the threshold, and of the others
-those that are not mostly links, and what is above the threshold between such containers;
-parts that are never content (menus, adverts, forms) go before, and an id that names such a
-part only lowers the score.
+those that are not mostly links, and what is above the threshold between such containers.
+Elements that are never content (scripts, forms, menus) go before. Classes, ids and roles
+only weigh a block's score: words for what surrounds articles nearly always (comments,
+notices, adverts) leave a twentieth of it, others that a section of an article may well
+have (related, social, search) nine tenths, so prose below them stays above the threshold
+and lists of links do not.
 """
 
 from __future__ import annotations
@@ -44,14 +47,15 @@ _NEVER = frozenset(
     "head script style noscript template nav aside footer form button select textarea input label iframe object svg canvas menu"
     " dialog noembed noframes option datalist audio video map title".split()
 )
-#: Words of class, id and role that tell such parts.
-_HINT = re.compile(
+#: Words of class, id and role for parts that surround an article, and for parts that may belong to one.
+_AROUND = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|adsense|sponsor(?:ed|s)?|promo(?:tion)?s?|banner|cookies?|consent|gdpr|notice|alert"
-    r"|nav|navbar|navigation|menu|breadcrumbs?|pagination|pager|sidebar|side|aside|widget|toolbar|masthead|footer|foot|copyright|complementary"
-    r"|contentinfo|comments?|commentlist|disqus|replies|reply|respond|reader-comments|share|sharing|social|related|recommend(?:ed|ations)?"
-    r"|newsletter|subscribe|subscription|signup|login|popup|modal|overlay|skip|hidden|search|tags|outbrain|taboola)(?=$|[\s_-])",
+    r"|nav|navbar|navigation|menu|breadcrumbs?|pagination|pager|sidebar|side|aside|widget|toolbar|masthead|footer|copyright|complementary"
+    r"|contentinfo|comments?|commentlist|disqus|replies|reply|respond|reader-comments|newsletter|subscribe|subscription|signup|login|popup"
+    r"|modal|overlay|outbrain|taboola)(?=$|[\s_-])",
     re.I,
 )
+_PERHAPS = re.compile(r"(?:^|[\s_-])(?:foot|share|sharing|social|related|recommend(?:ed|ations)?|skip|hidden|search|tags)(?=$|[\s_-])", re.I)
 #: Classes of an article that tell what it has or is about, not what it is.
 _ABOUT = re.compile(r"(?:has|with|no|without|category|tag|type|status|format)-", re.I)
 _HEADER = re.compile(r"(?:^|[\s_-])(?:header|site-header|page-header|top-?bar)(?=$|[\s_-])", re.I)
@@ -65,12 +69,14 @@ _SCOPE = frozenset("html body table td th caption button object template".split(
 _INLINE_ENDS = frozenset("a b big code em font i s small strike strong tt u span".split())
 
 
-#: Share of the score that is left where an id hints at such a part.
-HINTED = 0.4
+#: Shares of the score that are left where class, id or role hint at such parts.
+AROUND, PERHAPS = 0.05, 0.9
+#: The share that is left outside of article and main elements that hold most of the text.
+OUTSIDE = 0.05
 
 
 def _weight(tag: str, attrs: str, inside: bool) -> float:
-    """1, or less where the attributes hint at what is not content; 0 if it never is."""
+    """1, or less where the attributes hint at what is not content; 0 if it never is, as nothing that cannot be seen is."""
     if tag in _NEVER or tag == "header" and not inside:
         return 0.0
     weight = 1.0
@@ -85,11 +91,16 @@ def _weight(tag: str, attrs: str, inside: bool) -> float:
             return 0.0
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return 0.0
-        if name in ("class", "id", "role") and (_HINT.search(value) or not inside and _HEADER.search(value)):
-            if name != "id":
-                return 0.0
-            if tag not in ("h1", "h2", "h3", "h4", "h5", "h6"):  # ids of headings are words of their texts
-                weight = HINTED
+        if name not in ("class", "id", "role"):
+            continue
+        around = _AROUND.search(value) or not inside and _HEADER.search(value)
+        if name != "id" and around:
+            # A piece inside a block that is no part of its text, as a button is none.
+            weight = min(weight, AROUND if tag in _BLOCK else 0.0)
+        elif around or _PERHAPS.search(value):
+            if name != "id" or tag not in ("h1", "h2", "h3", "h4", "h5", "h6"):  # ids of headings are words of their texts
+                # A whole article that is related to something is not the page's own.
+                weight = min(weight, AROUND if name != "id" and tag in ("article", "main") else PERHAPS)
     return weight
 
 
@@ -309,19 +320,34 @@ def main_blocks(found: list[tuple[int, str, float, int]], paths: Paths, threshol
         count[path] += 1
     long = _smooth([math.log1p(chars[b[0]] / count[b[0]]) for b in ok])
     marked = _smooth([math.log1p(marks[b[0]] / count[b[0]]) for b in ok])
-    fused = [x[2] * a * (0.2 + b) * (1 - min(1.0, links[x[0]] / max(1.0, chars[x[0]]))) for a, b, x in zip(long, marked, ok)]
-    limit = threshold * max(fused)
-    best: dict[int, float] = defaultdict(float)
-    for f, b in zip(fused, ok):
-        best[b[0]] = max(best[b[0]], f)
+    ratios = [a * (0.2 + b) * (1 - min(1.0, links[x[0]] / max(1.0, chars[x[0]]))) for a, b, x in zip(long, marked, ok)]
     part = lambda p: paths.box[p] or paths.top[p]
-    # The container: the parts of the paths above the threshold that hold most text.
+
+    def scored(weights: list[float]) -> tuple[list[float], float, dict[int, float]]:
+        """Scores of blocks, the threshold among them, and the best score of each path."""
+        fused = [r * w for r, w in zip(ratios, weights)]
+        best: dict[int, float] = defaultdict(float)
+        for f, x in zip(fused, ok):
+            best[x[0]] = max(best[x[0]], f)
+        return fused, threshold * max(fused), best
+
+    weights = [b[2] for b in ok]
+    fused, limit, best = scored(weights)
+    # Article and main elements that hold most of what is above the threshold, and each a fair
+    # share of it, weigh down what is outside of them.
+    held: dict[int, float] = defaultdict(float)
+    for p in best:
+        held[paths.first[p]] += chars[p] if best[p] >= limit else 0.0
+    apart = held.pop(0, 0.0)
+    if sum(held.values()) > apart:
+        most = max(held.values())
+        weights = [w if paths.first[b[0]] and held[paths.first[b[0]]] >= 0.1 * most else w * OUTSIDE for w, b in zip(weights, ok)]
+        fused, limit, best = scored(weights)
+    # The containers: the parts of the paths above the threshold, by the text they hold.
     weight: dict[int, float] = defaultdict(float)
     for path, f in best.items():
         if f >= limit:
             weight[part(path)] += chars[path]
-    if not weight:
-        return [b[1] for b in ok]
     # Parts with a fair share of the text above the threshold (a tenth of the best one's, or
     # three tenths if it is one block), and what holds them or lies in them, keep all that
     # is not mostly links; other blocks stay between such parts, if above the threshold.
@@ -331,18 +357,14 @@ def main_blocks(found: list[tuple[int, str, float, int]], paths: Paths, threshol
     along = paths.along(fair)
     company = [along[part(b[0])] for b in ok]
     first, last = company.index(True), len(company) - company[::-1].index(True)
-    stays = [best[b[0]] >= limit and (c or first < i < last) or c and b[2] == 1 and b[3] * 2 < len(b[1]) for i, (b, c) in enumerate(zip(ok, company))]
-    # Such elements are the content if they hold most of what is above the threshold: all
-    # outermost ones with a fair share of it.
-    held: dict[int, float] = defaultdict(float)
-    for p in best:
-        held[paths.first[p]] += chars[p] if best[p] >= limit else 0.0
-    apart = held.pop(0, 0.0)
-    if sum(held.values()) > apart:
-        most = max(held.values())
-        return [b[1] for b, s in zip(ok, stays) if s and paths.first[b[0]] and held[paths.first[b[0]]] >= 0.1 * most]
     inside = paths.below(paths.common(fair))
-    return [b[1] for b, s in zip(ok, stays) if s and inside[b[0]]]
+    out = []
+    for i, (f, w, c, b) in enumerate(zip(fused, weights, company, ok)):
+        # A path may have blocks of several weights; one that is weighed less must be above the threshold itself.
+        above = (best[b[0]] if w == 1 else f) >= limit
+        if inside[b[0]] and (above and (c or first < i < last) or c and w == 1 and b[3] * 2 < len(b[1])):
+            out.append(b[1])
+    return out
 
 
 def main_text(html: str | None, threshold: float = 0.25) -> str:
