@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -29,34 +30,51 @@ from .common import stored, table
 ROLES = ("assistant", "system", "user")
 PARTS = 1024
 _START = len(ROLES)
+# A word with a colon, or a word in brackets; in front of either there may be marks of emphasis or quotation.
 _MARK = re.compile(
-    r"^\s*(?:[>*#_\[(<|]+\s*)*(user|human|customer|client|q|question|me|you|assistant|ai|bot|model|agent|support|a|answer|gpt|system|sys|instruction|instructions)"
-    r"\s*(?:[*_\])>|]+\s*)*(?::|>|-(?=\s)|\|)[*_\s]*",
+    r"^\s*(?:[>*#_]+\s*)*(?:[\[(<|]+\s*(user|human|customer|client|assistant|ai|bot|agent|support|system|sys)\s*[|\])>]+(?:\s*[*_]*:)?"
+    r"|(user|human|customer|client|q|question|me|you|assistant|ai|bot|model|agent|support|a|answer|gpt|system|sys|instruction|instructions)\s*(?:[*_]+\s*)*:)[*_\s]*",
     re.I,
 )
 
 
-def observe(line: str, first: bool) -> tuple[str, int, str]:
-    """(what the line shows, whether it begins a paragraph, its text without the marker)."""
+def observe(line: str) -> tuple[str, str]:
+    """(what the line shows, its text without what may be a marker)."""
     m = _MARK.match(line)
     rest = line[m.end() :] if m else line
-    shown = f"{m[1].lower() if m else ''}|{int(rest.rstrip().endswith('?'))}|{min(5, len(rest) // 80)}"
-    return shown, int(first), rest
+    shown = f"{(m[1] or m[2]).lower() if m else ''}|{int(rest.rstrip().endswith('?'))}|{min(5, len(rest) // 80)}"
+    return shown, rest
 
 
-def lines_of(text: str | None) -> list[tuple[str, int, str]]:
-    """Lines that are not blank; the first of a part, one after a blank and one with a marker begin a paragraph."""
-    out, first = [], True
+class Line(NamedTuple):
+    """A line that is not blank: ``first`` of its part or after a blank one, ``gap`` the blank lines before it, each with its end."""
+
+    text: str
+    rest: str
+    first: bool
+    gap: str
+
+
+def lines_of(text: str | None) -> list[tuple[str, int, Line]]:
+    """(what it shows, whether it begins a paragraph, itself) of each line that is not blank; one with a marker begins one."""
+    out, first, gap = [], True, ""
     for line in (text or "").split("\n"):
         if not line.strip():
-            first = True
+            first, gap = True, f"{gap}{line}\n"
             continue
-        o = observe(line, first)
-        out.append((o[0], int(first or o[2] is not line), o[2]))
-        first = False
+        shown, rest = observe(line)
+        out.append((shown, int(first or rest is not line), Line(line, rest, first, gap)))
+        first, gap = False, ""
     return out
 
 
+def _after(text: str) -> str:
+    """The blank lines at the end of a text, with what ends the line before them."""
+    lines = text.split("\n")
+    n = next((i for i, x in enumerate(reversed(lines)) if x.strip()), len(lines))
+    return "".join(f"\n{x}" for x in lines[len(lines) - n :])
+
+
 class Model:
     """Log probabilities; smoothed, so that nothing is impossible."""
 
@@ -77,6 +95,11 @@ class Model:
             self.marks[word] = np.log(n / total) - 3
         self.other = np.full(k, -10.0)  # what was never seen tells nothing
 
+    def marks_role(self, shown: str) -> int | None:
+        """The role that a line's marker stands for, if training has seen it as one."""
+        word = shown.split("|")[0]
+        return int(self.marks[word].argmax()) if word and word in self.marks else None
+
     def emit(self, shown: str) -> np.ndarray:
         got = self.shown.get(shown)
         return got if got is not None else self.marks.get(shown.split("|")[0], self.other)
@@ -194,7 +217,8 @@ def recover_roles(parts: DataFrame, model: Model) -> DataFrame:
     a hash of the text. Null and empty texts have no turns; a part without conv is a
     conversation of its own, and a null part comes first; very long texts are parsed
     whole, line by line, in the task that holds them; an empty table stays empty. Other
-    columns are left out, so their names cannot clash.
+    columns are left out, so their names cannot clash. No text is lost but markers, each
+    where a turn of its role begins, and blank lines before such a marker.
     """
     shared = parts.sparkSession.sparkContext.broadcast(model)
     df = parts.select("conv", "part", "text").withColumn("_t", F.xxhash64(F.coalesce("text", F.lit("\x00null")))).dropDuplicates(["conv", "part", "_t"])
@@ -210,14 +234,22 @@ def recover_roles(parts: DataFrame, model: Model) -> DataFrame:
     def turns(text: pd.Series, before: pd.Series, after: pd.Series) -> pd.Series:
         out = []
         for t, b, a in zip(text, before, after):
-            lines = lines_of(t)
+            lines, was = lines_of(t), int(b)
             made: list[dict] = []
-            for role, (_, p, rest) in zip(shared.value.decode(lines, int(b), int(a)) if lines else [], lines):
+            for role, (shown, _, line) in zip(shared.value.decode(lines, was, int(a)) if lines else [], lines):
+                # What looks like a marker is one where a turn of its role begins; else it belongs to the text.
+                marked = shared.value.marks_role(shown) == role and (line.first or role != was)
+                said = line.rest if marked else line.text
                 if made and made[-1]["role"] == ROLES[role]:
-                    made[-1]["text"] += "\n" + rest
+                    made[-1]["text"] += "\n" + line.gap + said
                     made[-1]["lines"] += 1
                 else:
-                    made.append({"role": ROLES[role], "text": rest, "lines": 1})
+                    if made and line.gap and not marked:
+                        made[-1]["text"] += "\n" + line.gap[:-1]
+                    made.append({"role": ROLES[role], "text": said if made else line.gap + said, "lines": 1})
+                was = role
+            if made:
+                made[-1]["text"] += _after(t)
             out.append(made)
         return pd.Series(out)
 

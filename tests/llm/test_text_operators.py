@@ -438,6 +438,28 @@ def test_chat_splits_anywhere(spark, monkeypatch):
     assert sum(right) >= 0.9 * len(right)
 
 
+LOOKS_MARKED = ["a - b = c", "Answer: 42 apples", "model | price | size", "* user - a person who logs in", "assistant > senior", "(a) first", "you: see below", "support - by mail", "> quoted", "bot | human", "**user** is a word", "A b c", "question: why?", "-- me"]
+
+
+def test_text_without_markers_is_given_back(spark):
+    """Byte for byte, but for the roles before it: what only looks like a marker stays, and so do blank lines and white space."""
+    said = [("user", "Hello there?"), ("assistant", "Yes, I am here."), ("user", "What next?"), ("assistant", "This and that, at length.")]
+    rows = [(c, t, r, x) for c in range(40) for t, (r, x) in enumerate(said)]
+    model = chat.train(chat.transcripts(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))
+    texts = [*LOOKS_MARKED, "\n".join(LOOKS_MARKED), "one\n\n  two  \n \t\nthree\n", "\n\nlead", "tail \n\n\n", "So: a - b = c\n\nAnswer: 42\n* user - someone\nend"]
+    pieces = chat.render(chat.recover_roles(spark.createDataFrame(list(enumerate(texts)), "conv long, text string").withColumn("part", F.lit(0).cast("long")), model)).collect()
+    assert len(pieces) == len(texts)
+    for r in pieces:
+        bare = re.sub(r"\n?<\|\w+\|>\n", "\n", r["chat"])
+        assert bare[1:] == texts[r["conv"]], (bare, texts[r["conv"]])
+    # The same lines inside marked turns: the markers go, nothing else does.
+    inner = "\n".join(LOOKS_MARKED)
+    marked = [(1, 0, "User: Which one?"), (1, 1, f"Assistant: These, I think.\n{inner}"), (1, 2, "User: Thanks.")]
+    pieces = chat.render(chat.recover_roles(spark.createDataFrame(marked, "conv long, part long, text string"), model)).orderBy("part").collect()
+    whole = "".join(r["chat"] for r in pieces)
+    assert whole.startswith("<|user|>\nWhich one?\n<|assistant|>\nThese, I think.\n") and whole.endswith("\n<|user|>\nThanks.") and all(x in re.sub(r"<\|\w+\|>\n", "", whole) for x in LOOKS_MARKED)
+
+
 def test_chat_edges(spark):
     model = chat.Model({("user", "user|0|0"): 500, ("assistant", "ai|0|0"): 500, ("assistant", "|0|0"): 90}, {("", "user", 1): 300, ("user", "assistant", 1): 300, ("assistant", "user", 1): 300, ("assistant", "assistant", 0): 90})
     rows = [(1, 0, "User: hi\n\nAI: yes\nmore\nUser: ok"), (1, 1, None), (None, 0, "User: alone"), (2, 0, ""), (1, 0, "User: hi\n\nAI: yes\nmore\nUser: ok")]
