@@ -122,6 +122,7 @@ def safe_path(path: Column) -> Column:
     return ~F.array_contains(F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/"), "..")
 
 
+# What the messages of ingestion errors hold, in the order in which it is looked for.
 def ingest_error_kind(message: Column) -> Column:
     """Class of an ingestion error by what its text holds; the first rule that fits."""
     m = F.lower(message)

@@ -100,6 +100,7 @@ def embedding_text(kind: Column, name: Column, source: Column, has_docstring: Co
     return F.concat(F.lit("Type: "), blank(kind), F.lit("\nName: "), blank(name), F.lit("\nDocstring: "), doc, F.lit("\n\n"), blank(source))
 
 
+# The headings of blocks, in the four functions below.
 def history_with_summary(summary: Column) -> Column:
     """The rolling summary under its heading; empty without one."""
     return F.when(F.coalesce(summary, F.lit("")) != "", F.concat(F.lit("[Conversation summary so far]\n"), summary)).otherwise("")

@@ -9,6 +9,7 @@ def _schema(*fields) -> T.StructType:
     return T.StructType([T.StructField(n, t) for n, t in fields])
 
 
+# Names and types of the columns of each table.
 REPOSITORIES = _schema(("id", _S), ("url_or_path", _S), ("canonical_url", _S), ("name", _S), ("indexed_at", _TS), ("status", _S), ("progress_message", _S))
 ENTITIES = _schema(
     ("id", _S), ("repo_id", _S), ("type", _S), ("name", _S), ("file_path", _S), ("start_line", _I), ("end_line", _I), ("parent_id", _S),
