@@ -1,7 +1,8 @@
 """Ranked lexical search with block-max pruning.
 
-The index has a row per block, a range of documents in the order of the table: the
-forward index of its documents (which terms, how often) and, per term of the block, the
+The index has a row per block, a range of documents in an order that puts those of one
+language and of like length side by side (by their most frequent term, then by length,
+among the rows that a task reads at once): the forward index of its documents (which terms, how often) and, per term of the block, the
 largest part that any of its documents can add to a score. From these maxima follows a
 bound on what any document of the block can score for a query. Each query's blocks of
 the highest bounds are scored first; the k-th best score found there is a threshold,
@@ -57,6 +58,12 @@ def terms_of(text: bytes) -> list[bytes]:
     return text.translate(_BYTES).split()
 
 
+def _place(text: bytes) -> tuple[bytes, int] | None:
+    """Where a document stands in the order of blocks; None without a term."""
+    found = Counter(terms_of(text))
+    return (max(found.items(), key=lambda x: (x[1], x[0]))[0], found.total()) if found else None
+
+
 class _Hashes(dict):
     def __missing__(self, term: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(term)
@@ -105,7 +112,7 @@ def _row(docs: list[tuple[int | None, Counter]], number: int, n_docs: int, n_ter
     return pa.RecordBatch.from_pydict(columns)
 
 
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_block: int = 64) -> Index:
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_block: int = 32) -> Index:
     """The block index of whole texts, as a table in the shared folder; any number of searches may read it.
 
     Terms are told apart by 64-bit hashes. Null texts and texts without a term are in no
@@ -125,9 +132,11 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, held = TaskContext.get().partitionId() << 32, []
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                if found := Counter(terms_of(text.as_py())):
-                    held.append((doc_id, found))
+            # Terms are found twice, so that no more than a block's are held at once.
+            ids, texts = b.column(0).to_pylist(), b.column(1)
+            places = [_place(t.as_py()) for t in texts]
+            for i in sorted((i for i, p in enumerate(places) if p), key=places.__getitem__):
+                held.append((ids[i], Counter(terms_of(texts[i].as_py()))))
                 if len(held) == per_block:
                     yield _row(held, number, n_docs, n_terms)
                     number, held = number + 1, []
