@@ -1,8 +1,7 @@
 """Ranked lexical search with block-max pruning.
 
-The index has a row per block, a range of documents in an order that puts those of one
-language and of like length side by side (by their most frequent term, then by length,
-among the rows that a task reads at once): the forward index of its documents (which terms, how often) and, per term of the block, the
+The index has a row per block, a range of documents in the order of the table, or in one
+that puts those of one language and of like length side by side: the forward index of its documents (which terms, how often) and, per term of the block, the
 largest part that any of its documents can add to a score. From these maxima follows a
 bound on what any document of the block can score for a query. Each query's blocks of
 the highest bounds are scored first; the k-th best score found there is a threshold,
@@ -112,12 +111,14 @@ def _row(docs: list[tuple[int | None, Counter]], number: int, n_docs: int, n_ter
     return pa.RecordBatch.from_pydict(columns)
 
 
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_block: int = 32) -> Index:
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_block: int = 64, like_together: bool = False) -> Index:
     """The block index of whole texts, as a table in the shared folder; any number of searches may read it.
 
     Terms are told apart by 64-bit hashes. Null texts and texts without a term are in no
     block; repeated rows are documents of their own; null ids stay null; an empty table
-    gives an index without blocks.
+    gives an index without blocks. With ``like_together``, the rows that a task reads at
+    once are ordered by their most frequent term and their length first: terms are found
+    twice, and searches score fewer blocks, so it is for an index that many searches read.
     """
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
 
@@ -132,11 +133,13 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, held = TaskContext.get().partitionId() << 32, []
         for b in batches:
-            # Terms are found twice, so that no more than a block's are held at once.
-            ids, texts = b.column(0).to_pylist(), b.column(1)
-            places = [_place(t.as_py()) for t in texts]
-            for i in sorted((i for i, p in enumerate(places) if p), key=places.__getitem__):
-                held.append((ids[i], Counter(terms_of(texts[i].as_py()))))
+            ids, texts, order = b.column(0).to_pylist(), b.column(1), range(b.num_rows)
+            if like_together:  # no more than a block's terms are held at once
+                places = [_place(t.as_py()) for t in texts]
+                order = sorted((i for i in order if places[i]), key=places.__getitem__)
+            for i in order:
+                if found := Counter(terms_of(texts[i].as_py())):
+                    held.append((ids[i], found))
                 if len(held) == per_block:
                     yield _row(held, number, n_docs, n_terms)
                     number, held = number + 1, []

@@ -128,7 +128,7 @@ def test_search_equals_scoring_everything(spark, per_block, first, n):
     docs = [(rng.choice([None, *range(200)]), rng.choice([None, "", "...", " ".join(word() for _ in range(rng.randint(1, 60)))])) for _ in range(n)]
     docs += [(1000 + i, "the same text w1 w2 w3") for i in range(40)] + [(5, " ".join(word() for _ in range(20_000)))]
     items = [(i, " ".join(word() for _ in range(rng.randint(1, 30)))) for i in range(12)] + [(90, "same text"), (91, None), (92, "--"), (93, "nowhere"), (None, "w2 w3")]
-    index = lexical.build_index(spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as block", "2 as n").repartition(3), per_block=per_block)
+    index = lexical.build_index(spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as block", "2 as n").repartition(3), per_block=per_block, like_together=per_block != 4)
     got = lexical.search(index, spark.createDataFrame(items, "item_id long, text string").selectExpr("*", "3 as rank", "4 as q"), k=10, first=first)
     assert sorted(map(tuple, got.select("item_id", "rank", "doc_id", "score").collect()), key=str) == _naive_search(docs, items, 10)
 
