@@ -23,13 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, group_rows: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     Cuts the lineage: a lost executor costs no more than one read of these files. They
     are deleted when ``tables.scope`` ends or the driver's process does.
     """
-    return cut(df, name)
+    return cut(df, name, group_rows)
 
 
 def drawn(df: DataFrame, key: str, most: int) -> DataFrame:

@@ -38,6 +38,8 @@ _BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97
 UNIT, ONE, LENGTH, PART = 1_000_000_000, 1000, 8, 90
 #: Queries, and their terms, that are answered at once; both are held by every task.
 MAX_QUERIES, MAX_TERMS = 1024, 500_000
+#: Documents whose blocks are read at once; a task's memory does not grow with its part of the index.
+READ_DOCS = 2048
 #: Terms whose hashes a worker keeps.
 CACHE_ENTRIES = 100_000
 
@@ -147,7 +149,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield _row(held, number, n_docs, n_terms)
 
     rows = docs.select(F.col(id_col).cast("long"), text).mapInArrow(blocks, _BLOCK)
-    return Index(stored(rows, "block_index"), n_docs, n_terms)
+    return Index(stored(rows, "block_index", max(1, READ_DOCS // per_block)), n_docs, n_terms)
 
 
 @dataclass

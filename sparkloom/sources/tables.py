@@ -82,12 +82,15 @@ def place(spark: SparkSession, name: str) -> str:
     return path
 
 
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
+def cut(df: DataFrame, name: str = "cut", group_rows: int | None = None) -> DataFrame:
     """Cut the lineage with a table in the shared folder: written once, so nothing is worked
-    out twice, and read with column pruning. A lost executor costs a read of these files."""
+    out twice, and read with column pruning. A lost executor costs a read of these files.
+
+    Readers hold up to 4096 rows of a file at once, but none beyond a row group: tables of
+    long rows say with ``group_rows`` how many rows that may be."""
     spark = df.sparkSession
     path = place(spark, name)
-    df.write.parquet(path)
+    (df.write.option("parquet.block.row.count.limit", group_rows) if group_rows else df.write).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_at = path
     return out
