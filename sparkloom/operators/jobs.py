@@ -120,7 +120,7 @@ def next_models(candidates: DataFrame, tried: DataFrame, task: str, order: list)
 def preferred_over(results: DataFrame, wishes: DataFrame) -> DataFrame:
     """``wishes`` (scenario, preferred, over: parts of ids) with preferred_rank, over_rank (0-based, in ``results`` (scenario, rank, id)) and ``check``: passed, failed, alone or absent."""
     w = wishes.select("scenario", "preferred", "over")
-    met = results.join(F.broadcast(w), "scenario")  # wishes are written by hand
+    met = results.join(w, "scenario")
     rank = lambda c: F.min(F.when(F.contains("id", F.col(c)), F.col("rank") - 1))
     per = met.groupBy("scenario", "preferred", "over").agg(rank("preferred").alias("preferred_rank"), rank("over").alias("over_rank"))
     df = w.join(per, ["scenario", "preferred", "over"], "left")

@@ -11,3 +11,11 @@ def test_block_index_is_read_few_rows_at_once(spark, tmp_path):
     index = lexical.build_index(docs)
     sizes = [m.row_group(i).num_rows for f in index.blocks.inputFiles() for m in [pq.ParquetFile(f.removeprefix("file://")).metadata] for i in range(m.num_row_groups)]
     assert sum(sizes) == 141 and max(sizes) * 64 <= 2048
+
+
+def test_wishes_of_any_number_are_not_sent_to_every_executor(spark):
+    from sparkloom.operators import jobs
+
+    n = spark.range(3_000_000).select(F.col("id").alias("scenario"), F.lit("a").alias("preferred"), F.lit("b").alias("over"))
+    results = n.select("scenario", F.lit(1).alias("rank"), F.lit("xa").alias("id"))
+    assert "Broadcast" not in jobs.preferred_over(results, n)._jdf.queryExecution().executedPlan().toString()
