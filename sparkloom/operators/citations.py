@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import CITATION, basename, last_dotted, normalise_citations
+from ..sources.tables import cut
+from . import spans
 from .ordered import around
 
 
@@ -29,24 +31,17 @@ def parse(answers: DataFrame) -> DataFrame:
     )
 
 
-#: Lines of a bin; citations and entities of a file meet in the bins that both touch.
-BIN_LINES = 64
-
-
-def _bins(start: str, end: str) -> Column:
-    return F.explode(F.sequence(F.floor(F.col(start) / BIN_LINES), F.floor(F.greatest(start, end) / BIN_LINES))).alias("_bin")
-
-
 def overlapping(citations: DataFrame, entities: DataFrame) -> DataFrame:
     """Each citation with the smallest entity of its file that its lines overlap; ties to the lesser id.
 
-    An equi-join on bins of lines, so a hot file is many small groups.
+    Each range of lines is looked up once, in blocks of lines that have their least
+    entity, so no citation meets all entities of a part of its file.
     """
-    e = entities.select("file_path", F.col("id").alias("entity_id"), F.col("start_line").alias("_s"), F.col("end_line").alias("_e"), _bins("start_line", "end_line"))
-    c = citations.select("answer_id", "raw", "file_path", "start_line", "end_line", _bins("start_line", "end_line"))
-    both = c.join(e, ["file_path", "_bin"]).filter("start_line <= _e and _s <= end_line")
-    best = both.groupBy("answer_id", "raw").agg(F.min(F.struct((F.col("_e") - F.col("_s")).alias("size"), "entity_id")).alias("_m"))
-    return citations.join(best.select("answer_id", "raw", F.col("_m.entity_id").alias("entity_id")), ["answer_id", "raw"])
+    size = F.col("end_line").cast("long") - F.col("start_line").cast("long")
+    best = spans.least_met(citations, entities.withColumn("_m", F.struct(size.alias("size"), F.col("id").alias("entity_id"))), ["file_path"], "_m")
+    best = best.select("file_path", F.col("start_line").alias("_a"), F.col("end_line").alias("_b"), F.col("_m.entity_id").alias("entity_id"))
+    c = citations.withColumns({"_a": F.col("start_line").cast("long"), "_b": F.col("end_line").cast("long")})
+    return c.join(best, ["file_path", "_a", "_b"]).select(*citations.columns, "entity_id")
 
 
 def nearest(citations: DataFrame, entities: DataFrame) -> DataFrame:
@@ -102,6 +97,7 @@ def classify(citations: DataFrame, entities: DataFrame, edges: DataFrame, symbol
     variable) is a call site; any other edge is a definition.
     """
     key = ["answer_id", "raw"]
+    citations = cut(citations, "citations")
     files = entities.select("file_path", F.lit(True).alias("has_file")).distinct()
     hit = overlapping(citations, entities).select(*key, "entity_id")
     names = entities.select(F.col("name").alias("symbol")).distinct() if symbols is None else symbols

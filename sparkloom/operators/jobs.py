@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .citations import BIN_LINES
+from . import spans
 from .memory import new_facts
 from .ordered import running
 
@@ -135,9 +135,6 @@ def accessible(conversations: DataFrame, repos: DataFrame) -> DataFrame:
 
 def declaration_at(declarations: DataFrame, calls: DataFrame) -> DataFrame:
     """``calls`` (file_path, line) with the smallest declaration (file_path, id, start_line, end_line) around their line; of those of one size the later one."""
-    bins = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / BIN_LINES), F.floor(F.greatest(a, b) / BIN_LINES))).alias("_bin")
-    d = declarations.select("file_path", "id", "start_line", "end_line", bins("start_line", "end_line"))
-    c = calls.select("file_path", "line").distinct().withColumn("_bin", F.floor(F.col("line") / BIN_LINES))
-    both = c.join(d, ["file_path", "_bin"]).filter("line between start_line and end_line")
-    best = both.groupBy("file_path", "line").agg(F.min_by("id", F.struct(F.col("end_line") - F.col("start_line"), -F.col("start_line"), "id")).alias("id"))
-    return calls.join(best, ["file_path", "line"], "left")
+    rank = F.struct((F.col("end_line") - F.col("start_line")).alias("size"), (-F.col("start_line")).alias("from"), "id")
+    best = spans.least_met(calls.select("file_path", F.col("line").alias("start_line"), F.col("line").alias("end_line")), declarations.withColumn("_m", rank), ["file_path"], "_m")
+    return calls.join(best.select("file_path", F.col("start_line").alias("line"), F.col("_m.id").alias("id")), ["file_path", "line"], "left")

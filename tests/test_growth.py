@@ -19,3 +19,53 @@ def test_wishes_of_any_number_are_not_sent_to_every_executor(spark):
     n = spark.range(3_000_000).select(F.col("id").alias("scenario"), F.lit("a").alias("preferred"), F.lit("b").alias("over"))
     results = n.select("scenario", F.lit(1).alias("rank"), F.lit("xa").alias("id"))
     assert "Broadcast" not in jobs.preferred_over(results, n)._jdf.queryExecution().executedPlan().toString()
+
+
+def _met(asked, ranges):
+    out = {}
+    for f, a, b in set(asked):
+        hit = [(e - s, i) for i, g, s, e in ranges if g == f and a <= e and s <= b]
+        if hit:
+            out[f, a, b] = min(hit)[1]
+    return out
+
+
+def test_overlaps_meet_no_more_rows_than_there_are(spark):
+    import random
+
+    from sparkloom.operators import citations
+
+    rnd = random.Random(3)
+    span = lambda: (a := rnd.choice([rnd.randint(0, 90), rnd.randint(0, 5000), rnd.randint(0, 10**6)]), a + rnd.choice([0, 3, 40, 700, 90_000]) - 2 * (rnd.random() < 0.1))
+    ranges = [(f"e{i:03}", f"f{i % 3}", *span()) for i in range(400)]
+    asked = [(f"f{i % 4}", *span()) for i in range(400)]
+    cited = spark.createDataFrame([(i, f"r{i}", *x) for i, x in enumerate(asked)], "answer_id long, raw string, file_path string, start_line int, end_line int")
+    ents = spark.createDataFrame(ranges, "id string, file_path string, start_line long, end_line long")
+    got = citations.overlapping(cited, ents)
+    assert got.columns == [*cited.columns, "entity_id"]
+    want = _met(asked, ranges)
+    assert {(r["answer_id"], r["entity_id"]) for r in got.collect()} == {(i, want[x]) for i, x in enumerate(asked) if x in want}
+    # Many citations and entities of the same few lines: pairs of them would be 25 million.
+    n = spark.range(5000)
+    hot = n.select(F.col("id").alias("answer_id"), F.lit("r").alias("raw"), F.lit("f").alias("file_path"), (F.col("id") % 40).cast("int").alias("start_line"), (F.col("id") % 40 + 9).cast("int").alias("end_line"))
+    both = citations.overlapping(hot, n.select(F.col("id").cast("string").alias("id"), F.lit("f").alias("file_path"), F.lit(5).alias("start_line"), F.lit(30).alias("end_line")))
+    assert both.count() == 5000 - 125 * 9
+    assert _most_joined(both) <= 100_000
+
+
+def _most_joined(df):
+    """The most rows that a join of the plan has given."""
+    most, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    df._jdf.queryExecution().toRdd().count()
+    while todo:
+        p = todo.pop()
+        name = p.nodeName()
+        if name.startswith("AdaptiveSparkPlan"):
+            todo.append(p.executedPlan())
+            continue
+        if "QueryStage" in name:
+            todo.append(p.plan())
+        if "Join" in name:
+            most = max(most, p.metrics().apply("numOutputRows").value())
+        todo += [p.children().apply(i) for i in range(p.children().size())]
+    return most
