@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import last_dotted, module_id
+from .spans import least_met
 
 _EDGE = ["repo_id", "source_id", "target_id", "type", "file_path", "line"]
 #: Bases that never resolve to a superclass.
@@ -133,8 +134,10 @@ def instantiates(facts: DataFrame, entities: DataFrame, named: DataFrame) -> Dat
     # Sites of Python are counted from the start of their owner, those of TypeScript from that of the file.
     own = F.col("file_path").rlike(r"\.py$")
     sites = sites.withColumn("line", F.when(own, F.col("start_line") + F.col("line")).otherwise(F.col("line")).cast("int"))
-    spans = entities.filter("parent_id is not null and type <> 'variable'").select("repo_id", F.col("parent_id").alias("id"), F.col("start_line").alias("_a"), F.col("end_line").alias("_b"))
-    inside = sites.filter("owner = 'module'").join(spans, ["repo_id", "id"]).filter("line between _a and _b").select("repo_id", "file_path", "seq").distinct()
+    spans = entities.filter("parent_id is not null and type <> 'variable'").select("repo_id", F.col("parent_id").alias("id"), "start_line", "end_line", F.lit(True).alias("in"))
+    of_modules = sites.filter("owner = 'module'").select("repo_id", "file_path", "seq", "id", "line")
+    inside = least_met(of_modules.select("repo_id", "id", F.col("line").alias("start_line"), F.col("line").alias("end_line")), spans, ["repo_id", "id"], "in").select("repo_id", "id", F.col("start_line").alias("line"))
+    inside = of_modules.join(inside, ["repo_id", "id", "line"]).select("repo_id", "file_path", "seq")
     sites = sites.join(inside, ["repo_id", "file_path", "seq"], "left_anti").join(named, ["repo_id", "file_path", "name"])
     sites = sites.join(e.filter(F.col("type").isin("class", "interface")).select("repo_id", F.col("id").alias("target_id")), ["repo_id", "target_id"], "left_semi")
     sites = sites.filter("target_id <> id and not (target_id <=> parent_id)").withColumnRenamed("id", "source_id").withColumn("type", F.lit("INSTANTIATES"))

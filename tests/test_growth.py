@@ -69,3 +69,43 @@ def _most_joined(df):
             most = max(most, p.metrics().apply("numOutputRows").value())
         todo += [p.children().apply(i) for i in range(p.children().size())]
     return most
+
+
+def test_work_a_file_does_not_grow_with_its_square(monkeypatch):
+    import ast
+    import time
+
+    from sparkloom.operators import extract, extract_ts
+
+    # A file's text is not split anew for each of its variables: lines that end in any way, and characters of several bytes.
+    text = "é = 'ü'\r\nA = [1,\n  'ö']; B = {2: 'ß'}\rC = f(\n  3)\n\x0cD = (4 + 5)\n"
+    want = {s.targets[0].id: ast.get_source_segment(text, s) for s in ast.parse(text).body}
+    monkeypatch.setattr(ast, "get_source_segment", None)
+    got = {r["name"]: r["source"] for r in extract._Python("r", "a.py", text, "py.a").run() if r.get("type") == "variable"}
+    assert got == {k: want[k] for k in "ABCD"}
+
+    def seconds(run, n):
+        at = time.process_time()
+        assert len(run(n)) > n
+        return time.process_time() - at
+
+    def python(n):
+        return extract._Python("r", "a.py", "".join(f"class S{i}:\n    X = g()\nf{i}()\n" for i in range(n)), "py.a").run()
+
+    def typescript(n):
+        return extract_ts._facts("r", "a.ts", "".join(f"/** T. */\nexport class T{i} {{\n  a() {{ return m(1); }}\n}}\n" for i in range(n)), "ts.a")
+
+    for run in (python, typescript):
+        assert seconds(run, 8000) < 20 * seconds(run, 1000)  # 64 times if it grew with the square
+
+
+def test_sites_of_a_module_do_not_meet_all_its_children(spark):
+    from sparkloom.operators import extract, resolve
+
+    text = "class A:\n    def f(self):\n        x = A()\n" + "".join(f"def g{i}():\n    y = A()\n" for i in range(300)) + "z = A()\n"
+    facts = extract.python_facts(spark.createDataFrame([("r", "a.py", text)], "repo_id string, file_path string, content string")).cache()
+    e = extract.entities(facts).cache()
+    found = resolve.symbols(facts, e)
+    got = resolve.instantiates(facts, e, resolve.names(found, e))
+    assert {(r["source_id"], r["target_id"]) for r in got.collect()} == {("py.a", "py.a.A"), *((f"py.a.g{i}", "py.a.A") for i in range(300))}
+    assert _most_joined(got) <= 5_000  # 90 000 pairs of sites and children
