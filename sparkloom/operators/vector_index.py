@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
@@ -27,9 +28,15 @@ MAX_SAMPLE, MAX_CELLS = 100_000, 4096
 #: Rows of one file; a cell that has more has several files, which different tasks read and write.
 MAX_FILE_ROWS = 200_000
 #: Queries answered by one pass; every task holds their vectors.
-MAX_QUERIES = 4096
+MAX_QUERIES = 8192
+#: Rows compared at once with all queries of their cell; queries compared at once with all centres.
+SLICE = 512
+#: Rows found that a task holds beside the best k of each query before it sorts them.
+MAX_FOUND = 200_000
 #: Angles worked out differently may differ by this much.
 SLACK = 1e-6
+#: Cosines nearer than this may be equal when rounded to 9 places, which is what ties are; and one that all rows reach.
+TIE, NOTHING = 2e-9, -1.5
 
 
 @dataclass(frozen=True)
@@ -124,33 +131,90 @@ def load(spark: SparkSession, path: str) -> Index:
     return Index(path, np.array([c["centre"] for c in cells]), np.array([c["radius"] for c in cells]), np.array([c["n"] for c in cells]), cells[0]["id_type"])
 
 
-def _scan(probed: dict[int, np.ndarray], unit: np.ndarray, to_centre: np.ndarray, own: list | None, k: int, limit: np.ndarray) -> Callable:
-    """The ``k`` nearest rows read of each query, among the cells that it probes.
+def _near_cells(index: Index, unit: np.ndarray, n: int) -> np.ndarray:
+    """The ``n`` nearest cells of each query, a row a query."""
+    filled = np.flatnonzero(index.count)
+    near = [np.argsort(-(unit[at : at + SLICE] @ index.centres[filled].T), axis=1, kind="stable")[:, :n] for at in range(0, len(unit), SLICE)]
+    return filled[np.concatenate(near)]
 
-    ``limit`` is the angle within which a query still looks for rows; it shrinks as rows
-    are found. Rows that their angle to the centre rules out are not compared.
+
+def _may(index: Index, cells: np.ndarray, unit: np.ndarray, floor: np.ndarray) -> np.ndarray:
+    """Which queries may find a row of the cosine ``floor`` in which of ``cells``."""
+    return _angle(unit @ index.centres[cells].T) - index.radius[cells] <= _angle(floor)[:, None] + SLACK
+
+
+def _asking(index: Index, unit: np.ndarray, chosen: np.ndarray, floor: np.ndarray | None) -> np.ndarray:
+    """How many queries ask each cell: those that chose it, or with ``floor`` all others that may find something there."""
+    out, every = np.zeros(len(index.count), dtype=int), np.arange(len(index.count))
+    for at in range(0, len(unit), SLICE):
+        part = slice(at, at + SLICE)
+        own = np.zeros((len(unit[part]), len(out)), dtype=bool)
+        np.put_along_axis(own, chosen[part], True, axis=1)
+        out += (own if floor is None else _may(index, every, unit[part], floor[part]) & ~own).sum(axis=0)
+    return np.where(index.count > 0, out, 0)
+
+
+def _scan(index: Index, unit: np.ndarray, own: list | None, k: int, chosen: np.ndarray, floor: np.ndarray | None) -> Callable:
+    """The ``k`` nearest rows read of each query, among the cells that it asks (see ``_asking``).
+
+    A cell's rows are compared with all its queries by products of matrices, ``SLICE``
+    rows at a time, in the order of their angle to the centre; queries whose angle rules
+    a slice out take no part in it. Only what reaches the cosine that a query still looks
+    for is looked at one by one; that cosine rises as rows are found.
     """
+    spots: dict = {}
+    own_at = np.array([spots.setdefault(i, len(spots)) for i in own or []])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[int, tuple[np.ndarray, list]] = {}
-        within = limit.copy()
+        least = np.full(len(unit), NOTHING) if floor is None else floor.copy()
+        kept, found, n_found = None, [], 0
+
+        def settle() -> None:
+            nonlocal kept, found, n_found
+            t = pa.Table.from_batches([*([kept] if kept is not None else []), *found])
+            t = t.append_column("r", pa.array(-np.round(t["score"].to_numpy(), 9)))
+            t = t.take(pc.sort_indices(t, [("q", "ascending"), ("r", "ascending"), ("id", "ascending")], null_placement="at_start"))
+            q = t["q"].to_numpy()
+            rank = np.arange(len(q)) - np.searchsorted(q, q)
+            last = rank == k - 1
+            least[q[last]] = np.maximum(least[q[last]], -t["r"].to_numpy()[last] - TIE)
+            kept, found, n_found = t.filter(pa.array(rank < k)).drop_columns("r").combine_chunks().to_batches()[0], [], 0
+
         for b in batches:
-            cells, angles = b.column("cell").to_numpy(), b.column("angle").to_numpy()
-            ids, vectors = b.column("id").to_pylist(), _unit(_matrix(b.column("embedding"))) if b.num_rows else None
-            for cell in np.unique(cells).tolist():
-                mine = np.flatnonzero(cells == cell)
-                for q in probed.get(cell, ()):
-                    good = mine[np.abs(angles[mine] - to_centre[q, cell]) <= within[q] + SLACK]
-                    if not len(good):
+            if not b.num_rows:
+                continue
+            cells, angles, ids, rows = b.column("cell").to_numpy(), b.column("angle").to_numpy(), b.column("id"), _unit(_matrix(b.column("embedding")))
+            spot = np.array([spots.get(i, -1) for i in ids.to_pylist()]) if spots else None
+            order = np.lexsort((angles, cells))
+            for mine in np.split(order, np.flatnonzero(np.diff(cells[order])) + 1):
+                cell, own_cell = cells[mine[0]], (chosen == cells[mine[0]]).any(axis=1)
+                asks = np.flatnonzero(own_cell if floor is None else _may(index, cells[mine[:1]], unit, least)[:, 0] & ~own_cell)
+                to_centre = _angle(unit[asks] @ index.centres[cell])
+                for at in range(0, len(mine), SLICE):
+                    some = mine[at : at + SLICE]
+                    within = _angle(least[asks]) + SLACK
+                    q = asks[(to_centre - within <= angles[some[-1]]) & (to_centre + within >= angles[some[0]])]
+                    if not len(q):
                         continue
-                    score = vectors[good] @ unit[q]
-                    found = [(-s, ids[i]) for s, i in zip(score.tolist(), good.tolist(), strict=True) if own is None or ids[i] != own[q]]
-                    best[q] = sorted([*best.get(q, []), *found], key=lambda x: (round(x[0], 9), x[1] is not None, x[1] or 0))[:k]
-                    if len(best[q]) == k:
-                        within[q] = min(within[q], _angle(np.array(-best[q][-1][0])).item())
-        rows = [(q, i, -s) for q, found in best.items() for s, i in found]
-        columns = zip(*rows, strict=True) if rows else ([], [], [])
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.int32(), None if rows else pa.null(), pa.float64()), strict=True)], ["q", "id", "score"])
+                    score = unit[q] @ rows[some].T
+                    for j in np.flatnonzero(spot[some] >= 0) if spots else ():
+                        score[own_at[q] == spot[some[j]], j] = NOTHING - 1
+                    hit = score >= least[q][:, None]
+                    many = np.flatnonzero(np.count_nonzero(hit, axis=1) > k)
+                    if len(many):  # the k-th of the slice itself
+                        least[q[many]] = np.maximum(least[q[many]], np.partition(score[many], -k, axis=1)[:, -k] - TIE)
+                        hit[many] = score[many] >= least[q[many]][:, None]
+                    i, j = np.nonzero(hit)
+                    if len(i):
+                        i, j = q[i], some[j]
+                        found.append(pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), ids.take(pa.array(j)), pa.array(np.einsum("ij,ij->i", unit[i], rows[j]))], ["q", "id", "score"]))
+                        n_found += len(i)
+                    if n_found > MAX_FOUND:
+                        settle()
+        if n_found:
+            settle()
+        if kept is not None:
+            yield kept
 
     return run
 
@@ -172,42 +236,34 @@ def search(spark: SparkSession, index: Index, queries: DataFrame, k: int = 10, p
     asked = usable(queries, id_col, vector_col, index.centres.shape[1] or None) if len(index.count) else usable(queries, id_col, vector_col).filter("false")
     asked = cut(asked.withColumn("_b", F.lit(0)), "vector_queries")
     n = asked.count()
-    blocks = 1 if n <= MAX_QUERIES else -(-2 * n // MAX_QUERIES)
+    blocks = -(-n // MAX_QUERIES)
     schema = f"q int, id {index.id_type}, score double"
     out = spark.createDataFrame([], f"query_id {dict(asked.dtypes)['id']}, rank int, id {index.id_type}, score double")
     if n == 0:
         return out
+    rows = index.rows(spark)
     for block in range(blocks):
-        part = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block)
+        part = asked if blocks <= 1 else asked.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block)
         got = part.select("id", "embedding").collect()  # at most about MAX_QUERIES rows
         if not got:
             continue
         unit, ids = _unit(np.array([r["embedding"] for r in got])), [r["id"] for r in got]
-        own = ids if others else None
-        to_centre = _angle(unit @ index.centres.T)
-        filled = np.flatnonzero(index.count)
-        order = filled[np.argsort(to_centre[:, filled], axis=1, kind="stable")]
-
-        def probe(chosen: list[np.ndarray], limit: np.ndarray, unit=unit, to_centre=to_centre, own=own) -> DataFrame:
-            probed: dict[int, list] = {}
-            for q, cells in enumerate(chosen):
-                for c in cells.tolist():
-                    probed.setdefault(c, []).append(q)
+        chosen = _near_cells(index, unit, probes or _first(index, k))
+
+        def probe(floor: np.ndarray | None, unit=unit, ids=ids, chosen=chosen) -> DataFrame:
+            asking = _asking(index, unit, chosen, floor)
             if read is not None:
-                read.append(sum(len(q) * int(index.count[c]) for c, q in probed.items()) / (len(unit) * int(index.count.sum())))
-            rows = index.rows(spark).filter(F.col("cell").isin(list(probed)))  # prunes folders
-            return rows.mapInArrow(_scan({c: np.array(q) for c, q in probed.items()}, unit, to_centre, own, k, limit), schema)
+                read.append(int(asking @ index.count) / (len(unit) * int(index.count.sum())))
+            some = rows.filter(F.col("cell").isin(np.flatnonzero(asking).tolist()))  # prunes folders
+            return some.mapInArrow(_scan(index, unit, ids if others else None, k, chosen, floor), schema)
 
-        wide = np.full(len(unit), np.pi)
-        first = probe([order[q, : probes or _first(index, k)] for q in range(len(unit))], wide)
+        first = probe(None)
         if probes is None:
             first = cut(_top(first, k), "vector_first")
-            limit = wide.copy()
+            floor = np.full(len(unit), NOTHING)
             for r in first.filter(F.col("rank") == k).select("q", "score").collect():  # a row a query
-                limit[r["q"]] = _angle(np.array(r["score"])).item()
-            near = to_centre - index.radius <= limit[:, None] + SLACK
-            rest = [np.setdiff1d(np.flatnonzero(near[q] & (index.count > 0)), order[q, : _first(index, k)]) for q in range(len(unit))]
-            first = first.select("q", "id", "score").unionByName(probe(rest, limit))
+                floor[r["q"]] = r["score"] - TIE
+            first = first.select("q", "id", "score").unionByName(probe(floor))
         names = spark.createDataFrame(list(enumerate(ids)), f"q int, query_id {dict(asked.dtypes)['id']}")
         out = out.unionByName(_top(first, k).join(F.broadcast(names), "q").select("query_id", "rank", "id", "score"))
     return out

@@ -110,3 +110,32 @@ def test_sites_of_a_module_do_not_meet_all_its_children(spark):
     got = resolve.instantiates(facts, e, resolve.names(found, e))
     assert {(r["source_id"], r["target_id"]) for r in got.collect()} == {(f"py.a.g{i}", "py.a.A") for i in range(300)}
     assert _most_joined(got) <= 5_000  # 90 000 pairs of sites and children
+
+
+def test_queries_of_a_cell_are_answered_together(spark):
+    import time
+
+    import numpy as np
+
+    from sparkloom.operators import vector_index
+    from sparkloom.sources.tables import place
+
+    v = np.random.default_rng(2).normal(size=(4000, 16))  # no clusters, so nothing can be skipped
+    v[7::1000] = v[7]  # and copies, whose ties go to the lesser id
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, embedding array<double>").repartition(4).cache()
+    index = vector_index.build(rows, place(spark, "index"), cells=100)
+
+    def seconds(asked):
+        at = time.time()
+        got = vector_index.search(spark, index, asked, 5, others=True).collect()
+        return time.time() - at, got
+
+    seconds(rows.filter("id % 40 = 1"))  # compiled and read once
+    few, _ = seconds(rows.filter("id % 40 = 0"))
+    all_, got = seconds(rows)
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    score = np.round(unit @ unit.T, 9)
+    np.fill_diagonal(score, -9)
+    want = {(q, r + 1): int(i) for q in range(len(v)) for r, i in enumerate(np.lexsort((np.arange(len(v)), -score[q]))[:5])}
+    assert {(r["query_id"], r["rank"]): r["id"] for r in got} == want
+    assert all_ < 2 * few + 2  # a step a query and cell would be 400 000
