@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -97,22 +99,41 @@ def token_batches(texts: DataFrame, group: list[str], order: list[str], text_col
 
 
 #: Where Python's splitlines ends a line, kept at its end.
-_LINE_ENDS = r"(?<=\n)|(?<=\r)(?!\n)|(?<=[\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029])"
+_LINE_ENDS = r"(?<=[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029])(?<!\r(?=\n))"
+
+
+def _line_batches(sizes: Iterator[pd.Series], most: int) -> Iterator[pd.Series]:
+    """(first, last, chars) of the greedy chunks of each text, from the lengths of its lines."""
+    for column in sizes:
+        out = []
+        for lengths in column:
+            total = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+            at, chunks = 0, []
+            while at < len(lengths):  # a step a chunk
+                end = max(at + 1, int(np.searchsorted(total, total[at] + most, side="right")) - 1)
+                chunks.append({"first": at, "last": end - 1, "chars": int(total[end] - total[at])})
+                at = end
+            out.append(chunks)
+        yield pd.Series(out, dtype=object)
 
 
 def source_chunks(files: DataFrame, keys: list[str], text_col: str, max_tokens: int) -> DataFrame:
     """(keys, chunk, total_chunks, first_line, last_line, chars, text): each text in chunks of at most four characters a token, cut at line ends; a longer line is alone.
 
-    Lines are rows and chunks are batches of them, so no text is folded in one piece.
+    No row moves: chunks follow from the lengths of a text's lines, which are all that
+    leaves the JVM, and are read off the text beside it (not at all if ``text`` is dropped).
     """
-    lines = files.select(*keys, F.posexplode(F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), _LINE_ENDS), lambda x: x != "")).alias("line", "t"))
-    lines = lines.withColumn("chars", F.length("t").cast("long"))
-    cut_ = batches(lines, keys, ["line"], {"chars": 4 * max_tokens})
-    per = cut_.groupBy(*keys, "batch").agg(
-        F.min("line").alias("a"), F.max("line").alias("b"), F.sum("chars").alias("chars"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "t"))), lambda x: x["t"]), "").alias("text")
-    )
-    total = F.count("*").over(W.partitionBy(*keys))
-    return per.select(*keys, F.col("batch").alias("chunk"), total.alias("total_chunks"), (F.col("a") + 1).alias("first_line"), (F.col("b") + 1).alias("last_line"), "chars", "text")
+    most = 4 * max_tokens
+
+    @F.pandas_udf("array<struct<first:int,last:int,chars:long>>")
+    def chunks(sizes: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        return _line_batches(sizes, most)
+
+    lines = F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), _LINE_ENDS), lambda x: x != "")
+    df = files.select(*keys, lines.alias("_lines")).withColumn("_chunks", chunks(F.transform("_lines", F.length)))
+    df = df.select(*keys, "_lines", F.size("_chunks").cast("long").alias("total_chunks"), F.posexplode("_chunks").alias("chunk", "c"))
+    text = F.array_join(F.slice("_lines", F.col("c.first") + 1, F.col("c.last") - F.col("c.first") + 1), "")
+    return df.select(*keys, F.col("chunk").cast("long").alias("chunk"), "total_chunks", (F.col("c.first") + 1).alias("first_line"), (F.col("c.last") + 1).alias("last_line"), "c.chars", text.alias("text"))
 
 
 def file_batches(files: DataFrame, repo_col: str, path_col: str, text_col: str, context: int, reserve: int, per_file: int, output: int = 800, share: float = 0.3) -> DataFrame:

@@ -139,3 +139,25 @@ def test_queries_of_a_cell_are_answered_together(spark):
     want = {(q, r + 1): int(i) for q in range(len(v)) for r, i in enumerate(np.lexsort((np.arange(len(v)), -score[q]))[:5])}
     assert {(r["query_id"], r["rank"]): r["id"] for r in got} == want
     assert all_ < 2 * few + 2  # a step a query and cell would be 400 000
+
+
+def test_chunks_of_many_texts_are_no_groups_of_lines(spark):
+    from sparkloom.operators import retrieval
+
+    texts = [(i, "".join(f"{'x' * (i * j % 50)}\n" for j in range(i % 40)) + "end" * (i % 3), None if i % 2 else "k") for i in range(2000)] + [(None, None, "k"), (None, "a\r\nb ", None)]
+    files = spark.createDataFrame(texts, "id int, t string, k string")
+    made = retrieval.source_chunks(files, ["k", "id"], "t", 25)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "InPandas" not in plan  # a group of lines a text was three calls of Python each
+    got, want = {(r["k"], r["id"], r["chunk"]): (r["total_chunks"], r["first_line"], r["last_line"], r["chars"], r["text"]) for r in made.collect()}, {}
+    for i, t, k in texts:
+        chunks, first = [], 1
+        for n, line in enumerate((t or "").splitlines(keepends=True), 1):
+            if chunks and len(chunks[-1][1]) + len(line) <= 100:
+                chunks[-1] = (n, chunks[-1][1] + line)
+            else:
+                chunks.append((n, line))
+        for c, (last, text) in enumerate(chunks):
+            want[k, i, c] = (len(chunks), first, last, len(text), text)
+            first = last + 1
+    assert got == want and made.count() == len(want)
