@@ -161,3 +161,14 @@ def test_chunks_of_many_texts_are_no_groups_of_lines(spark):
             want[k, i, c] = (len(chunks), first, last, len(text), text)
             first = last + 1
     assert got == want and made.count() == len(want)
+
+
+def test_files_over_the_budget_are_no_groups_of_lines(spark):
+    from sparkloom.operators import retrieval
+
+    files = spark.range(600).select(F.lit("r").alias("repo"), F.col("id").alias("path"), F.expr("repeat(repeat('x', 99) || '\\n', if(id % 3 = 0, 2, 50 + id))").alias("t"))
+    made = retrieval.file_batches(files, "repo", "path", "t", 3000, 2000, 400)
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("FlatMapGroupsInPandas") == 1  # of the packed files only
+    got = {r["kind"]: (r["n"], r["tokens"]) for r in made.groupBy("kind").agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens")).collect()}
+    big = [50 + i for i in range(600) if i % 3]  # lines of 100 characters, 40 a chunk; 1250 tokens and more
+    assert got == {"packed": (200, 200 * 50), "chunked": (sum(-(-n // 40) for n in big), sum(25 * n for n in big))}
