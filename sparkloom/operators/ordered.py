@@ -22,6 +22,8 @@ from ..sources.tables import cut
 RANGE_ROWS = 250_000
 #: A block of batches is as many full batches long; of its rows, one in so many meets the others of its group.
 BLOCK_BATCHES = 128
+#: Rows of a call of Python, about: groups smaller than that share one.
+CALL_ROWS = 200_000
 
 
 def _same(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -44,17 +46,25 @@ def ranges(rows: DataFrame, group: list[str], order: list[str], range_rows: int
     return cut(rows.repartitionByRange(parts, *group, *order).withColumn("_part", F.spark_partition_id()), "ranges")
 
 
-def running(rows: DataFrame, group: list[str], order: list[str], sums: Mapping[str, Column], range_rows: int = RANGE_ROWS) -> DataFrame:
-    """``rows`` with ``pos``, their place in the group from 0, and for each of ``sums`` its total up to and with the row."""
+def running(rows: DataFrame, group: list[str], order: list[str], sums: Mapping[str, Column], range_rows: int = RANGE_ROWS, *, number: str | None = None) -> DataFrame:
+    """``rows`` with ``pos``, their place in the group from 0, and for each of ``sums`` its total up to and with the row.
+
+    With ``number``, a column of that name too, a whole number that tells groups apart.
+    """
     t = ranges(rows, group, order, range_rows).withColumns({f"_v_{n}": c for n, c in sums.items()})
     keys = [*group, "_part"]
     totals = t.groupBy(*keys).agg(F.count("*").alias("_o_pos"), *[F.sum(f"_v_{n}").alias(f"_o_{n}") for n in sums])
     before = W.partitionBy(*group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.select(*keys, *[F.coalesce(F.sum(f"_o_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in ("pos", *sums)])
+    if number:  # the range that a group begins in, and its place among those that do
+        offsets = offsets.withColumn("_begins", F.min("_part").over(W.partitionBy(*group)))
+        place = F.dense_rank().over(W.partitionBy("_begins").orderBy(*group))
+        offsets = offsets.withColumn(number, F.shiftleft(F.col("_begins").cast("long"), 32) + place).drop("_begins")
     inside = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     t = t.withColumns({"_v_pos": F.count("*").over(inside) - 1, **{f"_r_{n}": F.sum(f"_v_{n}").over(inside) for n in sums}})
     out = _same(t, _renamed(offsets, keys), keys)
-    return out.select(*rows.columns, (F.col("_v_pos") + F.col("_o_pos")).alias("pos"), *[(F.coalesce(f"_r_{n}", F.lit(0)) + F.col(f"_o_{n}")).alias(n) for n in sums])
+    numbered = [number] if number else []
+    return out.select(*rows.columns, *numbered, (F.col("_v_pos") + F.col("_o_pos")).alias("pos"), *[(F.coalesce(f"_r_{n}", F.lit(0)) + F.col(f"_o_{n}")).alias(n) for n in sums])
 
 
 def around(rows: DataFrame, group: list[str], order: str, what: Column, range_rows: int = RANGE_ROWS) -> DataFrame:
@@ -75,14 +85,13 @@ def around(rows: DataFrame, group: list[str], order: str, what: Column, range_ro
     return out.select(*rows.columns, F.coalesce("_b", "_cb").alias("before"), F.coalesce("_a", "_ca").alias("after"))
 
 
-def _ends(sizes: list[np.ndarray], mosts: list[int]) -> np.ndarray:
-    """For every row, the row before which a batch that starts there ends, under all limits."""
-    n = len(sizes[0])
-    end = np.full(n, n)
+def _ends(sizes: list[np.ndarray], mosts: list[int], stop: np.ndarray) -> np.ndarray:
+    """For every row, the row before which a batch that starts there ends, under all limits and before ``stop``."""
+    end = stop
     for s, most in zip(sizes, mosts, strict=True):
         total = np.concatenate([[0], np.cumsum(s)])
         end = np.minimum(end, np.searchsorted(total, total[:-1] + most, side="right") - 1)
-    return np.maximum(end, np.arange(n) + 1)
+    return np.maximum(end, np.arange(len(stop)) + 1)
 
 
 def batches(rows: DataFrame, group: list[str], order: list[str], limits: Mapping[str, int]) -> DataFrame:
@@ -95,63 +104,72 @@ def batches(rows: DataFrame, group: list[str], order: list[str], limits: Mapping
     with the rows after it that a batch may reach, tell for every row that can begin a
     batch there where the chain leaves the block and after how many batches. Those rows
     are few; a group's are walked once, and then all blocks are cut at the same time.
+    A call of Python takes as many blocks as make up ``CALL_ROWS`` rows, of any groups.
     """
     names, mosts, columns = list(limits), [int(m) for m in limits.values()], rows.columns
     first, most = names[0], mosts[0]
     length = most * BLOCK_BATCHES
     # A row over the limit counts as just over it, so that no row is longer than a block.
-    t = running(rows, group, order, {"_total": F.least(F.col(first), F.lit(most + 1))})
+    t = running(rows, group, order, {"_total": F.least(F.col(first), F.lit(most + 1))}, number="_group")
     start = F.col("_total") - F.least(F.col(first), F.lit(most + 1))
     t = cut(t.withColumns({"_start": start, "_block": F.floor(start / length)}), "batches")
-    slim = t.select(*group, "pos", "_start", *names, "_block")
+    slim = t.select("_group", "pos", "_start", *names, "_block")
     early = (F.col("_start") - F.col("_block") * length <= most) & (F.col("_block") > 0)
     with_more = slim.withColumn("_own", F.lit(True)).unionByName(slim.filter(early).withColumns({"_block": F.col("_block") - 1, "_own": F.lit(False)}))
-    kinds = dict(t.dtypes)
-    keys = ", ".join(f"`{g}` {kinds[g]}" for g in group)
+    calls = max(1, -(-t.count() // CALL_ROWS))
+    call = lambda *keys: F.pmod(F.xxhash64(*keys), F.lit(calls)).alias("_call")
 
-    def read(g: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, int]:
-        g = g.sort_values("pos")
+    def read(g: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray]:
+        """The rows by block, for each row the first of its block and the first after it, and where a batch from it ends."""
+        g = g.sort_values(["_group", "_block", "pos"], ignore_index=True)
         sizes = [np.minimum(g[n].to_numpy(dtype=np.int64), m + 1) for n, m in zip(names, mosts, strict=True)]
-        return g, _ends(sizes, mosts), int(g["_own"].sum())
+        keys = g[["_group", "_block"]].to_numpy()
+        edges = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, [len(g)]])
+        begin, stop = np.repeat(edges[:-1], np.diff(edges)), np.repeat(edges[1:], np.diff(edges))
+        return g, begin, stop, _ends(sizes, mosts, stop)
 
     def chain(g: pd.DataFrame) -> pd.DataFrame:
-        g, end, own = read(g)
-        block, at = int(g["_block"].iloc[0]), np.arange(len(g))
-        # Jump on from every row until its chain has left the block, twice as far each time.
-        jump, n = np.where(at < own, np.minimum(end, len(g)), at), (at < own).astype(np.int64)
-        jump, n = np.append(jump, len(g)), np.append(n, 0)
-        while (jump[:own] < own).any():
+        g, _, stop, end = read(g)
+        n_rows, own, block, pos = len(g), g["_own"].to_numpy(), g["_block"].to_numpy(), g["pos"].to_numpy()
+        # Jump on from every row until its chain has left the block, twice as far each time;
+        # the end of the block that ends before row i has the place n_rows + i.
+        jump = np.concatenate([np.where(own, np.where(end < stop, end, n_rows + stop), np.arange(n_rows)), np.arange(n_rows, 2 * n_rows + 1)])
+        n, inside = np.zeros(len(jump), dtype=np.int64), np.zeros(len(jump), dtype=bool)
+        n[:n_rows], inside[:n_rows] = own, own
+        while inside[jump].any():
             n, jump = n + n[jump], jump[jump]
-        enters = np.flatnonzero((g["_start"].to_numpy()[:own] - block * length <= most) if block else at[:own] == 0)
-        pos = g["pos"].to_numpy()
-        leaves = np.where(jump[enters] < len(g), pos[np.minimum(jump[enters], len(g) - 1)], pos[-1] + 1)
-        return pd.DataFrame({**{k: [g[k].iloc[0]] * len(enters) for k in group}, "_block": block, "pos": pos[enters], "leaves": leaves, "n": n[enters]})
+        enters = np.flatnonzero(own & np.where(block > 0, g["_start"].to_numpy() - block * length <= most, pos == 0))
+        to = jump[enters]
+        leaves = np.where(to < n_rows, pos[np.minimum(to, n_rows - 1)], pos[stop[enters] - 1] + 1)
+        return pd.DataFrame({"_group": g["_group"].to_numpy()[enters], "_block": block[enters], "pos": pos[enters], "leaves": leaves, "n": n[enters]})
 
     def walk(g: pd.DataFrame) -> pd.DataFrame:
-        at, batch, out = 0, 0, []
-        blocks = {}
-        for b, p, leaves, n in zip(g["_block"], g["pos"], g["leaves"], g["n"], strict=True):
-            blocks.setdefault(int(b), {})[int(p)] = (int(leaves), int(n))
-        for b in sorted(blocks):
-            out.append((b, at, batch))
-            if at in blocks[b]:
-                at, n = blocks[b][at]
-                batch += n
-        made = pd.DataFrame(out, columns=["_block", "_enter", "_batch"])
-        return made.assign(**{k: [g[k].iloc[0]] * len(made) for k in group})[[*group, "_block", "_enter", "_batch"]]
+        out, now, at, batch = [], None, 0, 0
+        g = g.sort_values(["_group", "_block", "pos"])
+        for i, b, p, leaves, n in zip(*[g[c].tolist() for c in ("_group", "_block", "pos", "leaves", "n")], strict=True):
+            if now is None or now[0] != i:
+                at, batch = 0, 0
+            if now != (i, b):
+                now, enter = (i, b), at
+                out.append((i, b, at, batch))
+            if p == enter:
+                at, batch = leaves, batch + n
+        return pd.DataFrame(out, columns=["_group", "_block", "_enter", "_batch"])
 
     def mark(g: pd.DataFrame) -> pd.DataFrame:
-        g, end, own = read(g)
-        pos = g["pos"].to_numpy()
-        i, starts = int(np.searchsorted(pos[:own], g["_enter"].iloc[0])), np.zeros(own, dtype=np.int64)
-        while i < own:  # a step a batch
-            starts[i] = 1
-            i = int(end[i])
-        batch = g["_batch"].iloc[0] - 1 + np.cumsum(starts)
-        return pd.DataFrame({**{k: g[k].iloc[:own] for k in group}, "pos": pos[:own], "batch": batch})
-
-    table = with_more.groupBy(*group, "_block").applyInPandas(chain, f"{keys}, _block long, pos long, leaves long, n long")
-    entries = cut(table.groupBy(*group).applyInPandas(walk, f"{keys}, _block long, _enter long, _batch long"), "entries")
-    at_block = [*group, "_block"]
-    marked = _same(with_more, _renamed(entries, at_block), at_block).groupBy(*at_block).applyInPandas(mark, f"{keys}, pos long, batch long")
-    return _same(t, _renamed(marked, [*group, "pos"]), [*group, "pos"]).select(*columns, "batch")
+        g, begin, _, end = read(g)
+        own, pos, starts = g["_own"].to_numpy(), g["pos"].to_numpy(), np.zeros(len(g), dtype=np.int64)
+        more, block = np.append(own, False), np.append(begin, -1)
+        at = np.flatnonzero(own & (pos == g["_enter"].to_numpy()))
+        while len(at):  # a step a batch, of all blocks at once
+            starts[at] = 1
+            to = end[at]
+            at = to[more[to] & (block[to] == block[at])]
+        made = np.cumsum(starts)
+        batch = g["_batch"].to_numpy() - 1 + made - (made - starts)[begin]
+        return pd.DataFrame({"_group": g["_group"].to_numpy()[own], "pos": pos[own], "batch": batch[own]})
+
+    table = with_more.groupBy(call("_group", "_block")).applyInPandas(chain, "_group long, _block long, pos long, leaves long, n long")
+    entries = cut(table.groupBy(call("_group")).applyInPandas(walk, "_group long, _block long, _enter long, _batch long"), "entries")
+    marked = with_more.join(entries, ["_group", "_block"]).groupBy(call("_group", "_block")).applyInPandas(mark, "_group long, pos long, batch long")
+    return t.join(marked, ["_group", "pos"]).select(*columns, "batch")

@@ -172,3 +172,36 @@ def test_files_over_the_budget_are_no_groups_of_lines(spark):
     got = {r["kind"]: (r["n"], r["tokens"]) for r in made.groupBy("kind").agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens")).collect()}
     big = [50 + i for i in range(600) if i % 3]  # lines of 100 characters, 40 a chunk; 1250 tokens and more
     assert got == {"packed": (200, 200 * 50), "chunked": (sum(-(-n // 40) for n in big), sum(25 * n for n in big))}
+
+
+def test_small_groups_of_batches_share_calls_of_python(spark):
+    import time
+
+    from sparkloom.operators import ordered
+
+    # Numbers of groups beyond what a double holds, and nulls among them: groups of one call are not mixed up.
+    rows = spark.range(24_000).select(F.col("id").alias("path"), (F.col("id") % 7 + 1).alias("n"), (F.col("id") % 3).alias("m"))
+
+    def seconds(groups):
+        group = F.when(F.col("path") % groups != 5, F.lit(2**53) + F.col("path") % groups)
+        at = time.time()
+        got = ordered.batches(rows.withColumns({"repo": group, "kind": F.lit(None).cast("string")}), ["repo", "kind"], ["path"], {"n": 40, "m": 9}).collect()
+        return time.time() - at, got
+
+    seconds(20)  # compiled once
+    few, some = seconds(20)
+    many, got = seconds(8000)
+    for made in (some, got):
+        assert len(made) == 24_000
+        groups = {}
+        for r in sorted(made, key=lambda r: r["path"]):
+            groups.setdefault(r["repo"], []).append((r["n"], r["m"], r["batch"]))
+        for g in groups.values():
+            used, batch = (0, 0), 0
+            for n, m, b in g:
+                if used != (0, 0) and (used[0] + n > 40 or used[1] + m > 9):
+                    used, batch = (0, 0), batch + 1
+                used = (used[0] + n, used[1] + m)
+                assert b == batch
+    assert len(groups) == 8000
+    assert many < 2 * few + 3  # three calls a group would be 24 000
