@@ -157,14 +157,15 @@ def batches(rows: DataFrame, group: list[str], order: list[str], limits: Mapping
         return pd.DataFrame(out, columns=["_group", "_block", "_enter", "_batch"])
 
     def mark(g: pd.DataFrame) -> pd.DataFrame:
-        g, begin, _, end = read(g)
+        g, begin, stop, end = read(g)
         own, pos, starts = g["_own"].to_numpy(), g["pos"].to_numpy(), np.zeros(len(g), dtype=np.int64)
-        more, block = np.append(own, False), np.append(begin, -1)
-        at = np.flatnonzero(own & (pos == g["_enter"].to_numpy()))
-        while len(at):  # a step a batch, of all blocks at once
-            starts[at] = 1
-            to = end[at]
-            at = to[more[to] & (block[to] == block[at])]
+        to, mine, found = end.tolist(), own.tolist(), []
+        for at in np.flatnonzero(own & (pos == g["_enter"].to_numpy())).tolist():
+            until = int(stop[at])
+            while at < until and mine[at]:  # a step a batch
+                found.append(at)
+                at = to[at]
+        starts[found] = 1
         made = np.cumsum(starts)
         batch = g["_batch"].to_numpy() - 1 + made - (made - starts)[begin]
         return pd.DataFrame({"_group": g["_group"].to_numpy()[own], "pos": pos[own], "batch": batch[own]})
