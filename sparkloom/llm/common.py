@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 import os
 import re
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,6 +34,25 @@ def stored(df: DataFrame, name: str, group_rows: int | None = None) -> DataFrame
     return cut(df, name, group_rows)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, size: str = "1m", rows: int = 512) -> Iterator[None]:
+    """What is worked out within hands texts to Python in batches of about ``size``, and reads ``rows`` of Parquet at once.
+
+    Spark's defaults are 64 MB and 4096 rows a task, and buffers double as they grow, so
+    long texts cost an executor several times that beside its heap. The batches hold the
+    same rows, each of them whole.
+    """
+    own = {"spark.sql.execution.arrow.maxBytesPerBatch": size, "spark.sql.parquet.columnarReaderBatchSize": str(rows)}
+    before = {k: spark.conf.get(k) for k in own}
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def drawn(df: DataFrame, key: str, most: int) -> DataFrame:
     """The first ``most`` rows in the order of a hash of ``key`` (unique), or all if there are no more.
 

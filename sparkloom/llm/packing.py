@@ -26,7 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordCache, rules, stored, table, tokenizer
+from .common import WordCache, rules, small_batches, stored, table, tokenizer
 
 #: Buckets by which ranks within a length are counted; bounds the rows of one window.
 RANK_BUCKETS = 4096
@@ -230,7 +230,8 @@ def pack(
     of a hash of id, start and crc; equal pieces are interchangeable.
     """
     spark = docs.sparkSession
-    cut = stored(pieces(docs, vocabulary, capacity, end_id, id_col, text_col), "pieces")
+    with small_batches(spark):
+        cut = stored(pieces(docs, vocabulary, capacity, end_id, id_col, text_col), "pieces")
     key = F.xxhash64(F.col(id_col), "start", "ids_crc32")
     cut = cut.withColumn("_key", key).withColumn("_bucket", F.pmod("_key", F.lit(RANK_BUCKETS)).cast("int"))
     # Ranks within a length: a count for each (length, bucket), then a window within.

@@ -104,6 +104,32 @@ def test_pack(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string"), WORDS).collect() == []
 
 
+def test_pack_takes_texts_in_small_batches(spark, tmp_path, monkeypatch):
+    docs = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("alpha "), F.when(F.col("id") == 5, 500_000).otherwise(400)).alias("text"))
+    whole, log = packing.pieces, str(tmp_path / "batches")
+
+    def noted(docs, *rest):
+        def note(batches):
+            for b in batches:
+                with open(log, "a") as f:
+                    f.write(f"{b.num_rows} {b.nbytes}\n")
+                yield b
+
+        return whole(docs.mapInArrow(note, docs.schema), *rest)
+
+    monkeypatch.setattr(packing, "pieces", noted)
+    confs = ("spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
+    before = [spark.conf.get(k) for k in confs]
+    out = packing.pack(docs, WORDS)
+    assert [spark.conf.get(k) for k in confs] == before
+    batches = [tuple(map(int, x.split())) for x in open(log)]
+    assert sum(n for n, _ in batches) == 3000
+    assert max(size for _, size in batches) < 5e6  # the long text has 3 MB; all have 10 MB
+    assert sum(size < 1.5e6 for _, size in batches) >= len(batches) - 1
+    n = len(tokenizer(WORDS).encode("alpha " * 400, add_special_tokens=False).ids) // 400
+    assert out.agg(F.sum("length")).first()[0] == n * (2999 * 400 + 500_000) + 3000
+
+
 def test_quotas_stop_at_the_cap():
     assert mixing.quotas([100, 100, 100], [1, 2, 3], 300, 3) == [50, 100, 150]
     got = mixing.quotas([10, 1000, 1000], [3, 1, 1], 2010, 3)
